@@ -30,3 +30,181 @@ def region_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     and row counts by region (J1 + A5)."""
     joined = joins.attach_factors(td.ledger(spark, sf_dir), td.factors(spark, sf_dir))
     return summaries.region_summary(joined, extra={"factor_rows": F.count("cci")})
+
+
+# ---------------------------------------------------------------------------
+# shared inputs and parameters of the catalogue
+# ---------------------------------------------------------------------------
+from ledgerlens.functions.dates import calendar_features  # noqa: E402
+from ledgerlens.operators import correlate, forecast, rollup, whatif  # noqa: E402
+from ledgerlens.operators.medians import exact_medians  # noqa: E402
+from ledgerlens.schema import COSTS, DIMS, FACTORS, LEDGER_MEASURES, SEGMENT, TARGETS  # noqa: E402
+
+# Rounding: money sums over few rows and medians are compared at 6 dp (the
+# inputs carry at most five decimals, so both engines agree there), large
+# totals at 2 dp, factors / correlations / metrics at 4 dp.
+
+# what-if parameters (the "current month" is passed in, never read from the clock)
+WHATIF_MONTH = "2002-03-01"
+WHATIF_VALUES = {"cci": 55.0, "oil": 30.0}
+OVERRIDES = {"cci": 50.0, "oil": 0.0, "roi": None}   # zero / None are ignored (P17)
+FUTURE_MONTHS = 6
+# total order of ledger rows (D4): date, keys, then every other column
+LEDGER_ORDER = (["order_date", "order_id", "line_no"] + DIMS + ["total_revenue"] + COSTS
+                + ["sga"])
+
+
+def _joined(spark, sf_dir):
+    return joins.attach_factors(td.ledger(spark, sf_dir), td.factors(spark, sf_dir))
+
+
+def _r(cols, nd):
+    return [F.round(F.col(c), nd).alias(c) for c in cols]
+
+
+@query("daily_rollup")
+def daily_rollup_q(spark, sf_dir):
+    """A1 + A2 + P7/P8 + J2 + W1/W2: the model matrix at daily grain."""
+    d = rollup.daily_rollup(td.ledger(spark, sf_dir), td.factors(spark, sf_dir))
+    feats = calendar_features("order_date")
+    return d.select("order_date", *_r(COSTS + TARGETS, 6), *DIMS,
+                    *[c for c in feats if not c.endswith(("_sin", "_cos"))],
+                    *_r([c for c in feats if c.endswith(("_sin", "_cos"))], 6),
+                    *_r(FACTORS, 4))
+
+
+@query("segment_cost_medians")
+def segment_cost_medians_q(spark, sf_dir):
+    """A3: exact median of the eight costs per (region, geo, country,
+    customer, item_type)."""
+    m = forecast.segment_cost_medians(td.ledger(spark, sf_dir))
+    return m.select(*SEGMENT, *_r(COSTS, 6))
+
+
+@query("future_rows")
+def future_rows_q(spark, sf_dir):
+    """G1-G3 + J6-J8: segments x the six months after the ledger's last
+    month, with segment cost medians and month factors (latest-row fallback)."""
+    led = td.ledger(spark, sf_dir)
+    last = led.agg(F.max("order_date")).first()[0]
+    start = forecast.future_start(last)
+    end = start
+    for _ in range(FUTURE_MONTHS - 1):
+        end = forecast.next_month(end)
+    rows = forecast.future_rows(led, td.factors(spark, sf_dir), start, end)
+    return rows.select("order_date", *SEGMENT, *_r(COSTS, 6), *_r(FACTORS, 4))
+
+
+@query("column_medians")
+def column_medians_q(spark, sf_dir):
+    """A4: exact global medians of the ledger measures and attached factors."""
+    cols = LEDGER_MEASURES + FACTORS
+    return exact_medians(_joined(spark, sf_dir), [], cols).select(*_r(cols, 4))
+
+
+@query("factor_first_row_per_month")
+def factor_first_row_per_month_q(spark, sf_dir):
+    """First ledger row of every order month by the total row order,
+    carrying its attached factors (D4, D15)."""
+    j = _joined(spark, sf_dir)
+    first = rollup.first_row_per_month(j, LEDGER_ORDER, "month", ["order_id", "line_no"] + FACTORS)
+    return first.select("month", "order_id", "line_no", *_r(FACTORS, 4))
+
+
+@query("factor_coverage")
+def factor_coverage_q(spark, sf_dir):
+    """Which factors matched ledger months after the join, and how often."""
+    return summaries.factor_coverage(_joined(spark, sf_dir))
+
+
+@query("factor_correlation")
+def factor_correlation_q(spark, sf_dir):
+    """6x6 factor correlation over the stored months."""
+    f = td.factors(spark, sf_dir)
+    return correlate.correlation_long(f, correlate.non_empty_columns(f, FACTORS))
+
+
+def _full(spark, sf_dir, overrides=None):
+    j = _joined(spark, sf_dir)
+    j, _ = correlate.apply_overrides(j, overrides)
+    sl = correlate.non_empty_columns(j, LEDGER_MEASURES)
+    cols = sl + [c for c in FACTORS if c in j.columns and c not in sl]
+    return j, sl, cols
+
+
+@query("full_correlation")
+def full_correlation_q(spark, sf_dir):
+    """A10 / Q11: 17x17 matrix of ledger measures and attached factors."""
+    j, _, cols = _full(spark, sf_dir)
+    return correlate.correlation_long(j.dropna(how="all", subset=cols), cols)
+
+
+@query("full_correlation_override")
+def full_correlation_override_q(spark, sf_dir):
+    """P17 + A10: what-if constant overrides before the full matrix."""
+    j, _, cols = _full(spark, sf_dir, OVERRIDES)
+    return correlate.correlation_long(j.dropna(how="all", subset=cols), cols)
+
+
+@query("cross_correlation")
+def cross_correlation_q(spark, sf_dir):
+    """11x6 rectangle of ledger measures against factors."""
+    j, sl, _ = _full(spark, sf_dir)
+    ext = correlate.non_empty_columns(j, FACTORS)
+    return correlate.correlation_long(j, sl + ext, rows=sl, columns=ext)
+
+
+@query("factor_correlation_append")
+def factor_correlation_append_q(spark, sf_dir):
+    """Q13: append a row for the given month (given values, medians for the
+    rest), then the 6x6 matrix."""
+    f = td.factors(spark, sf_dir)
+    a = whatif.append_row(f, FACTORS, WHATIF_VALUES)
+    return correlate.correlation_long(a, FACTORS)
+
+
+@query("factor_correlation_replace_latest")
+def factor_correlation_replace_latest_q(spark, sf_dir):
+    """Q14: overwrite the given values in the latest month, then 6x6."""
+    f = td.factors(spark, sf_dir)
+    return correlate.correlation_long(whatif.replace_latest(f, ["month"], WHATIF_VALUES), FACTORS)
+
+
+def _ledger_whatif(spark, sf_dir, mode):
+    j, sl, _ = _full(spark, sf_dir)
+    ext = correlate.non_empty_columns(j, FACTORS)
+    cols = sl + ext
+    if mode == "append":
+        vals = {f: WHATIF_VALUES.get(f) for f in ext}
+        out = whatif.append_row(j, cols, vals)
+    else:
+        out = whatif.replace_latest(j, LEDGER_ORDER, WHATIF_VALUES).select(*cols)
+    return out, sl, ext
+
+
+@query("cross_correlation_append")
+def cross_correlation_append_q(spark, sf_dir):
+    """Q15: ledger + factors, one appended row (medians + given values), 11x6."""
+    d, sl, ext = _ledger_whatif(spark, sf_dir, "append")
+    return correlate.correlation_long(d, sl + ext, rows=sl, columns=ext)
+
+
+@query("cross_correlation_replace_latest")
+def cross_correlation_replace_latest_q(spark, sf_dir):
+    """Q16 (D2): given factor values written into the latest ledger row, 11x6."""
+    d, sl, ext = _ledger_whatif(spark, sf_dir, "replace")
+    return correlate.correlation_long(d, sl + ext, rows=sl, columns=ext)
+
+
+@query("full_correlation_append")
+def full_correlation_append_q(spark, sf_dir):
+    """Q17 (D2): appended row, then the full matrix."""
+    d, sl, ext = _ledger_whatif(spark, sf_dir, "append")
+    return correlate.correlation_long(d, sl + ext)
+
+
+@query("full_correlation_replace_latest")
+def full_correlation_replace_latest_q(spark, sf_dir):
+    """Q18 (D2): latest row updated, then the full matrix."""
+    d, sl, ext = _ledger_whatif(spark, sf_dir, "replace")
+    return correlate.correlation_long(d, sl + ext)

@@ -70,3 +70,150 @@ SELECT coalesce(nullif(trim(region), ''), 'Unknown') AS region,
        count(cci)                                AS factor_rows
 FROM joined GROUP BY 1
 """)
+
+# ---------------------------------------------------------------------------
+# helpers and fixed parameters (must equal the catalogue's)
+# ---------------------------------------------------------------------------
+COSTS = ["raw_material", "direct_labor", "freight", "storage", "packaging",
+         "indirect_labor", "rent_utility", "overhead"]
+TARGETS = ["total_revenue", "cogs", "sga"]
+DIMS = ["region", "geo", "country", "item_type", "customer"]
+SEGMENT = ["region", "geo", "country", "customer", "item_type"]
+FACTORS = ["cci", "cpi", "oil", "gdp", "unemployment", "roi"]
+MEASURES = ["total_revenue", "cogs", "sga"] + COSTS
+LEDGER_ORDER = ["order_date", "order_id", "line_no"] + DIMS + ["total_revenue"] + COSTS + ["sga"]
+WHATIF_MONTH = "2002-03-01"
+WHATIF = {"cci": 55.0, "oil": 30.0}
+
+
+def rnd(cols, nd, prefix=""):
+    return ", ".join(f"round({prefix}{c}, {nd}) AS {c}" for c in cols)
+
+
+def corr_sql(src: str, rows: list[str], cols: list[str]) -> str:
+    """Long-form guarded Pearson correlations of rows x cols over ``src``."""
+    pairs = [(r, c) for r in rows for c in cols]
+    aggs = ", ".join(f"corr({r}, {c}) AS k{i}" for i, (r, c) in enumerate(pairs))
+    rn = ", ".join(f"'{r}'" for r, _ in pairs)
+    cn = ", ".join(f"'{c}'" for _, c in pairs)
+    vs = ", ".join(f"k{i}" for i in range(len(pairs)))
+    return f"""
+SELECT row_col, col_col,
+       CASE WHEN v IS NULL OR isnan(v) THEN 0.0 ELSE round(greatest(-1.0, least(1.0, v)), 4) END AS corr
+FROM (SELECT unnest([{rn}]) AS row_col, unnest([{cn}]) AS col_col, unnest([{vs}]) AS v
+      FROM (SELECT {aggs} FROM {src}))"""
+
+
+JOINED = "joined AS (SELECT x.*, " + ", ".join(f"f.{c}" for c in FACTORS) + \
+    " FROM ledger x LEFT JOIN factors f ON x.month = f.month)"
+
+
+def _mode(c):
+    return f"""m_{c} AS (
+  SELECT order_date, {c} FROM (
+    SELECT order_date, {c}, row_number() OVER (PARTITION BY order_date ORDER BY count(*) DESC, {c}) AS rn
+    FROM ledger WHERE {c} IS NOT NULL GROUP BY order_date, {c}) WHERE rn = 1)"""
+
+
+_fill = ",\n".join(
+    f"coalesce(last_value({f} IGNORE NULLS) OVER (ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), "
+    f"first_value({f} IGNORE NULLS) OVER (ORDER BY month ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS {f}"
+    for f in FACTORS)
+
+ORACLE["daily_rollup"] = with_views(f"""
+sums AS (SELECT order_date, {", ".join(f"coalesce(sum({c}), 0.0) AS {c}" for c in COSTS + TARGETS)}
+         FROM ledger WHERE order_date IS NOT NULL GROUP BY order_date),
+{",".join(_mode(c) for c in DIMS)},
+months AS (SELECT DISTINCT CAST(date_trunc('month', order_date) AS DATE) AS month FROM sums),
+filled AS (SELECT month, {_fill} FROM months LEFT JOIN factors USING (month))
+SELECT s.order_date, {rnd(COSTS + TARGETS, 6, "s.")},
+       {", ".join(f"m_{c}.{c} AS {c}" for c in DIMS)},
+       CAST(year(s.order_date) AS INTEGER) AS year,
+       CAST(month(s.order_date) AS INTEGER) AS month_no,
+       CAST(day(s.order_date) AS INTEGER) AS day,
+       CAST(isodow(s.order_date) - 1 AS INTEGER) AS day_of_week,
+       CAST(quarter(s.order_date) AS INTEGER) AS quarter,
+       CAST(s.order_date = last_day(s.order_date) AS INTEGER) AS is_month_end,
+       CAST(day(s.order_date) = 1 AS INTEGER) AS is_month_start,
+       round(sin(2 * pi() * month(s.order_date) / 12), 6) AS month_sin,
+       round(cos(2 * pi() * month(s.order_date) / 12), 6) AS month_cos,
+       round(sin(2 * pi() * (isodow(s.order_date) - 1) / 7), 6) AS day_of_week_sin,
+       round(cos(2 * pi() * (isodow(s.order_date) - 1) / 7), 6) AS day_of_week_cos,
+       {rnd(FACTORS, 4, "fl.")}
+FROM sums s
+{" ".join(f"LEFT JOIN m_{c} USING (order_date)" for c in DIMS)}
+LEFT JOIN filled fl ON fl.month = CAST(date_trunc('month', s.order_date) AS DATE)
+""")
+
+ORACLE["segment_cost_medians"] = with_views(f"""
+x AS (SELECT 1)
+SELECT {", ".join(SEGMENT)}, {", ".join(f"round(median({c}), 6) AS {c}" for c in COSTS)}
+FROM ledger GROUP BY {", ".join(SEGMENT)}
+""")
+
+ORACLE["future_rows"] = with_views(f"""
+seg AS (SELECT {", ".join(SEGMENT)}, {", ".join(f"median({c}) AS {c}" for c in COSTS)}
+        FROM ledger GROUP BY {", ".join(SEGMENT)}),
+bounds AS (SELECT CAST(date_trunc('month', max(order_date)) + INTERVAL 1 MONTH AS DATE) AS s,
+                  CAST(date_trunc('month', max(order_date)) + INTERVAL 6 MONTH AS DATE) AS e FROM ledger),
+cal AS (SELECT CAST(unnest(generate_series(s, e, INTERVAL 1 MONTH)) AS DATE) AS order_date FROM bounds),
+lastf AS (SELECT * FROM factors ORDER BY month DESC LIMIT 1),
+r AS (SELECT seg.*, cal.order_date FROM seg CROSS JOIN cal)
+SELECT r.order_date, {", ".join("r." + c for c in SEGMENT)}, {rnd(COSTS, 6, "r.")},
+       {", ".join(f"round(CASE WHEN f.month IS NOT NULL THEN f.{c} ELSE l.{c} END, 4) AS {c}" for c in FACTORS)}
+FROM r LEFT JOIN factors f ON f.month = r.order_date CROSS JOIN lastf l
+""")
+
+ORACLE["column_medians"] = with_views(f"""
+{JOINED}
+SELECT {", ".join(f"round(median({c}), 4) AS {c}" for c in MEASURES + FACTORS)} FROM joined
+""")
+
+ORACLE["factor_first_row_per_month"] = with_views(f"""
+{JOINED},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY {", ".join(LEDGER_ORDER)}) AS rn FROM joined)
+SELECT month, order_id, line_no, {rnd(FACTORS, 4)} FROM ranked WHERE rn = 1
+""")
+
+ORACLE["factor_coverage"] = with_views(f"""
+{JOINED},
+c AS (SELECT {", ".join(f"count({f}) AS {f}" for f in FACTORS)} FROM joined)
+SELECT factor, n_rows > 0 AS matched, n_rows FROM (
+  SELECT unnest([{", ".join(f"'{f}'" for f in FACTORS)}]) AS factor,
+         unnest([{", ".join(FACTORS)}]) AS n_rows FROM c)
+""")
+
+ORACLE["factor_correlation"] = with_views("x AS (SELECT 1)" + corr_sql("factors", FACTORS, FACTORS))
+
+FULL_COLS = MEASURES + FACTORS
+ORACLE["full_correlation"] = with_views(JOINED + corr_sql("joined", FULL_COLS, FULL_COLS))
+
+_ovr = ("ovr AS (SELECT * REPLACE (CAST(50.0 AS DOUBLE) AS cci) FROM joined)")
+ORACLE["full_correlation_override"] = with_views(JOINED + ",\n" + _ovr + corr_sql("ovr", FULL_COLS, FULL_COLS))
+
+ORACLE["cross_correlation"] = with_views(JOINED + corr_sql("joined", MEASURES, FACTORS))
+
+_fapp = f"""fa AS (
+  SELECT {", ".join(FACTORS)} FROM factors
+  UNION ALL
+  SELECT {", ".join(str(WHATIF[f]) if f in WHATIF else f"(SELECT median({f}) FROM factors)" for f in FACTORS)})"""
+ORACLE["factor_correlation_append"] = with_views(_fapp + corr_sql("fa", FACTORS, FACTORS))
+
+_frep = f"""fr AS (
+  SELECT {", ".join(f"CASE WHEN month = (SELECT max(month) FROM factors) THEN {WHATIF[f]} ELSE {f} END AS {f}"
+                    if f in WHATIF else f for f in FACTORS)} FROM factors)"""
+ORACLE["factor_correlation_replace_latest"] = with_views(_frep + corr_sql("fr", FACTORS, FACTORS))
+
+_lapp = f"""{JOINED},
+la AS (
+  SELECT {", ".join(FULL_COLS)} FROM joined
+  UNION ALL
+  SELECT {", ".join(str(WHATIF[c]) if c in WHATIF else f"(SELECT median({c}) FROM joined)" for c in FULL_COLS)})"""
+_lrep = f"""{JOINED},
+ranked AS (SELECT *, row_number() OVER (ORDER BY {", ".join(c + " DESC" for c in LEDGER_ORDER)}) AS rn FROM joined),
+lr AS (SELECT {", ".join(f"CASE WHEN rn = 1 THEN {WHATIF[c]} ELSE {c} END AS {c}" if c in WHATIF else c
+                         for c in FULL_COLS)} FROM ranked)"""
+ORACLE["cross_correlation_append"] = with_views(_lapp + corr_sql("la", MEASURES, FACTORS))
+ORACLE["cross_correlation_replace_latest"] = with_views(_lrep + corr_sql("lr", MEASURES, FACTORS))
+ORACLE["full_correlation_append"] = with_views(_lapp + corr_sql("la", FULL_COLS, FULL_COLS))
+ORACLE["full_correlation_replace_latest"] = with_views(_lrep + corr_sql("lr", FULL_COLS, FULL_COLS))
