@@ -208,3 +208,107 @@ def full_correlation_replace_latest_q(spark, sf_dir):
     """Q18 (D2): latest row updated, then the full matrix."""
     d, sl, ext = _ledger_whatif(spark, sf_dir, "replace")
     return correlate.correlation_long(d, sl + ext)
+
+
+# ---------------------------------------------------------------------------
+# ingest: text ledgers and factor files built from the tables
+# ---------------------------------------------------------------------------
+from ledgerlens.sources import factor_files, ledger_csv  # noqa: E402
+
+REFRESH_MONTH = "1998-03-01"
+
+
+def text_ledger(spark, sf_dir):
+    """The conformed ledger as raw CSV-like text: headers as in the source
+    files, dates in five formats (plus junk), money with ``$`` and padding,
+    categorical blanks and missing tokens."""
+    led = td.ledger(spark, sf_dir)
+    k = F.col("order_id") % 6
+    d = F.col("order_date")
+    date_txt = (F.when(F.col("order_id") % 13 == 0, F.lit("not a date"))
+                .when(k == 0, F.date_format(d, "yyyy-MM-dd"))
+                .when(k == 1, F.date_format(d, "yyyy-MM-dd HH:mm:ss"))
+                .when(k == 2, F.date_format(d, "M/d/yyyy"))
+                .when(k == 3, F.date_format(d, "dd-MM-yyyy"))
+                .when(k == 4, F.date_format(d, "MMM yyyy"))
+                .otherwise(F.date_format(d, "yyyy-MM")))
+    region_txt = (F.when(F.col("line_no") == 3, F.concat(F.lit("  "), F.col("region"), F.lit(" ")))
+                  .when(F.col("line_no") == 5, F.lit("NA")).otherwise(F.col("region")))
+    sga_txt = F.when(F.col("order_id") % 17 == 0, F.lit("abc")).otherwise(F.col("sga").cast("string"))
+    return led.select(
+        F.col("order_id").cast("string").alias("Order Id"),
+        F.col("line_no").cast("string").alias("id"),
+        date_txt.alias("Order Date"),
+        region_txt.alias("Region"),
+        F.col("customer").alias("Customer"),
+        F.concat(F.lit(" $"), F.col("total_revenue").cast("string"), F.lit(" ")).alias("Total Revenue"),
+        F.concat(F.lit("$,"), F.col("cogs").cast("string")).alias("COGS"),
+        sga_txt.alias("SG&A"))
+
+
+@query("clean_ledger_text")
+def clean_ledger_text_q(spark, sf_dir):
+    """S2 + P1/P3: clean the text ledger for training (dates in any format,
+    money scrubbed, missing tokens NULL, rows lacking date or target dropped)."""
+    c = ledger_csv.clean_ledger(text_ledger(spark, sf_dir), for_training=True)
+    return c.select("order_id", F.col("row_no").alias("line_no"), "order_date", "region", "customer",
+                    "total_revenue", "cogs", "sga")
+
+
+def factor_text_files(spark, sf_dir):
+    """Six single-factor files (text) in different header / date / value styles."""
+    f = td.factors(spark, sf_dir)
+    m = F.col("month")
+    v = lambda c: F.col(c).cast("string")
+    return {
+        "cci.csv": f.select(F.date_format(m, "MMM-yyyy").alias("observation_date"),
+                            F.concat(v("cci"), F.lit(" %")).alias("Consumer Confidence (%)")),
+        "cpi.csv": f.select(F.date_format(m, "yyyy-MM-dd").alias("Months"), v("cpi").alias("CPI")),
+        "oil.csv": f.select(F.date_format(m, "MMM yyyy").alias("date"),
+                            F.concat(F.lit("$"), v("oil")).alias("Oil Price")),
+        "gdp.csv": f.select(F.date_format(m, "yyyy-MM").alias("Month"), v("gdp").alias("GDP")),
+        "unemployment.csv": f.select(F.date_format(m, "M/d/yyyy").alias("months"),
+                                     F.concat(v("unemployment"), F.lit("%")).alias("Unemployment Rate (%)")),
+        "roi.csv": f.select(F.date_format(m, "MM/yyyy").alias("months"), v("roi").alias("ROI")),
+    }
+
+
+@query("factor_files_combine")
+def factor_files_combine_q(spark, sf_dir):
+    """Q6: S5 on six factor files + J3 full outer join on month."""
+    out = factor_files.combine_factor_files(factor_text_files(spark, sf_dir))
+    return out.select("month", *_r(FACTORS, 4))
+
+
+@query("factors_from_ledger_upsert")
+def factors_from_ledger_upsert_q(spark, sf_dir):
+    """Q7: S8 (factors inside a wide ledger) + J4 upsert into a stored table
+    (new value wins, old kept where new is NULL)."""
+    wide = _joined(spark, sf_dir).select(F.col("order_date").alias("Order Date"),
+                                         *[F.col(f).alias(f.upper()) for f in FACTORS])
+    new, _found = factor_files.extract_factors_from_ledger(wide)
+    f = td.factors(spark, sf_dir)
+    existing = f.select("month", (F.col("cci") * 2).alias("cci"), "cpi",
+                        F.when(F.month("month") == 1, None).otherwise(F.col("oil")).alias("oil"),
+                        "gdp", "unemployment", "roi")
+    return joins.upsert_factors(existing, new).select("month", *_r(FACTORS, 4))
+
+
+@query("factor_refresh")
+def factor_refresh_q(spark, sf_dir):
+    """Replace one month's whole row (unspecified factors -> NULL)."""
+    out = joins.replace_month(td.factors(spark, sf_dir), REFRESH_MONTH, WHATIF_VALUES)
+    return out.select("month", *_r(FACTORS, 4))
+
+
+@query("factors_from_json")
+def factors_from_json_q(spark, sf_dir):
+    """Factor JSON payloads (one document per year of stored months)."""
+    f = td.factors(spark, sf_dir)
+    row = F.struct(F.col("month").cast("string").alias("date"),
+                   *[F.col(c).alias(lab) for c, lab in
+                     {"cci": "CCI", "cpi": "CPI", "oil": "Oil", "gdp": "GDP",
+                      "unemployment": "Unemployment", "roi": "ROI"}.items()])
+    docs = (f.groupBy(F.year("month").alias("y"))
+            .agg(F.to_json(F.struct(F.collect_list(row).alias("rows"))).alias("payload")))
+    return factor_files.factors_from_json(docs).select("month", *_r(FACTORS, 4))

@@ -217,3 +217,39 @@ ORACLE["cross_correlation_append"] = with_views(_lapp + corr_sql("la", MEASURES,
 ORACLE["cross_correlation_replace_latest"] = with_views(_lrep + corr_sql("lr", MEASURES, FACTORS))
 ORACLE["full_correlation_append"] = with_views(_lapp + corr_sql("la", FULL_COLS, FULL_COLS))
 ORACLE["full_correlation_replace_latest"] = with_views(_lrep + corr_sql("lr", FULL_COLS, FULL_COLS))
+
+ORACLE["clean_ledger_text"] = with_views("""
+t AS (SELECT order_id, line_no, order_date, customer, total_revenue, cogs, sga,
+             CASE WHEN line_no = 5 THEN NULL ELSE region END AS region,
+             CASE WHEN order_id % 13 = 0 THEN NULL
+                  WHEN order_id % 6 = 4 OR order_id % 6 = 5 THEN CAST(date_trunc('month', order_date) AS DATE)
+                  ELSE order_date END AS d
+      FROM ledger)
+SELECT order_id, CAST(line_no AS BIGINT) AS line_no, d AS order_date, region, customer,
+       total_revenue, cogs, sga
+FROM t WHERE d IS NOT NULL AND order_id % 17 <> 0
+""")
+
+ORACLE["factor_files_combine"] = with_views(f"""
+x AS (SELECT 1)
+SELECT month, {rnd(FACTORS, 4)} FROM factors
+""")
+
+ORACLE["factors_from_ledger_upsert"] = with_views(f"""
+{JOINED},
+newf AS (SELECT DISTINCT month, {", ".join(FACTORS)} FROM joined WHERE cci IS NOT NULL),
+old AS (SELECT month, cci * 2 AS cci, cpi, CASE WHEN month(month) = 1 THEN NULL ELSE oil END AS oil,
+               gdp, unemployment, roi FROM factors)
+SELECT coalesce(n.month, o.month) AS month,
+       {", ".join(f"round(coalesce(n.{f}, o.{f}), 4) AS {f}" for f in FACTORS)}
+FROM old o FULL OUTER JOIN newf n ON o.month = n.month
+""")
+
+ORACLE["factor_refresh"] = with_views(f"""
+x AS (SELECT 1)
+SELECT month, {rnd(FACTORS, 4)} FROM factors WHERE month <> DATE '1998-03-01'
+UNION ALL
+SELECT DATE '1998-03-01', 55.0, NULL, 30.0, NULL, NULL, NULL
+""")
+
+ORACLE["factors_from_json"] = ORACLE["factor_files_combine"]
