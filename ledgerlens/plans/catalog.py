@@ -312,3 +312,168 @@ def factors_from_json_q(spark, sf_dir):
     docs = (f.groupBy(F.year("month").alias("y"))
             .agg(F.to_json(F.struct(F.collect_list(row).alias("rows"))).alias("payload")))
     return factor_files.factors_from_json(docs).select("month", *_r(FACTORS, 4))
+
+
+# ---------------------------------------------------------------------------
+# models: training, scoring and the forecast pipelines
+# ---------------------------------------------------------------------------
+import re  # noqa: E402
+
+from ledgerlens.operators import model as model_ops  # noqa: E402
+from ledgerlens.operators import score as score_ops  # noqa: E402
+from ledgerlens.plans import pipelines  # noqa: E402
+from ledgerlens.schema import ACTUAL_COL, MODEL_USED_COL, PRED_COL  # noqa: E402
+
+_MODELS: dict = {}   # fitted models are small driver-side metadata: reuse per folder
+
+
+def trained_model(spark, sf_dir):
+    """Q1 on the conformed ledger (daily grain, 25 % hash test split)."""
+    key = ("full", sf_dir)
+    if key not in _MODELS:
+        _MODELS[key] = pipelines.train(td.ledger(spark, sf_dir), td.factors(spark, sf_dir),
+                                       name="ledger_daily")
+    return _MODELS[key]
+
+
+def one_feature_model(spark, sf_dir):
+    """OLS of each target on daily raw-material cost, fitted on all days
+    (no split): the SQL-checkable model (``regr_slope``/``regr_intercept``)."""
+    key = ("one", sf_dir)
+    if key not in _MODELS:
+        daily = rollup.daily_rollup(td.ledger(spark, sf_dir))
+        m, _ = model_ops.train_model(daily, name="raw_material_ols", features=["raw_material"],
+                                     test_size=0.0)
+        m.best = {t: "baseline" for t in m.targets}
+        _MODELS[key] = (m, None)
+    return _MODELS[key]
+
+
+@query("train_metrics")
+def train_metrics_q(spark, sf_dir):
+    """Hold-out metrics of baseline and ridge per
+    target (rows-only: the fit has no SQL twin; unit-tested against numpy)."""
+    return trained_model(spark, sf_dir)[1]
+
+
+@query("train_split_sizes")
+def train_split_sizes_q(spark, sf_dir):
+    """M6: train / test sizes of the daily model matrix (test = ceil(n/4))."""
+    return _split_sizes(spark, sf_dir)
+
+
+def _split_sizes(spark, sf_dir):
+    daily = rollup.daily_rollup(td.ledger(spark, sf_dir))
+    s = model_ops._split(daily, ["order_date"], 0.25, 42, True)
+    return (s.groupBy(F.when(F.col("_test"), "test").otherwise("train").alias("split"))
+            .agg(F.count(F.lit(1)).alias("n_rows")))
+
+
+@query("model_design_matrix")
+def model_design_matrix_q(spark, sf_dir):
+    """M1-M4: imputed (median) and standardised (population std) costs plus
+    the one-hot region columns of the daily matrix, fitted on all days.
+    Freight is blanked on the 15th of each month so imputation is exercised."""
+    daily = rollup.daily_rollup(td.ledger(spark, sf_dir))
+    daily = daily.withColumn("freight", F.when(F.dayofmonth("order_date") == 15, None)
+                             .otherwise(F.col("freight")))
+    m, _ = model_ops.train_model(daily, name="design", features=["region"] + COSTS,
+                                 targets=["total_revenue"], test_size=0.0)
+    cols = daily.columns
+    out = [F.round(m.numeric_expr(cols, f), 6).alias(f"z_{f}") for f in m.numeric]
+    key = m.category_expr(cols, "region")
+    out += [F.when(key == lv, 1.0).otherwise(0.0).alias("oh_region_" + re.sub(r"\W+", "_", lv.lower()))
+            for lv in m.levels["region"]]
+    return daily.select("order_date", *out)
+
+
+@query("ols_one_feature_scores")
+def ols_one_feature_scores_q(spark, sf_dir):
+    """M7 + M10: one-feature OLS per target scored on every day."""
+    m, _ = one_feature_model(spark, sf_dir)
+    daily = rollup.daily_rollup(td.ledger(spark, sf_dir))
+    s = score_ops.score(m, daily)
+    return s.select("order_date", *PRED_COL.values(), "predicted_gross_profit")
+
+
+def _future_end(spark, sf_dir):
+    last = td.ledger(spark, sf_dir).agg(F.max("order_date")).first()[0]
+    end = forecast.future_start(last)
+    for _ in range(FUTURE_MONTHS - 1):
+        end = forecast.next_month(end)
+    return end
+
+
+@query("forecast_batch_checked")
+def forecast_batch_checked_q(spark, sf_dir):
+    """Q3 with the one-feature model: every ledger row scored with actuals,
+    plus segments x six future months (medians + month factors), U1."""
+    m, _ = one_feature_model(spark, sf_dir)
+    rows, _ = pipelines.forecast_batch(m, td.ledger(spark, sf_dir), td.factors(spark, sf_dir),
+                                       forecast_end=_future_end(spark, sf_dir), digits=None)
+    preds = list(PRED_COL.values()) + ["predicted_gross_profit"]
+    return rows.select("order_date", "row_type", *pipelines.OUT_DIMS,
+                       *[F.round(c, 6).alias(c) for c in ACTUAL_COL.values()],
+                       *[F.round(c, 2).alias(c) for c in preds], *MODEL_USED_COL.values())
+
+
+@query("forecast_batch_checked_totals")
+def forecast_batch_checked_totals_q(spark, sf_dir):
+    """A7 over the checked batch forecast."""
+    m, _ = one_feature_model(spark, sf_dir)
+    _, tot = pipelines.forecast_batch(m, td.ledger(spark, sf_dir), td.factors(spark, sf_dir),
+                                      forecast_end=_future_end(spark, sf_dir), totals_digits=2)
+    return tot
+
+
+@query("forecast_batch")
+def forecast_batch_q(spark, sf_dir):
+    """Q3 with the trained daily model: history with actuals + future rows."""
+    m, _ = trained_model(spark, sf_dir)
+    rows, _ = pipelines.forecast_batch(m, td.ledger(spark, sf_dir), td.factors(spark, sf_dir),
+                                       forecast_end=_future_end(spark, sf_dir))
+    return rows
+
+
+@query("forecast_batch_filtered")
+def forecast_batch_filtered_q(spark, sf_dir):
+    """Q3 with filters: region ' europe ' (case / blanks ignored), a history
+    window, future months from the month after the ledger."""
+    m, _ = trained_model(spark, sf_dir)
+    rows, tot = pipelines.forecast_batch(m, td.ledger(spark, sf_dir), td.factors(spark, sf_dir),
+                                         region=" europe ", history_start="1997-01-01",
+                                         history_end="1999-12-31", forecast_end=_future_end(spark, sf_dir))
+    return tot
+
+
+@query("forecast_range")
+def forecast_range_q(spark, sf_dir):
+    """Q2: monthly forecast over the twelve months after the ledger for every
+    segment snapshot (segment cost medians + latest factors as constants)."""
+    m, _ = trained_model(spark, sf_dir)
+    led = td.ledger(spark, sf_dir)
+    snap = forecast.segment_cost_medians(led)
+    snap = joins.factors_for_months(snap.withColumn("month", F.lit(None).cast("date")),
+                                    td.factors(spark, sf_dir)).drop("month")
+    start = forecast.future_start(led.agg(F.max("order_date")).first()[0])
+    end = start
+    for _ in range(11):
+        end = forecast.next_month(end)
+    monthly, _ = pipelines.forecast_range(m, start, end, snap, scenario_cols=SEGMENT)
+    return monthly
+
+
+@query("forecast_map_regions")
+def forecast_map_regions_q(spark, sf_dir):
+    """Q4/Q5: score the ledger with month factors, predicted totals by region."""
+    m, _ = trained_model(spark, sf_dir)
+    _, summary = pipelines.forecast_map_batch(m, td.ledger(spark, sf_dir), td.factors(spark, sf_dir))
+    return summary
+
+
+@query("forecast_map_daily")
+def forecast_map_daily_q(spark, sf_dir):
+    """Q5 detail: predicted totals per order date."""
+    m, _ = trained_model(spark, sf_dir)
+    detail, _ = pipelines.forecast_map_batch(m, td.ledger(spark, sf_dir), td.factors(spark, sf_dir))
+    return detail

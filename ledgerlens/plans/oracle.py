@@ -253,3 +253,82 @@ SELECT DATE '1998-03-01', 55.0, NULL, 30.0, NULL, NULL, NULL
 """)
 
 ORACLE["factors_from_json"] = ORACLE["factor_files_combine"]
+
+_DAILY = f"""d AS (SELECT order_date, {", ".join(f"coalesce(sum({c}), 0.0) AS {c}" for c in COSTS + TARGETS)}
+       FROM ledger GROUP BY order_date)"""
+
+ORACLE["train_split_sizes"] = with_views("""
+n AS (SELECT count(DISTINCT order_date) AS n FROM ledger)
+SELECT 'test' AS split, CAST(ceil(n / 4.0) AS BIGINT) AS n_rows FROM n
+UNION ALL
+SELECT 'train' AS split, CAST(n - ceil(n / 4.0) AS BIGINT) AS n_rows FROM n
+""")
+
+REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+_imp = ", ".join(f"coalesce(d2.{c}, md.{c}) AS {c}" for c in COSTS)
+ORACLE["model_design_matrix"] = with_views(f"""
+{_DAILY},
+d2 AS (SELECT * REPLACE (CASE WHEN day(order_date) = 15 THEN NULL ELSE freight END AS freight) FROM d),
+md AS (SELECT {", ".join(f"median({c}) AS {c}" for c in COSTS)} FROM d2),
+imp AS (SELECT d2.order_date, {_imp} FROM d2 CROSS JOIN md),
+st AS (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in COSTS)} FROM imp),
+{_mode("region")}
+SELECT imp.order_date,
+       {", ".join(f"round(({c} - m_{c}) / CASE WHEN s_{c} > 1e-12 * greatest(1.0, abs(m_{c})) THEN s_{c} ELSE 1.0 END, 6) AS z_{c}" for c in COSTS)},
+       {", ".join(f"CASE WHEN m_region.region = '{r}' THEN 1.0 ELSE 0.0 END AS oh_region_{r.lower().replace(' ', '_')}" for r in REGIONS)}
+FROM imp CROSS JOIN st LEFT JOIN m_region ON m_region.order_date = imp.order_date
+""")
+
+_coef = ", ".join(f"regr_intercept({t}, raw_material) AS a_{t}, regr_slope({t}, raw_material) AS b_{t}"
+                  for t in TARGETS)
+_p = {t: f"round(a_{t} + b_{t} * raw_material, 4)" for t in TARGETS}
+_pred_cols = (f"{_p['total_revenue']} AS predicted_total_revenue, "
+              f"{_p['cogs']} AS predicted_cogs, {_p['sga']} AS predicted_sga, "
+              f"round({_p['total_revenue']} - {_p['cogs']}, 4) AS predicted_gross_profit")
+ORACLE["ols_one_feature_scores"] = with_views(f"""
+{_DAILY},
+co AS (SELECT {_coef} FROM d)
+SELECT order_date, {_pred_cols} FROM d CROSS JOIN co
+""")
+
+_BATCH = f"""{_DAILY},
+co AS (SELECT {_coef} FROM d),
+seg AS (SELECT {", ".join(SEGMENT)}, median(raw_material) AS raw_material FROM ledger GROUP BY {", ".join(SEGMENT)}),
+bounds AS (SELECT CAST(date_trunc('month', max(order_date)) + INTERVAL 1 MONTH AS DATE) AS s,
+                  CAST(date_trunc('month', max(order_date)) + INTERVAL 6 MONTH AS DATE) AS e FROM ledger),
+cal AS (SELECT CAST(unnest(generate_series(s, e, INTERVAL 1 MONTH)) AS DATE) AS order_date FROM bounds),
+hist AS (SELECT order_date, 'historical' AS row_type, region, geo, country, item_type, customer,
+                round(total_revenue, 6) AS actual_total_revenue, round(cogs, 6) AS actual_cogs,
+                round(sga, 6) AS actual_sga, round(gross_profit, 6) AS actual_gross_profit,
+                {_pred_cols}
+         FROM ledger CROSS JOIN co),
+fut AS (SELECT cal.order_date, 'future' AS row_type, region, geo, country, item_type, customer,
+               CAST(NULL AS DOUBLE) AS actual_total_revenue, CAST(NULL AS DOUBLE) AS actual_cogs,
+               CAST(NULL AS DOUBLE) AS actual_sga, CAST(NULL AS DOUBLE) AS actual_gross_profit,
+               {_pred_cols}
+        FROM seg CROSS JOIN cal CROSS JOIN co),
+allrows AS (SELECT * FROM hist UNION ALL SELECT * FROM fut)"""
+
+_raw = {t: f"(a_{t} + b_{t} * raw_material)" for t in TARGETS}
+_pred2 = (f"round({_raw['total_revenue']}, 2) AS predicted_total_revenue, "
+          f"round({_raw['cogs']}, 2) AS predicted_cogs, round({_raw['sga']}, 2) AS predicted_sga, "
+          f"round({_raw['total_revenue']} - {_raw['cogs']}, 2) AS predicted_gross_profit")
+ORACLE["forecast_batch_checked"] = with_views(f"""
+{_BATCH.replace(_pred_cols, _pred2)}
+SELECT *, 'baseline' AS model_used_revenue, 'baseline' AS model_used_cogs, 'baseline' AS model_used_sga
+FROM allrows
+""")
+
+_BATCH_T = _BATCH.replace("round(total_revenue, 6) AS actual_total_revenue", "total_revenue AS actual_total_revenue") \
+    .replace("round(gross_profit, 6) AS actual_gross_profit", "gross_profit AS actual_gross_profit")
+ORACLE["forecast_batch_checked_totals"] = with_views(f"""
+{_BATCH_T}
+SELECT CAST(count(*) FILTER (WHERE row_type = 'historical') AS BIGINT) AS historical_row_count,
+       CAST(count(*) FILTER (WHERE row_type = 'future') AS BIGINT) AS future_row_count,
+       CAST(count(*) AS BIGINT) AS total_row_count,
+       round(sum(coalesce(actual_total_revenue, 0)) FILTER (WHERE row_type = 'historical'), 2) AS gross_actual_revenue,
+       round(sum(coalesce(actual_gross_profit, 0)) FILTER (WHERE row_type = 'historical'), 2) AS total_actual_gross_profit,
+       round(sum(predicted_total_revenue), 2) AS gross_predicted_revenue,
+       round(sum(predicted_gross_profit), 2) AS total_predicted_gross_profit
+FROM allrows
+""")
