@@ -477,3 +477,71 @@ def forecast_map_daily_q(spark, sf_dir):
     m, _ = trained_model(spark, sf_dir)
     detail, _ = pipelines.forecast_map_batch(m, td.ledger(spark, sf_dir), td.factors(spark, sf_dir))
     return detail
+
+
+# ---------------------------------------------------------------------------
+# catalogues: batches, uploads, datasets, models
+# ---------------------------------------------------------------------------
+from ledgerlens.sources import registry  # noqa: E402
+
+
+@query("batch_subledger_files")
+def batch_subledger_files_q(spark, sf_dir):
+    """S4 / J9 for every batch: first SUBLEDGER upload with a path."""
+    return registry.resolve_batch_files(td.ingestion_batches(spark, sf_dir), td.file_uploads(spark, sf_dir))
+
+
+@query("dataset_listing")
+def dataset_listing_q(spark, sf_dir):
+    """Datasets of every user with model counts, newest first."""
+    return registry.list_datasets(td.datasets(spark, sf_dir), td.trained_models(spark, sf_dir))
+
+
+@query("model_positions")
+def model_positions_q(spark, sf_dir):
+    """Each model's position in its user's newest-first list."""
+    return registry.rank_models_per_user(td.trained_models(spark, sf_dir))
+
+
+@query("register_datasets")
+def register_datasets_q(spark, sf_dir):
+    """Uploads whose (user, file hash) is already registered are
+    reused, the rest are new."""
+    c = td.table(spark, sf_dir, "customer")
+    cand = c.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("long").alias("user_id"),
+                    F.sha2(F.when(F.col("c_acctbal") > 0, F.col("c_name"))
+                           .otherwise(F.col("c_mktsegment")), 256).alias("file_hash"))
+    return registry.register_datasets(td.datasets(spark, sf_dir), cand)
+
+
+@query("register_models")
+def register_models_q(spark, sf_dir):
+    """Candidate model names already taken are rejected (global unique
+    names); duplicates among candidates keep the lowest id."""
+    m = td.trained_models(spark, sf_dir).withColumn(
+        "model_name", F.concat(F.lit("model_"), F.col("dataset_id").cast("string")))
+    existing = m.where(F.col("status") == "F")
+    cand = m.where(F.col("status") != "F").select("model_name", "id", "dataset_id", "trained_at")
+    return registry.register_models(existing, cand)
+
+
+@query("remove_models")
+def remove_models_q(spark, sf_dir):
+    """Registry after removing the models of pending orders; model
+    count per dataset."""
+    m = td.trained_models(spark, sf_dir)
+    left = registry.remove_models(m, m.where(F.col("status") == "P"))
+    return registry.model_counts(left)
+
+
+@query("dataset_profile")
+def dataset_profile_q(spark, sf_dir):
+    """Profile of the conformed ledger."""
+    return registry.profile_dataset(td.ledger(spark, sf_dir))
+
+
+@query("file_fingerprints")
+def file_fingerprints_q(spark, sf_dir):
+    """SHA-256 and size of every table file of the folder (rows-only:
+    the oracle SQL has no path to the folder)."""
+    return registry.fingerprint_files(spark, f"{sf_dir.rstrip('/')}/*.parquet")

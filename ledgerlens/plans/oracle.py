@@ -332,3 +332,55 @@ SELECT CAST(count(*) FILTER (WHERE row_type = 'historical') AS BIGINT) AS histor
        round(sum(predicted_gross_profit), 2) AS total_predicted_gross_profit
 FROM allrows
 """)
+
+_UPL = """u AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS batch_id,
+             CASE WHEN l_returnflag = 'N' THEN 'SUBLEDGER' WHEN l_returnflag = 'R' THEN 'FACTORS' ELSE 'OTHER' END AS file_type,
+             CASE WHEN l_linestatus = 'O' THEN 'uploads/' || CAST(l_orderkey AS VARCHAR) || '/' || CAST(l_partkey AS VARCHAR) || '.csv' END AS file_path
+      FROM lineitem)"""
+ORACLE["batch_subledger_files"] = f"""WITH {_UPL},
+j AS (SELECT o.o_orderkey AS batch_id, o.o_custkey AS company_id, u.id AS upload_id, u.file_path,
+             row_number() OVER (PARTITION BY o.o_orderkey ORDER BY u.id, u.file_path) AS rn
+      FROM orders o JOIN u ON u.batch_id = o.o_orderkey
+      WHERE u.file_type = 'SUBLEDGER' AND u.file_path IS NOT NULL)
+SELECT batch_id, company_id, upload_id, file_path FROM j WHERE rn = 1"""
+
+_DS = """ds AS (SELECT c_custkey AS id, CAST(c_nationkey AS BIGINT) AS user_id, c_name || '.csv' AS original_filename,
+              sha256(c_name) AS file_hash, DATE '2020-01-01' + CAST(c_custkey % 1000 AS INTEGER) AS uploaded_at
+       FROM customer)"""
+_TM = """tm AS (SELECT o.o_orderkey AS id, o.o_custkey AS dataset_id, CAST(c.c_nationkey AS BIGINT) AS user_id,
+              'm_' || CAST(o.o_orderkey AS VARCHAR) AS model_name, CAST(o.o_orderdate AS DATE) AS trained_at,
+              o.o_orderstatus AS status
+       FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey)"""
+ORACLE["dataset_listing"] = f"""WITH {_DS}, {_TM},
+mc AS (SELECT dataset_id, count(*) AS n FROM tm GROUP BY dataset_id)
+SELECT ds.*, CAST(coalesce(mc.n, 0) AS BIGINT) AS model_count FROM ds LEFT JOIN mc ON mc.dataset_id = ds.id"""
+
+ORACLE["model_positions"] = f"""WITH {_TM}
+SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY trained_at DESC, id DESC) AS INTEGER) AS position
+FROM tm"""
+
+ORACLE["register_datasets"] = f"""WITH {_DS},
+cand AS (SELECT c_custkey AS id, CAST(c_nationkey AS BIGINT) AS user_id,
+                sha256(CASE WHEN c_acctbal > 0 THEN c_name ELSE c_mktsegment END) AS file_hash FROM customer)
+SELECT cand.*, NOT EXISTS (SELECT 1 FROM ds WHERE ds.user_id = cand.user_id AND ds.file_hash = cand.file_hash)
+       AS is_new_dataset
+FROM cand"""
+
+ORACLE["register_models"] = f"""WITH {_TM},
+m AS (SELECT * REPLACE ('model_' || CAST(dataset_id AS VARCHAR) AS model_name) FROM tm),
+fresh AS (SELECT * FROM m WHERE status <> 'F'
+          AND model_name NOT IN (SELECT model_name FROM m WHERE status = 'F')),
+r AS (SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY id) AS rn FROM fresh)
+SELECT model_name, id, dataset_id, trained_at FROM r WHERE rn = 1"""
+
+ORACLE["remove_models"] = f"""WITH {_TM}
+SELECT dataset_id, count(*) AS model_count FROM tm WHERE status <> 'P' GROUP BY dataset_id"""
+
+ORACLE["dataset_profile"] = with_views("""
+x AS (SELECT 1)
+SELECT count(*) AS row_count,
+       'order_date,month,order_id,line_no,region,geo,country,item_type,customer,total_revenue,raw_material,direct_labor,freight,storage,packaging,indirect_labor,rent_utility,overhead,sga,cogs,gross_profit' AS column_names,
+       min(order_date) AS date_range_start, max(order_date) AS date_range_end,
+       'total_revenue,cogs,sga' AS target_columns
+FROM ledger
+""")

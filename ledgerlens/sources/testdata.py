@@ -76,3 +76,43 @@ def factors(spark: SparkSession, sf_dir: str) -> DataFrame:
                  (F.sum("l_extendedprice") / 1000000).alias("gdp"),
                  F.avg(F.when(F.col("l_returnflag") == "R", 100).otherwise(0)).alias("unemployment"),
                  (F.avg(F.col("l_extendedprice") * F.col("l_discount")) / 100).alias("roi")))
+
+
+# ---------------------------------------------------------------------------
+# catalogue tables derived from the driver tables (FIXTURES part B)
+# ---------------------------------------------------------------------------
+def ingestion_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("company_id"),
+        F.col("o_orderstatus").alias("status"))
+
+
+def file_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = table(spark, sf_dir, "lineitem")
+    ftype = (F.when(F.col("l_returnflag") == "N", "SUBLEDGER")
+             .when(F.col("l_returnflag") == "R", "FACTORS").otherwise("OTHER"))
+    path = F.when(F.col("l_linestatus") == "O",
+                  F.concat_ws("/", F.lit("uploads"), F.col("l_orderkey").cast("string"),
+                              F.concat(F.col("l_partkey").cast("string"), F.lit(".csv"))))
+    return l.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
+                    F.col("l_orderkey").alias("batch_id"), ftype.alias("file_type"),
+                    path.alias("file_path"))
+
+
+def datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    return c.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("long").alias("user_id"),
+                    F.concat(F.col("c_name"), F.lit(".csv")).alias("original_filename"),
+                    F.sha2(F.col("c_name"), 256).alias("file_hash"),
+                    F.date_add(F.lit("2020-01-01").cast("date"), (F.col("c_custkey") % 1000).cast("int"))
+                    .alias("uploaded_at"))
+
+
+def trained_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    return o.join(c, o.o_custkey == c.c_custkey).select(
+        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("dataset_id"),
+        F.col("c_nationkey").cast("long").alias("user_id"),
+        F.concat(F.lit("m_"), F.col("o_orderkey").cast("string")).alias("model_name"),
+        F.to_date("o_orderdate").alias("trained_at"), F.col("o_orderstatus").alias("status"))
