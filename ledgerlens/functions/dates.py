@@ -14,15 +14,42 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Text shapes and the patterns (in ledger order) that can parse each shape.
+# Only the patterns a value can match are tried, so a failed parse (an
+# exception inside the parser) is the exception, not the rule.
+_SHAPES = [
+    (r"^\d{4}-\d{1,2}-\d{1,2}( \d{1,2}:\d{2}:\d{2})?$", ["yyyy-MM-dd[ HH:mm:ss]"]),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", ["M/d/yyyy", "d/M/yyyy"]),
+    (r"^[A-Za-z]{3}-\d{2}$", ["MMM-yy", "MMMM-yy"]),
+    (r"^[A-Za-z]{3}-\d{4}$", ["MMM-yyyy"]),
+    (r"^[A-Za-z]+ \d{4}$", ["MMM yyyy", "MMMM yyyy"]),
+    (r"^[A-Za-z]+-\d{2}$", ["MMMM-yy"]),
+    (r"^\d{2}-\d{4}$", ["MM-yyyy"]),
+    (r"^\d{2}/\d{4}$", ["MM/yyyy"]),
+    (r"^\d{4}-\d{2}$", ["yyyy-MM"]),
+    (r"^\d{1,2}-\d{1,2}-\d{4}$", ["dd-MM-yyyy"]),
+]
+
+
+def _try(s: Column, patterns: list[str]) -> Column:
+    tries = [F.try_to_timestamp(s, F.lit(p)) for p in patterns]
+    return tries[0] if len(tries) == 1 else F.coalesce(*tries)
+
+
 def parse_ledger_date(c) -> Column:
     """Text (or date/timestamp) -> DATE, trying the ledger formats in order.
 
     Month-first before day-first, so ``01/02/2020`` is 2 January and
     ``13/02/2020`` (no 13th month) falls through to 13 February.  Blanks and
-    garbage give NULL; nothing raises under ANSI mode."""
+    garbage give NULL; nothing raises under ANSI mode.  The value's shape
+    picks the candidate patterns; other shapes try the full list."""
     s = F.trim(_col(c).cast("string"))
-    tries = [F.try_to_timestamp(s, F.lit(p)) for p in LEDGER_DATE_PATTERNS]
-    return F.to_date(F.coalesce(*tries))
+    out = None
+    for rx, pats in _SHAPES:
+        out = (F.when(s.rlike(rx), _try(s, pats)) if out is None
+               else out.when(s.rlike(rx), _try(s, pats)))
+    out = out.when(s.isNull() | (s == ""), F.lit(None)).otherwise(_try(s, LEDGER_DATE_PATTERNS))
+    return F.to_date(out)
 
 
 def parse_factor_date(c) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators.joins import bounded_broadcast
 
-ACCURACY = 100_000
+ACCURACY = 20_000
 MARGIN = 3.0 / ACCURACY
 
 

@@ -77,9 +77,46 @@ class LinearModel:
             out += [F.when(key == F.lit(lv), 1.0).otherwise(0.0) for lv in self.levels[c]]
         return out
 
+    def prepare(self, df: DataFrame) -> DataFrame:
+        """Imputed numerics (``_x_*``) and imputed category keys (``_k_*``)
+        as columns computed once, shared by every target's prediction (keeps
+        the generated code per stage small and the work per row minimal)."""
+        cols = df.columns
+        new = {}
+        for f in self.numeric:
+            x = F.col(f).cast("double") if f in cols else F.lit(None).cast("double")
+            new[f"_x_{f}"] = F.coalesce(F.when(F.isnan(x), None).otherwise(x), F.lit(self.medians[f]))
+        for c in self.categorical:
+            new[f"_k_{c}"] = self.category_expr(cols, c)
+        return df.withColumns(new) if new else df
+
+    def helper_columns(self) -> list[str]:
+        return [f"_x_{f}" for f in self.numeric] + [f"_k_{c}" for c in self.categorical]
+
+    def prepared_prediction(self, algo: str, target: str) -> Column:
+        """Prediction over a ``prepare``-d frame: constant + sum of weight x
+        imputed numeric + one literal-map lookup per categorical."""
+        b0, w = self.coefs[(algo, target)]
+        k = 0
+        const = b0
+        terms = []
+        for f in self.numeric:
+            c = w[k] / self.scales[f]
+            const -= c * self.means[f]
+            terms.append(F.col(f"_x_{f}") * F.lit(c))
+            k += 1
+        for cat in self.categorical:
+            lv = self.levels[cat]
+            m = F.create_map(*[v for i, l in enumerate(lv) for v in (F.lit(l), F.lit(w[k + i]))])
+            terms.append(F.coalesce(F.try_element_at(m, F.col(f"_k_{cat}")), F.lit(0.0)))
+            k += len(lv)
+        expr = F.lit(const)
+        for term in terms:
+            expr = expr + term
+        return expr
+
     def prediction(self, df_cols: list[str], algo: str, target: str) -> Column:
-        """intercept + sum(coef * standardised numeric) + one-hot lookups;
-        numeric terms are folded to ``w * imputed_x`` + constant."""
+        """Self-contained prediction expression (no ``prepare`` needed)."""
         b0, w = self.coefs[(algo, target)]
         k = 0
         const = b0
@@ -351,13 +388,13 @@ def train_model(data: DataFrame, name: str = "model", targets: list[str] | None
 def evaluate(m: LinearModel, test: DataFrame) -> DataFrame:
     """MAE, RMSE, R2 (6 dp), MAPE (over non-zero actuals, D6) per target
     and model, in one aggregate over the test rows."""
-    cols = test.columns
+    test = m.prepare(test)
     aggs = []
     keys = []
     for y in m.targets:
         yv = F.col(y).cast("double")
         for algo in ("baseline", "ridge"):
-            e = yv - m.prediction(cols, algo, y)
+            e = yv - m.prepared_prediction(algo, y)
             k = f"{y}__{algo}"
             keys.append((y, algo, k))
             aggs += [F.avg(F.abs(e)).alias(f"{k}_mae"),

@@ -28,13 +28,12 @@ def score(model: LinearModel, df: DataFrame, date_col: str = "order_date",
     with the model name used; targets the model lacks give NULL.  Rows
     without a date are dropped (D17).  P14: predicted gross profit =
     predicted revenue - predicted COGS with NULL as 0."""
-    df = with_date_features(df.where(F.col(date_col).isNotNull()), date_col)
-    cols = df.columns
+    df = model.prepare(with_date_features(df.where(F.col(date_col).isNotNull()), date_col))
     out = {}
     for t in TARGETS:
         if t in model.targets:
             algo = model.best.get(t, "ridge")
-            pred = model.prediction(cols, algo, t)
+            pred = model.prepared_prediction(algo, t)
             out[PRED_COL[t]] = pred if digits is None else F.round(pred, digits)
             out[MODEL_USED_COL[t]] = F.lit(algo)
         else:
@@ -44,7 +43,7 @@ def score(model: LinearModel, df: DataFrame, date_col: str = "order_date",
     gp = (F.coalesce(F.col(PRED_COL["total_revenue"]), F.lit(0.0))
           - F.coalesce(F.col(PRED_COL["cogs"]), F.lit(0.0)))
     gp = gp if digits is None else F.round(gp, digits)
-    scored = scored.withColumn("predicted_gross_profit", gp)
+    scored = scored.withColumn("predicted_gross_profit", gp).drop(*model.helper_columns())
     if keep is not None:
         scored = scored.select(*keep, *PRED_COL.values(), "predicted_gross_profit",
                                *MODEL_USED_COL.values())

@@ -149,7 +149,7 @@ def forecast_map_batch(model: LinearModel, ledger: DataFrame, factors: DataFrame
     """Q5: ledger -> factors (J1) -> scores; returns (daily detail, region
     summary).  Rows with an unparseable date are dropped (D17)."""
     j = joins.attach_factors(ledger, factors) if factors is not None else ledger
-    s = score.score(model, j).persist()
+    s = score.score(model, j, keep=["order_date", "region"])
     detail = (s.groupBy("order_date")
               .agg(*[F.round(F.sum(c), 4).alias(c) for c in PRED_COL.values()],
                    F.count(F.lit(1)).alias("row_count")))
