@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,8 +92,11 @@ def forecast_batch(model: LinearModel, ledger: DataFrame, factors: DataFrame | N
     ``forecast_end`` lies past the ledger, every segment x future month;
     union with ``row_type``; totals (A7).  Returns (rows, summary)."""
     last = ledger.agg(F.max("order_date")).first()[0]          # A16, unfiltered
-    hist = filter_history(ledger, region, geo, country, history_start, history_end)
-    hist = score.actuals(hist)
+    # the filtered history feeds the scored rows and the segment medians:
+    # computed once (recomputed from lineage if an executor is lost)
+    base = filter_history(ledger, region, geo, country, history_start, history_end) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    hist = score.actuals(base)
     if factors is not None:
         hist = joins.attach_factors(hist, factors)
     hist, _ = correlate.apply_overrides(hist, overrides)       # D12
@@ -105,7 +109,7 @@ def forecast_batch(model: LinearModel, ledger: DataFrame, factors: DataFrame | N
     if forecast_end is not None and last is not None:
         start = forecast.future_start(last, forecast_start)
         if forecast.month_start(forecast_end) >= start:
-            fut = forecast.future_rows(hist, factors, start, forecast_end)
+            fut = forecast.future_rows(base, factors, start, forecast_end)
             fut, _ = correlate.apply_overrides(fut, overrides)
             f = score.score(model, fut, digits=digits).select(
                 "order_date", *[F.col(c) if c in fut.columns else F.lit(None).cast("string").alias(c)
