@@ -16,6 +16,7 @@ for a hot segment (or a global median) at scale.  Here:
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,8 +32,10 @@ def exact_medians(df: DataFrame, keys: list[str], cols: list[str],
     median of each column in ``cols`` (NULLs and NaNs ignored; NULL when a
     group has no value).  ``keys=[]`` gives global medians in one row."""
     g = "_g"
+    # the narrow key + value projection is read by both passes: keep it
+    # (memory and disk) instead of recomputing the source twice
     base = df.select(*[F.col(k) for k in keys],
-                     *[F.col(c).cast("double").alias(c) for c in cols])
+                     *[F.col(c).cast("double").alias(c) for c in cols]).persist(StorageLevel.MEMORY_AND_DISK)
     long = base.unpivot(keys, cols, "_measure", "_v")
     long = long.withColumn("_v", F.when(F.isnan("_v"), None).otherwise(F.col("_v")))
     gk = keys + ["_measure"]
