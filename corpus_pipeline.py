@@ -11,10 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import line_dedup, simhash
+from ledgerlens.llm import line_dedup, mixing, quality, simhash
 from ledgerlens.llm.common import materialise, table
 
 
+def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality.drop_low_quality(docs)
+
+
 def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in many documents go; n_chars follows the new text."""
     made = line_dedup.drop_common_lines(docs)
@@ -28,9 +33,16 @@ def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return simhash.drop_near_duplicates(docs)
 
 
+def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's weight asks, with their place in the mix."""
+    return mixing.mix(docs)
+
+
 STAGES = [
+    ("quality_rules", stage_quality),
     ("line_dedup", stage_line_dedup),
     ("simhash_near_dedup", stage_simhash),
+    ("source_mixing", stage_mixing),
 ]
 
 #: The fingerprints' XXH64 and the search for links have no SQL form.

@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import line_dedup, simhash
+from ledgerlens.llm import line_dedup, mixing, quality, simhash
 from ledgerlens.llm.common import table
 
 
+def op6_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_digest(table(spark, sf_dir, "documents"))
 
@@ -19,7 +27,12 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op9_line_dedup, op10_simhash_near_dedup)
+    f.__name__: f for f in (
+        op6_temperature_mixing, op8_quality_rules, op9_line_dedup, op10_simhash_near_dedup)
 }
 
-ORACLE: dict[str, str] = {"op9_line_dedup": line_dedup.ORACLE}
+ORACLE: dict[str, str] = {
+    "op6_temperature_mixing": mixing.ORACLE,
+    "op8_quality_rules": quality.ORACLE,
+    "op9_line_dedup": line_dedup.ORACLE,
+}
