@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import line_dedup, mixing, quality, simhash
+from ledgerlens.llm import decontaminate, line_dedup, mixing, quality, simhash
 from ledgerlens.llm.common import materialise, table
 
 
@@ -33,6 +33,11 @@ def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return simhash.drop_near_duplicates(docs)
 
 
+def stage_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the benchmark contaminates go."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's weight asks, with their place in the mix."""
     return mixing.mix(docs)
@@ -42,6 +47,7 @@ STAGES = [
     ("quality_rules", stage_quality),
     ("line_dedup", stage_line_dedup),
     ("simhash_near_dedup", stage_simhash),
+    ("benchmark_decontamination", stage_decontamination),
     ("source_mixing", stage_mixing),
 ]
 
