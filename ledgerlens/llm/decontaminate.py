@@ -207,7 +207,11 @@ HITS = [T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayTy
 
 
 def _annotate(batch: pa.RecordBatch, phrases: Phrases, text: str, keep: list[str], again: bool) -> pa.RecordBatch:
-    texts = batch.column(text).cast(pa.binary()).to_pylist()
+    name, *inner = text.split(".")
+    column = batch.column(name)
+    for x in inner:
+        column = column.field(x)
+    texts = column.cast(pa.binary()).to_pylist()
     n = len(texts)
     sizes = np.cumsum([len(t) if t else 0 for t in texts])
     cuts = [0]
@@ -287,5 +291,5 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFra
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, unchanged."""
-    row = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    return find_passages(row, benchmark, keep_text=False).filter(~contaminated()).select("_row.*")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    return find_passages(row, benchmark, text="_row.text").filter(~contaminated()).select("_row.*")
