@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import decontaminate, line_dedup, mixing, quality, simhash, token_prefixes
+from ledgerlens.llm import decontaminate, line_dedup, mixing, quality, simhash, token_prefixes, url_lm
 from ledgerlens.llm.common import table
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_lm.url_report(table(spark, sf_dir, "pages"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -37,11 +41,12 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op4_decontamination, op6_temperature_mixing, op7_token_counts, op8_quality_rules, op9_line_dedup,
+        op3_url_filter, op4_decontamination, op6_temperature_mixing, op7_token_counts, op8_quality_rules, op9_line_dedup,
         op10_simhash_near_dedup)
 }
 
 ORACLE: dict[str, str] = {
+    "op3_url_filter": url_lm.ORACLE,
     "op6_temperature_mixing": mixing.ORACLE,
     "op8_quality_rules": quality.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
