@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import decontaminate, line_dedup, mixing, quality, simhash, token_prefixes, url_lm
+from ledgerlens.llm import decontaminate, line_dedup, mixing, quality, simhash, token_prefixes, toxicity, url_lm
 from ledgerlens.llm.common import table
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_lm.url_report(table(spark, sf_dir, "pages"))
 
@@ -41,8 +45,8 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op3_url_filter, op4_decontamination, op6_temperature_mixing, op7_token_counts, op8_quality_rules, op9_line_dedup,
-        op10_simhash_near_dedup)
+        op2_toxicity, op3_url_filter, op4_decontamination, op6_temperature_mixing, op7_token_counts, op8_quality_rules,
+        op9_line_dedup, op10_simhash_near_dedup)
 }
 
 ORACLE: dict[str, str] = {
