@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import decontaminate, line_dedup, mixing, quality, simhash, token_prefixes, toxicity, url_lm
+from ledgerlens.llm import decontaminate, line_dedup, mixing, quality, simhash, token_prefixes, toxicity, url_lm, wrappers
 from ledgerlens.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extraction_report(table(spark, sf_dir, "pages"))
+
+
 def op6_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,8 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_toxicity, op3_url_filter, op4_decontamination, op6_temperature_mixing, op7_token_counts, op8_quality_rules,
+        op2_toxicity, op3_url_filter, op4_decontamination, op5_html_extraction, op6_temperature_mixing,
+        op7_token_counts, op8_quality_rules,
         op9_line_dedup, op10_simhash_near_dedup)
 }
 
