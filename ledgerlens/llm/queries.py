@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import decontaminate, line_dedup, mixing, quality, simhash, token_prefixes, toxicity, url_lm, wrappers
+from ledgerlens.llm import decontaminate, line_dedup, mixing, quality, simhash, substring_dedup, token_prefixes, toxicity, url_lm, wrappers
 from ledgerlens.llm.common import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.find_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,7 +53,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_toxicity, op3_url_filter, op4_decontamination, op5_html_extraction, op6_temperature_mixing,
+        op1_substring_dedup, op2_toxicity, op3_url_filter, op4_decontamination, op5_html_extraction, op6_temperature_mixing,
         op7_token_counts, op8_quality_rules,
         op9_line_dedup, op10_simhash_near_dedup)
 }

@@ -217,16 +217,30 @@ def _key(item) -> str:
     return "s" if item[0] == "s" else item[1]
 
 
+def _inline_text(node: Node) -> str:
+    return "".join(k if isinstance(k, str) else " " if k.tag == "br" else _inline_text(k) for k in node.kids)
+
+
 def form_of(node: Node) -> list:
-    """The page's form: inner elements first, then folded neighbours."""
-    out = []
+    """The page's form: inner elements first, then folded neighbours.  Text and
+    the inline elements in it are one slot."""
+    out, run = [], []
+
+    def close() -> None:
+        text = " ".join("".join(run).split())
+        run.clear()
+        if text:
+            out.append(["s", text])
+
     for kid in node.kids:
         if isinstance(kid, str):
-            text = " ".join(kid.split())
-            if text:
-                out.append(["s", text])
-        elif kid.tag not in INLINE and kid.tag not in ("script", "style"):
+            run.append(kid)
+        elif kid.tag in INLINE:
+            run.append(" " if kid.tag == "br" else _inline_text(kid))
+        elif kid.tag not in ("script", "style"):
+            close()
             out.append(["e", f"{kid.tag} {kid.sign}".strip(), False, False, form_of(kid)])
+    close()
     return fold(out)
 
 
