@@ -48,7 +48,7 @@ _CAPITALS = bytes(range(0x41, 0x5B))
 _LETTERS = bytes(range(0x41, 0x5B)) + bytes(range(0x61, 0x7B))
 _MARKS = b"!?"
 _POINTS = b"!?.,;:-*#_~"
-_MIXED = re.compile(r"\b[^\W\d_]+[013457@$!*._-]+[^\W\d_][^\s]*")
+_MIXED = re.compile(r"\b[^\W\d_]+(?:[013457@$!*._-]+[^\W\d_]+)+")
 FEATURES = ("hits", "log_hits", "starts", "log_starts", "weak", "near_you", "you", "capitals", "shouts", "marks",
             "points", "mixed", "disguised", "log_words")
 

@@ -129,8 +129,9 @@ def judge_urls(pages: DataFrame, rules=RULES, url: str = "url") -> DataFrame:
 
 
 def calibrate(scored: DataFrame) -> int:
-    """The threshold of the best balanced accuracy over (verdict, n, score), in
-    thousandths of a log unit; nearest to 0 of equally good ones."""
+    """The threshold of the best balanced accuracy over (verdict, n, score):
+    half-way between neighbouring thousandths of a log unit that hold scores;
+    nearest to 0 of equally good ones."""
     step = _UNIT // 1000
     bins = (scored.groupBy((F.floor(F.col("score") / step) * step).cast("long").alias("t"))
             .agg(F.sum(F.when(F.col("verdict") == "allow", F.col("n")).otherwise(0)).alias("a"),
@@ -140,7 +141,8 @@ def calibrate(scored: DataFrame) -> int:
     whole = Window.partitionBy(F.lit(1))
     gain = (F.coalesce(F.sum("b").over(below), F.lit(0)) * F.greatest(F.sum("a").over(whole), F.lit(1))
             - F.coalesce(F.sum("a").over(below), F.lit(0)) * F.greatest(F.sum("b").over(whole), F.lit(1)))
-    best = bins.select("t", gain.alias("gain")).orderBy(F.desc("gain"), F.abs("t"), "t").first()
+    middle = F.floor((F.col("t") + F.coalesce(F.lag("t").over(Window.partitionBy(F.lit(1)).orderBy("t")), F.col("t"))) / 2).cast("long")
+    best = bins.select(middle.alias("t"), gain.alias("gain")).orderBy(F.desc("gain"), F.abs("t"), "t").first()
     return int(best.t) if best else 0
 
 
@@ -184,7 +186,7 @@ z AS MATERIALIZED (SELECT s, v, any_value(n) AS n, floor(sum(lr) / count(*))::BI
    WHERE v IS NULL OR held GROUP BY s, v),
 b AS (SELECT floor(score / 1000)::BIGINT * 1000 AS t, coalesce(sum(n) FILTER (WHERE v = 'allow'), 0) AS a,
    coalesce(sum(n) FILTER (WHERE v = 'block'), 0) AS b FROM z WHERE v IS NOT NULL GROUP BY 1),
-th AS (SELECT coalesce((SELECT t FROM (SELECT t, coalesce(sum(b) OVER w, 0) * greatest(sum(a) OVER (), 1)
+th AS (SELECT coalesce((SELECT t FROM (SELECT (t + coalesce(lag(t) OVER (ORDER BY t), t)) // 2 AS t, coalesce(sum(b) OVER w, 0) * greatest(sum(a) OVER (), 1)
    - coalesce(sum(a) OVER w, 0) * greatest(sum(b) OVER (), 1) AS gain
    FROM b WINDOW w AS (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) ORDER BY gain DESC, abs(t), t LIMIT 1), 0) AS t)
 SELECT page_id, host, path, rule, coalesce(p.v, CASE WHEN score >= (SELECT t FROM th) THEN 'allow' ELSE 'block' END) AS verdict
