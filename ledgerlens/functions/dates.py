@@ -7,57 +7,73 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerlens.schema import LEDGER_DATE_PATTERNS
-
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-# Text shapes and the patterns (in ledger order) that can parse each shape.
-# Only the patterns a value can match are tried, so a failed parse (an
-# exception inside the parser) is the exception, not the rule.
-_SHAPES = [
-    (r"^\d{4}-\d{1,2}-\d{1,2}( \d{1,2}:\d{2}:\d{2})?$", ["yyyy-MM-dd[ HH:mm:ss]"]),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", ["M/d/yyyy", "d/M/yyyy"]),
-    (r"^[A-Za-z]{3}-\d{2}$", ["MMM-yy", "MMMM-yy"]),
-    (r"^[A-Za-z]{3}-\d{4}$", ["MMM-yyyy"]),
-    (r"^[A-Za-z]+ \d{4}$", ["MMM yyyy", "MMMM yyyy"]),
-    (r"^[A-Za-z]+-\d{2}$", ["MMMM-yy"]),
-    (r"^\d{2}-\d{4}$", ["MM-yyyy"]),
-    (r"^\d{2}/\d{4}$", ["MM/yyyy"]),
-    (r"^\d{4}-\d{2}$", ["yyyy-MM"]),
-    (r"^\d{1,2}-\d{1,2}-\d{4}$", ["dd-MM-yyyy"]),
-]
+_MONTHS = ("jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|"
+           "sep(?:t|tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?")
+_TIME = r"(?:[t ]+\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d+)?)? ?(?:[ap]m)?(?: ?(?:z|utc|[+-]\d{2}:?\d{2}))?)?"
+_NTH = r"(?:st|nd|rd|th)?"
+# two-digit years above this one belong to the last century (within fifty years of 2025)
+_PIVOT = 75
 
 
-def _try(s: Column, patterns: list[str]) -> Column:
-    tries = [F.try_to_timestamp(s, F.lit(p)) for p in patterns]
-    return tries[0] if len(tries) == 1 else F.coalesce(*tries)
+def _month_number(name: Column) -> Column:
+    return F.ceil(F.position(F.substring(name, 1, 3), F.lit("janfebmaraprmayjunjulaugsepoctnovdec")) / 3).cast("string")
 
 
-def parse_ledger_date(c) -> Column:
-    """Text (or date/timestamp) -> DATE, trying the ledger formats in order.
+def _year(text: Column) -> Column:
+    short = F.length(text) == 2
+    return F.when(short & (text.cast("int") > _PIVOT), F.concat(F.lit("19"), text)).when(short, F.concat(F.lit("20"), text)).otherwise(text)
+
 
-    Month-first before day-first, so ``01/02/2020`` is 2 January and
-    ``13/02/2020`` (no 13th month) falls through to 13 February.  Blanks and
-    garbage give NULL; nothing raises under ANSI mode.  The value's shape
-    picks the candidate patterns; other shapes try the full list."""
-    s = F.trim(_col(c).cast("string"))
+def _date(y: Column, m: Column, d: Column) -> Column:
+    """Year, month and day as texts of digits -> DATE; impossible ones NULL.
+    The cast checks ranges itself and throws nothing."""
+    return F.concat_ws("-", y, m, d).try_cast("date")
+
+
+def parse_ledger_date(c) -> Column:
+    """Text (or date/timestamp) -> DATE.
+
+    Month first for slashes, dashes and dots (``01/02/2020`` and
+    ``05-03-2021`` are 2 January and 3 May) unless there is no such month
+    (``13/02/2020``); ISO with or without a time; compact ``yyyyMMdd``; year
+    first; months by name before or after the day; month and year alone are
+    the first of the month.  Anything else gives NULL; nothing raises."""
+    s = F.lower(F.trim(_col(c).cast("string")))
+    one = F.lit("1")
+
+    def shape(rx: str, build) -> tuple[Column, Column]:
+        groups = [F.regexp_extract(s, rx, k) for k in range(1, 5) if k <= rx.replace(r"\(", "").count("(") - rx.count("(?:")]
+        return s.rlike(rx), build(*groups)
+
+    shapes = [
+        shape(rf"^(\d{{4}})[-/.](\d{{1,2}})[-/.](\d{{1,2}}){_TIME}$", _date),
+        shape(rf"^(\d{{1,2}})[-/.](\d{{1,2}})[-/.](\d{{4}}|\d{{2}}){_TIME}$", lambda a, b, y: F.when(
+            a.cast("int") <= 12, _date(_year(y), a, b)).otherwise(_date(_year(y), b, a))),
+        shape(rf"^(\d{{4}})(\d{{2}})(\d{{2}}){_TIME}$", _date),
+        shape(r"^(\d{4})[-/](\d{1,2})$", lambda y, m: _date(y, m, one)),
+        shape(r"^(\d{1,2})[-/](\d{4})$", lambda m, y: _date(y, m, one)),
+        shape(rf"^({_MONTHS})[-./ ]*(\d{{4}})$", lambda m, y: _date(y, _month_number(m), one)),
+        shape(rf"^({_MONTHS})-(\d{{2}})$", lambda m, y: _date(_year(y), _month_number(m), one)),
+        shape(rf"^({_MONTHS})[-. ]+(\d{{1,2}}){_NTH}[-, ]+(\d{{4}}){_TIME}$", lambda m, d, y: _date(y, _month_number(m), d)),
+        shape(rf"^(\d{{1,2}}){_NTH}[-. ]*({_MONTHS})[-., ]*(\d{{4}}|\d{{2}}){_TIME}$", lambda d, m, y: _date(_year(y), _month_number(m), d)),
+    ]
     out = None
-    for rx, pats in _SHAPES:
-        out = (F.when(s.rlike(rx), _try(s, pats)) if out is None
-               else out.when(s.rlike(rx), _try(s, pats)))
-    out = out.when(s.isNull() | (s == ""), F.lit(None)).otherwise(_try(s, LEDGER_DATE_PATTERNS))
-    return F.to_date(out)
+    for fits, value in shapes:
+        out = F.when(fits, value) if out is None else out.when(fits, value)
+    return out
 
 
 def parse_factor_date(c) -> Column:
     """P4 then P3: ``Mon-YY`` (``Jan-20`` -> 2020-01-01) is tested before the
     generic formats, which would otherwise misread it."""
-    s = F.trim(_col(c).cast("string"))
-    mon_yy = F.to_date(F.try_to_timestamp(s, F.lit("MMM-yy")))
-    return F.when(s.rlike(r"^[A-Za-z]{3}-\d{2}$"), mon_yy).otherwise(parse_ledger_date(s))
+    s = F.lower(F.trim(_col(c).cast("string")))
+    mon_yy = _date(F.concat(F.lit("20"), F.substring(s, 5, 2)), _month_number(s), F.lit("1"))
+    return F.when(s.rlike(rf"^(?:{_MONTHS})-\d{{2}}$") & (F.length(s) == 6), mon_yy).otherwise(parse_ledger_date(s))
 
 
 def date_from_year_mo(year, mo) -> Column:

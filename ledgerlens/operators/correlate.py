@@ -25,7 +25,7 @@ _PART_SCHEMA = ("i int, j int, n double, s_i double, s_j double, a_i double, a_j
                 "q_i double, q_j double, p double, mn_i double, mx_i double, mn_j double, mx_j double")
 
 
-def _moment_fn(d: int, pairs: list[tuple[int, int]], chunk: int = 2048):
+def _moment_fn(d: int, pairs: list[tuple[int, int]]):
     pi = np.array([p[0] for p in pairs], dtype=np.int64)
     pj = np.array([p[1] for p in pairs], dtype=np.int64)
 
@@ -50,12 +50,14 @@ def _moment_fn(d: int, pairs: list[tuple[int, int]], chunk: int = 2048):
             a += c.T @ mf
             q += (c * c).T @ mf
             p += c.T @ c
-            for s in range(0, x.shape[0], chunk):
-                xs, ms = x[s:s + chunk], m[s:s + chunk]
-                both = ms[:, :, None] & ms[:, None, :]
-                xi = np.broadcast_to(xs[:, :, None], both.shape)
-                mn = np.minimum(mn, np.where(both, xi, np.inf).min(axis=0))
-                mx = np.maximum(mx, np.where(both, xi, -np.inf).max(axis=0))
+            # columns that miss the same rows share their partners' extremes
+            alike: dict[bytes, list[int]] = {}
+            for k in range(d):
+                alike.setdefault(np.packbits(m[:, k]).tobytes(), []).append(k)
+            for js in alike.values():
+                with_all = m & m[:, js[:1]]
+                mn[:, js] = np.minimum(mn[:, js], np.where(with_all, x, np.inf).min(axis=0)[:, None])
+                mx[:, js] = np.maximum(mx[:, js], np.where(with_all, x, -np.inf).max(axis=0)[:, None])
         if not seen:
             return
         sh = np.nan_to_num(shift)
@@ -65,7 +67,7 @@ def _moment_fn(d: int, pairs: list[tuple[int, int]], chunk: int = 2048):
             "q_i": q[pi, pj], "q_j": q[pj, pi], "p": p[pi, pj],
             "mn_i": mn[pi, pj], "mx_i": mx[pi, pj], "mn_j": mn[pj, pi], "mx_j": mx[pj, pi],
         })
-        yield out[out["n"] > 0]
+        yield out
 
     return run
 
@@ -73,17 +75,20 @@ def _moment_fn(d: int, pairs: list[tuple[int, int]], chunk: int = 2048):
 def correlation_long(df: DataFrame, cols: list[str], rows: list[str] | None = None,
                      columns: list[str] | None = None) -> DataFrame:
     """Correlations of ``rows`` x ``columns`` (default: all of ``cols``) over
-    ``df``; every pair uses only the rows where both values are present."""
+    ``df``; every pair uses only the rows where both values are present.
+    Columns without any value (P20) are left out: their emptiness is seen in
+    the same pass, as the count of a column with itself."""
     rows = rows or cols
     columns = columns or cols
     idx = {c: k for k, c in enumerate(cols)}
-    pairs = [(idx[r], idx[c]) for r in rows for c in columns]
+    asked = list(dict.fromkeys([*rows, *columns]))
+    pairs = list(dict.fromkeys([(idx[r], idx[c]) for r in rows for c in columns] + [(idx[c], idx[c]) for c in asked]))
     x = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
     parts = x.mapInPandas(_moment_fn(len(cols), pairs), _PART_SCHEMA)
 
     # exact merge of per-task moments: pair means first, then re-centred sums
     w = Window.partitionBy("i", "j")
-    tot_n = F.sum("n").over(w)
+    tot_n = F.nullif(F.sum("n").over(w), F.lit(0.0))
     merged = (parts
               .withColumn("m_i", (F.sum(F.col("n") * F.col("s_i")).over(w) + F.sum("a_i").over(w)) / tot_n)
               .withColumn("m_j", (F.sum(F.col("n") * F.col("s_j")).over(w) + F.sum("a_j").over(w)) / tot_n)
@@ -107,22 +112,13 @@ def correlation_long(df: DataFrame, cols: list[str], rows: list[str] | None = No
     found = merged.select(
         F.element_at(names, F.col("i") + 1).alias("row_col"),
         F.element_at(names, F.col("j") + 1).alias("col_col"),
-        F.round(corr, 4).alias("corr"))
-    # pairs with no common row are NaN in pandas, reported as 0.0
-    spark = df.sparkSession
-    allp = spark.createDataFrame([(r, c) for r in rows for c in columns], "row_col string, col_col string")
-    return (allp.join(F.broadcast(found), ["row_col", "col_col"], "left")
-            .select("row_col", "col_col", F.coalesce("corr", F.lit(0.0)).alias("corr")))
-
-
-def non_empty_columns(df: DataFrame, cols: list[str]) -> list[str]:
-    """P20: the columns of ``cols`` that hold at least one non-NULL value
-    (one aggregate for all columns)."""
-    present = [c for c in cols if c in df.columns]
-    if not present:
-        return []
-    row = df.agg(*[F.count(c).alias(c) for c in present]).first()
-    return [c for c in present if row[c] > 0]
+        F.round(corr, 4).alias("corr"), "n")
+    # one row for each pair from here on; the count of a column with itself tells whether it holds anything
+    own = F.when(F.col("row_col") == F.col("col_col"), F.col("n"))
+    seen = (found.withColumn("_r", F.max(own).over(Window.partitionBy("row_col")))
+            .withColumn("_c", F.max(own).over(Window.partitionBy("col_col"))))
+    return (seen.filter((F.col("_r") > 0) & (F.col("_c") > 0) & F.col("row_col").isin(list(rows)) & F.col("col_col").isin(list(columns)))
+            .select("row_col", "col_col", "corr"))
 
 
 def apply_overrides(df: DataFrame, overrides: dict[str, float] | None) -> tuple[DataFrame, list[str]]:

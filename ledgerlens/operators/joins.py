@@ -1,44 +1,31 @@
-"""Joins of the ledger model (J1-J5, J8) and the bounded-broadcast rule.
+"""Joins of the ledger model.
 
-Factor tables hold at most one row per month (``first_row_per_month``
-guarantees it), so they are tiny whatever the ledger size; they are still
-broadcast only behind an explicit row-count check, with a shuffle join
-beyond it.
+Factor tables are reduced to one row per month before they are broadcast, so
+the calendar bounds them whatever the ledger size.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.dates import month_key
 from ledgerlens.schema import FACTORS
 
-# A monthly table of 100,000 rows covers 8,000 years; anything larger is not
-# a factor table and goes through a shuffle join.
-BROADCAST_MAX_ROWS = 100_000
 
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when it has at most ``max_rows`` rows.
-
-    The frame is persisted first so the size check and the join share one
-    computation; beyond the bound it is returned unhinted (sort-merge or
-    AQE's runtime choice)."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def monthly(df: DataFrame) -> DataFrame:
+    """``df`` with one row for each ``month``, for a broadcast: a DATE column
+    has under 120,000 months, so the side stays below 10 MB whatever is read."""
+    return F.broadcast(df.dropDuplicates(["month"]))
 
 
 def factor_columns(df: DataFrame) -> list[str]:
     return [f for f in FACTORS if f in df.columns]
 
 
-def attach_factors(ledger: DataFrame, factors: DataFrame, date_col: str = "order_date",
-                   broadcast_check: bool = True) -> DataFrame:
+def attach_factors(ledger: DataFrame, factors: DataFrame, date_col: str = "order_date") -> DataFrame:
     """Ledger LEFT JOIN monthly factors on the month of ``date_col``.
 
     D1: when the ledger already carries a factor column, its own value wins
@@ -46,10 +33,7 @@ def attach_factors(ledger: DataFrame, factors: DataFrame, date_col: str = "order
     both copies vanishing.  Row count of the ledger is preserved because the
     factor table is unique by month."""
     facs = factor_columns(factors)
-    right = factors.select(F.col("month").alias("_fm"),
-                           *[F.col(f).alias(f"_f_{f}") for f in facs])
-    if broadcast_check:
-        right = bounded_broadcast(right)
+    right = monthly(factors.select("month", *[F.col(f).alias(f"_f_{f}") for f in facs])).withColumnRenamed("month", "_fm")
     left = ledger.withColumn("_lm", month_key(date_col))
     j = left.join(right, left["_lm"] == right["_fm"], "left")
     out = []
@@ -106,9 +90,9 @@ def factors_for_months(rows: DataFrame, factors: DataFrame, month_col: str = "mo
     so the join stays a broadcast equi-join with no cross product."""
     facs = factor_columns(factors)
     last = factors.agg(F.max_by(F.struct(*facs), F.col("month")).alias("_last")).first()["_last"]
-    right = factors.select(F.col("month").alias("_fm"), F.lit(True).alias("_hit"),
-                           *[F.col(f).alias(f"_f_{f}") for f in facs])
-    j = rows.join(bounded_broadcast(right), rows[month_col] == right["_fm"], "left")
+    right = monthly(factors.select("month", F.lit(True).alias("_hit"),
+                                   *[F.col(f).alias(f"_f_{f}") for f in facs])).withColumnRenamed("month", "_fm")
+    j = rows.join(right, rows[month_col] == right["_fm"], "left")
     fallback = {f: (None if last is None else last[f]) for f in facs}
     return j.select(
         *[F.col(c) for c in rows.columns],

@@ -1,75 +1,114 @@
 """Exact medians that stay bounded when one group holds a third of the rows.
 
-``F.median`` keeps every distinct value of a group in one task, which breaks
-for a hot segment (or a global median) at scale.  Here:
-
-1. one partial aggregate per (group, measure) gives the count and an
-   approximate bracket ``lo <= median <= hi`` from ``percentile_approx``
-   (rank error below n/ACCURACY, bracket margin 3x that);
-2. each value is classified below / inside / above the bracket and only the
-   inside values are counted per distinct value (map-side combine), so the
-   hot group ships ``O(n / ACCURACY)`` distinct values, not ``n``;
-3. a running count over the small inside set finds the exact order
-   statistics ``floor((n-1)/2)`` and ``ceil((n-1)/2)``; the median is their
-   mean (same as pandas / DuckDB ``median``).
+Groups of at most ``SMALL`` rows take ``F.median``: its buffer is bounded by
+them.  Larger groups are narrowed: each round counts the values of the open
+range in buckets (plain hash aggregates, combined map-side) and goes on with
+the one or two buckets that hold the middle ranks, until at most ``SMALL``
+values, or a single one, remain; those are ranked.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.joins import bounded_broadcast
+from ledgerlens.shared import materialise
+
+#: Rows of a group (values of an open range) that are ranked in one task.
+SMALL = 65_536
+BUCKETS = 1024
+
+
+def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[f"_k_{k}"]) for k in keys], F.lit(True))
 
-ACCURACY = 20_000
-MARGIN = 3.0 / ACCURACY
 
+def _keyed(df: DataFrame, keys: list[str], *cols) -> DataFrame:
+    return df.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *cols)
 
-def exact_medians(df: DataFrame, keys: list[str], cols: list[str],
-                  stats_broadcast_rows: int = 200_000) -> DataFrame:
+
+def exact_medians(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     """One row per group of ``keys`` (NULL is a group value) with the exact
     median of each column in ``cols`` (NULLs and NaNs ignored; NULL when a
     group has no value).  ``keys=[]`` gives global medians in one row."""
-    g = "_g"
-    # the narrow key + value projection is read by both passes: keep it
-    # (memory and disk) instead of recomputing the source twice
-    base = df.select(*[F.col(k) for k in keys],
-                     *[F.col(c).cast("double").alias(c) for c in cols]).persist(StorageLevel.MEMORY_AND_DISK)
-    long = base.unpivot(keys, cols, "_measure", "_v")
-    long = long.withColumn("_v", F.when(F.isnan("_v"), None).otherwise(F.col("_v")))
-    gk = keys + ["_measure"]
-
-    stats = (long.groupBy(*gk)
-             .agg(F.count("_v").alias("_n"),
-                  F.percentile_approx("_v", F.array(F.lit(0.5 - MARGIN), F.lit(0.5 + MARGIN)),
-                                      ACCURACY).alias("_q"))
-             .select(*[F.col(c).alias(f"{g}{i}") for i, c in enumerate(gk)], "_n",
-                     F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi")))
-    stats = bounded_broadcast(stats, stats_broadcast_rows)
-    cond = None
-    for i, c in enumerate(gk):
-        e = long[c].eqNullSafe(stats[f"{g}{i}"])
-        cond = e if cond is None else cond & e
-    j = long.join(stats, cond, "inner")
-    side = (F.when(F.col("_v").isNull(), 3)
-            .when(F.col("_v") < F.col("_lo"), 0)
-            .when(F.col("_v") > F.col("_hi"), 2).otherwise(1))
-    cv = F.when(side == 1, F.col("_v"))
-    # NULL values stay as one counted row (side 3, ordered last) so that a
-    # group with no value still yields a row with a NULL median
-    counted = (j.groupBy(*gk, "_n", side.alias("_side"), cv.alias("_cv"))
-               .agg(F.count(F.lit(1)).alias("_c")))
-    w = Window.partitionBy(*gk).orderBy("_side", "_cv").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("_end", F.sum("_c").over(w)).withColumn("_start", F.col("_end") - F.col("_c"))
-    k1 = F.floor((F.col("_n") - 1) / 2)
-    k2 = F.ceil((F.col("_n") - 1) / 2)
-    hit1 = (F.col("_start") <= k1) & (k1 < F.col("_end")) & (F.col("_side") == 1)
-    hit2 = (F.col("_start") <= k2) & (k2 < F.col("_end")) & (F.col("_side") == 1)
-    med = (ranked.groupBy(*gk)
-           .agg(((F.max(F.when(hit1, F.col("_cv"))) + F.max(F.when(hit2, F.col("_cv")))) / 2)
-                .alias("_median")))
-    if keys:
-        return (med.groupBy(*keys).pivot("_measure", cols)
-                .agg(F.first("_median")).select(*keys, *cols))
-    return med.groupBy().pivot("_measure", cols).agg(F.first("_median")).select(*cols)
+    values = {c: F.col(c).cast("double") for c in cols}
+    base = df.select(*keys, *[F.when(F.isnan(v), None).otherwise(v).alias(c) for c, v in values.items()])
+    if not keys:
+        return _narrowed(base.withColumn("_all", F.lit(1)), ["_all"], cols).select(*cols)
+    big = materialise(base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > SMALL), "median-groups")
+    if big.isEmpty():
+        return base.groupBy(*keys).agg(*[F.median(c).alias(c) for c in cols])
+    hot = _keyed(big, keys)
+    small = base.join(hot, _same(base, hot, keys), "left_anti").groupBy(*keys).agg(*[F.median(c).alias(c) for c in cols])
+    return small.unionByName(_narrowed(base.join(hot, _same(base, hot, keys), "left_semi"), keys, cols))
+
+
+def _narrowed(base: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    """Medians of the groups of ``base`` by narrowing.  ``state`` holds for
+    each group and column: n values in all, ``below`` the open range [lo, hi]
+    and ``inside`` it."""
+    wide = base.groupBy(*keys).agg(*[F.struct(F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in cols])
+    state = materialise(wide.select(*keys, *[
+        F.struct(F.col(f"{c}.n").alias("n"), F.lit(0).cast("long").alias("below"), F.col(f"{c}.lo").alias("lo"), F.col(f"{c}.hi").alias("hi"),
+                 F.col(f"{c}.n").alias("inside")).alias(c) for c in cols]), "median-state")
+    first = True
+    while True:
+        still = F.greatest(*[F.when(F.col(f"{c}.lo") < F.col(f"{c}.hi"), F.col(f"{c}.inside")).otherwise(0) for c in cols], F.lit(0))
+        if (state.agg(F.max(still)).first()[0] or 0) <= SMALL:
+            break
+        state, first = materialise(_round(_open(base, state, keys, cols, first), state, keys, cols), "median-state"), False
+    left = (_open(base, state, keys, cols, False, only_split=True).groupBy(*keys, "_c").agg(F.sort_array(F.collect_list("_v")).alias("_s")))
+    left = _keyed(left.groupBy(*keys).pivot("_c", cols).agg(F.first("_s")), keys, *[F.col(c).alias(f"_s_{c}") for c in cols])
+    joined = state.join(left, _same(state, left, keys), "left")
+
+    def middle(c: str) -> Column:
+        at = lambda r: F.when(F.col(f"{c}.lo") < F.col(f"{c}.hi"), F.get(f"_s_{c}", (r - F.col(f"{c}.below")).cast("int"))).otherwise(F.col(f"{c}.lo"))
+        low = F.floor((F.col(f"{c}.n") - 1) / 2)
+        value = (at(low) + at(F.ceil((F.col(f"{c}.n") - 1) / 2))) / 2
+        lost = (F.col(f"{c}.n") > 0) & value.isNull()
+        return F.when(lost, F.raise_error(F.lit("a group with values has no median")).cast("double")).otherwise(value).alias(c)
+
+    return joined.select(*keys, *[middle(c) for c in cols])
+
+
+def _open(base: DataFrame, state: DataFrame, keys: list[str], cols: list[str], first: bool, only_split: bool = False) -> DataFrame:
+    """(keys, _c, _v, _b): the values of open ranges with their buckets.  The
+    least value has bucket 0 to itself, so every round narrows; the first
+    round's buckets are logarithmic, for long tails."""
+    s = _keyed(state, keys, *[F.col(c).alias(f"_r_{c}") for c in cols])
+    j = base.join(s, _same(base, s, keys))
+
+    def scale(x: Column) -> Column:
+        return F.signum(x) * F.log1p(F.abs(x)) if first else x
+
+    items = []
+    for c in cols:
+        v, lo, hi = F.col(c), F.col(f"_r_{c}.lo"), F.col(f"_r_{c}.hi")
+        share = (scale(v) - scale(lo)) / F.nullif(scale(hi) - scale(lo), F.lit(0.0))
+        share = F.when(F.isnan(share) | share.isNull(), 0.0).otherwise(share)
+        b = F.when(v == lo, 0).otherwise(1 + F.least(F.lit(BUCKETS - 1), F.floor(share * BUCKETS)).cast("int"))
+        inside = v.between(lo, hi) & ((lo < hi) if only_split else F.lit(True))
+        items.append(F.when(inside, F.struct(F.lit(c).alias("_c"), v.alias("_v"), b.alias("_b"))))
+    return j.select(*keys, F.explode(F.array(*items)).alias("_x")).filter("_x is not null").select(*keys, "_x.*")
+
+
+def _round(opened: DataFrame, state: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    hist = opened.groupBy(*keys, "_c", "_b").agg(F.count(F.lit(1)).alias("m"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    long = state.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.explode(F.array(*[
+        F.struct(F.lit(c).alias("c"), F.col(f"{c}.n").alias("n"), F.col(f"{c}.below").alias("below")) for c in cols])).alias("_x")).select(
+        *[f"_k_{k}" for k in keys], "_x.*")
+    cond = reduce(lambda a, b: a & b, [hist[k].eqNullSafe(long[f"_k_{k}"]) for k in keys], hist["_c"] == long["c"])
+    # a group has at most BUCKETS + 1 rows here
+    w = Window.partitionBy(*keys, "_c").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    h = hist.join(long, cond).withColumn("end", F.sum("m").over(w) + F.col("below")).withColumn("start", F.col("end") - F.col("m"))
+    holds = lambda r: (F.col("start") <= r) & (r < F.col("end"))
+    mid = h.filter(holds(F.floor((F.col("n") - 1) / 2)) | holds(F.ceil((F.col("n") - 1) / 2)))
+    # ranks in two buckets are the last value of one and the first of the next: the median is known
+    between = F.when(F.count(F.lit(1)) == 2, (F.min_by("hi", "start") + F.max_by("lo", "start")) / 2)
+    new = mid.groupBy(*keys, "_c").agg(F.struct(
+        F.max("n").alias("n"), F.min("start").alias("below"), F.coalesce(between, F.min("lo")).alias("lo"),
+        F.coalesce(between, F.max("hi")).alias("hi"), F.sum("m").alias("inside")).alias("s"))
+    got = _keyed(new.groupBy(*keys).pivot("_c", cols).agg(F.first("s")), keys, *[F.col(c).alias(f"_s_{c}") for c in cols])
+    return state.join(got, _same(state, got, keys), "left").select(*keys, *[F.coalesce(F.col(f"_s_{c}"), F.col(c)).alias(c) for c in cols])

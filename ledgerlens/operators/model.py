@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.medians import exact_medians
+from ledgerlens.operators.rollup import modes
 from ledgerlens.schema import COSTS, DATE_FEATURES, DIMS, FACTORS, RIDGE_ALPHAS, TARGETS
 
 MAX_LEVELS = 10_000   # one-hot width guard: more levels is an error, never a cap
@@ -308,8 +309,8 @@ def train_model(data: DataFrame, name: str = "model", targets: list[str] | None
         med = exact_medians(train, [], numeric).first()
         m.medians = {f: (0.0 if med[f] is None else float(med[f])) for f in numeric}
     if categorical:
-        modes = train.agg(*[F.mode(c, True).alias(c) for c in categorical]).first()
-        m.modes = {c: modes[c] for c in categorical}
+        commonest = modes(train.withColumn("_all", F.lit(1)), ["_all"], categorical).first()
+        m.modes = {c: commonest[c] if commonest else None for c in categorical}
     # M3: mean / population std of the imputed numerics
     if numeric:
         imp = {f: F.coalesce(F.when(F.isnan(F.col(f).cast("double")), None)
@@ -433,3 +434,11 @@ def load_model(spark: SparkSession, path: str, name: str) -> LinearModel:
     if not rows:
         raise FileNotFoundError(f"model {name!r} not found")
     return LinearModel.from_rows(rows)
+
+
+def drop_model(spark: SparkSession, path: str, name: str) -> None:
+    """Remove a model's partition of the coefficient table; the other
+    models' partitions aren't touched."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path, f"model_name={name}")
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.dates import calendar_features, month_key
-from ledgerlens.operators.joins import bounded_broadcast, factor_columns
+from ledgerlens.operators.joins import factor_columns, monthly
 from ledgerlens.schema import COSTS, DIMS, TARGETS
 
 
@@ -25,20 +25,42 @@ def daily_rollup(ledger: DataFrame, factors: DataFrame | None = None,
     key.  With ``factors`` the monthly factors are attached and gaps filled
     forward then backward in date order.  Rows without a date are left out.
 
-    One hash aggregate with partial (map-side) aggregation; a date holding a
-    third of the rows is combined in every task before the shuffle."""
+    Sums and value counts are hash aggregates with a map-side combine, so a
+    date holding a third of the rows is combined in every task first."""
     sums = [c for c in COSTS + TARGETS if c in ledger.columns]
     dims = [c for c in DIMS if c in ledger.columns]
-    daily = (ledger.where(F.col(date_col).isNotNull())
-             .groupBy(F.col(date_col).alias("order_date"))
-             .agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in sums],
-                  *[F.mode(c, True).alias(c) for c in dims]))
+    dated = ledger.where(F.col(date_col).isNotNull()).withColumn("order_date", F.col(date_col))
+    daily = dated.groupBy("order_date").agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in sums])
+    if dims:
+        m = modes(dated, ["order_date"], dims).withColumnRenamed("order_date", "_d")
+        daily = daily.join(m, F.col("order_date") == F.col("_d"), "left").drop("_d")
     daily = daily.withColumns(calendar_features("order_date"))
     if factors is not None and factor_columns(factors):
         daily = attach_filled_factors(daily, factors)
     return daily
 
 
+def modes(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    """A2 / M2: one row per group of ``keys`` with the commonest non-NULL value
+    of each column (ties -> smallest; NULL without one).  Counts per (group,
+    value) come first, so no buffer holds a group's values."""
+    item = F.explode(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("string").alias("_v")) for c in cols]))
+    counts = df.select(*keys, item.alias("_x")).groupBy(*keys, "_x._c", "_x._v").agg(F.count(F.lit(1)).alias("_n"))
+    best = lambda c: F.min_by(F.when(F.col("_c") == c, F.col("_v")), F.when(
+        (F.col("_c") == c) & F.col("_v").isNotNull(), F.struct(-F.col("_n"), F.col("_v"))))
+    return counts.groupBy(*keys).agg(*[best(c).alias(c) for c in cols])
+
+
+def segment_rollup(ledger: DataFrame, factors: DataFrame | None = None, date_col: str = "order_date") -> DataFrame:
+    """One row per order date and segment (the five dimensions as they
+    are, NULL a value), with the date features and filled factors."""
+    sums = [c for c in COSTS + TARGETS if c in ledger.columns]
+    dims = [c for c in DIMS if c in ledger.columns]
+    out = (ledger.where(F.col(date_col).isNotNull()).groupBy(F.col(date_col).alias("order_date"), *dims)
+           .agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in sums]).withColumns(calendar_features("order_date")))
+    return attach_filled_factors(out, factors) if factors is not None and factor_columns(factors) else out
+
+
 def fill_factor_months(months: DataFrame, factors: DataFrame) -> DataFrame:
     """W1 + W2 on the month grain: months LEFT JOIN factors, then forward
     fill, then backward fill of leading gaps.  ``months`` holds distinct
@@ -59,8 +81,8 @@ def attach_filled_factors(daily: DataFrame, factors: DataFrame,
     months = daily.select(month_key(date_col).alias("month")).distinct()
     filled = fill_factor_months(months, factors)
     facs = factor_columns(factors)
-    filled = filled.select(F.col("month").alias("_fm"), *[F.col(f).alias(f"_f_{f}") for f in facs])
-    j = daily.join(bounded_broadcast(filled), month_key(date_col) == F.col("_fm"), "left")
+    filled = monthly(filled.select("month", *[F.col(f).alias(f"_f_{f}") for f in facs])).withColumnRenamed("month", "_fm")
+    j = daily.join(filled, month_key(date_col) == F.col("_fm"), "left")
     keep = [c for c in daily.columns if c not in facs]
     return j.select(*keep, *[F.col(f"_f_{f}").alias(f) for f in facs])
 
@@ -76,10 +98,3 @@ def first_row_per_month(df: DataFrame, order_cols: list[str], date_col: str = "m
             .groupBy(date_col)
             .agg(F.min_by(F.struct(*[F.col(c) for c in value_cols]), key).alias("_r"))
             .select(date_col, *[F.col(f"_r.{c}").alias(c) for c in value_cols]))
-
-
-def latest_row_key(df: DataFrame, order_cols: list[str]):
-    """The ordering key of the latest row (largest ``order_cols``), as a
-    single bounded aggregate read by the caller."""
-    key = F.struct(*[F.col(c) for c in order_cols])
-    return df.agg(F.max(key).alias("_k")).first()["_k"]

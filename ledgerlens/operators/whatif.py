@@ -4,24 +4,19 @@ latest row (W3 + U4)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.medians import exact_medians
-from ledgerlens.operators.rollup import latest_row_key
 
 
 def append_row(df: DataFrame, cols: list[str], values: dict[str, float],
                extra: dict | None = None) -> DataFrame:
     """``df[cols]`` plus one row: the given value where supplied, else
-    the exact column median (A4).  ``extra`` adds literal columns to the new
+    the exact column median (A4); a column without values stays without.  ``extra`` adds literal columns to the new
     row (e.g. its month); they are NULL-typed elsewhere."""
-    need = [c for c in cols if values.get(c) is None]
-    if need:
-        med = exact_medians(df, [], need)
-    else:
-        med = df.sparkSession.range(1).select()
-    row = med.select(*[(F.lit(float(values[c])) if values.get(c) is not None else F.col(c))
+    med = exact_medians(df, [], cols)
+    row = med.select(*[(F.when(F.col(c).isNotNull(), F.lit(float(values[c]))) if values.get(c) is not None else F.col(c))
                        .cast("double").alias(c) for c in cols],
                      *[F.lit(v).alias(k) for k, v in (extra or {}).items()])
     return df.select(*cols, *[F.col(k) for k in (extra or {}) if k in df.columns]).unionByName(
@@ -29,14 +24,19 @@ def append_row(df: DataFrame, cols: list[str], values: dict[str, float],
 
 
 def replace_latest(df: DataFrame, order_cols: list[str], values: dict[str, float]) -> DataFrame:
-    """W3 + U4: overwrite ``values`` in the latest row by ``order_cols``
-    (D4: a total order, so the choice is deterministic).  The key is one
-    small aggregate; the rewrite is a projection, no shuffle."""
-    k = latest_row_key(df, order_cols)
-    cond = None
-    for c in order_cols:
-        v = k[c]
-        e = F.col(c).eqNullSafe(F.lit(v))
-        cond = e if cond is None else cond & e
-    return df.withColumns({c: F.when(cond, F.lit(float(v)).cast("double")).otherwise(F.col(c))
-                           for c, v in values.items() if v is not None and c in df.columns})
+    """W3 + U4: overwrite ``values`` in the one latest row (D4: by
+    ``order_cols``, then by all other columns; of wholly equal rows one).  The
+    row is one small aggregate; only its exact repeats are numbered."""
+    order = [*order_cols, *sorted(c for c in df.columns if c not in order_cols)]
+    last = df.agg(F.max(F.struct(*[F.col(c) for c in order])).alias("k")).first()["k"]
+    if last is None:
+        return df
+    types = dict(df.dtypes)
+    is_last = F.struct(*[F.col(c) for c in order]).eqNullSafe(F.struct(*[F.lit(last[c]).cast(types[c]).alias(c) for c in order]))
+    new = {c: v for c, v in values.items() if v is not None and c in df.columns}
+    if df.where(is_last).count() == 1:
+        return df.withColumns({c: F.when(is_last, F.lit(float(v))).otherwise(F.col(c)).cast(types[c]) for c, v in new.items()})
+    repeats = df.where(is_last).withColumn("_nth", F.row_number().over(Window.partitionBy(*order).orderBy(F.lit(1))))
+    changed = repeats.withColumns({c: F.when(F.col("_nth") == 1, F.lit(float(v))).otherwise(F.col(c)).cast(types[c])
+                                   for c, v in new.items()}).drop("_nth")
+    return df.where(~is_last).unionByName(changed)

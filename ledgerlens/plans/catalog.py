@@ -1,17 +1,20 @@
 """The query catalogue behind ``__spark_entry__.queries()``.
 
-Each entry takes ``(spark, sf_dir)`` and returns a lazy DataFrame over the
-whole conformed tables of that folder.
+Each entry takes ``(spark, sf_dir)`` and returns a DataFrame over the whole
+conformed tables of that folder; a few read a bounded value first (the last
+ledger date, the groups whose medians need narrowing).
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import joins, summaries
+from ledgerlens.shared import checkpoint_root
 from ledgerlens.sources import testdata as td
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,94 +123,113 @@ def factor_coverage_q(spark, sf_dir):
 @query("factor_correlation")
 def factor_correlation_q(spark, sf_dir):
     """6x6 factor correlation over the stored months."""
-    f = td.factors(spark, sf_dir)
-    return correlate.correlation_long(f, correlate.non_empty_columns(f, FACTORS))
+    return pipelines.factor_correlation(td.factors(spark, sf_dir))
 
 
-def _full(spark, sf_dir, overrides=None):
-    j = _joined(spark, sf_dir)
-    j, _ = correlate.apply_overrides(j, overrides)
-    sl = correlate.non_empty_columns(j, LEDGER_MEASURES)
-    cols = sl + [c for c in FACTORS if c in j.columns and c not in sl]
-    return j, sl, cols
+def _ledger_matrix(spark, sf_dir, **kw):
+    return pipelines.ledger_correlation(td.ledger(spark, sf_dir), td.factors(spark, sf_dir), order_cols=LEDGER_ORDER, **kw)
 
 
 @query("full_correlation")
 def full_correlation_q(spark, sf_dir):
     """A10 / Q11: 17x17 matrix of ledger measures and attached factors."""
-    j, _, cols = _full(spark, sf_dir)
-    return correlate.correlation_long(j.dropna(how="all", subset=cols), cols)
+    return _ledger_matrix(spark, sf_dir)
+
+
+@query("full_correlation_rows")
+def full_correlation_rows_q(spark, sf_dir):
+    """A10: the full matrix's row_count, over a ledger with empty rows."""
+    led = td.ledger(spark, sf_dir)
+    gaps = led.withColumns({c: F.when(F.col("order_id") % 9 == 0, None).otherwise(F.col(c)) for c in LEDGER_MEASURES})
+    return pipelines.correlated_rows(gaps, td.factors(spark, sf_dir))
 
 
 @query("full_correlation_override")
 def full_correlation_override_q(spark, sf_dir):
     """P17 + A10: what-if constant overrides before the full matrix."""
-    j, _, cols = _full(spark, sf_dir, OVERRIDES)
-    return correlate.correlation_long(j.dropna(how="all", subset=cols), cols)
+    return _ledger_matrix(spark, sf_dir, overrides=OVERRIDES)
 
 
 @query("cross_correlation")
 def cross_correlation_q(spark, sf_dir):
     """11x6 rectangle of ledger measures against factors."""
-    j, sl, _ = _full(spark, sf_dir)
-    ext = correlate.non_empty_columns(j, FACTORS)
-    return correlate.correlation_long(j, sl + ext, rows=sl, columns=ext)
+    return _ledger_matrix(spark, sf_dir, kind="cross")
 
 
 @query("factor_correlation_append")
 def factor_correlation_append_q(spark, sf_dir):
     """Q13: append a row for the given month (given values, medians for the
     rest), then the 6x6 matrix."""
-    f = td.factors(spark, sf_dir)
-    a = whatif.append_row(f, FACTORS, WHATIF_VALUES)
-    return correlate.correlation_long(a, FACTORS)
+    return pipelines.factor_correlation(td.factors(spark, sf_dir), append=WHATIF_VALUES, append_month=WHATIF_MONTH)
 
 
 @query("factor_correlation_replace_latest")
 def factor_correlation_replace_latest_q(spark, sf_dir):
     """Q14: overwrite the given values in the latest month, then 6x6."""
-    f = td.factors(spark, sf_dir)
-    return correlate.correlation_long(whatif.replace_latest(f, ["month"], WHATIF_VALUES), FACTORS)
-
-
-def _ledger_whatif(spark, sf_dir, mode):
-    j, sl, _ = _full(spark, sf_dir)
-    ext = correlate.non_empty_columns(j, FACTORS)
-    cols = sl + ext
-    if mode == "append":
-        vals = {f: WHATIF_VALUES.get(f) for f in ext}
-        out = whatif.append_row(j, cols, vals)
-    else:
-        out = whatif.replace_latest(j, LEDGER_ORDER, WHATIF_VALUES).select(*cols)
-    return out, sl, ext
+    return pipelines.factor_correlation(td.factors(spark, sf_dir), replace_latest=WHATIF_VALUES)
 
 
 @query("cross_correlation_append")
 def cross_correlation_append_q(spark, sf_dir):
     """Q15: ledger + factors, one appended row (medians + given values), 11x6."""
-    d, sl, ext = _ledger_whatif(spark, sf_dir, "append")
-    return correlate.correlation_long(d, sl + ext, rows=sl, columns=ext)
+    return _ledger_matrix(spark, sf_dir, kind="cross", append=WHATIF_VALUES)
 
 
 @query("cross_correlation_replace_latest")
 def cross_correlation_replace_latest_q(spark, sf_dir):
     """Q16 (D2): given factor values written into the latest ledger row, 11x6."""
-    d, sl, ext = _ledger_whatif(spark, sf_dir, "replace")
-    return correlate.correlation_long(d, sl + ext, rows=sl, columns=ext)
+    return _ledger_matrix(spark, sf_dir, kind="cross", replace_latest=WHATIF_VALUES)
 
 
 @query("full_correlation_append")
 def full_correlation_append_q(spark, sf_dir):
     """Q17 (D2): appended row, then the full matrix."""
-    d, sl, ext = _ledger_whatif(spark, sf_dir, "append")
-    return correlate.correlation_long(d, sl + ext)
+    return _ledger_matrix(spark, sf_dir, append=WHATIF_VALUES)
 
 
 @query("full_correlation_replace_latest")
 def full_correlation_replace_latest_q(spark, sf_dir):
     """Q18 (D2): latest row updated, then the full matrix."""
-    d, sl, ext = _ledger_whatif(spark, sf_dir, "replace")
-    return correlate.correlation_long(d, sl + ext)
+    return _ledger_matrix(spark, sf_dir, replace_latest=WHATIF_VALUES)
+
+
+@query("latest_row_replaced")
+def latest_row_replaced_q(spark, sf_dir):
+    """W3 / U4 (D4): how many rows of the ledger, taken twice, carry the
+    value written into its one latest row."""
+    led = td.ledger(spark, sf_dir)
+    out = whatif.replace_latest(led.unionByName(led), LEDGER_ORDER, {"freight": -1.0})
+    return out.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("freight") == -1.0).alias("n_changed"))
+
+
+# ---------------------------------------------------------------------------
+# a ledger with gaps: NULL and blank regions, NULL dimensions and costs
+# ---------------------------------------------------------------------------
+def ledger_with_gaps(spark, sf_dir):
+    k = F.col("order_id")
+    blank = lambda c, m: F.when(k % m == 0, None).otherwise(F.col(c))
+    return td.ledger(spark, sf_dir).withColumns({
+        "region": F.when(k % 7 == 0, None).when(k % 7 == 1, F.lit("  ")).otherwise(F.col("region")),
+        "geo": blank("geo", 5), "customer": blank("customer", 3), "freight": blank("freight", 4),
+        "storage": F.when(F.col("country") == "KENYA", None).otherwise(F.col("storage")), "sga": blank("sga", 6)})
+
+
+@query("region_summary_gaps")
+def region_summary_gaps_q(spark, sf_dir):
+    """P15 / A5 over NULL and blank regions and NULL amounts."""
+    return summaries.region_summary(ledger_with_gaps(spark, sf_dir))
+
+
+@query("segment_cost_medians_gaps")
+def segment_cost_medians_gaps_q(spark, sf_dir):
+    """A3 / J7 where NULL is a value of a segment and costs are missing."""
+    return forecast.segment_cost_medians(ledger_with_gaps(spark, sf_dir)).select(*SEGMENT, *_r(COSTS, 6))
+
+
+@query("dimension_modes_gaps")
+def dimension_modes_gaps_q(spark, sf_dir):
+    """A2 / M2: the modes of each dimension by month, NULLs left out."""
+    return rollup.modes(ledger_with_gaps(spark, sf_dir), ["month"], DIMS)
 
 
 # ---------------------------------------------------------------------------
@@ -220,18 +242,16 @@ REFRESH_MONTH = "1998-03-01"
 
 def text_ledger(spark, sf_dir):
     """The conformed ledger as raw CSV-like text: headers as in the source
-    files, dates in five formats (plus junk), money with ``$`` and padding,
+    files, dates in sixteen formats (plus junk), money with ``$`` and padding,
     categorical blanks and missing tokens."""
     led = td.ledger(spark, sf_dir)
-    k = F.col("order_id") % 6
+    k = F.col("order_id") % 16
     d = F.col("order_date")
-    date_txt = (F.when(F.col("order_id") % 13 == 0, F.lit("not a date"))
-                .when(k == 0, F.date_format(d, "yyyy-MM-dd"))
-                .when(k == 1, F.date_format(d, "yyyy-MM-dd HH:mm:ss"))
-                .when(k == 2, F.date_format(d, "M/d/yyyy"))
-                .when(k == 3, F.date_format(d, "dd-MM-yyyy"))
-                .when(k == 4, F.date_format(d, "MMM yyyy"))
-                .otherwise(F.date_format(d, "yyyy-MM")))
+    forms = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "M/d/yyyy", "dd-MM-yyyy", "MMM yyyy", "yyyy-MM", "yyyy-MM-dd'T'HH:mm:ss.SSS", "yyyy-MM-dd HH:mm",
+             "yyyy/MM/dd", "yyyyMMdd", "MMM d, yyyy", "d MMM yyyy", "dd-MMM-yyyy", "M/d/yy", "MM/yyyy", "MMM-yy"]
+    date_txt = F.when(F.col("order_id") % 13 == 0, F.lit("not a date"))
+    for n, form in enumerate(forms):
+        date_txt = date_txt.when(k == n, F.date_format(d, form))
     region_txt = (F.when(F.col("line_no") == 3, F.concat(F.lit("  "), F.col("region"), F.lit(" ")))
                   .when(F.col("line_no") == 5, F.lit("NA")).otherwise(F.col("region")))
     sga_txt = F.when(F.col("order_id") % 17 == 0, F.lit("abc")).otherwise(F.col("sga").cast("string"))
@@ -255,6 +275,22 @@ def clean_ledger_text_q(spark, sf_dir):
                     "total_revenue", "cogs", "sga")
 
 
+@query("clean_ledger_scoring")
+def clean_ledger_scoring_q(spark, sf_dir):
+    """S3: the text ledger cleaned for scoring: only rows without a date go."""
+    c = ledger_csv.clean_ledger(text_ledger(spark, sf_dir), for_training=False)
+    return c.select("order_id", F.col("row_no").alias("line_no"), "order_date", "region", "customer",
+                    "total_revenue", "cogs", "sga")
+
+
+@query("factors_from_two_dates")
+def factors_from_two_dates_q(spark, sf_dir):
+    """Of two date-like columns the earlier candidate counts."""
+    wide = _joined(spark, sf_dir).select(F.add_months("month", 12).alias("Month"), F.col("order_date").alias("Observation_Date"),
+                                         F.col("cci").alias("CCI"))
+    return factor_files.extract_factors_from_ledger(wide)[0].select("month", *_r(["cci"], 4))
+
+
 def factor_text_files(spark, sf_dir):
     """Six single-factor files (text) in different header / date / value styles."""
     f = td.factors(spark, sf_dir)
@@ -280,6 +316,29 @@ def factor_files_combine_q(spark, sf_dir):
     return out.select("month", *_r(FACTORS, 4))
 
 
+def _scratch(spark):
+    return f"{checkpoint_root(spark)}/catalog-{uuid.uuid4().hex}"
+
+
+@query("factor_upload_stored")
+def factor_upload_stored_q(spark, sf_dir):
+    """Six files and one that can't be read, stored and reread."""
+    files = factor_text_files(spark, sf_dir)
+    files["roi.csv"] = files["roi.csv"].toDF("nothing", "known")
+    rows, _, failed = pipelines.factor_upload(spark, files, _scratch(spark), 7)
+    return rows.select("month", *_r(FACTORS, 4), F.lit(",".join(sorted(failed))).alias("failed"))
+
+
+@query("factor_refresh_stored")
+def factor_refresh_stored_q(spark, sf_dir):
+    """Q7 then Q9 on a stored table: factors from a wide ledger, one month
+    replaced; the date range (A15) of what is stored."""
+    store = _scratch(spark)
+    wide = _joined(spark, sf_dir).select(F.col("order_date").alias("Order Date"), *[F.col(f).alias(f.upper()) for f in FACTORS])
+    pipelines.factors_from_csv(spark, wide, store, 7)
+    return pipelines.factor_refresh(spark, store, 7, REFRESH_MONTH, WHATIF_VALUES)[1]
+
+
 @query("factors_from_ledger_upsert")
 def factors_from_ledger_upsert_q(spark, sf_dir):
     """Q7: S8 (factors inside a wide ledger) + J4 upsert into a stored table
@@ -324,29 +383,42 @@ from ledgerlens.operators import score as score_ops  # noqa: E402
 from ledgerlens.plans import pipelines  # noqa: E402
 from ledgerlens.schema import ACTUAL_COL, MODEL_USED_COL, PRED_COL  # noqa: E402
 
-_MODELS: dict = {}   # fitted models are small driver-side metadata: reuse per folder
-
 
 def trained_model(spark, sf_dir):
     """Q1 on the conformed ledger (daily grain, 25 % hash test split)."""
-    key = ("full", sf_dir)
-    if key not in _MODELS:
-        _MODELS[key] = pipelines.train(td.ledger(spark, sf_dir), td.factors(spark, sf_dir),
-                                       name="ledger_daily")
-    return _MODELS[key]
+    return pipelines.train(td.ledger(spark, sf_dir), td.factors(spark, sf_dir), name="ledger_daily")
 
 
 def one_feature_model(spark, sf_dir):
     """OLS of each target on daily raw-material cost, fitted on all days
     (no split): the SQL-checkable model (``regr_slope``/``regr_intercept``)."""
-    key = ("one", sf_dir)
-    if key not in _MODELS:
-        daily = rollup.daily_rollup(td.ledger(spark, sf_dir))
-        m, _ = model_ops.train_model(daily, name="raw_material_ols", features=["raw_material"],
-                                     test_size=0.0)
-        m.best = {t: "baseline" for t in m.targets}
-        _MODELS[key] = (m, None)
-    return _MODELS[key]
+    daily = rollup.daily_rollup(td.ledger(spark, sf_dir))
+    m, _ = model_ops.train_model(daily, name="raw_material_ols", features=["raw_material"], test_size=0.0)
+    m.best = {t: "baseline" for t in m.targets}
+    return m, None
+
+
+#: Coefficients of a fixed model: intercept, raw material, freight, cci, then by region.
+#: (Their digits keep predictions off rounding ties, where engines differ by the order of a sum.)
+FIXED_COEFS = {"total_revenue": (10.0, [2.0371293, 3.0182957, 0.5, 1.0, 2.0, 3.0, 4.0, 5.0]),
+               "cogs": (5.0, [1.0293817, 0.2519283, 0.125, 5.0, 4.0, 3.0, 2.0, 1.0]),
+               "sga": (1.0, [0.5103927, 0.4982713, 0.0625, 0.0, 1.0, 0.0, 1.0, 0.0])}
+FIXED_MEDIANS = {"raw_material": 100.0, "freight": 50.0, "cci": 40.0}
+FIXED_REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+
+
+def fixed_model():
+    """A model of given coefficients: every scoring pipeline has an SQL twin with it."""
+    m = model_ops.LinearModel("fixed", list(FIXED_COEFS), list(FIXED_MEDIANS), ["region"])
+    m.medians, m.means, m.scales = dict(FIXED_MEDIANS), dict.fromkeys(FIXED_MEDIANS, 0.0), dict.fromkeys(FIXED_MEDIANS, 1.0)
+    m.modes, m.levels = {"region": "ASIA"}, {"region": FIXED_REGIONS}
+    m.coefs = {(a, t): c for t, c in FIXED_COEFS.items() for a in ("ridge", "baseline")}
+    m.best = dict.fromkeys(FIXED_COEFS, "ridge")
+    return m
+
+
+def _scored(df, *keys, digits=2):
+    return df.select(*keys, *[F.round(c, digits).alias(c) for c in PRED_COL.values()], *MODEL_USED_COL.values())
 
 
 @query("train_metrics")
@@ -428,55 +500,81 @@ def forecast_batch_checked_totals_q(spark, sf_dir):
 
 @query("forecast_batch")
 def forecast_batch_q(spark, sf_dir):
-    """Q3 with the trained daily model: history with actuals + future rows."""
-    m, _ = trained_model(spark, sf_dir)
-    rows, _ = pipelines.forecast_batch(m, td.ledger(spark, sf_dir), td.factors(spark, sf_dir),
-                                       forecast_end=_future_end(spark, sf_dir))
-    return rows
+    """Q3 with the fixed model: history with actuals + future rows."""
+    rows, _ = pipelines.forecast_batch(fixed_model(), td.ledger(spark, sf_dir), td.factors(spark, sf_dir),
+                                       forecast_end=_future_end(spark, sf_dir), digits=None)
+    return rows.select("order_date", "row_type", *pipelines.OUT_DIMS, *[F.round(c, 6).alias(c) for c in ACTUAL_COL.values()],
+                       *[F.round(c, 2).alias(c) for c in [*PRED_COL.values(), "predicted_gross_profit"]], *MODEL_USED_COL.values())
 
 
 @query("forecast_batch_filtered")
 def forecast_batch_filtered_q(spark, sf_dir):
     """Q3 with filters: region ' europe ' (case / blanks ignored), a history
-    window, future months from the month after the ledger."""
-    m, _ = trained_model(spark, sf_dir)
-    rows, tot = pipelines.forecast_batch(m, td.ledger(spark, sf_dir), td.factors(spark, sf_dir),
-                                         region=" europe ", history_start="1997-01-01",
-                                         history_end="1999-12-31", forecast_end=_future_end(spark, sf_dir))
+    window, an override, future months from the month after the ledger: A7."""
+    _, tot = pipelines.forecast_batch(fixed_model(), td.ledger(spark, sf_dir), td.factors(spark, sf_dir),
+                                      region=" europe ", history_start="1997-01-01", history_end="1999-12-31",
+                                      overrides={"cci": 52.0}, forecast_end=_future_end(spark, sf_dir), totals_digits=2, digits=None)
     return tot
 
 
-@query("forecast_range")
-def forecast_range_q(spark, sf_dir):
-    """Q2: monthly forecast over the twelve months after the ledger for every
-    segment snapshot (segment cost medians + latest factors as constants)."""
-    m, _ = trained_model(spark, sf_dir)
+def _range(spark, sf_dir):
     led = td.ledger(spark, sf_dir)
     snap = forecast.segment_cost_medians(led)
-    snap = joins.factors_for_months(snap.withColumn("month", F.lit(None).cast("date")),
-                                    td.factors(spark, sf_dir)).drop("month")
+    snap = joins.factors_for_months(snap.withColumn("month", F.lit(None).cast("date")), td.factors(spark, sf_dir)).drop("month")
     start = forecast.future_start(led.agg(F.max("order_date")).first()[0])
     end = start
     for _ in range(11):
         end = forecast.next_month(end)
-    monthly, _ = pipelines.forecast_range(m, start, end, snap, scenario_cols=SEGMENT)
-    return monthly
+    monthly, totals = pipelines.forecast_range(fixed_model(), start, end, snap, scenario_cols=SEGMENT)
+    return monthly, totals
+
+
+@query("forecast_range")
+def forecast_range_q(spark, sf_dir):
+    """Q2: monthly forecast over the twelve months after the ledger for every
+    segment snapshot (segment cost medians + latest factors as constants)."""
+    return _scored(_range(spark, sf_dir)[0], *SEGMENT, "month", "date", digits=4)
+
+
+@query("forecast_range_totals")
+def forecast_range_totals_q(spark, sf_dir):
+    """Totals and months of every snapshot's range forecast."""
+    totals = _range(spark, sf_dir)[1]
+    return totals.select(*SEGMENT, *[F.round(c, 2).alias(c) for c in ("total_revenue", "total_cogs", "total_sga")], "months_count")
 
 
 @query("forecast_map_regions")
 def forecast_map_regions_q(spark, sf_dir):
     """Q4/Q5: score the ledger with month factors, predicted totals by region."""
-    m, _ = trained_model(spark, sf_dir)
-    _, summary = pipelines.forecast_map_batch(m, td.ledger(spark, sf_dir), td.factors(spark, sf_dir))
-    return summary
+    return pipelines.forecast_map_batch(fixed_model(), td.ledger(spark, sf_dir), td.factors(spark, sf_dir), digits=None)[1]
+
+
+@query("forecast_map_posted")
+def forecast_map_posted_q(spark, sf_dir):
+    """Q4: posted rows without factors, with gaps, by region."""
+    return pipelines.forecast_map(fixed_model(), ledger_with_gaps(spark, sf_dir))
+
+
+@query("forecast_map_rows")
+def forecast_map_rows_q(spark, sf_dir):
+    """Q5 detail: date, dimensions, predictions and models of every ledger row."""
+    return _scored(pipelines.forecast_map_batch(fixed_model(), td.ledger(spark, sf_dir), td.factors(spark, sf_dir), digits=None)[0],
+                   "order_date", *DIMS)
+
 
+@query("model_evaluation")
+def model_evaluation_q(spark, sf_dir):
+    """MAE, RMSE, R2 and MAPE of the fixed model on ledger rows."""
+    got = model_ops.evaluate(fixed_model(), _joined(spark, sf_dir))
+    return got.select("target", "model", *_r(["MAE", "RMSE", "R2", "MAPE"], 3))
 
-@query("forecast_map_daily")
-def forecast_map_daily_q(spark, sf_dir):
-    """Q5 detail: predicted totals per order date."""
-    m, _ = trained_model(spark, sf_dir)
-    detail, _ = pipelines.forecast_map_batch(m, td.ledger(spark, sf_dir), td.factors(spark, sf_dir))
-    return detail
+
+@query("model_round_trip")
+def model_round_trip_q(spark, sf_dir):
+    """The fixed model saved, reread and applied by region."""
+    path = _scratch(spark)
+    model_ops.save_model(fixed_model(), path, spark)
+    return pipelines.forecast_map(model_ops.load_model(spark, path, "fixed"), td.ledger(spark, sf_dir))
 
 
 # ---------------------------------------------------------------------------
@@ -514,6 +612,25 @@ def register_datasets_q(spark, sf_dir):
     return registry.register_datasets(td.datasets(spark, sf_dir), cand)
 
 
+@query("datasets_appended")
+def datasets_appended_q(spark, sf_dir):
+    """The registry after the append, by user."""
+    c = td.table(spark, sf_dir, "customer")
+    cand = c.select((F.col("c_custkey") + 1_000_000).alias("id"), F.col("c_nationkey").cast("long").alias("user_id"),
+                    F.sha2(F.when(F.col("c_acctbal") > 0, F.col("c_name")).otherwise(F.col("c_mktsegment")), 256).alias("file_hash"))
+    return registry.append_datasets(td.datasets(spark, sf_dir), cand).groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("n_datasets"), F.countDistinct("file_hash").alias("n_files"))
+
+
+@query("dataset_models")
+def dataset_models_q(spark, sf_dir):
+    """The newest dataset with models, and its models."""
+    ds, ms = td.datasets(spark, sf_dir), td.trained_models(spark, sf_dir)
+    top = ms.agg(F.max("dataset_id")).first()[0]
+    one = registry.get_dataset(ds, ms, top).select(F.col("id").alias("dataset_id"), "model_count")
+    return registry.list_models(ms, dataset_id=top).join(one, "dataset_id").select("dataset_id", "id", "model_name", "model_count")
+
+
 @query("register_models")
 def register_models_q(spark, sf_dir):
     """Candidate model names already taken are rejected (global unique
@@ -538,10 +655,3 @@ def remove_models_q(spark, sf_dir):
 def dataset_profile_q(spark, sf_dir):
     """Profile of the conformed ledger."""
     return registry.profile_dataset(td.ledger(spark, sf_dir))
-
-
-@query("file_fingerprints")
-def file_fingerprints_q(spark, sf_dir):
-    """SHA-256 and size of every table file of the folder (rows-only:
-    the oracle SQL has no path to the folder)."""
-    return registry.fingerprint_files(spark, f"{sf_dir.rstrip('/')}/*.parquet")

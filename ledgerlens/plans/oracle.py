@@ -8,6 +8,8 @@ aliased to the same name the Spark query returns.
 
 from __future__ import annotations
 
+from ledgerlens.schema import COSTS, DIMS, FACTORS, LEDGER_MEASURES, SEGMENT, TARGETS
+
 LEDGER_CTE = """
 ledger0 AS (
   SELECT CAST(o.o_orderdate AS DATE)                              AS order_date,
@@ -74,13 +76,7 @@ FROM joined GROUP BY 1
 # ---------------------------------------------------------------------------
 # helpers and fixed parameters (must equal the catalogue's)
 # ---------------------------------------------------------------------------
-COSTS = ["raw_material", "direct_labor", "freight", "storage", "packaging",
-         "indirect_labor", "rent_utility", "overhead"]
-TARGETS = ["total_revenue", "cogs", "sga"]
-DIMS = ["region", "geo", "country", "item_type", "customer"]
-SEGMENT = ["region", "geo", "country", "customer", "item_type"]
-FACTORS = ["cci", "cpi", "oil", "gdp", "unemployment", "roi"]
-MEASURES = ["total_revenue", "cogs", "sga"] + COSTS
+MEASURES = LEDGER_MEASURES
 LEDGER_ORDER = ["order_date", "order_id", "line_no"] + DIMS + ["total_revenue"] + COSTS + ["sga"]
 WHATIF_MONTH = "2002-03-01"
 WHATIF = {"cci": 55.0, "oil": 30.0}
@@ -222,7 +218,9 @@ ORACLE["clean_ledger_text"] = with_views("""
 t AS (SELECT order_id, line_no, order_date, customer, total_revenue, cogs, sga,
              CASE WHEN line_no = 5 THEN NULL ELSE region END AS region,
              CASE WHEN order_id % 13 = 0 THEN NULL
-                  WHEN order_id % 6 = 4 OR order_id % 6 = 5 THEN CAST(date_trunc('month', order_date) AS DATE)
+                  WHEN order_id % 16 IN (4, 5, 14, 15) THEN CAST(date_trunc('month', order_date) AS DATE)
+                  -- dashed text is read month first: the day becomes the month where there is such a month
+                  WHEN order_id % 16 = 3 AND day(order_date) <= 12 THEN make_date(year(order_date), day(order_date), month(order_date))
                   ELSE order_date END AS d
       FROM ledger)
 SELECT order_id, CAST(line_no AS BIGINT) AS line_no, d AS order_date, region, customer,
@@ -230,6 +228,10 @@ SELECT order_id, CAST(line_no AS BIGINT) AS line_no, d AS order_date, region, cu
 FROM t WHERE d IS NOT NULL AND order_id % 17 <> 0
 """)
 
+ORACLE["clean_ledger_scoring"] = (ORACLE["clean_ledger_text"].replace(
+    "total_revenue, cogs, sga\nFROM t", "total_revenue, cogs, CASE WHEN order_id % 17 = 0 THEN NULL ELSE sga END AS sga\nFROM t")
+    .replace(" AND order_id % 17 <> 0", ""))
+
 ORACLE["factor_files_combine"] = with_views(f"""
 x AS (SELECT 1)
 SELECT month, {rnd(FACTORS, 4)} FROM factors
@@ -363,9 +365,19 @@ ORACLE["register_datasets"] = f"""WITH {_DS},
 cand AS (SELECT c_custkey AS id, CAST(c_nationkey AS BIGINT) AS user_id,
                 sha256(CASE WHEN c_acctbal > 0 THEN c_name ELSE c_mktsegment END) AS file_hash FROM customer)
 SELECT cand.*, NOT EXISTS (SELECT 1 FROM ds WHERE ds.user_id = cand.user_id AND ds.file_hash = cand.file_hash)
-       AS is_new_dataset
+       AND id = min(id) OVER (PARTITION BY user_id, file_hash) AS is_new_dataset
 FROM cand"""
 
+ORACLE["datasets_appended"] = f"""WITH {_DS},
+cand AS (SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS user_id,
+                sha256(CASE WHEN c_acctbal > 0 THEN c_name ELSE c_mktsegment END) AS file_hash FROM customer),
+al AS (SELECT user_id, file_hash FROM ds UNION ALL
+       SELECT * FROM cand WHERE NOT EXISTS (SELECT 1 FROM ds WHERE ds.user_id = cand.user_id AND ds.file_hash = cand.file_hash))
+SELECT user_id, count(*) AS n_datasets, count(DISTINCT file_hash) AS n_files FROM al GROUP BY user_id"""
+
+ORACLE["dataset_models"] = f"""WITH {_TM}
+SELECT dataset_id, id, model_name, count(*) OVER () AS model_count FROM tm WHERE dataset_id = (SELECT max(dataset_id) FROM tm)"""
+
 ORACLE["register_models"] = f"""WITH {_TM},
 m AS (SELECT * REPLACE ('model_' || CAST(dataset_id AS VARCHAR) AS model_name) FROM tm),
 fresh AS (SELECT * FROM m WHERE status <> 'F'
@@ -384,3 +396,134 @@ SELECT count(*) AS row_count,
        'total_revenue,cogs,sga' AS target_columns
 FROM ledger
 """)
+
+# ---------------------------------------------------------------------------
+# the ledger with gaps, and the fixed model
+# ---------------------------------------------------------------------------
+_GAPS = """gaps AS (SELECT * REPLACE (
+    CASE WHEN order_id % 7 = 0 THEN NULL WHEN order_id % 7 = 1 THEN '  ' ELSE region END AS region,
+    CASE WHEN order_id % 5 = 0 THEN NULL ELSE geo END AS geo, CASE WHEN order_id % 3 = 0 THEN NULL ELSE customer END AS customer,
+    CASE WHEN order_id % 4 = 0 THEN NULL ELSE freight END AS freight, CASE WHEN country = 'KENYA' THEN NULL ELSE storage END AS storage,
+    CASE WHEN order_id % 6 = 0 THEN NULL ELSE sga END AS sga) FROM ledger)"""
+
+
+def _by_region(src: str, revenue: str, cogs: str, sga: str) -> str:
+    return f"""
+SELECT coalesce(nullif(trim(region), ''), 'Unknown') AS region, round(sum(coalesce({revenue}, 0)), 2) AS total_revenue,
+       round(sum(coalesce({cogs}, 0)), 2) AS total_cogs, round(sum(coalesce({sga}, 0)), 2) AS total_sga, count(*) AS row_count
+FROM {src} GROUP BY 1"""
+
+
+ORACLE["region_summary_gaps"] = with_views(_GAPS + _by_region("gaps", "total_revenue", "cogs", "sga"))
+
+ORACLE["segment_cost_medians_gaps"] = with_views(f"""{_GAPS}
+SELECT {", ".join(SEGMENT)}, {", ".join(f"round(median({c}), 6) AS {c}" for c in COSTS)}
+FROM gaps GROUP BY {", ".join(SEGMENT)}
+""")
+
+ORACLE["dimension_modes_gaps"] = with_views(_GAPS + ",\n" + ",\n".join(
+    _mode(c).replace("FROM ledger", "FROM gaps").replace("order_date", "month") for c in DIMS) + f"""
+SELECT b.month, {", ".join(f"m_{c}.{c} AS {c}" for c in DIMS)} FROM (SELECT DISTINCT month FROM gaps) b
+{" ".join(f"LEFT JOIN m_{c} USING (month)" for c in DIMS)}
+""")
+
+ORACLE["full_correlation_rows"] = with_views(f"""{JOINED}
+SELECT count(*) AS row_count FROM joined WHERE order_id % 9 <> 0 OR {" OR ".join(f"{f} IS NOT NULL" for f in FACTORS)}
+""")
+
+ORACLE["latest_row_replaced"] = with_views("x AS (SELECT 1) SELECT 2 * count(*) AS n_rows, CAST(1 AS BIGINT) AS n_changed FROM ledger")
+
+ORACLE["factors_from_two_dates"] = with_views(f"""{JOINED}
+SELECT DISTINCT month, round(cci, 4) AS cci FROM joined WHERE cci IS NOT NULL
+""")
+
+ORACLE["factor_upload_stored"] = with_views(f"""x AS (SELECT 1)
+SELECT month, {rnd([f for f in FACTORS if f != "roi"], 4)}, CAST(NULL AS DOUBLE) AS roi, 'roi.csv' AS failed FROM factors
+""")
+
+ORACLE["factor_refresh_stored"] = with_views(f"""{JOINED},
+st AS (SELECT DISTINCT month FROM joined WHERE cci IS NOT NULL UNION SELECT DATE '1998-03-01')
+SELECT min(month) AS date_range_start, max(month) AS date_range_end, count(*) AS row_count FROM st
+""")
+
+# intercept, raw material, freight, cci, by region; medians 100, 50 and 40, region ASIA for a missing one
+_REGION_COEF = {"total_revenue": [1, 2, 3, 4, 5], "cogs": [5, 4, 3, 2, 1], "sga": [0, 1, 0, 1, 0]}
+_LINE = {"total_revenue": (10, "2.0371293", "3.0182957", "0.5"), "cogs": (5, "1.0293817", "0.2519283", "0.125"),
+         "sga": (1, "0.5103927", "0.4982713", "0.0625")}
+
+
+def _fixed(t: str, cci: str = "cci") -> str:
+    b0, rm, fr, cc = _LINE[t]
+    reg = " ".join(f"WHEN '{r}' THEN {k}" for r, k in zip(REGIONS, _REGION_COEF[t]))
+    return (f"({b0}::DOUBLE + {rm}::DOUBLE * coalesce(raw_material, 100) + {fr}::DOUBLE * coalesce(freight, 50) "
+            f"+ {cc}::DOUBLE * coalesce({cci}, 40) + CASE coalesce(region, 'ASIA') {reg} ELSE 0 END)")
+
+
+def _fixed_cols(cci: str = "cci", gross: bool = False, nd: int = 2) -> str:
+    out = [f"round({_fixed(t, cci)}, {nd}) AS predicted_{t}" for t in TARGETS]
+    if gross:
+        out.append(f"round({_fixed('total_revenue', cci)} - {_fixed('cogs', cci)}, {nd}) AS predicted_gross_profit")
+    return ", ".join(out) + ", 'ridge' AS model_used_revenue, 'ridge' AS model_used_cogs, 'ridge' AS model_used_sga"
+
+
+def _preds(cci: str = "cci") -> str:
+    return ", ".join(f"{_fixed(t, cci)} AS p_{t}" for t in TARGETS)
+
+
+ORACLE["forecast_map_rows"] = with_views(f"""{JOINED}
+SELECT order_date, {", ".join(DIMS)}, {_fixed_cols()} FROM joined
+""")
+ORACLE["forecast_map_regions"] = with_views(f"{JOINED}, sc AS (SELECT region, {_preds()} FROM joined)"
+                                            + _by_region("sc", "p_total_revenue", "p_cogs", "p_sga"))
+_null_cci = "CAST(NULL AS DOUBLE)"
+ORACLE["model_round_trip"] = with_views(f"sc AS (SELECT region, {', '.join(f'round({_fixed(t, _null_cci)}, 4) AS p_{t}' for t in TARGETS)} FROM ledger)"
+                                        + _by_region("sc", "p_total_revenue", "p_cogs", "p_sga"))
+ORACLE["forecast_map_posted"] = with_views(f"{_GAPS}, sc AS (SELECT region, {', '.join(f'round({_fixed(t, _null_cci)}, 4) AS p_{t}' for t in TARGETS)} FROM gaps)"
+                                           + _by_region("sc", "p_total_revenue", "p_cogs", "p_sga"))
+
+_SEG = f"""seg AS (SELECT {", ".join(SEGMENT)}, median(raw_material) AS raw_material, median(freight) AS freight FROM ledger GROUP BY {", ".join(SEGMENT)}),
+lastf AS (SELECT cci AS last_cci FROM factors ORDER BY month DESC LIMIT 1)"""
+
+
+def _calendar(months: int) -> str:
+    return f"""bounds AS (SELECT CAST(date_trunc('month', max(order_date)) + INTERVAL 1 MONTH AS DATE) AS s,
+                  CAST(date_trunc('month', max(order_date)) + INTERVAL {months} MONTH AS DATE) AS e FROM ledger),
+cal AS (SELECT CAST(unnest(generate_series(s, e, INTERVAL 1 MONTH)) AS DATE) AS order_date FROM bounds)"""
+
+
+_RANGE = f"{_SEG}, {_calendar(12)}, rng AS (SELECT seg.*, cal.order_date, last_cci FROM seg CROSS JOIN cal CROSS JOIN lastf)"
+ORACLE["forecast_range"] = with_views(f"""{_RANGE}
+SELECT {", ".join(SEGMENT)}, strftime(order_date, '%Y-%m') AS month, order_date AS date, {_fixed_cols("last_cci", nd=4)} FROM rng
+""")
+ORACLE["forecast_range_totals"] = with_views(f"""{_RANGE}
+SELECT {", ".join(SEGMENT)}, {", ".join(f"round(sum(round({_fixed(t, 'last_cci')}, 4)), 2) AS total_{t.replace('total_', '')}" for t in TARGETS)},
+       count(*) AS months_count FROM rng GROUP BY {", ".join(SEGMENT)}
+""")
+
+_FUT = f"""{_SEG}, {_calendar(6)},
+fut AS (SELECT seg.*, cal.order_date, CASE WHEN f.month IS NOT NULL THEN f.cci ELSE last_cci END AS cci
+        FROM seg CROSS JOIN cal CROSS JOIN lastf LEFT JOIN factors f ON f.month = cal.order_date)"""
+_ACT = {"actual_total_revenue": "total_revenue", "actual_cogs": "cogs", "actual_sga": "sga", "actual_gross_profit": "gross_profit"}
+ORACLE["forecast_batch"] = with_views(f"""{JOINED}, {_FUT}
+SELECT order_date, 'historical' AS row_type, {", ".join(DIMS)}, {", ".join(f"round({c}, 6) AS {a}" for a, c in _ACT.items())},
+       {_fixed_cols(gross=True)} FROM joined
+UNION ALL
+SELECT order_date, 'future', {", ".join(DIMS)}, {", ".join("CAST(NULL AS DOUBLE)" for _ in _ACT)}, {_fixed_cols(gross=True)} FROM fut
+""")
+ORACLE["forecast_batch_filtered"] = with_views(f"""
+h AS (SELECT *, CAST(52 AS DOUBLE) AS cci FROM ledger WHERE region = 'EUROPE' AND order_date BETWEEN DATE '1997-01-01' AND DATE '1999-12-31'),
+{_SEG.replace("FROM ledger", "FROM h")}, {_calendar(6)},
+fut AS (SELECT seg.*, CAST(52 AS DOUBLE) AS cci FROM seg CROSS JOIN cal),
+al AS (SELECT 1 AS hist, total_revenue, gross_profit, {_preds()} FROM h
+       UNION ALL SELECT 0, NULL, NULL, {_preds()} FROM fut)
+SELECT CAST(sum(hist) AS BIGINT) AS historical_row_count, CAST(sum(1 - hist) AS BIGINT) AS future_row_count, count(*) AS total_row_count,
+       round(sum(total_revenue), 2) AS gross_actual_revenue, round(sum(gross_profit), 2) AS total_actual_gross_profit,
+       round(sum(p_total_revenue), 2) AS gross_predicted_revenue, round(sum(p_total_revenue - p_cogs), 2) AS total_predicted_gross_profit
+FROM al
+""")
+ORACLE["model_evaluation"] = with_views(f"""{JOINED}, sc AS (SELECT *, {_preds()} FROM joined), ev AS (
+{" UNION ALL ".join(f"""SELECT '{t}' AS target, avg(abs({t} - p_{t})) AS a, sqrt(avg(pow({t} - p_{t}, 2))) AS r,
+  1 - sum(pow({t} - p_{t}, 2)) / (var_pop({t}) * count({t})) AS q, avg(abs(({t} - p_{t}) / {t})) FILTER (WHERE {t} <> 0) * 100 AS p FROM sc""" for t in TARGETS)})
+SELECT target, model, round(a, 3) AS "MAE", round(r, 3) AS "RMSE", round(q, 3) AS "R2", round(p, 3) AS "MAPE"
+FROM ev, (SELECT unnest(['baseline', 'ridge']) AS model)
+""")

@@ -8,14 +8,18 @@ table, the latest factor row).
 from __future__ import annotations
 
 import datetime as _dt
+import re
+import time
 
-from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import correlate, forecast, joins, rollup, score, summaries, whatif
-from ledgerlens.operators.model import LinearModel, train_model
+from ledgerlens.operators.model import LinearModel, drop_model, save_model, train_model
 from ledgerlens.schema import ACTUAL_COL, DIMS, FACTORS, LEDGER_MEASURES, MODEL_USED_COL, PRED_COL
+from ledgerlens.shared import materialise
+from ledgerlens.sources import factor_files, factor_store, ledger_csv, registry
 
 
 # ---- Q1 ------------------------------------------------------------------
@@ -24,12 +28,19 @@ def train(ledger: DataFrame, factors: DataFrame | None = None, name: str = "mode
     """Q1: clean ledger -> daily roll-up with filled month factors -> model
     matrix -> baseline + ridge per target -> metrics.
 
-    ``grain='day'`` (default, as the reference) fits on daily totals;
-    ``grain='row'`` fits on ledger rows (D19) with a hash-fraction split."""
+    ``grain='day'`` (default) fits on daily totals; ``'day_segment'`` on
+    totals of a day and segment, ``'row'`` on ledger rows (D19), both with a
+    hash-fraction split.  Another grain is an error."""
+    if grain not in ("day", "day_segment", "row"):
+        raise ValueError(f"unknown grain {grain!r}")
     if grain == "day":
         data = rollup.daily_rollup(ledger, factors)
         return train_model(data, name=name, test_size=test_size, seed=seed,
                            split_keys=["order_date"], exact_split=True)
+    if grain == "day_segment":
+        data = rollup.segment_rollup(ledger, factors)
+        keys = ["order_date", *[c for c in DIMS if c in data.columns]]
+        return train_model(data, name=name, test_size=test_size, seed=seed, split_keys=keys, exact_split=False)
     data = score.with_date_features(ledger.where(F.col("order_date").isNotNull()))
     if factors is not None:
         data = joins.attach_factors(data, factors)
@@ -38,13 +49,22 @@ def train(ledger: DataFrame, factors: DataFrame | None = None, name: str = "mode
                        split_keys=keys, exact_split=False)
 
 
+def request_date(value) -> _dt.date:
+    """A date, or text in the form ``YYYY-MM-DD`` and no other."""
+    if isinstance(value, _dt.date):
+        return value
+    if not re.fullmatch(r"\d{4}-\d{2}-\d{2}", str(value)):
+        raise ValueError(f"date {value!r} is not YYYY-MM-DD")
+    return _dt.date.fromisoformat(str(value))
+
+
 # ---- Q2 ------------------------------------------------------------------
 def forecast_range(model: LinearModel, start, end, snapshots: DataFrame,
                    scenario_cols: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Q2: every snapshot row (constant dims / costs / factors, P18) is
     repeated on each month of [start, end] (G1) and scored as the 1st of the
     month.  Returns (monthly rows, totals per scenario: A6)."""
-    s, e = _dt.date.fromisoformat(str(start)), _dt.date.fromisoformat(str(end))
+    s, e = request_date(start), request_date(end)
     if e < s:
         raise ValueError("end_date must be >= start_date")
     scen = scenario_cols or []
@@ -75,9 +95,9 @@ def filter_history(ledger: DataFrame, region=None, geo=None, country=None,
         if v:
             df = df.where(_ci_eq(c, v))
     if history_start:
-        df = df.where(F.col("order_date") >= F.to_date(F.lit(str(history_start))))
+        df = df.where(F.col("order_date") >= F.lit(request_date(history_start)))
     if history_end:
-        df = df.where(F.col("order_date") <= F.to_date(F.lit(str(history_end))))
+        df = df.where(F.col("order_date") <= F.lit(request_date(history_end)))
     return df
 
 
@@ -92,10 +112,11 @@ def forecast_batch(model: LinearModel, ledger: DataFrame, factors: DataFrame | N
     ``forecast_end`` lies past the ledger, every segment x future month;
     union with ``row_type``; totals (A7).  Returns (rows, summary)."""
     last = ledger.agg(F.max("order_date")).first()[0]          # A16, unfiltered
-    # the filtered history feeds the scored rows and the segment medians:
-    # computed once (recomputed from lineage if an executor is lost)
-    base = filter_history(ledger, region, geo, country, history_start, history_end) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    if last is None:
+        raise ValueError("the ledger has no dated row")
+    base = filter_history(ledger, region, geo, country, history_start, history_end)
+    if base.isEmpty():
+        raise ValueError("no ledger row matches the filters")
     hist = score.actuals(base)
     if factors is not None:
         hist = joins.attach_factors(hist, factors)
@@ -148,29 +169,146 @@ def forecast_map(model: LinearModel, rows: DataFrame) -> DataFrame:
     return summaries.region_summary(s, PRED_COL["total_revenue"], PRED_COL["cogs"], PRED_COL["sga"])
 
 
-def forecast_map_batch(model: LinearModel, ledger: DataFrame, factors: DataFrame | None
+def forecast_map_batch(model: LinearModel, ledger: DataFrame, factors: DataFrame | None, digits: int | None = 4
                        ) -> tuple[DataFrame, DataFrame]:
-    """Q5: ledger -> factors (J1) -> scores; returns (daily detail, region
-    summary).  Rows with an unparseable date are dropped (D17)."""
+    """Q5: ledger -> factors (J1) -> scores; returns (a row for every ledger
+    row: date, dimensions, predictions, models used; region summary).  Rows
+    with an unparseable date are dropped (D17)."""
     j = joins.attach_factors(ledger, factors) if factors is not None else ledger
-    s = score.score(model, j, keep=["order_date", "region"])
-    detail = (s.groupBy("order_date")
-              .agg(*[F.round(F.sum(c), 4).alias(c) for c in PRED_COL.values()],
-                   F.count(F.lit(1)).alias("row_count")))
-    summary = summaries.region_summary(s, PRED_COL["total_revenue"], PRED_COL["cogs"], PRED_COL["sga"])
+    dims = [c for c in DIMS if c in j.columns]
+    detail = score.score(model, j, keep=["order_date", *dims], digits=digits)
+    summary = summaries.region_summary(detail, PRED_COL["total_revenue"], PRED_COL["cogs"], PRED_COL["sga"])
     return detail, summary
 
 
+# ---- Q6-Q9 (factor maintenance) --------------------------------------------
+def _stored(spark, store: str, company_id, factors: DataFrame, save: bool) -> tuple[DataFrame, DataFrame]:
+    """Saves a company's factors (S9); returns (stored rows, A15 date range)."""
+    if save:
+        factor_store.save_company_factors(materialise(factors, "factors"), store, company_id)
+        factors = factor_store.company_factor_rows(spark, store, company_id)
+    return factors, summaries.date_range(factors, "month")
+
+
+def factor_upload(spark, files: dict[str, DataFrame], store: str, company_id) -> tuple[DataFrame, DataFrame, dict[str, str]]:
+    """Q6: parse up to six factor files, merge them and replace the company's
+    stored factors.  Files that can't be read are passed over and reported.
+    Returns (stored rows, date range, reason by failed file)."""
+    failed: dict[str, str] = {}
+    merged = factor_files.combine_factor_files(files, failed)
+    return *_stored(spark, store, company_id, merged, True), failed
+
+
+def factors_from_csv(spark, wide: DataFrame, store: str, company_id) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Q7: factors found in a wide ledger are upserted into the company's
+    stored ones (J4).  Returns (stored rows, date range, factors found)."""
+    new, found = factor_files.extract_factors_from_ledger(wide)
+    old = factor_store.load_company_factors(spark, store, company_id)
+    merged = new if old is None else joins.upsert_factors(old, new)
+    return *_stored(spark, store, company_id, merged, True), found
+
+
+def factors_from_batch(spark, batches: DataFrame, uploads: DataFrame, company_id, batch_id, store: str
+                       ) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Q8: Q7 over the sub-ledger file of a company's batch (S4); an error when
+    the batch isn't the company's or has no such file."""
+    hit = registry.resolve_batch_files(batches, uploads, company_id=company_id, batch_id=batch_id).select("file_path").first()
+    if hit is None:
+        raise ValueError(f"batch {batch_id} of company {company_id} has no sub-ledger file")
+    wide = spark.read.option("header", True).csv(hit.file_path)
+    return factors_from_csv(spark, wide, store, company_id)
+
+
+def factor_refresh(spark, store: str, company_id, month, values: dict[str, float]) -> tuple[DataFrame, DataFrame]:
+    """Q9: replace one month's whole row of the stored factors."""
+    old = factor_store.load_company_factors(spark, store, company_id)
+    if old is None:
+        raise ValueError(f"company {company_id} has no stored factors")
+    return _stored(spark, store, company_id, joins.replace_month(old, request_date(month), values), True)
+
+
+# ---- Q1 end to end ----------------------------------------------------------
+def train_upload(spark, path: str, root: str, user_id: int, name: str, payload: DataFrame | None = None,
+                 test_size: float = 0.25, seed: int = 42, grain: str = "day") -> dict:
+    """Q1 from file to registries under ``root`` (datasets, models, metrics,
+    coefs as parquet): read (S1), clean (S2), factors from JSON (S11),
+    fingerprint (S12), train, save the coefficients (S21), register dataset
+    (S13) and model (S19).  A model name already taken is an error.
+
+    Returns dataset_id, is_new_dataset, metrics, external_factors_used,
+    rows_dropped and training_duration_seconds."""
+    began = time.time()
+    models = _registry(spark, f"{root}/models", MODEL_ROW)
+    if not models.where(F.col("model_name") == name).isEmpty():
+        raise ValueError(f"model name {name!r} is taken")
+    raw = ledger_csv.read_ledger_csv(spark, path)
+    clean = ledger_csv.clean_ledger(raw, for_training=True)
+    if clean.isEmpty():
+        raise ValueError("no row has a date and all targets")
+    factors = factor_files.factors_from_json(payload) if payload is not None else None
+    used = {f: factors is not None and f in factors.columns and not factors.where(F.col(f).isNotNull()).isEmpty() for f in FACTORS}
+    used = {f: used[f] or f in clean.columns for f in FACTORS}
+    file = registry.fingerprint_files(spark, [path]).first()
+    datasets = _registry(spark, f"{root}/datasets", DATASET_ROW)
+    next_id = (datasets.agg(F.max("id")).first()[0] or 0) + 1
+    profile = registry.profile_dataset(clean).select(
+        F.lit(next_id).cast("long").alias("id"), F.lit(user_id).cast("long").alias("user_id"), F.lit(file.file_name).alias("original_filename"),
+        F.lit(file.file_hash).alias("file_hash"), F.lit(file.file_size_bytes).cast("long").alias("file_size_bytes"), "row_count", "column_names",
+        "date_range_start", "date_range_end", "target_columns", F.current_timestamp().alias("uploaded_at"))
+    known = datasets.where((F.col("user_id") == user_id) & (F.col("file_hash") == file.file_hash)).select("id").first()
+    model, metrics = train(clean, factors, name=name, test_size=test_size, seed=seed, grain=grain)
+    save_model(model, f"{root}/coefs", spark)
+    if known is None:
+        profile.select(*[c.split()[0] for c in DATASET_ROW.split(", ")]).write.mode("append").parquet(f"{root}/datasets")
+    dataset_id = next_id if known is None else known.id
+    took = time.time() - began
+    model_id = (models.agg(F.max("id")).first()[0] or 0) + 1
+    spark.createDataFrame([(model_id, dataset_id, user_id, name, model.targets, model.features, used, test_size, seed,
+                            _dt.datetime.now(), took)], MODEL_ROW).write.mode("append").parquet(f"{root}/models")
+    if metrics is not None:
+        metrics.withColumn("model_id", F.lit(model_id).cast("long")).write.mode("append").parquet(f"{root}/metrics")
+    return {"dataset_id": dataset_id, "is_new_dataset": known is None, "model_id": model_id, "model": model, "metrics": metrics,
+            "external_factors_used": used, "rows_dropped": ledger_csv.dropped_rows(raw.count(), clean),
+            "training_duration_seconds": took}
+
+
+DATASET_ROW = ("id long, user_id long, original_filename string, file_hash string, file_size_bytes long, row_count long, "
+               "column_names string, date_range_start date, date_range_end date, target_columns string, uploaded_at timestamp")
+MODEL_ROW = ("id long, dataset_id long, user_id long, model_name string, targets array<string>, feature_columns array<string>, "
+             "external_factors_used map<string,boolean>, test_size double, random_state long, trained_at timestamp, "
+             "training_duration_seconds double")
+
+
+def _registry(spark, path: str, schema: str) -> DataFrame:
+    """A registry table; empty where none was written yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def remove_model(spark, root: str, model_id: int) -> None:
+    """A model's registry row and its coefficients go."""
+    models = spark.read.parquet(f"{root}/models")
+    name = registry.get_model(models, model_id).select("model_name").first()
+    if name is None:
+        raise ValueError(f"no model {model_id}")
+    left = materialise(registry.remove_models(models, registry.get_model(models, model_id)), "models")
+    left.write.mode("overwrite").parquet(f"{root}/models")
+    drop_model(spark, f"{root}/coefs", name.model_name)
+
+
 # ---- Q10-Q18 (correlation family) -----------------------------------------
 def factor_correlation(stored: DataFrame, append: dict | None = None, append_month=None,
                        replace_latest: dict | None = None) -> DataFrame:
     """Q10 / Q13 / Q14 on a monthly factor table."""
-    facs = correlate.non_empty_columns(stored, FACTORS)
+    facs = [f for f in FACTORS if f in stored.columns]
     df = stored
     if append:
         df = whatif.append_row(stored, facs, append,
-                               extra={"month": _dt.date.fromisoformat(str(append_month))}
-                               if append_month else None)
+                               extra={"month": request_date(append_month)} if append_month else None)
     elif replace_latest:
         df = whatif.replace_latest(stored, ["month"], replace_latest)
     return correlate.correlation_long(df, facs)
@@ -181,12 +319,10 @@ def ledger_correlation(ledger: DataFrame, factors: DataFrame | None, kind: str =
                        replace_latest: dict | None = None, order_cols: list[str] | None = None
                        ) -> DataFrame:
     """Q11 / Q12 / Q15-Q18: ledger (+ factors) -> optional overrides (P17),
-    appended row (U2) or latest-row update (U4) -> full (A10) or cross (A9)."""
-    j = joins.attach_factors(ledger, factors) if factors is not None else ledger
-    j, _ = correlate.apply_overrides(j, overrides)
-    sl = correlate.non_empty_columns(j, LEDGER_MEASURES)
-    ext = correlate.non_empty_columns(j, FACTORS)
-    cols = sl + [c for c in ext if c not in sl]
+    appended row (U2) or latest-row update (U4) -> full (A10) or cross (A9).
+    Columns without values are left out (P20), seen in the same pass."""
+    j, sl, ext = _correlated(ledger, factors, overrides)
+    cols = sl + ext
     if len(cols) < 2:
         raise ValueError(f"need at least two numeric columns, found {cols}")
     if append:
@@ -196,10 +332,21 @@ def ledger_correlation(ledger: DataFrame, factors: DataFrame | None, kind: str =
         j = whatif.replace_latest(j, order, replace_latest)
     if kind == "cross":
         return correlate.correlation_long(j, cols, rows=sl, columns=ext)
-    if not append and not replace_latest:
-        j = j.dropna(how="all", subset=cols)
     return correlate.correlation_long(j, cols)
 
 
+def _correlated(ledger, factors, overrides):
+    j = joins.attach_factors(ledger, factors) if factors is not None else ledger
+    j, _ = correlate.apply_overrides(j, overrides)
+    return j, [c for c in LEDGER_MEASURES if c in j.columns], [c for c in FACTORS if c in j.columns]
+
+
+def correlated_rows(ledger: DataFrame, factors: DataFrame | None, overrides: dict | None = None) -> DataFrame:
+    """A10: ``row_count`` of the full matrix: rows with any value."""
+    j, sl, ext = _correlated(ledger, factors, overrides)
+    return j.agg(F.count(F.coalesce(*[F.col(c).cast("double") for c in sl + ext])).alias("row_count"))
+
+
 __all__ = ["train", "forecast_range", "forecast_batch", "batch_totals", "forecast_map",
-           "forecast_map_batch", "filter_history", "factor_correlation", "ledger_correlation", "DIMS"]
+           "forecast_map_batch", "filter_history", "factor_upload",
+           "factors_from_csv", "factors_from_batch", "factor_refresh", "train_upload", "remove_model", "correlated_rows", "factor_correlation", "ledger_correlation", "DIMS"]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.dates import month_key, parse_factor_date
 from ledgerlens.functions.text import to_factor_number
 from ledgerlens.operators.rollup import first_row_per_month
+from ledgerlens.sources.ledger_csv import file_order
 from ledgerlens.schema import (FACTOR_LABELS, FACTOR_SIGNATURES, FACTORS,
                                LEDGER_FACTOR_DATE_COLUMNS, STORED_FACTOR_DATE_COLUMNS)
 
@@ -22,7 +23,7 @@ from ledgerlens.schema import (FACTOR_LABELS, FACTOR_SIGNATURES, FACTORS,
 def _order_col(df: DataFrame) -> DataFrame:
     if "_src_row" in df.columns:
         return df
-    return df.withColumn("_src_row", F.monotonically_increasing_id())
+    return df.withColumn("_src_row", file_order(df))
 
 
 def detect_factor(columns: list[str]) -> tuple[str, str, str] | None:
@@ -51,20 +52,31 @@ def read_factor_file(df: DataFrame, filename: str = "") -> DataFrame:
     return first_row_per_month(d, ["_src_row"], "month", [factor]).orderBy("month")
 
 
-def combine_factor_files(files: dict[str, DataFrame]) -> DataFrame:
+def combine_factor_files(files: dict[str, DataFrame], failed: dict[str, str] | None = None) -> DataFrame:
     """Q6: at most six files, one factor each (a second file for a factor is
-    an error), chained full outer join on month (J3), sorted."""
+    an error), chained full outer join on month (J3), sorted.
+
+    With ``failed`` a file that can't be read is passed over and its reason
+    noted there under its name; without any readable file it is an error."""
     from ledgerlens.operators.joins import combine_factor_files as _combine
     if len(files) > 6:
         raise ValueError("at most six factor files")
     parsed, seen = [], set()
     for name, df in files.items():
-        p = read_factor_file(df, name)
+        try:
+            p = read_factor_file(df, name)
+        except ValueError as e:
+            if failed is None:
+                raise
+            failed[name] = str(e)
+            continue
         f = [c for c in p.columns if c != "month"][0]
         if f in seen:
             raise ValueError(f"factor {FACTOR_LABELS[f]} uploaded twice")
         seen.add(f)
         parsed.append(p)
+    if not parsed:
+        raise ValueError(f"no factor file can be read: {failed}")
     out = _combine(parsed)
     return out.select("month", *[f for f in FACTORS if f in out.columns]).orderBy("month")
 

@@ -4,6 +4,7 @@ partition overwrite); loading prunes to it."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +30,9 @@ def load_company_factors(spark: SparkSession, path: str, company_id) -> DataFram
     company's partition is absent).  The filter prunes partitions."""
     try:
         df = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - no store yet
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # no store yet, or an empty one
+            raise
         return None
     d = df.where(F.col("company_id") == str(company_id)).drop("company_id")
     return d if not d.isEmpty() else None

@@ -8,6 +8,7 @@ values become NULL and nothing raises under ANSI mode.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,17 +25,29 @@ def read_ledger_csv(spark: SparkSession, path: str) -> DataFrame:
 
     Headers are trimmed; unnamed columns dropped; missing tokens (blank, NA,
     N/A, NaN, null, None) become NULL; all-NULL columns and rows dropped.
-    Without an ``id`` column, ``row_no`` records file order (split index and
-    position, stable across re-execution) for the first/latest-row rules."""
+    Without an ``id`` column, ``row_no`` records file order (file, place in
+    the file; see ``file_order``) for the first/latest-row rules."""
     raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
     keep = [c for c in raw.columns
             if c.strip() and not (c.startswith(_UNNAMED) and c[len(_UNNAMED):].isdigit())]
-    df = raw.select(*[missing_to_null(F.col(f"`{c}`")).alias(clean_name(c)) for c in keep])
+    ordered = "row_no" not in [clean_name(c) for c in keep]
+    df = raw.select(*[missing_to_null(F.col(f"`{c}`")).alias(clean_name(c)) for c in keep],
+                    *([file_order(raw).alias("row_no")] if ordered else []))
     counts = df.agg(*[F.count(c).alias(c) for c in df.columns]).first()
-    df = df.select(*[c for c in df.columns if counts[c] > 0]).dropna(how="all")
-    if "row_no" not in df.columns:
-        df = df.withColumn("row_no", F.monotonically_increasing_id())
-    return df
+    full = [c for c in df.columns if counts[c] > 0]
+    return df.select(*full).dropna(how="all", subset=[c for c in full if not (ordered and c == "row_no")])
+
+
+def file_order(df: DataFrame):
+    """A sortable column of the rows' order in their files: path, start of the
+    split, place in the split (which depends on how splits are dealt only
+    within a split's task).  Frames that read no files count by task and row."""
+    place = F.monotonically_increasing_id()
+    try:
+        df.select("_metadata.file_path")
+    except AnalysisException:
+        return F.struct(F.lit("").alias("file"), F.lit(0).cast("long").alias("start"), place.alias("place"))
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), place.alias("place"))
 
 
 def rename_aliases(df: DataFrame) -> DataFrame:
@@ -54,8 +67,8 @@ def clean_ledger(df: DataFrame, for_training: bool = True) -> DataFrame:
     """S2 / S3 (one cleaner, D7): categoricals trimmed with missing -> NULL;
     ``order_date`` parsed from any ledger format, or built from Year + Mo
     when there is no date column (P5); every other column numeric with bad
-    values -> NULL (P1).  Rows without a date are dropped (D17); for training
-    also rows missing any present target (P19)."""
+    values -> NULL (P1).  Rows without a date are dropped (D17; ``dropped_rows`` counts
+    them); for training also rows missing any present target (P19)."""
     df = rename_aliases(df)
     cols = {}
     for c in df.columns:
@@ -65,7 +78,7 @@ def clean_ledger(df: DataFrame, for_training: bool = True) -> DataFrame:
             t = df.schema[c].dataType
             cols[c] = F.col(c) if isinstance(t, T.DateType) else parse_ledger_date(c)
         elif c in ("row_no", "order_id", "line_no"):
-            cols[c] = F.col(c) if isinstance(df.schema[c].dataType, T.IntegralType) else \
+            cols[c] = F.col(c) if isinstance(df.schema[c].dataType, (T.IntegralType, T.StructType)) else \
                 F.col(c).cast("string").try_cast("double").try_cast("long")
         else:
             cols[c] = _numeric(df, c)
@@ -76,3 +89,8 @@ def clean_ledger(df: DataFrame, for_training: bool = True) -> DataFrame:
         raise ValueError("ledger has no 'Order Date' (or Year + Mo) column")
     need = ["order_date"] + ([t for t in TARGETS if t in out.columns] if for_training else [])
     return out.dropna(subset=need)
+
+
+def dropped_rows(raw_rows: int, clean: DataFrame) -> int:
+    """Rows of a raw ledger (their count) that the cleaned one lacks."""
+    return raw_rows - clean.count()

@@ -7,6 +7,9 @@ job, and a user or batch holding a third of the rows is combined map-side.
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,22 +31,42 @@ def resolve_batch_files(batches: DataFrame, uploads: DataFrame, file_type: str =
                     F.col("_u.file_path").alias("file_path")))
 
 
-def fingerprint_files(spark: SparkSession, pattern: str) -> DataFrame:
-    """SHA-256 of the raw bytes and size of every file matching
-    ``pattern`` (one row per file)."""
-    files = spark.read.format("binaryFile").load(pattern)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"),
-                        F.col("length").alias("file_size_bytes"),
-                        F.sha2("content", 256).alias("file_hash"))
+def fingerprint_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """SHA-256 of the raw bytes and size of each file (path, file_name,
+    file_size_bytes, file_hash).  A task streams its file through the digest,
+    so a file's size doesn't matter; every executor must see the paths."""
+    def digest(batches):
+        for b in batches:
+            rows = []
+            for p in b["path"]:
+                h, n = hashlib.sha256(), 0
+                with open(p, "rb") as f:
+                    while chunk := f.read(1 << 20):
+                        h.update(chunk)
+                        n += len(chunk)
+                rows.append((p, p.rsplit("/", 1)[-1], n, h.hexdigest()))
+            yield pd.DataFrame(rows, columns=["path", "file_name", "file_size_bytes", "file_hash"])
+
+    return (spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
+            .mapInPandas(digest, "path string, file_name string, file_size_bytes long, file_hash string"))
 
 
 def register_datasets(existing: DataFrame, candidates: DataFrame) -> DataFrame:
     """A candidate ``(user_id, file_hash)`` is new only when that
-    pair is absent; reports ``is_new_dataset`` for every candidate."""
+    pair is absent and no candidate of a lower id has it; reports
+    ``is_new_dataset`` for every candidate."""
     keys = ["user_id", "file_hash"]
     seen = existing.select(*keys).distinct().withColumn("_seen", F.lit(True))
-    return (candidates.join(seen, keys, "left")
-            .withColumn("is_new_dataset", F.col("_seen").isNull()).drop("_seen"))
+    first = candidates.groupBy(*keys).agg(F.min("id").alias("_first"))
+    return (candidates.join(seen, keys, "left").join(first, keys, "left")
+            .withColumn("is_new_dataset", F.col("_seen").isNull() & (F.col("id") == F.col("_first"))).drop("_seen", "_first"))
+
+
+def append_datasets(existing: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The registry with the new candidates in it; columns a candidate
+    lacks are NULL."""
+    new = register_datasets(existing, candidates).where("is_new_dataset").drop("is_new_dataset")
+    return existing.unionByName(new, allowMissingColumns=True)
 
 
 def model_counts(models: DataFrame) -> DataFrame:
@@ -75,11 +98,23 @@ def list_models(models: DataFrame, user_id=None, dataset_id=None) -> DataFrame:
     return m.orderBy(F.desc("trained_at"), F.desc("id"))
 
 
+def get_model(models: DataFrame, model_id) -> DataFrame:
+    """One model by id."""
+    return models.where(F.col("id") == model_id)
+
+
 def rank_models_per_user(models: DataFrame) -> DataFrame:
     """O1 for every user at once: position of each model in its user's
-    newest-first listing (window per user; a large user spills, not fails)."""
-    w = Window.partitionBy("user_id").orderBy(F.desc("trained_at"), F.desc("id"))
-    return models.withColumn("position", F.row_number().over(w))
+    newest-first listing.  A user's models are counted by date, the dates (not
+    the models) of a user are added up, and only the models of one date are
+    ordered together."""
+    dates = models.groupBy("user_id", "trained_at").agg(F.count(F.lit(1)).alias("_n"))
+    newer = Window.partitionBy("user_id").orderBy(F.desc("trained_at")).rowsBetween(Window.unboundedPreceding, -1)
+    dates = dates.select(F.col("user_id").alias("_u"), F.col("trained_at").alias("_t"), F.coalesce(F.sum("_n").over(newer), F.lit(0)).alias("_before"))
+    day = Window.partitionBy("user_id", "trained_at").orderBy(F.desc("id"))
+    ranked = models.withColumn("_in", F.row_number().over(day))
+    return (ranked.join(dates, F.col("user_id").eqNullSafe(F.col("_u")) & F.col("trained_at").eqNullSafe(F.col("_t")))
+            .select(*models.columns, (F.col("_before") + F.col("_in")).cast("int").alias("position")))
 
 
 def register_models(existing: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -40,6 +40,16 @@ def test_ledger_dates(spark):
                    d(2020, 12, 31), None, None, None]
 
 
+def test_every_date_form(spark):
+    """Month first for slashes, dashes and dots; ISO, compact, textual months."""
+    d = dt.date
+    want = {"2021-01-09T10:11:12.345Z": d(2021, 1, 9), "2021-01-09 10:11": d(2021, 1, 9), "2021/01/09": d(2021, 1, 9), "20210109": d(2021, 1, 9),
+            "Jan 9, 2021": d(2021, 1, 9), "9 Jan 2021": d(2021, 1, 9), "09-Jan-2021": d(2021, 1, 9), "January 9 2021": d(2021, 1, 9),
+            "1/2/21": d(2021, 1, 2), "12/31/99": d(1999, 12, 31), "05-03-2021": d(2021, 5, 3), "13-02-2021": d(2021, 2, 13), "05.03.2021": d(2021, 5, 3),
+            "Sept 2020": d(2020, 9, 1), "2021-02-30": None, "13-13-2020": None, "2021-13-01": None}
+    assert dict(zip(want, one_col(spark, list(want), parse_ledger_date))) == want
+
+
 def test_factor_dates_mon_yy_first(spark):
     assert one_col(spark, ["Mar-21", "2021-03-15", "March 2021"], parse_factor_date) == \
         [dt.date(2021, 3, 1), dt.date(2021, 3, 15), dt.date(2021, 3, 1)]

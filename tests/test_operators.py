@@ -4,10 +4,12 @@ import datetime as dt
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import correlate, forecast, joins, rollup, whatif
+from ledgerlens.operators import correlate, forecast, joins, medians, rollup, whatif
 from ledgerlens.operators.medians import exact_medians
+from ledgerlens.plans import pipelines
 
 
 def test_exact_medians_match_pandas(spark):
@@ -109,3 +111,39 @@ def test_first_row_per_month(spark):
                                "month date, _src_row int, cci double")
     got = {r.month: r.cci for r in rollup.first_row_per_month(df, ["_src_row"], "month", ["cci"]).collect()}
     assert got == {d(2021, 1, 1): 4.0, d(2021, 2, 1): None}
+
+
+def test_medians_narrow_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(medians, "SMALL", 100)
+    monkeypatch.setattr(medians, "BUCKETS", 16)
+    rng = np.random.default_rng(0)
+    n = 3000
+    pdf = pd.DataFrame({"k": rng.choice(["a", "b", None, "d"], n, p=[.7, .2, .09, .01]), "x": rng.integers(0, 4, n).astype(float),
+                        "y": rng.normal(size=n) * 10.0 ** rng.integers(-3, 6, n), "z": np.where(np.arange(n) % 2 == 0, 1.0, 2.0), "w": np.nan})
+    cols = ["x", "y", "z", "w"]
+    got = exact_medians(spark.createDataFrame(pdf), ["k"], cols).toPandas().sort_values("k", na_position="last")
+    exp = pdf.groupby("k", dropna=False)[cols].median().reset_index().sort_values("k", na_position="last")
+    assert np.allclose(got[cols].to_numpy(float), exp[cols].to_numpy(float), equal_nan=True)
+    assert np.allclose(np.array(list(exact_medians(spark.createDataFrame(pdf), [], cols[:3]).first())), pdf[cols[:3]].median())
+
+
+def test_one_latest_row_is_replaced(spark):
+    df = spark.createDataFrame([(1, 5.0), (2, 6.0), (2, 6.0), (2, 5.5)], "row_no int, cci double")
+    got = sorted(tuple(r) for r in whatif.replace_latest(df, ["row_no"], {"cci": 9.0}).collect())
+    assert got == [(1, 5.0), (2, 5.5), (2, 6.0), (2, 9.0)]
+
+
+def test_empty_columns_are_left_out_of_matrices(spark):
+    df = spark.createDataFrame([(1.0, None, 2.0), (2.0, None, 1.0)], "a double, b double, c double")
+    got = {(r.row_col, r.col_col): r["corr"] for r in correlate.correlation_long(df, ["a", "b", "c"]).collect()}
+    assert got == {("a", "a"): 1.0, ("a", "c"): -1.0, ("c", "a"): -1.0, ("c", "c"): 1.0}
+
+
+def test_grains(spark):
+    with pytest.raises(ValueError):
+        pipelines.train(spark.createDataFrame([], "order_date date, cogs double"), grain="no_such_grain")
+    d = dt.date
+    led = spark.createDataFrame([(d(2021, 1, 5), "X", 1.0), (d(2021, 1, 5), "X", 2.0), (d(2021, 1, 5), None, 4.0)], "order_date date, region string, cogs double")
+    assert sorted((r.region or "", r.cogs) for r in rollup.segment_rollup(led).collect()) == [("", 4.0), ("X", 3.0)]
+    with pytest.raises(ValueError):
+        pipelines.request_date("2021-1-5")
