@@ -32,7 +32,7 @@ def ledger_stream(spark: SparkSession, folder: str, headers: list[str],
     clean = clean_ledger(raw, for_training=False)
     if factors is not None:
         # the factor table is small and static: broadcast, no state needed
-        clean = joins.attach_factors(clean, factors, broadcast_check=False)
+        clean = joins.attach_factors(clean, factors)
     return clean
 
 
