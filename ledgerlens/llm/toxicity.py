@@ -114,7 +114,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -
     one = (labels.filter("toxic in (0, 1) and doc_id is not null").filter(learnable(F.col("doc_id")))
            .groupBy("doc_id").agg(F.max("toxic").cast("double").alias("label"))
            .withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(limit))
-    return (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(one, "doc_id")
+    return (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(one), "doc_id")  # at most ``limit`` rows
             .select("text", "label", F.pmod(F.xxhash64(F.lit("part"), F.col("doc_id")), F.lit(10)).alias("part")))
 
 
