@@ -565,8 +565,7 @@ def forecast_map_rows_q(spark, sf_dir):
 @query("model_evaluation")
 def model_evaluation_q(spark, sf_dir):
     """MAE, RMSE, R2 and MAPE of the fixed model on ledger rows."""
-    got = model_ops.evaluate(fixed_model(), _joined(spark, sf_dir))
-    return got.select("target", "model", *_r(["MAE", "RMSE", "R2", "MAPE"], 3))
+    return model_ops.evaluate(fixed_model(), _joined(spark, sf_dir))
 
 
 @query("model_round_trip")

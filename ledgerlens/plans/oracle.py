@@ -524,6 +524,6 @@ FROM al
 ORACLE["model_evaluation"] = with_views(f"""{JOINED}, sc AS (SELECT *, {_preds()} FROM joined), ev AS (
 {" UNION ALL ".join(f"""SELECT '{t}' AS target, avg(abs({t} - p_{t})) AS a, sqrt(avg(pow({t} - p_{t}, 2))) AS r,
   1 - sum(pow({t} - p_{t}, 2)) / (var_pop({t}) * count({t})) AS q, avg(abs(({t} - p_{t}) / {t})) FILTER (WHERE {t} <> 0) * 100 AS p FROM sc""" for t in TARGETS)})
-SELECT target, model, round(a, 3) AS "MAE", round(r, 3) AS "RMSE", round(q, 3) AS "R2", round(p, 3) AS "MAPE"
+SELECT target, model, round(a, 4) AS "MAE", round(r, 4) AS "RMSE", round(q, 6) AS "R2", round(p, 4) AS "MAPE"
 FROM ev, (SELECT unnest(['baseline', 'ridge']) AS model)
 """)
