@@ -82,6 +82,15 @@ def test_chains_score_like_the_plain_quadratic_programme():
         assert score == pytest.approx(max(best.values()))
 
 
+def test_every_passage_of_a_pair_is_found(spark):
+    head, foot = prose(60, 70), prose(61, 60)
+    whole = prose(62, 200).split()
+    texts = ["\n".join([head, prose(63, 150), foot]), "\n".join([head, prose(64, 120), foot]),
+             " ".join(whole), " ".join(whole[:100] + prose(65, 30).split() + whole[100:])]
+    got = sorted((r.doc_id, r.src_doc_id, r.first, r.after, r.src_first, r.src_after) for r in substring_dedup.find_passages(docs_of(spark, texts)).collect())
+    assert got == [(1, 0, 0, 70, 0, 70), (1, 0, 190, 250, 220, 280), (3, 2, 0, 100, 0, 100), (3, 2, 130, 230, 100, 200)]
+
+
 # 2: toxicity
 
 def test_toxicity_on_held_out_rows(spark):
