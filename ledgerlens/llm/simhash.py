@@ -181,6 +181,20 @@ def links(classes: DataFrame, fp: str = "fingerprint", max_bits: int = MAX_BITS,
             .mapInArrow(search, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])))
 
 
+def _rooted(docs: DataFrame, shingle: int, max_bits: int, blocks: int, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, hash of the text, fingerprint) of every row, and (fingerprint, first doc_id, root of its component)."""
+    made = materialise(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t"), _text_hash(F.col(text)).alias("hash")),
+                                        shingle, text="_t").drop("_t"), "simhash")
+    classes = made.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
+    comp = connected_components(links(classes, max_bits=max_bits, blocks=blocks), tag="simhash-links")
+    return made, (classes.join(comp, F.col("fingerprint") == F.col("node"), "left")
+                  .select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root")))
+
+
+def _text_hash(text):
+    return F.when(text.isNotNull(), F.xxhash64(text))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, blocks: int = BLOCKS,
                     text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row for each row of ``docs``: doc_id, fingerprint (16 hex digits),
@@ -190,22 +204,24 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     Repeated rows share a class; a null doc_id never names a component unless
     its component holds no other id.  An empty table gives no rows.
     """
-    made = materialise(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t")), shingle, text="_t").drop("_t"),
-                       "simhash")
-    classes = made.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
-    comp = connected_components(links(classes, max_bits=max_bits, blocks=blocks), tag="simhash-links")
-    rooted = (classes.join(comp, F.col("fingerprint") == F.col("node"), "left")
-              .select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root")))
+    made, rooted = _rooted(docs, shingle, max_bits, blocks, text, doc_id)
     named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fingerprint", "component_id")
     return (made.join(named, "fingerprint")
             .select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, **kw) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, blocks: int = BLOCKS,
+                         text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs``, one of each component: that of the smallest
-    doc_id.  Rows that share an id are one document, of which any one row
-    stays; rows with a null id stay (one of them) only where a component holds
-    no other id."""
-    made = near_duplicates(docs, **kw).select(F.col("component_id").alias("_keep")).distinct()
-    named = docs.join(made, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    return named.dropDuplicates(["doc_id"])
+    doc_id (a null one last), of an id's texts that of the smallest hash, and
+    any one of rows equal in id and text.  Rows of other components stay, also
+    where they share an id or have none."""
+    made, rooted = _rooted(docs, shingle, max_bits, blocks, text, doc_id)
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"))
+    best = made.groupBy("fingerprint").agg(F.min(rank).alias("best"))
+    keep = (best.join(rooted.select("fingerprint", "root"), "fingerprint").groupBy("root").agg(F.min("best").alias("best"))
+            .select("best._id", "best._hash"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(doc_id).alias("_i"), _text_hash(F.col(text)).alias("_h"))
+    # id and hash name a text, and so its component
+    named = row.join(keep, F.col("_i").eqNullSafe(F.col("_id")) & F.col("_h").eqNullSafe(F.col("_hash")), "left_semi")
+    return named.dropDuplicates(["_i", "_h"]).select("_row.*")

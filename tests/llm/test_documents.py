@@ -297,6 +297,15 @@ def test_simhash_query(spark):
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in rows} == {i: (format(f, "016x"), want[i]) for i, f in fp.items()}
 
 
+def test_filter_keeps_one_row_of_each_component_not_of_each_id(spark):
+    texts = [prose(700 + i, 90) for i in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (3, texts[2]), (3, texts[3]), (4, texts[3]), (5, texts[4]), (None, texts[4]), (6, texts[5]), (6, texts[5])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    left = simhash.drop_near_duplicates(docs)
+    want = Counter([(None, texts[0]), (None, texts[1]), (3, texts[2]), (3, texts[3]), (5, texts[4]), (6, texts[5])])
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == want and left.columns == docs.columns
+
+
 def test_components_of_long_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + k) for k in range(1, 40)] + [(7, 7), (None, 3), (200, 199)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
