@@ -91,6 +91,17 @@ def test_every_passage_of_a_pair_is_found(spark):
     assert got == [(1, 0, 0, 70, 0, 70), (1, 0, 190, 250, 220, 280), (3, 2, 0, 100, 0, 100), (3, 2, 130, 230, 100, 200)]
 
 
+def test_substituted_words_leave_passages_found(spark):
+    texts = []
+    for n, p in [(51, 6), (51, 7), (100, 6), (100, 8)] * 5:
+        k = len(texts)
+        w = prose(1000 + k, n).split()
+        texts += [prose(2000 + k, 60) + "\n" + " ".join(w),
+                  " ".join("changed" if i % p == p - 1 else x for i, x in enumerate(w)) + "\n" + prose(3000 + k, 60)]
+    got = {(r.doc_id, r.src_doc_id) for r in substring_dedup.find_passages(docs_of(spark, texts)).collect()}
+    assert got == {(k + 1, k) for k in range(0, len(texts), 2)}
+
+
 # 2: toxicity
 
 def test_toxicity_on_held_out_rows(spark):
