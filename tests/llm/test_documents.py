@@ -91,6 +91,14 @@ def test_every_passage_of_a_pair_is_found(spark):
     assert got == [(1, 0, 0, 70, 0, 70), (1, 0, 190, 250, 220, 280), (3, 2, 0, 100, 0, 100), (3, 2, 130, 230, 100, 200)]
 
 
+def test_fragments_in_earlier_documents_hide_no_source(spark):
+    w = prose(80, 60).split()
+    texts = [prose(81, 70) + "\n" + " ".join(w[:30]), " ".join(w[30:]) + "\n" + prose(82, 70),
+             prose(83, 40) + "\n" + " ".join(w), " ".join(w) + "\n" + prose(84, 50)]
+    got = [(r.doc_id, r.src_doc_id, r.first, r.after) for r in substring_dedup.find_passages(docs_of(spark, texts)).collect()]
+    assert got == [(3, 2, 0, 60)]
+
+
 def test_substituted_words_leave_passages_found(spark):
     texts = []
     for n, p in [(51, 6), (51, 7), (100, 6), (100, 8)] * 5:
