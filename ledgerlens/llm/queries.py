@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import decontaminate, line_dedup, mixing, quality, simhash, substring_dedup, token_prefixes, toxicity, url_lm, wrappers
+from ledgerlens.llm import (
+    decontaminate, hard_negatives, line_dedup, mixing, packing, quality, simhash, substring_dedup, token_prefixes, toxicity, url_lm, whitening,
+    wrappers)
 from ledgerlens.llm.common import table
 
 
@@ -51,11 +53,23 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.negatives_report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening_report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_report(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_substring_dedup, op2_toxicity, op3_url_filter, op4_decontamination, op5_html_extraction, op6_temperature_mixing,
         op7_token_counts, op8_quality_rules,
-        op9_line_dedup, op10_simhash_near_dedup)
+        op9_line_dedup, op10_simhash_near_dedup, op11_hard_negatives, op12_embedding_whitening, op13_packing)
 }
 
 ORACLE: dict[str, str] = {
@@ -63,4 +77,5 @@ ORACLE: dict[str, str] = {
     "op6_temperature_mixing": mixing.ORACLE,
     "op8_quality_rules": quality.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
+    "op11_hard_negatives": hard_negatives.ORACLE,
 }
