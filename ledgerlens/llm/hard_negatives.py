@@ -31,6 +31,8 @@ LEAF = 16
 SHARD_ROWS, MAX_CELLS, SAMPLE_ROWS = 4096, 256, 4096
 #: Anchors that meet a tree in one task (on average).
 TASK_ANCHORS = 8192
+#: Anchors that descend a tree together.
+BLOCK = 256
 POSITIVES, NEGATIVES = 5, 3
 #: Negatives lie between these hundredths of the positive's score.
 LOW, HIGH = 50, 95
@@ -49,15 +51,15 @@ class CoverTree:
 
     def __init__(self, **arrays):
         self.__dict__.update(arrays)
-        top = float(np.abs(self.x.astype(float)).max(initial=0.0))
-        self.whole = top * top * max(1, self.x.shape[1]) < 2 ** 52  # float64 holds all inner products exactly
-        self._x = self.x.astype(np.float64 if self.whole else object)
+        self._float = self.x.astype(np.float64)
+        self._reach = float(np.abs(self._float).max(initial=0.0))
 
     def scores(self, points: np.ndarray, q: np.ndarray) -> np.ndarray:
-        small = self.whole and float(np.abs(self.x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, len(q)) < 2 ** 52
-        if small:
-            return (self._x[points] @ q.astype(np.float64)).astype(np.int64)
-        return np.array([sum(int(a) * int(b) for a, b in zip(row, q)) for row in self.x[points]], object)
+        """Exact inner products, queries by points: float64 while it holds them,
+        then Python's whole numbers, which end where a long does."""
+        if self._reach * float(np.abs(q.astype(np.float64)).max(initial=0.0)) * max(1, q.shape[1]) < 2 ** 52:
+            return q.astype(np.float64) @ self._float[points].T
+        return np.minimum(np.maximum(q.astype(object) @ self.x[points].astype(object).T, -_LONG), _LONG - 1)
 
     def to_bytes(self) -> bytes:
         x, out = self.x, io.BytesIO()
@@ -100,20 +102,23 @@ def build(x: np.ndarray, vec_id, no_id, rid, label, norm2: float) -> CoverTree:
         if len(members):
             radius = float(apart.max())
             nodes[k][2], nodes[k][3] = radius + slack, len(nodes)
-            if len(members) <= LEAF or radius <= slack:
-                for m in members:
+            def child(point, own, below_it, d) -> None:
+                # few points need no node above them: they stand beside it
+                few = len(below_it) <= LEAF or radius <= slack
+                if own or not few:
+                    node(point, own, none if few else below_it, none if few else d)
+                for m in below_it if few else ():
                     node(m, True, none, none)
-            else:
-                cover = radius / BASE
-                near = apart <= cover
-                if near.any():
-                    node(nodes[k][0], False, members[near], apart[near])
-                rest = members[~near]
-                while len(rest):
-                    d = distances(rest[0], rest[1:])
-                    near = d <= cover
-                    node(rest[0], True, rest[1:][near], d[near])
-                    rest = rest[1:][~near]
+
+            cover = radius / BASE
+            near = apart <= cover if radius > slack else apart <= radius
+            child(nodes[k][0], False, members[near], apart[near])
+            rest = members[~near]
+            while len(rest):
+                d = distances(rest[0], rest[1:])
+                near = d <= cover
+                child(rest[0], True, rest[1:][near], d[near])
+                rest = rest[1:][~near]
             nodes[k][4] = len(nodes) - nodes[k][3]
         k += 1
     cols = list(zip(*nodes))
@@ -123,7 +128,7 @@ def build(x: np.ndarray, vec_id, no_id, rid, label, norm2: float) -> CoverTree:
                      count=count, least=least, greatest=greatest)
 
 
-def bounds(score, q2: float, norm2: float, radius) -> tuple[np.ndarray, np.ndarray]:
+def bounds(score, q2, norm2: float, radius) -> tuple[np.ndarray, np.ndarray]:
     """Least and greatest inner product of a query (squared norm ``q2``) with
     points of squared norm ``norm2`` at most, within ``radius`` (on the sphere)
     of a centre whose inner product is ``score``."""
@@ -132,57 +137,109 @@ def bounds(score, q2: float, norm2: float, radius) -> tuple[np.ndarray, np.ndarr
     slack = 1e-9 * (q2 + norm2) + 1e-9
     high = np.minimum(score + np.sqrt(q2) * radius, (q2 + norm2 - np.maximum(away - radius, 0.0) ** 2) / 2)
     low = np.maximum(score - np.sqrt(q2) * radius, (q2 + norm2 - (away + radius) ** 2) / 2)
-    return low - slack, high + slack
-
-
-def descend(tree: CoverTree, q: np.ndarray, rid: int, label: int, same: bool, lows: list[int], highs: list[int], k: int,
-            norm2: float) -> list[list[tuple]]:
-    """For each window of scores [low, high] the ``k`` best rows of the query's
-    label (or of other labels) but the query itself: (-score, no id, vec_id,
-    rid), best first."""
-    q2 = float((q.astype(np.float64) ** 2).sum())
-    found: list[list[tuple]] = [[] for _ in lows]
-    least = list(lows)  # no score below these can enter any more
+    return np.minimum(low - slack, float(_LONG)), np.maximum(high + slack, -float(_LONG))
+
+
+class Windows:
+    """The ``k`` best rows found so far of each window (lows[a, w], highs[a, w])
+    of a block of queries."""
+
+    def __init__(self, tree: CoverTree, lows: np.ndarray, highs: np.ndarray, k: int):
+        self.tree, self.highs, self.k = tree, highs, k
+        self.least = lows.copy()  # no score below these can enter any more
+        self.found: list[tuple | None] = [None] * lows.shape[1]  # by window: queries, scores, points; best first by query
+
+    def offer(self, asked: np.ndarray, points: np.ndarray, scores: np.ndarray, fit: np.ndarray) -> None:
+        """Scores of ``points`` for the queries ``asked``, where ``fit`` allows them."""
+        for w in range(len(self.found)):
+            hit = fit & (scores >= self.least[asked, w][:, None]) & (scores <= self.highs[asked, w][:, None])
+            if hit.shape[1] > 4 * self.k and hit.any():
+                # of many, those from the k-th best on
+                ranked = np.sort(np.where(hit, scores, -_LONG), axis=1) if scores.dtype == object else \
+                    np.partition(np.where(hit, scores, -np.inf), -self.k, axis=1)
+                hit &= scores >= ranked[:, -self.k][:, None]
+            a, p = np.nonzero(hit)
+            if not len(a):
+                continue
+            new = asked[a], scores[a, p], points[p]
+            if self.found[w] is not None:
+                touched = np.isin(self.found[w][0], new[0])
+                rest = tuple(c[~touched] for c in self.found[w])
+                new = tuple(np.concatenate([c[touched], n]) for c, n in zip(self.found[w], new))
+            else:
+                rest = tuple(n[:0] for n in new)
+            q, score, point = new
+            order = self._order(q, score, point)
+            q, score, point = q[order], score[order], point[order]
+            starts = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
+            rank = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q))))
+            q, score, point = q[rank < self.k], score[rank < self.k], point[rank < self.k]
+            last = rank[rank < self.k] == self.k - 1
+            self.least[q[last], w] = np.maximum(self.least[q[last], w], score[last])
+            self.found[w] = tuple(np.concatenate([r, n]) for r, n in zip(rest, (q, score, point)))
+
+    def _order(self, q, score, point) -> np.ndarray:
+        """By query, then best score, then smallest vec_id (none: last), then rid."""
+        t = self.tree
+        if score.dtype == object:
+            score = np.unique(score, return_inverse=True)[1]
+        return np.lexsort((t.rid[point], t.vec_id[point], t.no_id[point], -score, q))
+
+    def rows(self) -> list[tuple]:
+        """(query, window, score, no_id, vec_id, rid)"""
+        t, out = self.tree, []
+        for w, got in enumerate(self.found):
+            if got is not None:
+                q, score, point = got
+                out += [(int(a), w, int(s), bool(t.no_id[p]), int(t.vec_id[p]), int(t.rid[p])) for a, s, p in zip(q, score, point)]
+        return out
+
+
+def descend(tree: CoverTree, q: np.ndarray, rid: np.ndarray, label: np.ndarray, same: bool, lows: np.ndarray, highs: np.ndarray, k: int,
+            norm2: float) -> list[tuple]:
+    """For each query of a block (rows of ``q``) and each of its windows of
+    scores [low, high] the ``k`` best rows of the query's label (or of other
+    labels) but the query itself: (query, window, score, no_id, vec_id, rid).
+
+    Nodes are met by the best score they could add to any window of any query;
+    a node is scored for those queries alone whose windows it reaches into."""
+    q2 = (q.astype(np.float64) ** 2).sum(axis=1)
+    best = Windows(tree, lows, highs, k)
     order = itertools.count()
     heap: list[tuple] = []
 
-    def wanted(low: float, high: float) -> float | None:
-        """The best score that a node could add to a window, None if none."""
-        tops = [min(high, h) for a, h in zip(least, highs) if high >= a and low <= h]
-        return max(tops, default=None)
+    def wanted(asked: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The best score that nodes could add for queries (queries by nodes), -inf for none."""
+        top = np.full(low.shape, -np.inf)
+        for w in range(lows.shape[1]):
+            least, most = (m[asked, w].astype(np.float64)[:, None] for m in (best.least, highs))
+            top = np.maximum(top, np.where((high >= least) & (low <= most), np.minimum(high, most), -np.inf))
+        return top
 
-    def meet(first: int, count: int) -> None:
+    def meet(asked: np.ndarray, first: int, count: int) -> None:
         node = np.arange(first, first + count)
-        points = tree.point[node]
-        s = tree.scores(points, q)
-        labels = tree.label[points]
-        fit = tree.own[node] & ((labels == label) if same else (labels != label)) & (tree.rid[points] != rid)
-        for w, high in enumerate(highs):
-            hit = np.flatnonzero(fit & (s >= least[w]) & (s <= high))
-            if len(hit) > 8 * k:
-                cut = np.sort(s[hit])[-k]
-                hit = hit[s[hit] >= cut]
-            if len(hit):
-                new = [(-int(s[i]), bool(tree.no_id[points[i]]), int(tree.vec_id[points[i]]), int(tree.rid[points[i]])) for i in hit]
-                found[w] = sorted(found[w] + new)[:k]
-                if len(found[w]) == k:
-                    least[w] = max(least[w], -found[w][-1][0])
+        points, mine = tree.point[node], label[asked][:, None]
+        s = tree.scores(points, q[asked])
+        alike = tree.label[points] == mine
+        best.offer(asked, points, s, tree.own[node] & (alike if same else ~alike) & (tree.rid[points] != rid[asked][:, None]))
         inner = np.flatnonzero(tree.count[node] > 0)
         if len(inner):
             n = node[inner]
-            fit = (tree.least[n] <= label) & (label <= tree.greatest[n]) if same else (tree.least[n] != label) | (tree.greatest[n] != label)
-            low, high = bounds(s[inner], q2, norm2, tree.radius[n])
-            for i in np.flatnonzero(fit):
-                best = wanted(low[i], high[i])
-                if best is not None:
-                    heapq.heappush(heap, (-best, next(order), int(n[i]), low[i], high[i]))
-
-    meet(0, 1)
+            low, high = bounds(s[:, inner], q2[asked][:, None], norm2, tree.radius[n])
+            fit = (tree.least[n] <= mine) & (mine <= tree.greatest[n]) if same else (tree.least[n] != mine) | (tree.greatest[n] != mine)
+            top = np.where(fit, wanted(asked, low, high), -np.inf)
+            for j, one in enumerate(n):
+                reach = np.flatnonzero(top[:, j] > -np.inf)
+                if len(reach):
+                    heapq.heappush(heap, (-top[reach, j].max(), next(order), int(one), asked[reach], low[reach, j], high[reach, j]))
+
+    meet(np.arange(len(q)), 0, 1)
     while heap:
-        _, _, n, low, high = heapq.heappop(heap)
-        if wanted(low, high) is not None:
-            meet(int(tree.first[n]), int(tree.count[n]))
-    return found
+        _, _, n, asked, low, high = heapq.heappop(heap)
+        asked = asked[wanted(asked, low[:, None], high[:, None])[:, 0] > -np.inf]
+        if len(asked):
+            meet(asked, int(tree.first[n]), int(tree.count[n]))
+    return best.rows()
 
 
 # ---- Spark jobs -------------------------------------------------------------------
@@ -245,16 +302,22 @@ def _visits(size: int, norm2: float, centres: np.ndarray, radii: np.ndarray):
     return run
 
 
-def _search(size: int, norm2: float, same: bool, k: int):
+def _search(size: int, norm2: float, same: bool, best: int):
     names = ["rid", "place", "score", "no_id", "vec_id", "other"]
 
     def run(anchors: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(anchors) and len(trees):
             tree = CoverTree.from_bytes(trees["tree"].iloc[0])
-            for rid, label, q, lows, highs in zip(anchors["rid"], anchors["label"], matrix(anchors["x"], size), anchors["lows"], anchors["highs"]):
-                got = descend(tree, q, rid, label, same, [int(v) for v in lows], [int(v) for v in highs], k, norm2)
-                out += [(rid, w, max(min(-row[0], _LONG - 1), -_LONG), *row[1:]) for w, rows in enumerate(got) for row in rows]
+            rid, label = anchors["rid"].to_numpy(np.int64), anchors["label"].to_numpy(np.int64)
+            width = anchors["lows"].map(len).to_numpy()
+            for w in np.unique(width):  # anchors of as many windows go together
+                at = np.flatnonzero(width == w)
+                for k in range(0, len(at), BLOCK):
+                    some = at[k:k + BLOCK]
+                    lows, highs = (matrix(anchors[c].iloc[some], w) for c in ("lows", "highs"))
+                    got = descend(tree, matrix(anchors["x"].iloc[some], size), rid[some], label[some], same, lows, highs, best, norm2)
+                    out += [(rid[some[a]], place, score, *row) for a, place, score, *row in got]
         return pd.DataFrame(out, columns=names).astype({"rid": "int64", "place": "int32", "score": "int64", "no_id": "bool", "vec_id": "int64",
                                                         "other": "int64"})
 
@@ -318,7 +381,7 @@ def mine(vectors: DataFrame, is_anchor=None, positives: int = POSITIVES, negativ
     * p for the positive's score p; ties go to the smaller vec_id, null last.  Each
     row counts for itself, also when it repeats another or its id is null; a
     positive without negatives has no row; an empty table gives none.  Scores
-    are exact (saturated beyond a long).
+    are exact; beyond a long they count as its end.
     """
     is_anchor = F.col(vec_id) % ANCHOR_EVERY == 0 if is_anchor is None else is_anchor
     rows = materialise(

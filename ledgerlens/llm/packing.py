@@ -42,6 +42,7 @@ class ChunkEncoder(dict):
         import json
 
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         with open(path, encoding="utf-8") as f:
             if not _drops_space(json.load(f)):
@@ -49,16 +50,16 @@ class ChunkEncoder(dict):
         super().__init__()
         self._encoder = Tokenizer.from_file(path)
         self._words = Tokenizer(self._encoder.model)  # for words that need no normalising and no search for words
+        self._words.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
 
     def __missing__(self, chunk: str) -> bytes:
-        # ASCII letters and the marks after them are matched apart; a lower-case word goes to the model as it is
-        parts = _WORD_AND_MARKS(chunk)
-        if parts is None:
+        if chunk.isascii() and chunk.islower() and chunk.isalpha():  # most of them: a word as it is
+            ids = _bytes(self._words, chunk)
+        elif not _PLAIN(chunk) or "<|" in chunk:
             ids = _bytes(self._encoder, chunk)
-        elif parts[2] or not chunk.islower():
-            ids = self[parts[1].lower()] + (self[parts[2]] if parts[2] else b"")
         else:
-            ids = _bytes(self._words, chunk)
+            words = _WORDS(chunk.lower())
+            ids = _bytes(self._words, chunk) if len(words) == 1 and words[0] == chunk else b"".join(map(self.__getitem__, words))
         if len(chunk) <= MAX_CHUNK_CHARS and len(self) < MAX_CHUNKS:
             self[chunk] = ids
         return ids
@@ -69,14 +70,19 @@ class ChunkEncoder(dict):
         return b"".join(map(self.__getitem__, text.split(" ")))
 
 
-#: ASCII letters, then marks other than the apostrophe, which starts words of its own ('s, 'll), and `<`, which starts
-#: the strings of special tokens.
-_WORD_AND_MARKS = re.compile(r"([A-Za-z]+)([!-&(-/:;=-@\[-`{-~]*)").fullmatch
+_LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+#: Chunks of printable ASCII and composed Latin letters: lower-casing them is all that normalising does.
+_PLAIN = re.compile(f"[!-~{_LATIN}]+").fullmatch
+#: The file's words, in such text (fixed value: the pattern of `word_bpe`, its classes restricted to that text).
+_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^\sa-z0-9{_LATIN}]+").findall
 
 
 def _bytes(encoder, text: str) -> bytes:
     ids = encoder.encode(text, add_special_tokens=False).ids
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
+
+
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
@@ -90,15 +96,19 @@ def encoder(path: str) -> ChunkEncoder:
     return _ENCODERS[path]
 
 
+#: Fixed value: the pattern that `word_bpe` files look for words by.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 def _drops_space(spec: dict) -> bool:
-    """Whether the first pre-tokenizer keeps only matches that hold no white space."""
+    """Whether lower-cased matches of ``_PATTERN``, which hold no white space, go to byte-level BPE."""
     pre = spec.get("pre_tokenizer") or {}
     first = (pre.get("pretokenizers") or [pre])[0]
     normal = spec.get("normalizer") or {}
     kinds = {n.get("type") for n in (normal.get("normalizers") or [normal])}
     return (first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True
-            and r"[^\s\p{L}\p{N}]+" in first["pattern"].get("Regex", "")
-            and kinds <= {"NFC", "Replace", "Lowercase", None})
+            and first["pattern"].get("Regex", "") == _PATTERN and kinds <= {"NFC", "Replace", "Lowercase"} and "Lowercase" in kinds
+            and (spec.get("model") or {}).get("type") == "BPE")
 
 
 class Packer:

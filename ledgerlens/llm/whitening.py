@@ -23,74 +23,66 @@ COMPONENTS = 4
 #: The longest vector: its covariance (8 bytes an entry) is held by the driver and summed by rows.
 MAX_SIZE = 4096
 #: Quadrature points on the half circle, refinements at most, and the residual aimed at (times the norm of the matrix).
-POINTS, ROUNDS, RESIDUAL = 8, 40, 4e-15
+POINTS, ROUNDS, RESIDUAL = 16, 60, 4e-15
 #: Eigenvalues below this share of the greatest count as zero: their components have no direction of their own.
 ZERO = 1e-12
 
 
 # ---- eigenvalues of a symmetric matrix by contour integration -----------------
-def inertia(a: np.ndarray) -> tuple[int, int]:
-    """(negative, positive) eigenvalues of a symmetric matrix, by Sylvester's
-    law from L D L^T with symmetric pivoting by blocks of one and two."""
-    a = a.copy()
-    n = len(a)
-    alpha = (1 + np.sqrt(17)) / 8
-    negative = positive = k = 0
-    tiny = np.finfo(float).eps * max(1e-300, np.abs(a).max(initial=0.0))
-    while k < n:
-        rest = a[k:, k:]
-        diagonal = np.abs(np.diagonal(rest))
-        p = int(np.argmax(diagonal))
-        off = np.abs(np.tril(rest, -1))
-        i, j = np.unravel_index(int(np.argmax(off)), off.shape)
-        if max(diagonal[p], off[i, j]) <= tiny:
-            break
-        if diagonal[p] >= alpha * off[i, j]:
-            _swap(a, k, k + p)
-            d = a[k, k]
-            negative, positive = negative + (d < 0), positive + (d > 0)
-            c = a[k + 1:, k].copy()
-            a[k + 1:, k + 1:] -= np.outer(c, c / d)
-            k += 1
-        else:  # a block of two with a negative determinant: one eigenvalue of each sign
-            _swap(a, k, k + j)
-            _swap(a, k + 1, k + i)
-            c = a[k + 2:, k:k + 2].copy()
-            a[k + 2:, k + 2:] -= c @ np.linalg.solve(a[k:k + 2, k:k + 2], c.T)
-            negative, positive = negative + 1, positive + 1
-            k += 2
-    return int(negative), int(positive)
-
-
-def _swap(a: np.ndarray, i: int, j: int) -> None:
-    if i != j:
-        a[[i, j]] = a[[j, i]]
-        a[:, [i, j]] = a[:, [j, i]]
-
-
-def count_above(a: np.ndarray, x: float) -> int:
-    return inertia(a - x * np.eye(len(a)))[1]
-
-
-def interval_of(a: np.ndarray, k: int) -> tuple[float, float, int]:
+class Inertia:
+    """Counts of the eigenvalues of a symmetric matrix above given points, by
+    Sylvester's law: pivots of the shifted matrix, which Householder
+    reflections bring to tridiagonal form once (a congruence)."""
+
+    def __init__(self, a: np.ndarray):
+        a, n = a.astype(np.float64).copy(), len(a)
+        for k in range(n - 2):
+            x = a[k + 1:, k]
+            length = np.linalg.norm(x)
+            if length and np.abs(x[1:]).max() > 0:
+                v = x.copy()
+                v[0] += np.copysign(length, v[0])
+                v /= np.linalg.norm(v)
+                rest = a[k + 1:, k + 1:]
+                w = rest @ v
+                w -= (w @ v) * v
+                rest -= 2 * (np.outer(v, w) + np.outer(w, v))
+                a[k + 1, k] = -np.copysign(length, x[0])
+        self.diagonal, self.off2 = np.diagonal(a).copy(), np.diagonal(a, -1) ** 2
+        self.tiny = np.finfo(float).tiny / np.finfo(float).eps
+
+    def above(self, x) -> np.ndarray | int:
+        """Eigenvalues greater than ``x`` (a number, or each of an array)."""
+        shift = np.asarray(x, np.float64)
+        count = np.zeros(shift.shape, np.int64)
+        pivot = np.ones(shift.shape)
+        for d, e in zip(self.diagonal, np.append(0.0, self.off2)):
+            pivot = d - shift - e / pivot
+            pivot = np.where(np.abs(pivot) < self.tiny, -self.tiny, pivot)
+            count += pivot > 0
+        return count if shift.shape else int(count)
+
+
+def interval_of(inertia: Inertia, bound: float, k: int) -> tuple[float, float, int]:
     """(low, high, eigenvalues within): an interval around the ``k`` greatest
-    eigenvalues (more where equal ones straddle its end), by bisection over
-    inertia counts."""
-    high = float(np.abs(a).sum(axis=1).max())  # Gershgorin
-    low, bound = -high, high * (1 + 1e-9) + 1e-300
-    top, found = bound, len(a)
-    below = low
-    # below: at least k lie above it; top: fewer than k do
-    while top - below > 1e-9 * bound:
-        mid = (below + top) / 2
-        c = count_above(a, mid)
-        if c >= k:
-            below, found = mid, c
-            if c == k:
-                break
-        else:
-            top = mid
-    return below, bound, found
+    eigenvalues (more where equal ones straddle its end), all of them between
+    -``bound`` and ``bound``.  Inertia counts at 64 points at a time close in
+    on the greatest eigenvalue and on the gap that ``low`` halves."""
+    def narrow(count: int, low: float, high: float) -> tuple[float, float]:
+        """Neighbours of the ``count``-th eigenvalue: at least as many above the first, fewer above the second."""
+        while high - low > 1e-10 * bound:
+            x = np.linspace(low, high, 66)[1:-1]
+            c = inertia.above(x)
+            low, high = max([low, *x[c >= count]]), min([high, *x[c < count]])
+        return low, high
+
+    bound *= 1 + 1e-9
+    top = narrow(1, -bound, bound)[1]
+    edge = narrow(k, -bound, top)[0]
+    within = inertia.above(edge)
+    under = narrow(within + 1, -bound, edge)[1] if within < len(inertia.diagonal) else -bound
+    low = (edge + max(under, edge - (top - edge) - bound * 1e-3)) / 2
+    return low, top + 0.05 * (top - low), within
 
 
 def feast(a: np.ndarray, low: float, high: float, within: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,10 +132,11 @@ def top_components(a: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     scale = float(np.trace(a)) if len(a) else 0.0
     if not scale > 0:
         return np.zeros(0), np.zeros((len(a), 0))
-    k = min(k, count_above(a, ZERO * scale))
-    low, high, within = interval_of(a, k)
+    inertia = Inertia(a)
+    k = min(k, inertia.above(ZERO * scale))
+    low, high, within = interval_of(inertia, float(np.abs(a).sum(axis=1).max()), k)  # Gershgorin's bound
     values, vectors = feast(a, low, high, within)
-    if count_above(a, low) != len(values) or count_above(a, high):
+    if inertia.above(low) != len(values) or inertia.above(high):
         raise ArithmeticError("the interval's inertia disagrees with the components found")
     return values[:k], vectors[:, :k]
 

@@ -87,6 +87,12 @@ def test_negatives_of_huge_components_are_exact(spark):
     assert Counter(map(tuple, hard_negatives.mine(vectors_of(spark, rows)).collect())) == brute_negatives(rows)
 
 
+def test_negatives_beyond_a_long_do_not_crash(spark):
+    rows = [(i, [1e12 + i, -1e11 * i], i % 2) for i in range(0, 100, 10)]
+    got = hard_negatives.mine(vectors_of(spark, rows)).collect()
+    assert all(r.positive_score == 2 ** 63 - 1 for r in got)
+
+
 def test_tree_covers_every_point_once_and_descends_exactly():
     r = np.random.default_rng(8)
     for spread, n in ((0.05, 900), (1.0, 300), (0.0, 200)):
@@ -106,13 +112,13 @@ def test_tree_covers_every_point_once_and_descends_exactly():
         for k in range(len(tree.point)):
             inside = [tree.point[c] for c in below(k)]
             assert all(np.linalg.norm(p[j] - p[tree.point[k]]) <= tree.radius[k] + 1e-6 for j in inside)
-        for a in range(0, n, 37):
-            s = x @ x[a]
-            lows, highs = [int(s.min()) + 5, 20_000, 70_000], [40_000, 50_000, 10]
-            got = hard_negatives.descend(tree, x[a], a, labels[a], False, lows, highs, 4, norm2)
-            for w, (lo, hi) in enumerate(zip(lows, highs)):
-                want = sorted((-int(s[j]), False, j, j) for j in range(n) if labels[j] != labels[a] and lo <= s[j] <= hi)[:4]
-                assert got[w] == want
+        asked = np.arange(0, n, 37)
+        s = x @ x[asked].T
+        lows = np.column_stack([s.min(axis=0) + 5, np.full(len(asked), 20_000), np.full(len(asked), 70_000)])
+        highs = np.column_stack([np.full(len(asked), h) for h in (40_000, 50_000, 10)])
+        got = Counter(hard_negatives.descend(tree, x[asked], asked, labels[asked], False, lows, highs, 4, norm2))
+        assert got == Counter((c, w, int(s[j, c]), False, j, j) for c, a in enumerate(asked) for w in range(3) for j in sorted(
+            (j for j in range(n) if labels[j] != labels[a] and lows[c, w] <= s[j, c] <= highs[c, w]), key=lambda j: (-s[j, c], j))[:4])
 
 
 def test_descent_leaves_out_most_of_a_clustered_table(monkeypatch):
@@ -122,7 +128,7 @@ def test_descent_leaves_out_most_of_a_clustered_table(monkeypatch):
     seen = []
     plain = hard_negatives.CoverTree.scores
     monkeypatch.setattr(hard_negatives.CoverTree, "scores", lambda self, points, q: seen.append(len(points)) or plain(self, points, q))
-    hard_negatives.descend(tree, x[5], 5, 1, True, [-2 ** 63], [2 ** 63 - 1], 5, norm2)
+    hard_negatives.descend(tree, x[5:6], np.array([5]), np.array([1]), True, np.array([[-2 ** 63]]), np.array([[2 ** 63 - 1]]), 5, norm2)
     assert sum(seen) < 1000
 
 
@@ -177,11 +183,18 @@ def test_contour_integration_and_inertia_against_a_dense_solver():
         z = r.standard_normal((n, n))
         z = z + z.T
         w = np.linalg.eigvalsh(z)
-        assert whitening.inertia(z) == ((w < 0).sum(), (w > 0).sum())
+        inertia = whitening.Inertia(z)
+        assert inertia.above(0.0) == (w > 0).sum()
+        assert inertia.above((w[1:] + w[:-1]) / 2).tolist() == list(range(n - 1, 0, -1))
         low = (w[n // 2] + w[n // 2 - 1]) / 2 if n > 1 else w[0] - 1
-        e, v = whitening.feast(z, low, w[-1] + 1, whitening.count_above(z, low))
+        e, v = whitening.feast(z, low, w[-1] + 1, inertia.above(low))
         assert np.allclose(e, w[w > low][::-1]) and np.allclose(z @ v, v * e, atol=1e-10)
     assert np.allclose(whitening.top_components(np.diag([3.0, 3, 3, 2, 0]), 2)[0], [3, 3], rtol=1e-13)
+    for power in (1.0, 4.0, 1e-3):  # steep, and so flat that the next eigenvalues lie close by
+        q, _ = np.linalg.qr(r.standard_normal((60, 60)))
+        w = np.sort(1000.0 * (1 + np.arange(60) / 60) ** power)[::-1]
+        e, v = whitening.top_components((q * w) @ q.T, 4)
+        assert np.allclose(e, w[:4], rtol=1e-12) and np.allclose(np.abs(np.sum(v * q[:, :4], axis=0)), 1, atol=1e-9)
     with pytest.raises(ArithmeticError):  # the interval doesn't hold what is asked of it
         whitening.feast(np.diag([5.0, 1.0, 0.5]), 4.0, 6.0, 2)
 
