@@ -1,9 +1,10 @@
 """Quality rules with adaptive thresholds.
 
 Fixed base rules reject short and repetitive texts.  The rest is held against
-fences learnt for each language and source: quartiles from mergeable quantile
-sketches (counts of log-linear buckets, relative error 1/64, merged by adding
-counts), joined back to the rows.  DataFrame functions only.
+fences learnt for each language and source: quantiles from mergeable sketches
+(counts of log-linear buckets, relative error 1/64, merged by adding counts),
+joined back to the rows.  A fence lies beyond a high (low) quantile by
+multiples of its distance from the median.  DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -17,14 +18,14 @@ MIN_WORDS = 50
 MAX_REPEAT_PCT = 50
 #: A group with fewer rows takes its language's fences, and that of a small language those of all rows.
 MIN_GROUP = 100
-#: Fences lie this many spreads (interquartile range, at least `floor`) beyond the quartiles.
-SPREADS = 3
-#: measure: (least spread, upper fence, lower fence); ratios in 1/10,000, word length in 1/1,000 characters.
+#: measure: (quantile in hundredths, spreads beyond it, least spread, lower fence too); a spread is the quantile's distance
+#: from the median.  Symbols and word length tell whole kinds of junk (up to a tenth of a source), the others a few odd rows.
+#: Ratios in 1/10,000, word length in 1/1,000 characters; least spreads only keep one odd sign from rejecting a text.
 MEASURES = {
-    "symbols": (100, True, False),
-    "dup_lines": (1500, True, False),
-    "repeats": (1600, True, False),
-    "word_length": (1000, True, True),
+    "symbols": (90, 3, 20, False),
+    "dup_lines": (98, 1, 100, False),
+    "repeats": (98, 1, 100, False),
+    "word_length": (90, 3, 100, True),
 }
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _BITS = 7
@@ -64,12 +65,16 @@ def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
     same = lambda a, b: F.coalesce(F.shiftright(a, 31) == F.shiftright(b, 31), F.lit(False))
     df = df.select(*keep2, "_w", F.filter(
         "_s", lambda x, i: same(x, F.get("_s", i - 1)) | same(x, F.get("_s", i + 1))).alias("_c"))
-    df = df.select(*keep2, F.when(F.size("_c") == 0, None).otherwise(F.sort_array(F.transform("_c", lambda x: F.struct(
-        F.concat_ws(" ", F.slice("_w", x.bitwiseAND(place).cast("int") + 1, F.lit(3))).alias("g"),
-        x.bitwiseAND(place).cast("int").alias("p"))))).alias("_g"))
+    # neighbours of one hash are the same three words, or else all candidates of the row are compared as text
+    at = lambda x: x.bitwiseAND(place).cast("int")
+    word = lambda x, k: F.get("_w", at(x) + k)
+    clash = F.filter("_c", lambda x, i: same(x, F.get("_c", i - 1)) & ~(
+        (word(x, 0) == word(F.get("_c", i - 1), 0)) & (word(x, 1) == word(F.get("_c", i - 1), 1)) & (word(x, 2) == word(F.get("_c", i - 1), 2))))
+    df = df.select(*keep2, "_w", "_c", F.when(F.size(clash) > 0, F.sort_array(F.transform("_c", lambda x: F.struct(
+        F.concat_ws(" ", F.slice("_w", at(x) + 1, F.lit(3))).alias("g"), at(x).alias("p"))))).alias("_g"))
     equal = lambda a, b: F.coalesce(a["g"] == b["g"], F.lit(False))
-    df = df.select(*keep2, F.sort_array(F.transform(F.filter(
-        "_g", lambda x, i: equal(x, F.get("_g", i - 1)) | equal(x, F.get("_g", i + 1))), lambda x: x["p"])).alias("_p"))
+    df = df.select(*keep2, F.sort_array(F.when(F.col("_g").isNull(), F.transform("_c", at)).otherwise(F.transform(F.filter(
+        "_g", lambda x, i: equal(x, F.get("_g", i - 1)) | equal(x, F.get("_g", i + 1))), lambda x: x["p"]))).alias("_p"))
     covered = F.aggregate(F.transform("_p", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("_p", i + 1) - p, F.lit(3)))),
                           F.lit(0).cast("long"), lambda a, x: a + x)
     return df.select(*keep, *[F.col(n) for n in names if n != "n_repeat_words" and n != "n_text_lines"],
@@ -126,18 +131,17 @@ def thresholds(features: DataFrame) -> DataFrame:
     w = Window.partitionBy("level", "lang", "source", "measure")
     ranked = (levels.withColumn("total", F.sum("n").over(w))
               .withColumn("upto", F.sum("n").over(w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))))
+    least = lambda share: bucket_floor(F.min(F.when(100 * F.col("upto") >= share * F.col("total"), F.col("bucket"))))
+    high = F.element_at(F.create_map(*[F.lit(v) for k, m in MEASURES.items() for v in (k, m[0])]), F.col("measure"))
     q = (ranked.groupBy("level", "lang", "source", "measure").agg(
-        F.first("total").alias("total"),
-        bucket_floor(F.min(F.when(4 * F.col("upto") >= F.col("total"), F.col("bucket")))).alias("q1"),
-        bucket_floor(F.min(F.when(4 * F.col("upto") >= 3 * F.col("total"), F.col("bucket")))).alias("q3")))
+        F.first("total").alias("total"), least(50).alias("mid"), least(high).alias("high"), least(100 - high).alias("low")))
     fences = []
-    for k, (floor, up, down) in MEASURES.items():
-        spread = SPREADS * F.greatest(F.col("q3") - F.col("q1"), F.lit(floor))
-        if up:
-            fences.append(F.max(F.when(F.col("measure") == k, F.col("q3") + spread)).alias(f"hi_{k}"))
+    for k, (_, spreads, floor, down) in MEASURES.items():
+        beyond = lambda d: spreads * F.greatest(d, F.lit(floor))
+        fences.append(F.max(F.when(F.col("measure") == k, F.col("high") + beyond(F.col("high") - F.col("mid")))).alias(f"hi_{k}"))
         if down:
-            fences.append(F.max(F.when(F.col("measure") == k, F.col("q1") - spread)).alias(f"lo_{k}"))
-    names = [f"hi_{k}" for k, v in MEASURES.items() if v[1]] + [f"lo_{k}" for k, v in MEASURES.items() if v[2]]
+            fences.append(F.max(F.when(F.col("measure") == k, F.col("low") - beyond(F.col("mid") - F.col("low")))).alias(f"lo_{k}"))
+    names = [f"hi_{k}" for k in MEASURES] + [f"lo_{k}" for k, m in MEASURES.items() if m[3]]
     wide = materialise(q.groupBy("level", "lang", "source").agg(F.max("total").alias("total"), *fences), "quality-fences")
     groups = features.select("lang", "source").distinct()
     pick = lambda lv, extra=(): wide.filter(f"level = {lv}" + (f" and total >= {MIN_GROUP}" if lv < 2 else ""))
@@ -156,9 +160,8 @@ def judge(features: DataFrame, fences: DataFrame) -> DataFrame:
     one is a group like any other)."""
     m = _measures()
     inside = F.lit(True)
-    for k, (_, up, down) in MEASURES.items():
-        if up:
-            inside = inside & F.coalesce(m[k] <= F.col(f"_f_hi_{k}"), F.lit(True))
+    for k, (*_, down) in MEASURES.items():
+        inside = inside & F.coalesce(m[k] <= F.col(f"_f_hi_{k}"), F.lit(True))
         if down:
             inside = inside & F.coalesce(m[k] >= F.col(f"_f_lo_{k}"), F.lit(True))
     f = fences.select(*[F.col(c).alias(f"_f_{c}") for c in fences.columns])
@@ -191,10 +194,11 @@ def drop_low_quality(docs: DataFrame) -> DataFrame:
 def _oracle() -> str:
     half = 1 << (_BITS - 1)
     fence = []
-    for k, (floor, up, down) in MEASURES.items():
-        fence.append(f"max(CASE WHEN measure = '{k}' THEN q3 + {SPREADS} * greatest(q3 - q1, {floor}) END) AS hi_{k}")
+    for k, (_, spreads, floor, down) in MEASURES.items():
+        fence.append(f"max(CASE WHEN measure = '{k}' THEN high + {spreads} * greatest(high - mid, {floor}) END) AS hi_{k}")
         if down:
-            fence.append(f"max(CASE WHEN measure = '{k}' THEN q1 - {SPREADS} * greatest(q3 - q1, {floor}) END) AS lo_{k}")
+            fence.append(f"max(CASE WHEN measure = '{k}' THEN low - {spreads} * greatest(mid - low, {floor}) END) AS lo_{k}")
+    share = "CASE measure " + " ".join(f"WHEN '{k}' THEN {m[0]}" for k, m in MEASURES.items()) + " END"
     names = [x.rsplit(" ", 1)[1] for x in fence]
     pick = ", ".join(f"CASE WHEN o.level IS NOT NULL THEN o.{n} WHEN l.level IS NOT NULL THEN l.{n} ELSE a.{n} END AS {n}" for n in names)
     floor_of = lambda b: f"CASE WHEN {b} < {2 * half} THEN {b} ELSE ({b} - ({b} // {half} - 1) * {half}) << ({b} // {half} - 1)::INT END"
@@ -223,9 +227,10 @@ lv AS (SELECT 0 AS level, lang, source, measure, bucket, count(*) AS n FROM k GR
   UNION ALL SELECT 2, NULL, NULL, measure, bucket, count(*) FROM k GROUP BY ALL),
 c AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure) AS total,
         sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY bucket) AS upto FROM lv),
-q AS (SELECT level, lang, source, measure, max(total) AS total, min(CASE WHEN 4 * upto >= total THEN bucket END) AS b1,
-        min(CASE WHEN 4 * upto >= 3 * total THEN bucket END) AS b3 FROM c GROUP BY ALL),
-qq AS (SELECT *, {floor_of('b1')} AS q1, {floor_of('b3')} AS q3 FROM q),
+q AS (SELECT level, lang, source, measure, max(total) AS total, min(CASE WHEN 100 * upto >= 50 * total THEN bucket END) AS b5,
+        min(CASE WHEN 100 * upto >= {share} * total THEN bucket END) AS b9,
+        min(CASE WHEN 100 * upto >= (100 - {share}) * total THEN bucket END) AS b1 FROM c GROUP BY ALL),
+qq AS (SELECT *, {floor_of('b1')} AS low, {floor_of('b5')} AS mid, {floor_of('b9')} AS high FROM q),
 wide AS (SELECT level, lang, source, max(total) AS total, {', '.join(fence)} FROM qq GROUP BY ALL),
 th AS (SELECT x.lang, x.source, {pick} FROM (SELECT DISTINCT lang, source FROM b) x
   LEFT JOIN (SELECT * FROM wide WHERE level = 0 AND total >= {MIN_GROUP}) o

@@ -371,3 +371,41 @@ def test_odd_rows_and_clashing_names(spark, odd):
 def test_empty_tables(spark, no_docs):
     for name, df, added in runs(spark, no_docs):
         assert df.count() == 0, name
+
+
+def test_repeated_windows_when_all_hashes_clash(spark, monkeypatch):
+    texts = ["a b c d a b c x", "a b c a b c a b c", "p q r s t u v", "a b a b a", "", None, "x y z w x y q y z w"]
+    want = [r.n_repeat_words for r in quality.with_features(docs_of(spark, texts)).orderBy("doc_id").collect()]
+    assert want == [6, 9, 0, 5, 0, 0, 6]
+    monkeypatch.setattr(quality.F, "xxhash64", lambda *c: quality.F.lit(1 << 50))
+    assert [r.n_repeat_words for r in quality.with_features(docs_of(spark, texts)).orderBy("doc_id").collect()] == want
+
+
+def test_fences_follow_the_habits_of_a_source(spark):
+    def text(seed, symbols, dups, repeats, long_words):
+        """60 lines of prose with so many symbols, copied lines, repeated windows and long words."""
+        w = prose(seed, 600).split("\n")
+        w[0] += " #" * symbols
+        w += w[1:1 + dups]
+        w[2] += " " + " ".join(f"one two three{seed}" for _ in range(repeats))
+        w[3] += " " + " ".join("q" * 60 + str(seed) + str(k) for k in range(long_words))
+        return "\n".join(w)
+
+    calm = [("calm", text(k, k % 3, k % 2, 0, k % 2)) for k in range(200)]
+    busy = [("busy", text(1000 + k, 20 + k % 40, 5 + k % 10, 5 + k % 10, 5 + k % 10)) for k in range(200)]
+    odd = text(5000, 45, 12, 12, 12)
+    rows = [(k, t, "en", s, len(t)) for k, (s, t) in enumerate([*calm, *busy, ("calm", odd), ("busy", odd)])]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    fences = {r.source: r for r in quality.thresholds(quality.with_features(docs)).collect()}
+    for k in quality.MEASURES:
+        assert fences["calm"][f"hi_{k}"] < fences["busy"][f"hi_{k}"]
+    kept = {r.doc_id: r.kept for r in quality.quality_report(docs).collect()}
+    assert not kept[400] and kept[401]
+    assert sum(kept[i] for i in range(400)) >= 390
+
+
+def test_repeated_rows_of_one_id_are_documents_of_their_own(spark):
+    df = spark.createDataFrame([(7, "same line\nown", "en", "s", 1)] * 10 + [(8, "other\nSAME line ", "en", "s", 1)], SCHEMA)
+    rows = line_dedup.drop_common_lines(df).collect()
+    assert [(r.n_lines, r.n_dropped, r.kept_text) for r in rows if r.doc_id == 7] == [(2, 2, "")] * 10
+    assert [(r.n_dropped, r.kept_text) for r in rows if r.doc_id == 8] == [(1, "other")]
