@@ -654,3 +654,40 @@ def remove_models_q(spark, sf_dir):
 def dataset_profile_q(spark, sf_dir):
     """Profile of the conformed ledger."""
     return registry.profile_dataset(td.ledger(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# quoted CSV ledgers and categoricals with many levels
+# ---------------------------------------------------------------------------
+from ledgerlens.operators.model import train_model  # noqa: E402
+
+
+@query("ledger_csv_quoted")
+def ledger_csv_quoted_q(spark, sf_dir):
+    """The ledger written as CSV files whose customers hold doubled
+    quotes, commas and line ends, read back by records and cleaned."""
+    name = F.concat(F.lit('Acme "'), F.initcap("customer"), F.lit('", Ltd'),
+                    F.when(F.col("line_no") % 3 == 0, F.concat(F.lit("\nSite, "), F.col("line_no").cast("string"))).otherwise(F.lit("")))
+    folder = f"{checkpoint_root(spark)}/ledger-csv-{uuid.uuid4().hex}"
+    (td.ledger(spark, sf_dir).select(
+        F.col("order_id").alias("Order Id"), F.col("line_no").alias("id"), F.date_format("order_date", "yyyy-MM-dd").alias("Order Date"),
+        name.alias("Customer"), "region", F.format_number("total_revenue", 4).alias("Total Revenue"),
+        F.col("cogs").alias("COGS"), F.col("sga").alias("SG&A"))
+     .write.option("header", True).option("escape", '"').option("quoteAll", False).csv(folder))
+    c = ledger_csv.clean_ledger(ledger_csv.read_ledger_csv(spark, folder))
+    return c.select("order_id", F.col("row_no").alias("line_no"), "order_date", "region", "customer", *_r(["total_revenue", "cogs", "sga"], 6))
+
+
+@query("train_wide_levels")
+def train_wide_levels_q(spark, sf_dir):
+    """M4 / M7 / M8 / M10 with a level for every part: baseline and ridge
+    (penalty 10) of revenue on labour and part, scored over all rows and
+    summed by part with the line number as weight."""
+    rows = td.table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("customer"), F.col("l_linenumber").alias("line_no"),
+        (F.col("l_quantity") * 25 / 2).alias("direct_labor"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("total_revenue"))
+    model, _ = train_model(rows, targets=["total_revenue"], features=["customer", "direct_labor"], test_size=0.0, alphas=[10.0], wide_levels=0)
+    scored = model.prepare(rows)
+    total = lambda algo: F.round(F.sum(model.prepared_prediction(algo, "total_revenue") * F.col("line_no")), 2)
+    return scored.groupBy("customer").agg(F.count(F.lit(1)).alias("row_count"), total("baseline").alias("baseline_total"),
+                                          total("ridge").alias("ridge_total"))

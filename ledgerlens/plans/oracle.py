@@ -527,3 +527,27 @@ ORACLE["model_evaluation"] = with_views(f"""{JOINED}, sc AS (SELECT *, {_preds()
 SELECT target, model, round(a, 4) AS "MAE", round(r, 4) AS "RMSE", round(q, 6) AS "R2", round(p, 4) AS "MAPE"
 FROM ev, (SELECT unnest(['baseline', 'ridge']) AS model)
 """)
+
+ORACLE["ledger_csv_quoted"] = with_views("""
+t AS (SELECT order_id, line_no, order_date, region,
+        'Acme "' || upper(customer[1]) || lower(customer[2:]) || '", Ltd'
+          || CASE WHEN line_no % 3 = 0 THEN chr(10) || 'Site, ' || line_no ELSE '' END AS customer,
+        total_revenue, cogs, sga FROM ledger)
+SELECT order_id, line_no, order_date, region, customer, round(total_revenue, 6) AS total_revenue, round(cogs, 6) AS cogs, round(sga, 6) AS sga FROM t
+""")
+
+ORACLE["train_wide_levels"] = """
+WITH r AS (SELECT 'P' || l_partkey AS customer, l_linenumber AS line_no, l_extendedprice * (1 - l_discount) AS y, l_quantity * 25 / 2 AS x FROM lineitem),
+s AS (SELECT avg(x) AS mx, stddev_pop(x) AS sx FROM r),
+z AS (SELECT r.*, (x - mx) / sx AS zx FROM r, s),
+g AS (SELECT customer, count(*)::DOUBLE AS n, sum(zx) AS z1, sum(y) AS y1 FROM z GROUP BY 1),
+w AS (SELECT sum((zx - z1 / n) * (y - y1 / n)) / sum((zx - z1 / n) * (zx - z1 / n)) AS b FROM z JOIN g USING (customer)),
+t AS (SELECT count(*)::DOUBLE AS n, sum(zx) AS z1, sum(zx * zx) AS zz, sum(y) AS y1, sum(zx * y) AS zy FROM z),
+e AS (SELECT sum(n * n / (n + 10)) AS nn, sum(n * z1 / (n + 10)) AS nz, sum(z1 * z1 / (n + 10)) AS zz,
+             sum(n * y1 / (n + 10)) AS ny, sum(z1 * y1 / (n + 10)) AS zy FROM g),
+c AS (SELECT t.n - e.nn AS s00, t.z1 - e.nz AS s01, t.zz + 10 - e.zz AS s11, t.y1 - e.ny AS r0, t.zy - e.zy AS r1 FROM t, e),
+b AS (SELECT (s11 * r0 - s01 * r1) / (s00 * s11 - s01 * s01) AS b0, (s00 * r1 - s01 * r0) / (s00 * s11 - s01 * s01) AS b1 FROM c)
+SELECT z.customer, count(*) AS row_count, round(sum((y1 / n + b * (zx - z1 / n)) * line_no), 2) AS baseline_total,
+       round(sum((b0 + b1 * zx + (y1 - n * b0 - z1 * b1) / (n + 10)) * line_no), 2) AS ridge_total
+FROM z JOIN g USING (customer), w, b GROUP BY 1
+"""

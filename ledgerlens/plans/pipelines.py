@@ -215,7 +215,7 @@ def factors_from_batch(spark, batches: DataFrame, uploads: DataFrame, company_id
     hit = registry.resolve_batch_files(batches, uploads, company_id=company_id, batch_id=batch_id).select("file_path").first()
     if hit is None:
         raise ValueError(f"batch {batch_id} of company {company_id} has no sub-ledger file")
-    wide = spark.read.option("header", True).csv(hit.file_path)
+    wide = ledger_csv.read_csv_text(spark, hit.file_path)
     return factors_from_csv(spark, wide, store, company_id)
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from ledgerlens.functions.dates import date_from_year_mo, parse_ledger_date
 from ledgerlens.functions.text import clean_category, missing_to_null, to_number
 from ledgerlens.schema import DIMS, TARGETS, clean_name
+from ledgerlens.sources import quoted_csv
 
 _UNNAMED = "_c"
 
@@ -27,17 +28,26 @@ def read_ledger_csv(spark: SparkSession, path: str) -> DataFrame:
     N/A, NaN, null, None) become NULL; all-NULL columns and rows dropped.
     Without an ``id`` column, ``row_no`` records file order (file, place in
     the file; see ``file_order``) for the first/latest-row rules."""
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    raw = read_csv_text(spark, path)
     keep = [c for c in raw.columns
-            if c.strip() and not (c.startswith(_UNNAMED) and c[len(_UNNAMED):].isdigit())]
+            if c.strip() and c != "_at" and not (c.startswith(_UNNAMED) and c[len(_UNNAMED):].isdigit())]
     ordered = "row_no" not in [clean_name(c) for c in keep]
     df = raw.select(*[missing_to_null(F.col(f"`{c}`")).alias(clean_name(c)) for c in keep],
-                    *([file_order(raw).alias("row_no")] if ordered else []))
+                    *([(F.col("_at") if "_at" in raw.columns else file_order(raw)).alias("row_no")] if ordered else []))
     counts = df.agg(*[F.count(c).alias(c) for c in df.columns]).first()
     full = [c for c in df.columns if counts[c] > 0]
     return df.select(*full).dropna(how="all", subset=[c for c in full if not (ordered and c == "row_no")])
 
 
+def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
+    """CSV files as text columns.  Files without any quote are read line by
+    line; others by records (``quoted_csv``), so that commas, doubled quotes
+    and line ends within fields stay, at no loss of parallel reading."""
+    if quoted_csv.has_quotes(spark, path):
+        return quoted_csv.read_quoted_csv(spark, path)
+    return spark.read.option("header", True).option("inferSchema", False).csv(path)
+
+
 def file_order(df: DataFrame):
     """A sortable column of the rows' order in their files: path, start of the
     split, place in the split (which depends on how splits are dealt only
