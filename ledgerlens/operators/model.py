@@ -10,7 +10,9 @@ Training never gathers rows: the driver only sees d x d matrices
   a hash fraction keeps the split a per-row filter;
 * imputation (M1, M2): exact training medians (skew-safe) and modes;
 * scaling (M3): training mean and *population* std, zero std -> 1;
-* one-hot (M4): training levels, unseen / NULL-after-impute -> all zeros;
+* one-hot (M4): training levels, unseen / NULL-after-impute -> all zeros; the
+  categorical with the most levels, if it has more than ``WIDE_LEVELS``, stays
+  a table and is eliminated from the normal equations (``operators.wide``);
 * OLS (M7): minimum-norm solution ``pinv(Xc'Xc) Xc'yc``, intercept
   unpenalised; ridge (M8): ``(Xc'Xc + aI)^-1 Xc'yc`` with the alpha of
   least exact leave-one-out error per target (first alpha on ties);
@@ -27,11 +29,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.operators import wide
 from ledgerlens.operators.medians import exact_medians
 from ledgerlens.operators.rollup import modes
 from ledgerlens.schema import COSTS, DATE_FEATURES, DIMS, FACTORS, RIDGE_ALPHAS, TARGETS
 
-MAX_LEVELS = 10_000   # one-hot width guard: more levels is an error, never a cap
+#: More levels than this make the largest categorical a table.
+WIDE_LEVELS = 256
+#: Levels of each other categorical, whose one-hot columns are in the driver's matrices: more is an error, never a cap.
+MAX_LEVELS = 4_096
 
 
 @dataclass
@@ -51,6 +57,13 @@ class LinearModel:
     best: dict[str, str] = field(default_factory=dict)
     n_train: int = 0
     n_test: int = 0
+    # the categorical kept as a table, and that table: category, then one column <algo>__<target> each
+    wide: str | None = None
+    wide_table: DataFrame | None = None
+
+    @property
+    def dense(self) -> list[str]:
+        return [c for c in self.categorical if c != self.wide]
 
     @property
     def features(self) -> list[str]:
@@ -58,7 +71,7 @@ class LinearModel:
 
     def design_names(self) -> list[tuple[str, str | None]]:
         return ([(f, None) for f in self.numeric]
-                + [(c, lv) for c in self.categorical for lv in self.levels[c]])
+                + [(c, lv) for c in self.dense for lv in self.levels[c]])
 
     # -- design expressions (Catalyst, no Python) --------------------------
     def numeric_expr(self, df_cols: list[str], f: str) -> Column:
@@ -73,7 +86,7 @@ class LinearModel:
 
     def design(self, df_cols: list[str]) -> list[Column]:
         out = [self.numeric_expr(df_cols, f) for f in self.numeric]
-        for c in self.categorical:
+        for c in self.dense:
             key = self.category_expr(df_cols, c)
             out += [F.when(key == F.lit(lv), 1.0).otherwise(0.0) for lv in self.levels[c]]
         return out
@@ -89,14 +102,24 @@ class LinearModel:
             new[f"_x_{f}"] = F.coalesce(F.when(F.isnan(x), None).otherwise(x), F.lit(self.medians[f]))
         for c in self.categorical:
             new[f"_k_{c}"] = self.category_expr(cols, c)
-        return df.withColumns(new) if new else df
+        df = df.withColumns(new) if new else df
+        if self.wide:
+            # levels' coefficients come by a join: broadcast below Spark's threshold, else shuffled, hot levels split (AQE)
+            table = self.wide_table.select(F.col("category").alias("_wide"), *[F.col(c).alias(f"_w_{c}") for c in self._wide_columns()])
+            df = df.join(table, F.col(f"_k_{self.wide}") == F.col("_wide"), "left")
+        return df
+
+    def _wide_columns(self) -> list[str]:
+        return [f"{algo}__{y}" for y in self.targets for algo in ("baseline", "ridge")]
 
     def helper_columns(self) -> list[str]:
-        return [f"_x_{f}" for f in self.numeric] + [f"_k_{c}" for c in self.categorical]
+        wide = ["_wide", *[f"_w_{c}" for c in self._wide_columns()]] if self.wide else []
+        return [f"_x_{f}" for f in self.numeric] + [f"_k_{c}" for c in self.categorical] + wide
 
     def prepared_prediction(self, algo: str, target: str) -> Column:
         """Prediction over a ``prepare``-d frame: constant + sum of weight x
-        imputed numeric + one literal-map lookup per categorical."""
+        imputed numeric + one literal-map lookup per dense categorical + the
+        joined coefficient of the wide one."""
         b0, w = self.coefs[(algo, target)]
         k = 0
         const = b0
@@ -106,7 +129,9 @@ class LinearModel:
             const -= c * self.means[f]
             terms.append(F.col(f"_x_{f}") * F.lit(c))
             k += 1
-        for cat in self.categorical:
+        if self.wide:
+            terms.append(F.coalesce(F.col(f"_w_{algo}__{target}"), F.lit(0.0)))
+        for cat in self.dense:
             lv = self.levels[cat]
             m = F.create_map(*[v for i, l in enumerate(lv) for v in (F.lit(l), F.lit(w[k + i]))])
             terms.append(F.coalesce(F.try_element_at(m, F.col(f"_k_{cat}")), F.lit(0.0)))
@@ -117,7 +142,10 @@ class LinearModel:
         return expr
 
     def prediction(self, df_cols: list[str], algo: str, target: str) -> Column:
-        """Self-contained prediction expression (no ``prepare`` needed)."""
+        """Self-contained prediction expression (no ``prepare`` needed); not
+        for a model with a wide categorical."""
+        if self.wide:
+            raise ValueError(f"the levels of {self.wide} are a table: score with prepare and prepared_prediction")
         b0, w = self.coefs[(algo, target)]
         k = 0
         const = b0
@@ -153,8 +181,8 @@ class LinearModel:
             add("mean", feature=f, value=self.means[f])
             add("scale", feature=f, value=self.scales[f])
         for c in self.categorical:
-            add("categorical", feature=c, text=self.modes.get(c))
-            for lv in self.levels[c]:
+            add("wide" if c == self.wide else "categorical", feature=c, text=self.modes.get(c))
+            for lv in self.levels.get(c, []):
                 add("level", feature=c, category=lv)
         names = self.design_names()
         for (algo, t), (b0, w) in self.coefs.items():
@@ -165,12 +193,34 @@ class LinearModel:
         add("size", feature="n_test", value=self.n_test)
         schema = ("model_name string, kind string, target string, algo string, feature string, "
                   "category string, value double, text string")
-        return spark.createDataFrame(rows, schema)
+        out = spark.createDataFrame(rows, schema)
+        if self.wide:
+            entries = F.explode(F.array(*[F.struct(F.lit(y).alias("target"), F.lit(a).alias("algo"), F.col(f"{a}__{y}").alias("value"))
+                                          for y in self.targets for a in ("baseline", "ridge")])).alias("e")
+            out = out.unionByName(self.wide_table.select("category", entries).select(
+                F.lit(self.name).alias("model_name"), F.lit("level_coef").alias("kind"), "e.target", "e.algo", F.lit(self.wide).alias("feature"),
+                "category", "e.value", F.lit(None).cast("string").alias("text")))
+        return out
+
+    @staticmethod
+    def from_table(table: DataFrame, name: str) -> "LinearModel":
+        """Rebuild a model from the coefficient table; levels of a wide
+        categorical stay a table."""
+        one = table.where(F.col("model_name") == name)
+        rows = one.where("kind <> 'level_coef'").collect()
+        if not rows:
+            raise FileNotFoundError(f"model {name!r} not found")
+        m = LinearModel.from_rows(rows)
+        if m.wide:
+            m.wide_table = one.where("kind = 'level_coef'").groupBy("category").agg(*[
+                F.max(F.when((F.col("algo") == a) & (F.col("target") == y), F.col("value"))).alias(f"{a}__{y}")
+                for y in m.targets for a in ("baseline", "ridge")])
+        return m
 
     @staticmethod
     def from_rows(rows) -> "LinearModel":
-        """Rebuild from the collected coefficient table of one model (the
-        table is model-sized: one row per design column per target)."""
+        """Rebuild from the collected coefficient table of one model (one row
+        per design column per target; no level of a wide categorical)."""
         rows = list(rows)
         name = rows[0]["model_name"]
         m = LinearModel(name, [], [], [])
@@ -190,8 +240,9 @@ class LinearModel:
                 m.means[r["feature"]] = r["value"]
             elif k == "scale":
                 m.scales[r["feature"]] = r["value"]
-            elif k == "categorical":
+            elif k in ("categorical", "wide"):
                 m.categorical.append(r["feature"]); m.modes[r["feature"]] = r["text"]
+                m.wide = r["feature"] if k == "wide" else m.wide
             elif k == "level":
                 levels.setdefault(r["feature"], []).append(r["category"])
             elif k == "intercept":
@@ -200,7 +251,7 @@ class LinearModel:
                 coef_rows.setdefault((r["algo"], r["target"]), {})[(r["feature"], r["category"])] = r["value"]
             elif k == "size":
                 setattr(m, r["feature"], int(r["value"]))
-        m.levels = {c: sorted(levels.get(c, [])) for c in m.categorical}
+        m.levels = {c: sorted(levels.get(c, [])) for c in m.dense}
         names = m.design_names()
         for key, d in coef_rows.items():
             m.coefs[key] = (d["_b0"], [d.get(n, 0.0) for n in names])
@@ -282,11 +333,12 @@ def _split(df: DataFrame, key_cols: list[str], test_size: float, seed: int, exac
 def train_model(data: DataFrame, name: str = "model", targets: list[str] | None = None,
                 features: list[str] | None = None, test_size: float = 0.25, seed: int = 42,
                 split_keys: list[str] | None = None, exact_split: bool = True,
-                alphas: list[float] | None = None) -> tuple[LinearModel, DataFrame | None]:
+                alphas: list[float] | None = None, wide_levels: int = WIDE_LEVELS) -> tuple[LinearModel, DataFrame | None]:
     """Fit the baseline (OLS) and ridge models for every target present.
 
     ``data`` is the model matrix (daily roll-up by default).  Returns the
-    fitted model and its metrics frame (None without a test split)."""
+    fitted model and its metrics frame (None without a test split).  The
+    largest categorical may have any number of levels."""
     spark = data.sparkSession
     alphas = alphas or RIDGE_ALPHAS
     cols = set(data.columns)
@@ -301,8 +353,15 @@ def train_model(data: DataFrame, name: str = "model", targets: list[str] | None
 
     base = data.select(*features, *targets, *[c for c in split_keys if c not in features + targets])
     base = _split(base, split_keys, test_size, seed, exact_split).persist()
+    try:
+        return _train(base, LinearModel(name, targets, numeric, categorical), test_size, alphas, wide_levels)
+    finally:
+        base.unpersist()
+
+
+def _train(base: DataFrame, m: LinearModel, test_size: float, alphas: list[float], wide_levels: int) -> tuple[LinearModel, DataFrame | None]:
+    spark, targets, numeric, categorical = base.sparkSession, m.targets, m.numeric, m.categorical
     train = base.where(~F.col("_test"))
-    m = LinearModel(name, targets, numeric, categorical)
 
     # M1 / M2: medians (exact, skew-safe) and modes fitted on the train rows
     if numeric:
@@ -321,15 +380,25 @@ def train_model(data: DataFrame, name: str = "model", targets: list[str] | None
             m.means[f] = float(st[f"m_{f}"] or 0.0)
             s = float(st[f"s_{f}"] or 0.0)
             m.scales[f] = s if s > 1e-12 * max(1.0, abs(m.means[f])) else 1.0
-    # M4: training levels (bounded by cardinality; an error beyond the guard)
-    for c in categorical:
-        key = m.category_expr(train.columns, c)
-        lv = [r[0] for r in train.select(key.alias("v")).where(F.col("v").isNotNull())
-              .distinct().limit(MAX_LEVELS + 1).collect()]
-        if len(lv) > MAX_LEVELS:
-            raise ValueError(f"{c} has more than {MAX_LEVELS} levels")
-        m.levels[c] = sorted(lv)
-
+    # M4: training levels; the most numerous stay a table where there are many
+    keys = {c: m.category_expr(train.columns, c) for c in categorical}
+    counts = train.agg(*[F.count_distinct(k).alias(c) for c, k in keys.items()]).first() if categorical else {}
+    largest = max(categorical, key=lambda c: counts[c], default=None)
+    if largest and counts[largest] > wide_levels:
+        m.wide = largest
+    for c in m.dense:
+        if counts[c] > MAX_LEVELS:
+            raise ValueError(f"{c}, beside the larger {m.wide}, has more than {MAX_LEVELS} levels")
+        m.levels[c] = sorted(r[0] for r in train.select(keys[c].alias("v")).where(F.col("v").isNotNull()).distinct().collect())
+    if m.wide:
+        wide.fit(train.dropna(subset=targets), m, alphas)
+    else:
+        _fit_dense(train, m, alphas)
+    return _evaluated(base, m, test_size)
+
+
+def _fit_dense(train: DataFrame, m: LinearModel, alphas: list[float]) -> None:
+    targets = m.targets
     design = m.design(train.columns)
     p, t = len(design), len(targets)
     g = gram_matrix(train.dropna(subset=targets), design + [F.col(y).cast("double") for y in targets])
@@ -366,11 +435,13 @@ def train_model(data: DataFrame, name: str = "model", targets: list[str] | None
         m.alphas[y] = float(alphas[ai])
         m.coefs[("ridge", y)] = (float(b0[k]), [float(v) for v in ba[:, k]])
 
+
+def _evaluated(base: DataFrame, m: LinearModel, test_size: float) -> tuple[LinearModel, DataFrame | None]:
+    targets, spark = m.targets, base.sparkSession
     # Metrics on the held-out rows
     test = base.where(F.col("_test")).dropna(subset=targets)
     if test_size <= 0:
         m.best = {y: "ridge" for y in targets}
-        base.unpersist()
         return m, None
     metrics = evaluate(m, test)
     rows = {(r["target"], r["model"]): r for r in metrics.collect()}
@@ -378,7 +449,6 @@ def train_model(data: DataFrame, name: str = "model", targets: list[str] | None
     for y in targets:
         rb, rr = rows.get((y, "baseline")), rows.get((y, "ridge"))
         m.best[y] = "ridge" if (rr and rb and rr["R2"] >= rb["R2"]) else "baseline"
-    base.unpersist()
     spark_rows = [(y, a, r["MAE"], r["RMSE"], r["R2"], r["MAPE"], m.alphas.get(y) if a == "ridge" else None,
                    m.best[y]) for (y, a), r in sorted(rows.items())]
     out = spark.createDataFrame(spark_rows, "target string, model string, MAE double, RMSE double, "
@@ -430,10 +500,7 @@ def save_model(m: LinearModel, path: str, spark: SparkSession) -> None:
 
 
 def load_model(spark: SparkSession, path: str, name: str) -> LinearModel:
-    rows = spark.read.parquet(path).where(F.col("model_name") == name).collect()
-    if not rows:
-        raise FileNotFoundError(f"model {name!r} not found")
-    return LinearModel.from_rows(rows)
+    return LinearModel.from_table(spark.read.parquet(path), name)
 
 
 def drop_model(spark: SparkSession, path: str, name: str) -> None:
