@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +26,7 @@ END_ID = 1
 #: Open windows of a task; the next one makes the open ones fill each other.
 MAX_OPEN = 4096
 #: Chunks whose ids a worker remembers, and the longest one remembered.
-MAX_CHUNKS, MAX_CHUNK_CHARS = 1 << 20, 48
+MAX_CHUNKS, MAX_CHUNK_CHARS = 1 << 19, 48
 #: Sequence ids of a task start at its number times this.
 TASK_IDS = 1 << 40
 
@@ -79,21 +81,16 @@ _WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^\sa-z0-9{_
 
 def _bytes(encoder, text: str) -> bytes:
     ids = encoder.encode(text, add_special_tokens=False).ids
-    return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
-
-
-_PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
-
-
-_ENCODERS: dict[str, ChunkEncoder] = {}
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def encoder(path: str) -> ChunkEncoder:
     """The encoder of a file; a Python worker keeps it, with its chunks, from
-    task to task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+    task to task (in a module of its own, as functions come anew with a task)."""
+    held = sys.modules.setdefault("_ledgerlens_encoders", types.ModuleType("_ledgerlens_encoders")).__dict__
+    if path not in held:
+        held[path] = ChunkEncoder(path)
+    return held[path]
 
 
 #: Fixed value: the pattern that `word_bpe` files look for words by.
