@@ -396,7 +396,7 @@ def test_fences_follow_the_habits_of_a_source(spark):
     odd = text(5000, 45, 12, 12, 12)
     rows = [(k, t, "en", s, len(t)) for k, (s, t) in enumerate([*calm, *busy, ("calm", odd), ("busy", odd)])]
     docs = spark.createDataFrame(rows, SCHEMA)
-    fences = {r.source: r for r in quality.thresholds(quality.with_features(docs)).collect()}
+    fences = {r.source: r for r in quality.thresholds(quality.materialise(quality.with_features(docs), "features")).collect()}
     for k in quality.MEASURES:
         assert fences["calm"][f"hi_{k}"] < fences["busy"][f"hi_{k}"]
     kept = {r.doc_id: r.kept for r in quality.quality_report(docs).collect()}
