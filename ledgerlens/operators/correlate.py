@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _PART_SCHEMA = ("i int, j int, n double, s_i double, s_j double, a_i double, a_j double, "
@@ -72,41 +72,66 @@ def _moment_fn(d: int, pairs: list[tuple[int, int]]):
     return run
 
 
+def pairs_of(cols: list[str], rows: list[str], columns: list[str]) -> list[tuple[int, int]]:
+    """The index pairs of rows x columns, and each column with itself."""
+    idx = {c: k for k, c in enumerate(cols)}
+    asked = list(dict.fromkeys([*rows, *columns]))
+    return list(dict.fromkeys([(idx[r], idx[c]) for r in rows for c in columns] + [(idx[c], idx[c]) for c in asked]))
+
+
+def moment_parts(df: DataFrame, cols: list[str], pairs: list[tuple[int, int]]) -> DataFrame:
+    """One row of moments per task and pair."""
+    x = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    return x.mapInPandas(_moment_fn(len(cols), pairs), _PART_SCHEMA)
+
+
+def row_parts(spark: SparkSession, cols: list[str], pairs: list[tuple[int, int]], row: dict, times: int = 1) -> DataFrame:
+    """The moments of one row (NULL and NaN are missing), taken ``times`` times."""
+    x = [None if row.get(c) is None or row[c] != row[c] else float(row[c]) for c in cols]
+    return spark.createDataFrame(
+        [(i, j, float(times), x[i], x[j], 0.0, 0.0, 0.0, 0.0, 0.0, x[i], x[i], x[j], x[j])
+         for i, j in pairs if times > 0 and x[i] is not None and x[j] is not None], _PART_SCHEMA)
+
+
+def merge_parts(parts: DataFrame) -> DataFrame:
+    """The parts of each pair as one part, centred on the pair's means: parts
+    merge to parts, so moments may be stored and merged again."""
+    w = Window.partitionBy("i", "j")
+    tot_n = F.nullif(F.sum("n").over(w), F.lit(0.0))
+    moved = (parts
+             .withColumn("m_i", (F.sum(F.col("n") * F.col("s_i")).over(w) + F.sum("a_i").over(w)) / tot_n)
+             .withColumn("m_j", (F.sum(F.col("n") * F.col("s_j")).over(w) + F.sum("a_j").over(w)) / tot_n)
+             .withColumn("d_i", F.col("s_i") - F.col("m_i"))
+             .withColumn("d_j", F.col("s_j") - F.col("m_j")))
+
+    def about(q: str, x: str, y: str) -> Column:
+        return F.sum(F.col(q) + F.col(f"d_{x}") * F.col(f"a_{y}") + F.col(f"d_{y}") * F.col(f"a_{x}")
+                     + F.col("n") * F.col(f"d_{x}") * F.col(f"d_{y}"))
+
+    zero = F.lit(0.0)
+    return moved.groupBy("i", "j").agg(
+        F.sum("n").alias("n"), F.coalesce(F.first("m_i"), zero).alias("s_i"), F.coalesce(F.first("m_j"), zero).alias("s_j"),
+        F.coalesce(about("q_i", "i", "i"), zero).alias("q_i"), F.coalesce(about("q_j", "j", "j"), zero).alias("q_j"),
+        F.coalesce(about("p", "i", "j"), zero).alias("p"),
+        F.min("mn_i").alias("mn_i"), F.max("mx_i").alias("mx_i"), F.min("mn_j").alias("mn_j"), F.max("mx_j").alias("mx_j")
+    ).select("i", "j", "n", "s_i", "s_j", zero.alias("a_i"), zero.alias("a_j"), "q_i", "q_j", "p", "mn_i", "mx_i", "mn_j", "mx_j")
+
+
 def correlation_long(df: DataFrame, cols: list[str], rows: list[str] | None = None,
                      columns: list[str] | None = None) -> DataFrame:
     """Correlations of ``rows`` x ``columns`` (default: all of ``cols``) over
     ``df``; every pair uses only the rows where both values are present.
     Columns without any value (P20) are left out: their emptiness is seen in
     the same pass, as the count of a column with itself."""
-    rows = rows or cols
-    columns = columns or cols
-    idx = {c: k for k, c in enumerate(cols)}
-    asked = list(dict.fromkeys([*rows, *columns]))
-    pairs = list(dict.fromkeys([(idx[r], idx[c]) for r in rows for c in columns] + [(idx[c], idx[c]) for c in asked]))
-    x = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    parts = x.mapInPandas(_moment_fn(len(cols), pairs), _PART_SCHEMA)
+    rows, columns = rows or cols, columns or cols
+    return correlation_of(merge_parts(moment_parts(df, cols, pairs_of(cols, rows, columns))), cols, rows, columns)
 
-    # exact merge of per-task moments: pair means first, then re-centred sums
-    w = Window.partitionBy("i", "j")
-    tot_n = F.nullif(F.sum("n").over(w), F.lit(0.0))
-    merged = (parts
-              .withColumn("m_i", (F.sum(F.col("n") * F.col("s_i")).over(w) + F.sum("a_i").over(w)) / tot_n)
-              .withColumn("m_j", (F.sum(F.col("n") * F.col("s_j")).over(w) + F.sum("a_j").over(w)) / tot_n)
-              .withColumn("d_i", F.col("s_i") - F.col("m_i"))
-              .withColumn("d_j", F.col("s_j") - F.col("m_j"))
-              .groupBy("i", "j")
-              .agg(F.sum("n").alias("n"),
-                   F.sum(F.col("q_i") + 2 * F.col("d_i") * F.col("a_i")
-                         + F.col("n") * F.col("d_i") * F.col("d_i")).alias("v_i"),
-                   F.sum(F.col("q_j") + 2 * F.col("d_j") * F.col("a_j")
-                         + F.col("n") * F.col("d_j") * F.col("d_j")).alias("v_j"),
-                   F.sum(F.col("p") + F.col("d_i") * F.col("a_j") + F.col("d_j") * F.col("a_i")
-                         + F.col("n") * F.col("d_i") * F.col("d_j")).alias("cov"),
-                   (F.min("mn_i") == F.max("mx_i")).alias("const_i"),
-                   (F.min("mn_j") == F.max("mx_j")).alias("const_j")))
-    denom = F.sqrt(F.col("v_i") * F.col("v_j"))
-    degenerate = (F.col("n") < 2) | F.col("const_i") | F.col("const_j") | (denom <= 0)
-    corr = F.when(degenerate, F.lit(0.0)).otherwise(F.col("cov") / denom)
+
+def correlation_of(merged: DataFrame, cols: list[str], rows: list[str], columns: list[str]) -> DataFrame:
+    """The matrix of merged moments."""
+    denom = F.sqrt(F.col("q_i") * F.col("q_j"))
+    degenerate = (F.col("n") < 2) | (F.col("mn_i") == F.col("mx_i")) | (F.col("mn_j") == F.col("mx_j")) | (denom <= 0)
+    corr = F.when(degenerate, F.lit(0.0)).otherwise(F.col("p") / denom)
     corr = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), corr))
     names = F.array(*[F.lit(c) for c in cols])
     found = merged.select(

@@ -5,12 +5,20 @@ them.  Larger groups are narrowed: each round counts the values of the open
 range in buckets (plain hash aggregates, combined map-side) and goes on with
 the one or two buckets that hold the middle ranks, until at most ``SMALL``
 values, or a single one, remain; those are ranked.
+
+Global medians take two scans for all columns: a mergeable quantile sketch
+brackets every median, and an exact pass counts the rows below each bracket
+and the values inside it (about ``6 / ACCURACY`` of the rows, ties counted
+together).  The counts are exact, so a bracket that missed is seen, and its
+column goes through the rounds instead.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +27,8 @@ from ledgerlens.shared import materialise
 #: Rows of a group (values of an open range) that are ranked in one task.
 SMALL = 65_536
 BUCKETS = 1024
+#: Of the quantile sketch: its ranks are off by at most a share of 1 / ACCURACY.
+ACCURACY = 10_000
 
 
 def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
@@ -36,7 +46,7 @@ def exact_medians(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     values = {c: F.col(c).cast("double") for c in cols}
     base = df.select(*keys, *[F.when(F.isnan(v), None).otherwise(v).alias(c) for c, v in values.items()])
     if not keys:
-        return _narrowed(base.withColumn("_all", F.lit(1)), ["_all"], cols).select(*cols)
+        return _global(base, cols)
     big = materialise(base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > SMALL), "median-groups")
     if big.isEmpty():
         return base.groupBy(*keys).agg(*[F.median(c).alias(c) for c in cols])
@@ -45,6 +55,98 @@ def exact_medians(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     return small.unionByName(_narrowed(base.join(hot, _same(base, hot, keys), "left_semi"), keys, cols))
 
 
+def _global(base: DataFrame, cols: list[str]) -> DataFrame:
+    """Medians of whole columns: sketch, exact counts, ranks.  The driver
+    holds a few numbers per column."""
+    spark = base.sparkSession
+    seen = base.agg(*[F.struct(F.count(c).alias("n"), F.percentile_approx(c, [0.5 - 2 / ACCURACY, 0.5 + 2 / ACCURACY], ACCURACY)
+                               .alias("q")).alias(c) for c in cols]).first()
+    full = [c for c in cols if seen[c].n]
+    found: dict[str, float | None] = dict.fromkeys(cols)
+    if full:
+        ranks = {c: ((seen[c].n - 1) // 2, seen[c].n // 2) for c in full}
+        counts = materialise(base.select(*full).mapInPandas(_inside([tuple(seen[c].q) for c in full]), "c int, v double, m long")
+                             .groupBy("c", "v").agg(F.sum("m").alias("m")), "median-counts")
+        totals = {full[r.c]: r for r in counts.groupBy("c").agg(
+            F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("m"))), F.lit(0)).alias("below"),
+            F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("m"))), F.lit(0)).alias("inside"),
+            F.count("v").alias("values"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
+        hit = [c for c in full if c in totals and totals[c].below <= ranks[c][0] and ranks[c][1] < totals[c].below + totals[c].inside]
+        found |= _ranked(counts.where("v is not null"), {full.index(c): (*ranks[c], totals[c]) for c in hit}, full)
+        missed = [c for c in full if c not in hit]
+        if missed:
+            row = _narrowed(base.select(*missed).withColumn("_all", F.lit(1)), ["_all"], missed).first()
+            found |= {c: row[c] for c in missed}
+    return spark.createDataFrame([tuple(found[c] for c in cols)], ", ".join(f"`{c}` double" for c in cols))
+
+
+def _inside(brackets: list[tuple[float, float]]):
+    """(c, v, m): how often each value inside its column's bracket occurs in a
+    batch, and, with v NULL, how many rows of the task lie below."""
+    def run(batches):
+        below = np.zeros(len(brackets), dtype=np.int64)
+        for pdf in batches:
+            got = []
+            for k, (lo, hi) in enumerate(brackets):
+                x = pdf.iloc[:, k].to_numpy(dtype=np.float64, na_value=np.nan)
+                below[k] += int((x < lo).sum())
+                v, m = np.unique(x[(x >= lo) & (x <= hi)], return_counts=True)
+                if len(v):
+                    got.append(pd.DataFrame({"c": np.full(len(v), k, dtype=np.int32), "v": v, "m": m.astype(np.int64)}))
+            if got:
+                yield pd.concat(got)
+        yield pd.DataFrame({"c": np.arange(len(brackets), dtype=np.int32), "v": pd.Series([None] * len(brackets), dtype="Float64"), "m": below})
+
+    return run
+
+
+def _ranked(counts: DataFrame, want: dict[int, tuple], names: list[str]) -> dict[str, float]:
+    """Medians from value counts.  ``want``: column -> its middle ranks and
+    its totals.  A column of more than ``SMALL`` values is narrowed by buckets
+    of the counts first, so one task orders at most that many."""
+    openr = {k: [lo, hi, t.below, t.values, t.lo, t.hi] for k, (lo, hi, t) in want.items()}
+    if not openr:
+        return {}
+    found = {}
+
+    def of(k_to: dict) -> Column:
+        return F.element_at(F.create_map(*[x for k, v in k_to.items() for x in (F.lit(k), F.lit(v))]), F.col("c"))
+
+    def ranges(ks) -> Column:
+        return F.col("c").isin(list(ks)) & F.col("v").between(of({k: openr[k][4] for k in ks}), of({k: openr[k][5] for k in ks}))
+
+    while wide := [k for k, r in openr.items() if r[3] > SMALL]:
+        lo, hi = of({k: openr[k][4] for k in wide}), of({k: openr[k][5] for k in wide})
+        share = (F.col("v") - lo) / F.nullif(hi - lo, F.lit(0.0))
+        share = F.when(F.isnan(share) | share.isNull(), 0.0).otherwise(share)
+        # the least value has a bucket to itself, so every round narrows
+        b = F.when(F.col("v") == lo, 0).otherwise(1 + F.least(F.lit(BUCKETS - 1), F.floor(share * BUCKETS)).cast("int"))
+        hist = (counts.where(ranges(wide)).groupBy("c", b.alias("b"))
+                .agg(F.sum("m").alias("m"), F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+                .orderBy("c", "b").collect())  # at most BUCKETS + 1 rows a column
+        for k in wide:
+            low, high, at = openr[k][0], openr[k][1], openr[k][2]
+            held = []
+            for r in (r for r in hist if r.c == k):
+                if at <= low < at + r.m or at <= high < at + r.m:
+                    held.append((at, r))
+                at += r.m
+            if len(held) == 2:  # the ranks are the last value of one and the first of the next
+                found[names[k]] = (held[0][1].hi + held[1][1].lo) / 2
+                del openr[k]
+            else:
+                openr[k] = [low, high, held[0][0], held[0][1].n, held[0][1].lo, held[0][1].hi]
+    if openr:
+        w = Window.partitionBy("c").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+        end = F.sum("m").over(w) + of({k: r[2] for k, r in openr.items()})
+        low, high = of({k: r[0] for k, r in openr.items()}), of({k: r[1] for k, r in openr.items()})
+        rows = (counts.where(ranges(openr)).withColumn("end", end).withColumn("start", F.col("end") - F.col("m"))
+                .where(((F.col("start") <= low) & (low < F.col("end"))) | ((F.col("start") <= high) & (high < F.col("end"))))
+                .groupBy("c").agg(((F.min("v") + F.max("v")) / 2).alias("v")).collect())
+        found |= {names[r.c]: r.v for r in rows}
+    return found
+
+
 def _narrowed(base: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     """Medians of the groups of ``base`` by narrowing.  ``state`` holds for
     each group and column: n values in all, ``below`` the open range [lo, hi]

@@ -1,13 +1,24 @@
 """What-if variants of the correlation inputs: append one synthetic row
 (U2, with A4 medians for the unspecified values) and replace values in the
-latest row (W3 + U4)."""
+latest row (W3 + U4).
+
+``WhatIfState`` keeps what any number of such variants of one ledger need:
+the pairwise co-moments of all rows but the latest, the latest row itself
+with its number of exact repeats, and the column medians.  A variant then
+only adds rows to moments (never subtracts: the latest row was left out), so
+it reads a few hundred stored rows and no ledger row.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.operators import correlate
 from ledgerlens.operators.medians import exact_medians
+from ledgerlens.shared import materialise
 
 
 def append_row(df: DataFrame, cols: list[str], values: dict[str, float],
@@ -40,3 +51,64 @@ def replace_latest(df: DataFrame, order_cols: list[str], values: dict[str, float
     changed = repeats.withColumns({c: F.when(F.col("_nth") == 1, F.lit(float(v))).otherwise(F.col(c)).cast(types[c])
                                    for c, v in new.items()}).drop("_nth")
     return df.where(~is_last).unionByName(changed)
+
+
+@dataclass
+class WhatIfState:
+    """Co-moments, latest row and medians of one table (see the module)."""
+
+    cols: list[str]
+    moments: DataFrame            # one part per pair of all columns, latest rows left out
+    latest: dict[str, float | None]
+    repeats: int                  # rows equal to the latest one; 0: an empty table
+    medians: dict[str, float | None]
+
+    @classmethod
+    def build(cls, df: DataFrame, cols: list[str], order_cols: list[str]) -> "WhatIfState":
+        """Reads ``df`` twice (its latest row, then its numbers, which are
+        written once and read from there)."""
+        order = [*order_cols, *sorted(c for c in df.columns if c not in order_cols)]
+        types = dict(df.dtypes)
+        last = df.agg(F.max(F.struct(*[F.col(c) for c in order])).alias("k")).first()["k"]
+        is_last = F.lit(False) if last is None else F.struct(*[F.col(c) for c in order]).eqNullSafe(
+            F.struct(*[F.lit(last[c]).cast(types[c]).alias(c) for c in order]))
+        flat = materialise(df.select(*[F.col(c).cast("double").alias(c) for c in cols], is_last.alias("_last")), "whatif-rows")
+        pairs = correlate.pairs_of(cols, cols, cols)
+        moments = materialise(correlate.merge_parts(correlate.moment_parts(flat.where("not _last"), cols, pairs)), "whatif-moments")
+        med = exact_medians(flat, [], cols).first()
+        latest = {c: None if last is None or last[c] is None else float(last[c]) for c in cols}
+        return cls(cols, moments, latest, flat.where("_last").count(), {c: med[c] for c in cols})
+
+    def save(self, path: str) -> None:
+        """Moments and rows as parquet tables below ``path``."""
+        spark = self.moments.sparkSession
+        self.moments.write.mode("overwrite").parquet(f"{path}/moments")
+        spark.createDataFrame([(k, c, self.latest[c], self.medians[c], self.repeats) for k, c in enumerate(self.cols)],
+                              "k int, name string, latest double, median double, repeats long"
+                              ).coalesce(1).write.mode("overwrite").parquet(f"{path}/columns")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "WhatIfState":
+        rows = spark.read.parquet(f"{path}/columns").orderBy("k").collect()
+        return cls([r.name for r in rows], spark.read.parquet(f"{path}/moments"), {r.name: r.latest for r in rows},
+                   rows[0].repeats if rows else 0, {r.name: r["median"] for r in rows})
+
+    def matrix(self, append: dict | None = None, replace_latest: dict | None = None,
+               rows: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
+        """The matrix as it is, with one row appended (given values, medians
+        for the rest; a column without values stays without) or with values
+        replaced in the one latest row."""
+        rows, columns = rows or self.cols, columns or self.cols
+        spark, pairs = self.moments.sparkSession, correlate.pairs_of(self.cols, self.cols, self.cols)
+        given = {c: v for c, v in (append or replace_latest or {}).items() if v is not None}
+        kept, new = self.repeats, None
+        if append:
+            new = {c: None if m is None else given.get(c, m) for c, m in self.medians.items()}
+        elif replace_latest and self.repeats:
+            kept, new = self.repeats - 1, {**self.latest, **{c: v for c, v in given.items() if c in self.latest}}
+        parts = self.moments.unionByName(correlate.row_parts(spark, self.cols, pairs, self.latest, kept))
+        if new is not None:
+            parts = parts.unionByName(correlate.row_parts(spark, self.cols, pairs, new))
+        idx = correlate.pairs_of(self.cols, rows, columns)
+        asked = (F.col("i") * len(self.cols) + F.col("j")).isin([i * len(self.cols) + j for i, j in idx])
+        return correlate.correlation_of(correlate.merge_parts(parts.where(asked)), self.cols, rows, columns)

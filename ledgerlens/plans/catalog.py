@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +42,7 @@ def region_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 from ledgerlens.functions.dates import calendar_features  # noqa: E402
 from ledgerlens.operators import correlate, forecast, rollup, whatif  # noqa: E402
 from ledgerlens.operators.medians import exact_medians  # noqa: E402
+from ledgerlens.operators.whatif import WhatIfState  # noqa: E402
 from ledgerlens.schema import COSTS, DIMS, FACTORS, LEDGER_MEASURES, SEGMENT, TARGETS  # noqa: E402
 
 # Rounding: money sums over few rows and medians are compared at 6 dp (the
@@ -193,6 +195,19 @@ def full_correlation_replace_latest_q(spark, sf_dir):
     return _ledger_matrix(spark, sf_dir, replace_latest=WHATIF_VALUES)
 
 
+@query("whatif_session")
+def whatif_session_q(spark, sf_dir):
+    """Q11, Q15-Q18 of one ledger from its stored co-moment state: the base
+    matrix, an appended row, a replaced latest row and the cross form."""
+    path = f"{checkpoint_root(spark)}/whatif-state-{uuid.uuid4().hex}"
+    pipelines.whatif_state(td.ledger(spark, sf_dir), td.factors(spark, sf_dir), order_cols=LEDGER_ORDER).save(path)
+    state = WhatIfState.load(spark, path)
+    made = {"base": state.matrix(), "append": state.matrix(append=WHATIF_VALUES),
+            "replace_latest": state.matrix(replace_latest=WHATIF_VALUES),
+            "cross_append": state.matrix(append=WHATIF_VALUES, rows=LEDGER_MEASURES, columns=FACTORS)}
+    return reduce(DataFrame.unionByName, [m.withColumn("variant", F.lit(v)) for v, m in made.items()])
+
+
 @query("latest_row_replaced")
 def latest_row_replaced_q(spark, sf_dir):
     """W3 / U4 (D4): how many rows of the ledger, taken twice, carry the

@@ -213,6 +213,9 @@ ORACLE["cross_correlation_append"] = with_views(_lapp + corr_sql("la", MEASURES,
 ORACLE["cross_correlation_replace_latest"] = with_views(_lrep + corr_sql("lr", MEASURES, FACTORS))
 ORACLE["full_correlation_append"] = with_views(_lapp + corr_sql("la", FULL_COLS, FULL_COLS))
 ORACLE["full_correlation_replace_latest"] = with_views(_lrep + corr_sql("lr", FULL_COLS, FULL_COLS))
+ORACLE["whatif_session"] = " UNION ALL ".join(f"SELECT *, '{v}' AS variant FROM ({ORACLE[q]})" for v, q in {
+    "base": "full_correlation", "append": "full_correlation_append", "replace_latest": "full_correlation_replace_latest",
+    "cross_append": "cross_correlation_append"}.items())
 
 ORACLE["clean_ledger_text"] = with_views("""
 t AS (SELECT order_id, line_no, order_date, customer, total_revenue, cogs, sga,

@@ -326,6 +326,8 @@ def ledger_correlation(ledger: DataFrame, factors: DataFrame | None, kind: str =
     if len(cols) < 2:
         raise ValueError(f"need at least two numeric columns, found {cols}")
     if append:
+        # the numbers are read three times (sketch, counts, moments): the join is written once
+        j = materialise(j.select(*[F.col(c).cast("double").alias(c) for c in cols]), "whatif-rows")
         j = whatif.append_row(j, cols, {f: append.get(f) for f in ext})
     elif replace_latest:
         order = order_cols or [c for c in ("order_date", "row_no") if c in j.columns]
@@ -335,6 +337,15 @@ def ledger_correlation(ledger: DataFrame, factors: DataFrame | None, kind: str =
     return correlate.correlation_long(j, cols)
 
 
+def whatif_state(ledger: DataFrame, factors: DataFrame | None, overrides: dict | None = None,
+                 order_cols: list[str] | None = None) -> whatif.WhatIfState:
+    """The state from which every Q15-Q18 variant of one ledger is answered
+    without reading the ledger again (``WhatIfState.matrix``)."""
+    j, sl, ext = _correlated(ledger, factors, overrides)
+    order = order_cols or [c for c in ("order_date", "row_no") if c in j.columns]
+    return whatif.WhatIfState.build(j, sl + ext, order)
+
+
 def _correlated(ledger, factors, overrides):
     j = joins.attach_factors(ledger, factors) if factors is not None else ledger
     j, _ = correlate.apply_overrides(j, overrides)
@@ -349,4 +360,4 @@ def correlated_rows(ledger: DataFrame, factors: DataFrame | None, overrides: dic
 
 __all__ = ["train", "forecast_range", "forecast_batch", "batch_totals", "forecast_map",
            "forecast_map_batch", "filter_history", "factor_upload",
-           "factors_from_csv", "factors_from_batch", "factor_refresh", "train_upload", "remove_model", "correlated_rows", "factor_correlation", "ledger_correlation", "DIMS"]
+           "factors_from_csv", "factors_from_batch", "factor_refresh", "train_upload", "remove_model", "correlated_rows", "whatif_state", "factor_correlation", "ledger_correlation", "DIMS"]

@@ -147,3 +147,54 @@ def test_grains(spark):
     assert sorted((r.region or "", r.cogs) for r in rollup.segment_rollup(led).collect()) == [("", 4.0), ("X", 3.0)]
     with pytest.raises(ValueError):
         pipelines.request_date("2021-1-5")
+
+
+def test_global_medians_by_sketch_and_counts(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    n = 20_000
+    pdf = pd.DataFrame({"a": rng.normal(size=n), "b": rng.integers(0, 3, n).astype(float), "c": np.nan, "d": np.inf,
+                        "e": rng.normal(size=n) * 10.0 ** rng.integers(-8, 8, n)})
+    pdf.loc[::3, "a"] = np.nan
+    pdf.loc[1:, "d"] = 1.0
+    df, cols = spark.createDataFrame(pdf).repartition(5), list("abcde")
+
+    def same():
+        got = np.array(exact_medians(df, [], cols).first(), dtype=float)
+        assert np.array_equal(got, pdf[cols].median().to_numpy(), equal_nan=True)
+
+    same()
+    monkeypatch.setattr(medians, "ACCURACY", 20)    # wide brackets: their values are narrowed by buckets
+    monkeypatch.setattr(medians, "SMALL", 50)
+    monkeypatch.setattr(medians, "BUCKETS", 8)
+    same()
+    aside = lambda brackets: real([(lo + 1e9, hi + 1e9) for lo, hi in brackets])
+    real = medians._inside
+    monkeypatch.setattr(medians, "_inside", aside)  # brackets that miss are seen
+    same()
+    empty = df.where("a > 1e9")
+    assert exact_medians(empty, [], cols).first() == (None,) * 5
+
+
+def _matrix(df):
+    return {(r.row_col, r.col_col): r["corr"] for r in df.collect()}
+
+
+@pytest.mark.parametrize("rows", [60, 2, 1, 0])
+def test_whatif_state_equals_whole_tables(spark, tmp_path, rows):
+    rng = np.random.default_rng(rows)
+    pdf = pd.DataFrame({"row_no": np.arange(60), "a": rng.normal(size=60), "b": rng.normal(size=60), "c": 3.0, "e": np.nan})
+    pdf.loc[::4, "b"] = np.nan
+    pdf.loc[58:, :] = [99, 1e9, 2.0, 3.0, np.nan]   # the latest row twice, an outlier
+    cols = ["a", "b", "c", "e"]
+    df = spark.createDataFrame(pdf, "row_no double, a double, b double, c double, e double").where(F.col("row_no") >= 0)
+    df = df.replace(float("nan"), None).where(F.lit(rows > 0)).orderBy(F.desc("row_no")).limit(max(rows, 1))
+    whatif.WhatIfState.build(df, cols, ["row_no"]).save(f"{tmp_path}/s")
+    state = whatif.WhatIfState.load(spark, f"{tmp_path}/s")
+    given = {"a": 5.0, "c": 4.0}
+    assert _matrix(state.matrix()) == _matrix(correlate.correlation_long(df, cols))
+    assert _matrix(state.matrix(append=given)) == _matrix(correlate.correlation_long(whatif.append_row(df, cols, given), cols))
+    replaced = whatif.replace_latest(df, ["row_no"], given)
+    assert _matrix(state.matrix(replace_latest=given)) == _matrix(correlate.correlation_long(replaced, cols))
+    cross = state.matrix(append=given, rows=["a"], columns=["b", "c"])
+    assert _matrix(cross) == _matrix(correlate.correlation_long(whatif.append_row(df, cols, given), cols, ["a"], ["b", "c"]))
+    assert all("/s/moments/" in f for f in cross.inputFiles())  # no row of the table is read again
