@@ -182,11 +182,11 @@ def forecast_map_batch(model: LinearModel, ledger: DataFrame, factors: DataFrame
 
 
 # ---- Q6-Q9 (factor maintenance) --------------------------------------------
-def _stored(spark, store: str, company_id, factors: DataFrame, save: bool) -> tuple[DataFrame, DataFrame]:
-    """Saves a company's factors (S9); returns (stored rows, A15 date range)."""
-    if save:
-        factor_store.save_company_factors(materialise(factors, "factors"), store, company_id)
-        factors = factor_store.company_factor_rows(spark, store, company_id)
+def _stored(spark, store: str, company_id, change) -> tuple[DataFrame, DataFrame]:
+    """Commits ``change(stored factors or None)`` as the company's factors
+    (S9); returns (stored rows, A15 date range)."""
+    factor_store.update_company_factors(spark, store, company_id, change)
+    factors = factor_store.company_factor_rows(spark, store, company_id)
     return factors, summaries.date_range(factors, "month")
 
 
@@ -196,16 +196,14 @@ def factor_upload(spark, files: dict[str, DataFrame], store: str, company_id) ->
     Returns (stored rows, date range, reason by failed file)."""
     failed: dict[str, str] = {}
     merged = factor_files.combine_factor_files(files, failed)
-    return *_stored(spark, store, company_id, merged, True), failed
+    return *_stored(spark, store, company_id, lambda old: merged), failed
 
 
 def factors_from_csv(spark, wide: DataFrame, store: str, company_id) -> tuple[DataFrame, DataFrame, list[str]]:
     """Q7: factors found in a wide ledger are upserted into the company's
     stored ones (J4).  Returns (stored rows, date range, factors found)."""
     new, found = factor_files.extract_factors_from_ledger(wide)
-    old = factor_store.load_company_factors(spark, store, company_id)
-    merged = new if old is None else joins.upsert_factors(old, new)
-    return *_stored(spark, store, company_id, merged, True), found
+    return *_stored(spark, store, company_id, lambda old: new if old is None else joins.upsert_factors(old, new)), found
 
 
 def factors_from_batch(spark, batches: DataFrame, uploads: DataFrame, company_id, batch_id, store: str
@@ -221,10 +219,14 @@ def factors_from_batch(spark, batches: DataFrame, uploads: DataFrame, company_id
 
 def factor_refresh(spark, store: str, company_id, month, values: dict[str, float]) -> tuple[DataFrame, DataFrame]:
     """Q9: replace one month's whole row of the stored factors."""
-    old = factor_store.load_company_factors(spark, store, company_id)
-    if old is None:
-        raise ValueError(f"company {company_id} has no stored factors")
-    return _stored(spark, store, company_id, joins.replace_month(old, request_date(month), values), True)
+    at = request_date(month)
+
+    def change(old: DataFrame | None) -> DataFrame:
+        if old is None or old.isEmpty():
+            raise ValueError(f"company {company_id} has no stored factors")
+        return joins.replace_month(old, at, values)
+
+    return _stored(spark, store, company_id, change)
 
 
 # ---- Q1 end to end ----------------------------------------------------------

@@ -1,41 +1,40 @@
-"""Per-company factor store (S9, S10): a parquet table partitioned by
-``company_id``.  Saving replaces only that company's partition (dynamic
-partition overwrite); loading prunes to it."""
+"""Per-company factor store (S9, S10): one parquet part per company in a
+store with optimistic commits (``manifest``).  Saving replaces only that
+company's part; loading reads only it, and one version of it whole."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.schema import FACTORS
+from ledgerlens.sources.manifest import Store
+
+
+def _row(df: DataFrame) -> DataFrame:
+    return df.select("month", *[F.col(f).cast("double") if f in df.columns else
+                                F.lit(None).cast("double").alias(f) for f in FACTORS])
 
 
 def save_company_factors(df: DataFrame, path: str, company_id) -> None:
     """Whole-table replace of one company's factors."""
-    spark = df.sparkSession
-    out = df.select("month", *[F.col(f).cast("double") if f in df.columns else
-                               F.lit(None).cast("double").alias(f) for f in FACTORS])
-    out = out.withColumn("company_id", F.lit(str(company_id)))
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        out.write.mode("overwrite").partitionBy("company_id").parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    Store(df.sparkSession, path).commit(str(company_id), lambda old: _row(df))
+
+
+def update_company_factors(spark: SparkSession, path: str, company_id,
+                           change: Callable[[DataFrame | None], DataFrame]) -> None:
+    """``change(stored factors or None)`` replaces them; it runs again on
+    the newer ones when another writer was first, so no update is lost."""
+    Store(spark, path).commit(str(company_id), lambda old: _row(change(old)))
 
 
 def load_company_factors(spark: SparkSession, path: str, company_id) -> DataFrame | None:
     """One company's stored factors (None when the store or the
-    company's partition is absent).  The filter prunes partitions."""
-    try:
-        df = spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # no store yet, or an empty one
-            raise
-        return None
-    d = df.where(F.col("company_id") == str(company_id)).drop("company_id")
-    return d if not d.isEmpty() else None
+    company's part is absent or empty)."""
+    d = Store(spark, path).read(str(company_id))
+    return d if d is not None and not d.isEmpty() else None
 
 
 def company_factor_rows(spark: SparkSession, path: str, company_id) -> DataFrame | None:
