@@ -491,12 +491,7 @@ def evaluate(m: LinearModel, test: DataFrame) -> DataFrame:
 
 def save_model(m: LinearModel, path: str, spark: SparkSession) -> None:
     """Coefficient table, one partition per model (dynamic overwrite)."""
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        m.to_table(spark).write.mode("overwrite").partitionBy("model_name").parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    m.to_table(spark).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("model_name").parquet(path)
 
 
 def load_model(spark: SparkSession, path: str, name: str) -> LinearModel:

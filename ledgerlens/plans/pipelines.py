@@ -8,6 +8,7 @@ table, the latest factor row).
 from __future__ import annotations
 
 import datetime as _dt
+import hashlib
 import re
 import time
 
@@ -19,7 +20,7 @@ from ledgerlens.operators import correlate, forecast, joins, rollup, score, summ
 from ledgerlens.operators.model import LinearModel, drop_model, save_model, train_model
 from ledgerlens.schema import ACTUAL_COL, DIMS, FACTORS, LEDGER_MEASURES, MODEL_USED_COL, PRED_COL
 from ledgerlens.shared import materialise
-from ledgerlens.sources import factor_files, factor_store, ledger_csv, registry
+from ledgerlens.sources import factor_files, factor_store, ledger_csv, manifest, registry
 
 
 # ---- Q1 ------------------------------------------------------------------
@@ -237,12 +238,42 @@ def train_upload(spark, path: str, root: str, user_id: int, name: str, payload:
     fingerprint (S12), train, save the coefficients (S21), register dataset
     (S13) and model (S19).  A model name already taken is an error.
 
+    Names, ids and (user, hash) pairs are claimed by files that one writer
+    alone can create, so they stay unique with any number of writers; a
+    failed training gives its claims back (a lost driver's stay until
+    ``remove_model`` or ``manifest.release``).
+
     Returns dataset_id, is_new_dataset, metrics, external_factors_used,
     rows_dropped and training_duration_seconds."""
-    began = time.time()
     models = _registry(spark, f"{root}/models", MODEL_ROW)
-    if not models.where(F.col("model_name") == name).isEmpty():
+    held = [_name_claim(root, name)]
+    if not models.where(F.col("model_name") == name).isEmpty() or not manifest.claim(spark, held[0]):
         raise ValueError(f"model name {name!r} is taken")
+    try:
+        return _train_claimed(spark, path, root, user_id, name, payload, test_size, seed, grain, held)
+    except BaseException:
+        for c in held:
+            manifest.release(spark, c)
+        raise
+
+
+def _name_claim(root: str, name: str) -> str:
+    return f"{root}/claims/model-name-{hashlib.sha256(name.encode('utf-8')).hexdigest()}"
+
+
+def _claim_id(spark, root: str, kind: str, table: DataFrame, held: list[str]) -> int:
+    """The next id of a registry that no other writer has claimed."""
+    n = (table.agg(F.max("id")).first()[0] or 0) + 1
+    while not manifest.claim(spark, f"{root}/claims/{kind}-id-{n}"):
+        n += 1
+    held.append(f"{root}/claims/{kind}-id-{n}")
+    return n
+
+
+def _train_claimed(spark, path, root, user_id, name, payload, test_size, seed, grain, held: list[str]) -> dict:
+    """``train_upload`` once the name is claimed; ``held``: claims to give
+    back on failure."""
+    began = time.time()
     raw = ledger_csv.read_ledger_csv(spark, path)
     clean = ledger_csv.clean_ledger(raw, for_training=True)
     if clean.isEmpty():
@@ -252,28 +283,39 @@ def train_upload(spark, path: str, root: str, user_id: int, name: str, payload:
     used = {f: used[f] or f in clean.columns for f in FACTORS}
     file = registry.fingerprint_files(spark, [path]).first()
     datasets = _registry(spark, f"{root}/datasets", DATASET_ROW)
-    next_id = (datasets.agg(F.max("id")).first()[0] or 0) + 1
+    known = datasets.where((F.col("user_id") == user_id) & (F.col("file_hash") == file.file_hash)).select("id").first()
+    dataset_id, is_new = (known.id, False) if known is not None else _claim_dataset(spark, root, datasets, user_id, file.file_hash, held)
     profile = registry.profile_dataset(clean).select(
-        F.lit(next_id).cast("long").alias("id"), F.lit(user_id).cast("long").alias("user_id"), F.lit(file.file_name).alias("original_filename"),
+        F.lit(dataset_id).cast("long").alias("id"), F.lit(user_id).cast("long").alias("user_id"), F.lit(file.file_name).alias("original_filename"),
         F.lit(file.file_hash).alias("file_hash"), F.lit(file.file_size_bytes).cast("long").alias("file_size_bytes"), "row_count", "column_names",
         "date_range_start", "date_range_end", "target_columns", F.current_timestamp().alias("uploaded_at"))
-    known = datasets.where((F.col("user_id") == user_id) & (F.col("file_hash") == file.file_hash)).select("id").first()
     model, metrics = train(clean, factors, name=name, test_size=test_size, seed=seed, grain=grain)
     save_model(model, f"{root}/coefs", spark)
-    if known is None:
+    if is_new:
         profile.select(*[c.split()[0] for c in DATASET_ROW.split(", ")]).write.mode("append").parquet(f"{root}/datasets")
-    dataset_id = next_id if known is None else known.id
     took = time.time() - began
-    model_id = (models.agg(F.max("id")).first()[0] or 0) + 1
+    model_id = _claim_id(spark, root, "model", _registry(spark, f"{root}/models", MODEL_ROW), held)
     spark.createDataFrame([(model_id, dataset_id, user_id, name, model.targets, model.features, used, test_size, seed,
                             _dt.datetime.now(), took)], MODEL_ROW).write.mode("append").parquet(f"{root}/models")
     if metrics is not None:
         metrics.withColumn("model_id", F.lit(model_id).cast("long")).write.mode("append").parquet(f"{root}/metrics")
-    return {"dataset_id": dataset_id, "is_new_dataset": known is None, "model_id": model_id, "model": model, "metrics": metrics,
+    return {"dataset_id": dataset_id, "is_new_dataset": is_new, "model_id": model_id, "model": model, "metrics": metrics,
             "external_factors_used": used, "rows_dropped": ledger_csv.dropped_rows(raw.count(), clean),
             "training_duration_seconds": took}
 
 
+def _claim_dataset(spark, root: str, datasets: DataFrame, user_id: int, file_hash: str, held: list[str]) -> tuple[int, bool]:
+    """(id, True) for the one writer that registers the user's file, (its id,
+    False) for all others."""
+    path = f"{root}/claims/dataset-{user_id}-{file_hash}"
+    n = _claim_id(spark, root, "dataset", datasets, held)
+    if manifest.claim(spark, path, str(n)):
+        held.append(path)
+        return n, True
+    manifest.release(spark, held.pop())  # the id isn't needed
+    return int(manifest.read_text(spark, path)), False
+
+
 DATASET_ROW = ("id long, user_id long, original_filename string, file_hash string, file_size_bytes long, row_count long, "
                "column_names string, date_range_start date, date_range_end date, target_columns string, uploaded_at timestamp")
 MODEL_ROW = ("id long, dataset_id long, user_id long, model_name string, targets array<string>, feature_columns array<string>, "
@@ -300,6 +342,7 @@ def remove_model(spark, root: str, model_id: int) -> None:
     left = materialise(registry.remove_models(models, registry.get_model(models, model_id)), "models")
     left.write.mode("overwrite").parquet(f"{root}/models")
     drop_model(spark, f"{root}/coefs", name.model_name)
+    manifest.release(spark, _name_claim(root, name.model_name))
 
 
 # ---- Q10-Q18 (correlation family) -----------------------------------------

@@ -53,3 +53,30 @@ def test_failed_changes_leave_the_store(spark, tmp_path, monkeypatch):
     with pytest.raises(Conflict):
         store.commit("a", lambda old: spark.range(9), attempts=2)
     assert store.version() == 1 and store.read("a").count() == 3
+
+
+def test_trainings_at_once_keep_names_ids_and_files_unique(spark, tmp_path):
+    rows = "".join(f"2021-{1 + i % 12:02d}-{1 + i % 28:02d},{100 + 3 * i},{50 + i % 9},{10 + i % 7},{20 + i}\n" for i in range(60))
+    path, root = f"{tmp_path}/u.csv", f"{tmp_path}/r"
+    with open(path, "w") as f:
+        f.write("Order Date,Total Revenue,COGS,SG&A,Freight\n" + rows)
+
+    def run(name):
+        try:
+            return pipelines.train_upload(spark, path, root, 3, name)
+        except ValueError as e:
+            return str(e)
+
+    with ThreadPoolExecutor(3) as pool:
+        got = list(pool.map(run, ["m1", "m1", "m2"]))
+    assert sorted(isinstance(g, str) for g in got) == [False, False, True]
+    made = [g for g in got if not isinstance(g, str)]
+    assert len({g["dataset_id"] for g in made}) == 1 and sum(g["is_new_dataset"] for g in made) == 1 and len({g["model_id"] for g in made}) == 2
+    assert spark.read.parquet(f"{root}/datasets").count() == 1
+    assert sorted(r.model_name for r in spark.read.parquet(f"{root}/models").collect()) == ["m1", "m2"]
+    assert {r.model_name for r in spark.read.parquet(f"{root}/coefs").select("model_name").distinct().collect()} == {"m1", "m2"}
+    with pytest.raises(ValueError, match="no row"):        # a failed training gives its name back
+        open(f"{tmp_path}/bad.csv", "w").write("Order Date,Total Revenue,COGS,SG&A\nx,1,1,1\n")
+        pipelines.train_upload(spark, f"{tmp_path}/bad.csv", root, 3, "m3")
+    with pytest.raises(ValueError, match="no row"):
+        pipelines.train_upload(spark, f"{tmp_path}/bad.csv", root, 3, "m3")
