@@ -38,6 +38,14 @@ comment comments reply replies respond disqus discussion
 cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe signup login
 share sharing social search complementary contentinfo skip
 """.split())
+#: Words that may stand beside those in one name (`site-header`, `share-buttons`); with any other word
+#: (`entry-header`, `has-sidebar`) the name marks nothing.
+BESIDE = frozenset("""
+area bar block bottom box button buttons card container form global group inner item items left link links list lower
+page panel posts primary reader right row secondary section site slot text thread title top unit upper user users wrap wrapper x
+""".split())
+#: Marks of readers' comments.
+COMMENTS = frozenset("comment comments reply replies respond disqus discussion".split())
 #: Marks of the article's own element.
 MAIN = frozenset("article main story post entry articlebody content".split())
 #: Elements without an end, and elements that break the flow of text.
@@ -57,13 +65,19 @@ RAW = frozenset("script style textarea title".split())
 FIXED_PAGES = 3
 #: Longest group of different neighbours that is folded.
 PERIOD = 4
-#: Forms of a host that one task aligns; more are dealt to several and their wrappers aligned.
+#: Forms of a host that one task aligns; more are dealt to several and their wrappers aligned, by rounds.
 FORMS = 256
+#: Levels of a form; what lies deeper is text of the slot above (the texts themselves have no such bound).
+LEVELS = 100
+#: Where the article is looked for, and the share of the page's varying text that it must hold there: in `article`
+#: elements, in `main` elements, in elements of a telling class.
+ZONES = (("a", 0.25), ("m", 0.25), ("c", 0.5))
 
+# a quote delimits a value only after "="
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|"
-                    r"<(?P<end>/)?(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_NAME = re.compile(r"[A-Za-z]+")
+                    r"<(?P<end>/)?(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:=\s*+(?:\"[^\"]*\"|'[^']*')|[^>])*+)>", re.S)
+_ATTR = re.compile(r"""([^\s=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
@@ -73,23 +87,41 @@ class Node:
         self.tag, self.sign, self.role, self.kids = tag, sign, role, []
 
 
+def _marked(name: str, main: bool) -> str:
+    """What a whole class, id or role marks: "comment", "other" or nothing.
+    All its words must be marks or stand beside them; names of several words
+    mark no `article` or `main` element."""
+    words = [w.lower() for w in _NAME.findall(name)]
+    marks = [w for w in words if w in MARKED]
+    if not marks or (main and len(words) > 1) or any(w not in MARKED and w not in BESIDE for w in words):
+        return ""
+    return "comment" if COMMENTS.intersection(marks) else "other"
+
+
 def _role(tag: str, attrs: str) -> tuple[str, str]:
-    """(sign, role): class and id without digits; `drop`, `main` or nothing."""
-    names, marks, hidden = [], set(), False
+    """(sign, role): class and id without digits; `drop` by the element or
+    `hidden`, `comment` or `other` by a mark, else the article's zone (`a`,
+    `m`, `c`) or nothing."""
+    if not attrs.strip(" /"):
+        attrs = ""
+    names, marked, zone = [], "", ""
+    page = tag in ("body", "html")
+    role = "drop" if tag in DROPPED else ""
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key == "hidden" or key == "aria-hidden":
-            hidden |= key == "hidden" or value.lower() == "true"
-            continue
-        words = value.lower().split() if key != "itemprop" else [value.lower()]
-        names += [re.sub(r"\d+", "", w) for w in words]
-        for w in words:
-            marks.update(_NAME.findall(w) if key != "itemprop" else [w])
-    role = ""
-    if tag in DROPPED or hidden or (marks & MARKED and tag not in ("body", "html", "article", "main")):
-        role = "drop"
-    elif tag in ("article", "main") or marks & MAIN:
-        role = "main"
+        if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
+            role = "drop"
+        elif key == "itemprop":
+            zone = "c" if value.lower() == "articlebody" else zone
+        elif key in ("class", "id", "role"):
+            for word in value.split():
+                names.append(re.sub(r"\d+", "", word.lower()))
+                if not page:
+                    marked = marked or _marked(word, tag in ("article", "main"))
+                if MAIN.intersection(w.lower() for w in _NAME.findall(word)):
+                    zone = "m" if key == "role" else zone or "c"
+    if not role:
+        role = marked or {"article": "a", "main": "m"}.get(tag, zone)
     return " ".join(sorted(names)), role
 
 
@@ -102,10 +134,11 @@ def parse(source: str) -> Node:
         if text:
             stack[-1].kids.append(html.unescape(text) if decode else text)
 
+    last = source.rfind(">")  # nothing after it is a tag
     while at < n:
-        m = _TOKEN.search(source, at)
+        m = _TOKEN.search(source, at) if at <= last else None
         if not m:
-            add(source[at:])
+            add(source[at:].split("<!--", 1)[0])
             break
         add(source[at:m.start()])
         at = m.end()
@@ -115,8 +148,6 @@ def parse(source: str) -> Node:
         if not tag:
             continue
         if m["end"]:
-            if tag == "p" and not any(x.tag == "p" for x in stack):
-                continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
                     del stack[i:]
@@ -151,39 +182,47 @@ def parse(source: str) -> Node:
             at = end.end() if end else n
             continue
         stack.append(node)
-        if len(stack) > 200:  # deeper elements lie beside each other
-            stack.pop()
     return root
 
 
-def _texts(node: Node, drop: bool, main: bool, within: str, out: list, path: str = "") -> None:
-    """(text or None at a break, dropped, in the main element, link or header marks, slot) in page order."""
-    for kid in node.kids:
+def _flow(root: Node):
+    """Texts in page order, None where the flow breaks: (text, dropped, mark,
+    zones, header and link marks, slot).  The walk keeps its own stack, so
+    elements may be nested to any depth."""
+    todo = [(iter(root.kids), (False, "", "", "", ""), 0, None)]
+    while todo:
+        kids, state, level, after = todo[-1]
+        kid = next(kids, None)
+        if kid is None:
+            todo.pop()
+            if after is not None:
+                yield (None, *after)
+            continue
         if isinstance(kid, str):
-            out.append((kid, drop, main, within, path))
+            yield (kid, *state)
             continue
-        below = path if kid.tag in INLINE else f"{path}/{kid.tag} {kid.sign}".rstrip()
-        gone = drop or kid.role == "drop"
+        drop, mark, zones, within, path = state
+        if kid.tag == "br":
+            yield (" ", *state)
+        gone, inner, deeper = drop or kid.role == "drop", within, kid.tag not in INLINE
         if kid.tag == "header":  # a page's header goes; an article's header keeps its headings
-            gone = gone or not main
-            inner = within + ("h" if main else "")
+            gone, inner = gone or not zones, within + ("h" if zones else "")
         else:
-            inner = within + ("a" if kid.tag == "a" else "") + ("t" if kid.tag in HEADING else "")
+            inner += ("a" if kid.tag == "a" else "") + ("t" if kid.tag in HEADING else "")
+        below = path
+        if deeper and level < LEVELS:
+            below = f"{path}/{kid.tag} {kid.sign}".rstrip()
+        marked = mark or (kid.role if kid.role in ("comment", "other") else "")
+        zoned = zones + kid.role if kid.role in ("a", "m", "c") and kid.role not in zones else zones
         breaks = kid.tag in BLOCK
         if breaks:
-            out.append((None, gone, main, within, path))
-        if kid.tag == "br":
-            out.append((" ", drop, main, within, path))
-        _texts(kid, gone, main or kid.role == "main", inner, out, below)
-        if breaks:
-            out.append((None, gone, main, within, path))
+            yield (None, *state)
+        todo.append((iter(kid.kids), (gone, marked, zoned, inner if len(inner) < 8 else inner[-8:], below), level + deeper, state if breaks else None))
 
 
 def blocks(root: Node) -> list[tuple]:
-    """(text, dropped, main, "h" in a header outside its headings, share of links, slot) of each block with text, in page order."""
-    flow: list = []
-    _texts(root, False, False, "", flow)
-    out, part, state = [], [], (False, False, "")
+    """(text, dropped, mark, zones, "h" in a header outside its headings, share of links, slot) of each block with text, in page order."""
+    out, part, state = [], [], None
     linked, slot = 0, ""
 
     def close() -> None:
@@ -193,13 +232,13 @@ def blocks(root: Node) -> list[tuple]:
             out.append((text, *state, linked / max(1, sum(map(len, part))), slot))
         part, linked = [], 0
 
-    for text, gone, main, within, path in flow:
-        now = (gone, main, "h" if "h" in within and "t" not in within else "")
+    for text, gone, mark, zones, within, path in _flow(root):
+        now = (gone, mark, zones, "h" if "h" in within and "t" not in within else "")
         if text is None:
             close()
             continue
         if part and now != state:
-            if not (gone or text.strip()):
+            if not (gone or mark or text.strip()):
                 continue
             close()
         if not part:
@@ -218,12 +257,21 @@ def _key(item) -> str:
 
 
 def _inline_text(node: Node) -> str:
-    return "".join(k if isinstance(k, str) else " " if k.tag == "br" else _inline_text(k) for k in node.kids)
-
-
-def form_of(node: Node) -> list:
+    out, todo = [], [node]
+    while todo:
+        at = todo.pop()
+        if isinstance(at, str):
+            out.append(at)
+        elif at.tag == "br":
+            out.append(" ")
+        elif at.tag not in ("script", "style"):
+            todo += reversed(at.kids)
+    return "".join(out)
+
+
+def form_of(node: Node, level: int = 0) -> list:
     """The page's form: inner elements first, then folded neighbours.  Text and
-    the inline elements in it are one slot."""
+    the inline elements in it are one slot, as is all that lies below LEVELS."""
     out, run = [], []
 
     def close() -> None:
@@ -235,11 +283,11 @@ def form_of(node: Node) -> list:
     for kid in node.kids:
         if isinstance(kid, str):
             run.append(kid)
-        elif kid.tag in INLINE:
+        elif kid.tag in INLINE or (level >= LEVELS and kid.tag not in ("script", "style")):
             run.append(" " if kid.tag == "br" else _inline_text(kid))
         elif kid.tag not in ("script", "style"):
             close()
-            out.append(["e", f"{kid.tag} {kid.sign}".strip(), False, False, form_of(kid)])
+            out.append(["e", f"{kid.tag} {kid.sign}".strip(), False, False, form_of(kid, level + 1)])
     close()
     return fold(out)
 
@@ -337,18 +385,42 @@ def as_regex(form: list) -> str:
     return "".join(parts)
 
 
+def _weight(found: list[tuple]) -> float:
+    return sum(len(text) * (1 - links) for text, *_, links, _ in found)
+
+
 def main_text(source: str | None, fixed: frozenset[str] = frozenset()) -> str:
-    """The article's text.  Inside a main element all blocks but dropped ones
-    stay; without one, blocks that are mostly links or that the site repeats
-    (``fixed``) go too."""
+    """The article's text, by the slots of the host's wrapper: blocks in slots
+    whose text varies or repeats are content, those that the site says alike
+    on every page (``fixed``) aren't.  Marks of menus and the like are taken
+    out of the content, and it is narrowed to the article's element where that
+    holds its share (ZONES) of the varying text; an article that doesn't vary
+    at all is taken as it stands.  Without such an element blocks that are
+    mostly links go.  Where marks would leave nothing, an `article` or `main`
+    inside a marked element other than comments is taken."""
     if not source:
         return ""
-    found = blocks(parse(source))
-    if any(main and not gone for _, gone, main, *_ in found):
-        kept = [t for t, gone, main, head, *_ in found if main and not gone and not head]
-    else:
-        kept = [t for t, gone, _, head, links, slot in found if not gone and not head and links < 0.5 and f"{slot}\t{t}" not in fixed]
-    return "\n".join(kept)
+    found = [b for b in blocks(parse(source)) if not b[1]]
+    kept = _content([b for b in found if not b[2] and not b[4]], fixed)
+    if not kept:
+        kept = _content([b for b in found if b[2] == "other" and not b[4] and ("a" in b[3] or "m" in b[3])], fixed)
+    return "\n".join(b[0] for b in kept)
+
+
+def _content(own: list[tuple], fixed: frozenset[str]) -> list[tuple]:
+    varying = [b for b in own if f"{b[6]}\t{b[0]}" not in fixed] if fixed else own
+    whole = _weight(varying)
+    for zone, share in ZONES:
+        inside = [b for b in varying if zone in b[3]]
+        held = _weight(inside)
+        if not inside:
+            inside = [b for b in own if zone in b[3]]
+            held = _weight(inside)
+            if inside and held >= share * (whole + held):
+                return inside
+        elif held >= share * whole:
+            return inside
+    return [b for b in varying if b[5] < 0.5]
 
 
 def host_of(url):
@@ -365,10 +437,16 @@ def _shape(form: list) -> list:
 
 
 def induce_wrappers(pages: DataFrame, url: str = "url", source: str = "html") -> DataFrame:
-    """(host, wrapper, form, n_pages): every page takes part.  Pages of one
-    shape merge inside a task, then by shape; the shapes of a host are aligned
-    in groups of about FORMS, and the groups' wrappers once more, so no host
-    meets in one task as pages.  Pages without text form no wrapper."""
+    """(host, wrapper, form, n_pages, told_apart): every page takes part.  Pages
+    of one shape merge inside a task, then by shape; the shapes of a host are
+    aligned in groups of about FORMS, the groups' wrappers likewise until one
+    is left, so no host meets in one task as pages or as parts.  ``told_apart``
+    is the number of different pages, counted up to FIXED_PAGES.  Pages without
+    text form no wrapper."""
+    columns = "form string, n long, marks array<string>"
+
+    def fewest(marks) -> list[str]:
+        return sorted(set(marks))[:FIXED_PAGES]
 
     def per_task(batches):
         seen: dict[tuple[str, str], list] = {}
@@ -378,18 +456,19 @@ def induce_wrappers(pages: DataFrame, url: str = "url", source: str = "html") ->
                 if not form:
                     continue
                 key = (host, hashlib.md5(json.dumps(_shape(form)).encode()).hexdigest())
+                mark = hashlib.md5(page.encode("utf-8", "surrogatepass")).hexdigest()
                 old = seen.get(key)
                 if old:
-                    seen[key] = [align(old[0], form), old[1] + 1]
+                    seen[key] = [align(old[0], form), old[1] + 1, fewest([*old[2], mark])]
                 else:
-                    seen[key] = [form, 1]
+                    seen[key] = [form, 1, [mark]]
                 if len(seen) >= 4096:
                     yield _frame(seen)
                     seen = {}
         yield _frame(seen)
 
     def _frame(seen):
-        return pd.DataFrame([(h, k, _canonical(f), n) for (h, k), (f, n) in seen.items()], columns=["host", "shape", "form", "n"])
+        return pd.DataFrame([(h, k, _canonical(f), n, m) for (h, k), (f, n, m) in seen.items()], columns=["host", "shape", "form", "n", "marks"])
 
     def merge(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
         pdf = pdf.sort_values(["n", "form"], ascending=[False, True])
@@ -397,33 +476,39 @@ def induce_wrappers(pages: DataFrame, url: str = "url", source: str = "html") ->
         whole = next(forms)
         for f in forms:
             whole = align(whole, f)
-        return pd.DataFrame([(*pdf.iloc[0][keys], _canonical(whole), int(pdf["n"].sum()))], columns=[*keys, "form", "n"])
+        marks = fewest(m for ms in pdf["marks"] for m in ms)
+        return pd.DataFrame([(*pdf.iloc[0][keys], _canonical(whole), int(pdf["n"].sum()), marks)], columns=[*keys, "form", "n", "marks"])
 
     per_page = (pages.select(host_of(F.col(url)).alias("host"), F.col(source).alias("html")).filter("html is not null and html <> ''")
-                .mapInPandas(per_task, "host string, shape string, form string, n long"))
-    shapes = per_page.groupBy("host", "shape").applyInPandas(lambda k, d: merge(d, ["host", "shape"]), "host string, shape string, form string, n long")
-    parts = F.countDistinct("shape").alias("shapes")
+                .mapInPandas(per_task, f"host string, shape string, {columns}"))
+    shapes = per_page.groupBy("host", "shape").applyInPandas(lambda k, d: merge(d, ["host", "shape"]), f"host string, shape string, {columns}")
     shapes = materialise(shapes, "wrapper-shapes")
-    dealt = (shapes.join(shapes.groupBy("host").agg(parts), "host")
-             .withColumn("part", F.pmod(F.xxhash64("shape"), F.ceil(F.col("shapes") / FORMS).cast("int")).cast("int")))
-    groups = dealt.groupBy("host", "part").applyInPandas(lambda k, d: merge(d, ["host", "part"]), "host string, part int, form string, n long")
-    return groups.groupBy("host").applyInPandas(lambda k, d: merge(d, ["host"]), "host string, form string, n long").withColumnRenamed("n", "n_pages")
+    counts = shapes.groupBy("host").agg(F.count(F.lit(1)).alias("parts"))
+    most = counts.agg(F.max("parts")).first()[0] or 0
+    left = shapes.withColumn("part", F.xxhash64("shape")).join(counts, "host")
+    keys = ["host", "part", "parts"]
+    while True:
+        most = -(-most // FORMS)
+        left = left.withColumn("parts", F.ceil(F.col("parts") / FORMS).cast("long")).withColumn("part", F.pmod(F.col("part"), F.col("parts")))
+        left = left.groupBy(*keys).applyInPandas(lambda k, d: merge(d, keys), f"host string, part long, parts long, {columns}")
+        if most <= 1:
+            return left.select("host", "form", F.col("n").alias("n_pages"), F.size("marks").alias("told_apart"))
 
 
 def extract(pages: DataFrame, url: str = "url", source: str = "html") -> DataFrame:
     """``pages`` with text and n_chars (input columns of these names are
     replaced).  A null or empty page gives an empty text; pages without a host
-    share the empty host's wrapper; repeated rows are alike and, being equal,
-    would fix each other's texts, so a text only counts as the site's own where
-    at least FIXED_PAGES pages share it in a slot of the wrapper.  Very long
-    pages are taken whole.  An empty table gives no rows."""
+    share the empty host's wrapper; repeated rows get equal texts and count as
+    one page: a text only counts as the site's own where at least FIXED_PAGES
+    different pages share it in a slot of the wrapper.  Very long and deeply
+    nested pages are taken whole.  An empty table gives no rows."""
     df = without(pages, "text", "n_chars", "_host", "_fixed")
     wrappers = materialise(induce_wrappers(df, url, source), "wrappers")
 
     def fixed(forms: pd.Series) -> pd.Series:
         return pd.Series([sorted(set(fixed_slots(json.loads(f)))) for f in forms])
 
-    known = (wrappers.filter(F.col("n_pages") >= FIXED_PAGES)
+    known = (wrappers.filter(F.col("told_apart") >= FIXED_PAGES)
              .select(F.col("host").alias("_host"), F.pandas_udf(fixed, "array<string>")("form").alias("_fixed")))
 
     @F.pandas_udf("string")

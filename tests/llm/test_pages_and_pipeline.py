@@ -14,7 +14,7 @@ from ledgerlens.llm import line_dedup, queries, simhash, url_lm, wrappers
 from ledgerlens.llm.common import table
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "pages", "benchmark", "labels")
+TABLES = ("documents", "pages", "benchmark", "labels", "embeddings")
 
 
 def pages_of(spark, rows):
@@ -71,6 +71,55 @@ def test_wrapper_is_inferred_and_texts_extracted(spark):
     assert wrappers.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_marks_are_whole_names_and_depth_has_no_bound():
+    body = "<p>the whole article is here, and it goes on</p>"
+    for opening in ("<div class='content has-sidebar'>", "<div id='main-social'>", "<section class='post related-posts-on'>", "<article class='post no-comments'>"):
+        tag = re.match("<([a-z]+)", opening)[1]
+        assert wrappers.main_text(f"{opening}{body}</{tag}><footer>foot</footer>") == "the whole article is here, and it goes on"
+    for name in ("sidebar", "site-header", "comment-list", "relatedPosts", "ad_300x250", "share-buttons", "user-comments"):
+        assert wrappers.main_text(f"<article>{body}<div class='{name}'>away</div></article>") == "the whole article is here, and it goes on"
+    assert wrappers.main_text("<article><div class='entry-header'><h1>Title</h1></div><p>b</p></article>") == "Title\nb"
+    assert wrappers.main_text(f"<div class=story>teaser</div><div class=b>{body}</div>") == "teaser\nthe whole article is here, and it goes on"
+    assert wrappers.main_text("<p class=it's>one</p><p title='a > b'>two's</p>") == "one\ntwo's"
+    assert wrappers.main_text(f"<div class=widget><article>{body}</article></div>") == "the whole article is here, and it goes on"
+    assert wrappers.main_text("<article></article><section id=comments><article><p>nice</p></article></section>") == ""
+    for depth in (250, 20_000):
+        deep = "<div id=page><article>" + "<div>" * depth + "<p>deep text</p>" + "</div>" * depth + "<p>later text</p></article></div><div>outside</div>"
+        assert wrappers.main_text(deep) == "deep text\nlater text"
+        assert wrappers.form_of(wrappers.parse(deep))
+    assert wrappers.main_text("<a b=\"" * 20_000 + "x").startswith("<a b")
+
+
+def test_host_without_article_by_its_wrapper(spark):
+    """Constant texts of a host go, varying and repeated ones stay, in page
+    order; the twin counts the texts of the host's pages."""
+    def page(k):
+        paras = "".join(f"<p>Paragraph {k}.{j} of the text" for j in range(1 + k % 4))
+        note = "<div class=note>A note of some pages</div>" if k % 3 == 0 else ""
+        return (f"<html><body><div class=top>The site's own name</div><div class=claim>We <b>print</b> what you read</div>{note}"
+                f"<div class=body><h1>Head {k}</h1>{paras}</div><div class=foot>Printed &amp; bound by us</div></body></html>")
+
+    pages = [page(k) for k in range(12)] + [page(0)]
+    texts = [[" ".join(html.unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split("</?(?:div|p|h1|body|html)[^>]*>", p)] for p in pages]
+    everywhere = Counter(t for p in {tuple(t) for t in texts} for t in set(p))
+    want = ["\n".join(t for t in p if t and everywhere[t] < 12) for p in texts]
+    rows = [(f"http://plain.example/{k}", p) for k, p in enumerate(pages)]
+    rows += [("http://copies.example/", page(1))] * 5  # one page five times tells nothing apart
+    got = {r.page_id: r.text for r in wrappers.extract(pages_of(spark, rows)).collect()}
+    assert [got[k] for k in range(13)] == want and "own name" not in want[0] and "A note of some pages" in want[0]
+    assert all(got[k] == "\n".join(t for t in texts[1] if t) for k in range(13, 18))
+
+
+def test_parts_of_a_host_are_aligned_by_rounds(spark, monkeypatch):
+    pages = [(f"http://many.example/{k}", "<div>same</div>" + "".join(f"<{t}>x{k}</{t}>" for b, t in enumerate(("p", "h2", "pre", "ul")) if k >> b & 1))
+             for k in range(1, 16)]
+    whole = wrappers.extract(pages_of(spark, pages)).select("page_id", "text").collect()
+    monkeypatch.setattr(wrappers, "FORMS", 2)
+    rounds = wrappers.extract(pages_of(spark, pages)).select("page_id", "text").collect()
+    assert sorted(whole) == sorted(rounds) and all("same" not in r.text for r in rounds)
+    assert [r.n_pages for r in wrappers.induce_wrappers(pages_of(spark, pages)).collect()] == [15]
+
+
 def test_wrapper_alignment_generates_both_sides():
     a = wrappers.form_of(wrappers.parse("<div><h2>x</h2><p>1</p><p>2</p><hr></div>"))
     b = wrappers.form_of(wrappers.parse("<div><p>1</p><table><tr><td>k</table><hr></div>"))
