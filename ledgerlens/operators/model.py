@@ -5,9 +5,9 @@ Training never gathers rows: the driver only sees d x d matrices
 (d = intercept + features + targets), which are accumulated per task by
 ``mapInPandas`` over Arrow batches and summed by a Spark aggregate.
 
-* split (M6): deterministic hash split of the rows; ``exact_split`` ranks
-  the (bounded, daily-grain) rows by hash to get sklearn's sizes, otherwise
-  a hash fraction keeps the split a per-row filter;
+* split (M6): deterministic hash split of the rows with sklearn's sizes at
+  every grain (``operators.split``); without ``exact_split`` a fraction of the
+  hashes, whose sizes are approximate;
 * imputation (M1, M2): exact training medians (skew-safe) and modes;
 * scaling (M3): training mean and *population* std, zero std -> 1;
 * one-hot (M4): training levels, unseen / NULL-after-impute -> all zeros; the
@@ -21,17 +21,17 @@ Training never gathers rows: the driver only sees d x d matrices
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import wide
 from ledgerlens.operators.medians import exact_medians
 from ledgerlens.operators.rollup import modes
+from ledgerlens.operators.split import exact_split as _exact_split
 from ledgerlens.schema import COSTS, DATE_FEATURES, DIMS, FACTORS, RIDGE_ALPHAS, TARGETS
 
 #: More levels than this make the largest categorical a table.
@@ -320,12 +320,7 @@ def _split(df: DataFrame, key_cols: list[str], test_size: float, seed: int, exac
     if test_size <= 0:
         return df.withColumn("_test", F.lit(False))
     if exact:
-        n = df.count()
-        n_test = math.ceil(n * test_size)
-        # rows are bounded here (daily grain): ranking them in one ordered
-        # window is cheap; ties in the hash are broken by the key columns
-        w = Window.orderBy(h, *[F.col(c) for c in key_cols])
-        return df.withColumn("_test", F.row_number().over(w) <= n_test)
+        return _exact_split(df, key_cols, test_size, seed)
     u = F.pmod(h, F.lit(1_000_000)) / 1_000_000.0
     return df.withColumn("_test", u < F.lit(test_size))
 
@@ -352,9 +347,9 @@ def train_model(data: DataFrame, name: str = "model", targets: list[str] | None
     split_keys = split_keys or (["order_date"] if "order_date" in cols else list(data.columns))
 
     base = data.select(*features, *targets, *[c for c in split_keys if c not in features + targets])
-    base = _split(base, split_keys, test_size, seed, exact_split).persist()
+    base = base.persist()
     try:
-        return _train(base, LinearModel(name, targets, numeric, categorical), test_size, alphas, wide_levels)
+        return _train(_split(base, split_keys, test_size, seed, exact_split), LinearModel(name, targets, numeric, categorical), test_size, alphas, wide_levels)
     finally:
         base.unpersist()
 

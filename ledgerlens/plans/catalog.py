@@ -706,3 +706,105 @@ def train_wide_levels_q(spark, sf_dir):
     total = lambda algo: F.round(F.sum(model.prepared_prediction(algo, "total_revenue") * F.col("line_no")), 2)
     return scored.groupBy("customer").agg(F.count(F.lit(1)).alias("row_count"), total("baseline").alias("baseline_total"),
                                           total("ridge").alias("ridge_total"))
+
+
+# ---------------------------------------------------------------------------
+# splits of finer grains, stored factors in whatever header, batch files, orders
+# ---------------------------------------------------------------------------
+from pyspark.sql import Window  # noqa: E402
+
+from ledgerlens.functions.dates import date_from_year_mo  # noqa: E402
+from ledgerlens.functions.text import numeric_or_keep  # noqa: E402
+from ledgerlens.operators.split import exact_split  # noqa: E402
+
+
+@query("train_split_sizes_by_grain")
+def train_split_sizes_by_grain_q(spark, sf_dir):
+    """Train and test sizes of ledger rows by their keys, of days and
+    segments, and of rows by date alone (many rows of one key)."""
+    led = td.ledger(spark, sf_dir)
+    segments = rollup.segment_rollup(led)
+    grains = {"row": (led.select("order_id", "line_no"), ["order_id", "line_no"]),
+              "day_segment": (segments, ["order_date", *DIMS]),
+              "row_by_date": (led.select("order_date", "region"), ["order_date"])}
+    sizes = [exact_split(df, keys, 0.25, 42).groupBy("_test").agg(F.count(F.lit(1)).alias("n_rows"))
+             .select(F.lit(g).alias("grain"), F.when(F.col("_test"), "test").otherwise("train").alias("split"), "n_rows")
+             for g, (df, keys) in grains.items()]
+    return reduce(DataFrame.unionByName, sizes)
+
+
+@query("stored_factors_monthly")
+def stored_factors_monthly_q(spark, sf_dir):
+    """A stored table with labels as headers, ``Mon-YY``
+    dates (of this century), repeated months, values with signs and a factor
+    without any value; the factors that have values, by month."""
+    f = td.factors(spark, sf_dir)
+    v = lambda c: F.col(c).cast("string")
+    table = f.select(F.date_format("month", "MMM-yy").alias("Order Date"), F.concat(v("cci"), F.lit("%")).alias("CCI"), v("cpi").alias("CPI"),
+                     F.concat(F.lit("$"), v("oil")).alias("Oil"), v("gdp").alias("GDP"), F.lit("").alias("Unemployment"), v("roi").alias("ROI"))
+    got = factor_files.stored_factors_monthly(table.unionByName(table))
+    return got.select("month", *_r([c for c in got.columns if c != "month"], 4))
+
+
+@query("factors_from_batch")
+def factors_from_batch_q(spark, sf_dir):
+    """Q8: the newest batch's sub-ledger file, a CSV of the joined ledger,
+    found through its upload, its factors stored and reread."""
+    path = _scratch(spark)
+    _joined(spark, sf_dir).select(F.col("order_date").alias("Order Date"), "region", *[F.col(f).alias(f.upper()) for f in FACTORS]) \
+        .write.option("header", True).csv(f"{path}/upload")
+    batches = td.ingestion_batches(spark, sf_dir)
+    newest = batches.agg(F.max_by(F.struct("id", "company_id"), "id").alias("b")).first().b
+    uploads = batches.select((F.col("id") * 10).alias("id"), F.col("id").alias("batch_id"), F.lit("SUBLEDGER").alias("file_type"),
+                             F.lit(f"{path}/upload").alias("file_path"))
+    rows, _, found = pipelines.factors_from_batch(spark, batches, uploads, newest.company_id, newest.id, f"{path}/store")
+    return rows.select("month", *_r(FACTORS, 4), F.lit(",".join(found)).alias("found"))
+
+
+@query("year_month_dates")
+def year_month_dates_q(spark, sf_dir):
+    """P5: ledger rows by the first day of their year and month, given as text
+    with bad parts."""
+    led = td.ledger(spark, sf_dir)
+    year = F.when(F.col("order_id") % 17 == 0, "x").otherwise(F.year("order_date").cast("string"))
+    mo = F.when(F.col("order_id") % 11 == 0, "13").otherwise(F.month("order_date").cast("string"))
+    return led.groupBy(date_from_year_mo(year, mo).alias("month")).agg(F.count(F.lit(1)).alias("row_count"))
+
+
+@query("numeric_columns")
+def numeric_columns_q(spark, sf_dir):
+    """Text columns whose values are all numbers become numbers (missing
+    ones NULL), others stay as they are."""
+    led = td.ledger(spark, sf_dir)
+    line = F.col("line_no").cast("string")
+    text = led.select("order_id", "line_no", F.concat(F.lit(" $"), line).alias("units"),
+                      F.when(F.col("order_id") % 7 == 0, "N/A").otherwise(F.format_number("order_id", 0)).alias("reference"),
+                      F.when(F.col("order_id") % 32 == 0, F.concat(line, F.lit("b"))).otherwise(line).alias("code"))
+    return numeric_or_keep(text, ["units", "reference", "code"])
+
+
+def _positions(df, *keys):
+    """``df`` with the place of each row in its order, within ``keys``."""
+    placed = df.withColumn("_at", F.monotonically_increasing_id())
+    return placed.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy("_at"))).drop("_at")
+
+
+@query("dataset_order")
+def dataset_order_q(spark, sf_dir):
+    """O1: the place of each dataset in its user's part of the listing."""
+    listed = registry.list_datasets(td.datasets(spark, sf_dir), td.trained_models(spark, sf_dir))
+    return _positions(listed.select("id", "user_id"), "user_id")
+
+
+@query("region_order")
+def region_order_q(spark, sf_dir):
+    """O2: the place of each region in the summary, by revenue."""
+    listed = summaries.region_summary(td.ledger(spark, sf_dir))
+    return _positions(listed.select("region"), F.lit(1))
+
+
+@query("factor_month_order")
+def factor_month_order_q(spark, sf_dir):
+    """O3: the place of each month in the combined factor files."""
+    listed = factor_files.combine_factor_files(factor_text_files(spark, sf_dir))
+    return _positions(listed.select("month"), F.lit(1))

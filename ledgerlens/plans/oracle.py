@@ -554,3 +554,43 @@ SELECT z.customer, count(*) AS row_count, round(sum((y1 / n + b * (zx - z1 / n))
        round(sum((b0 + b1 * zx + (y1 - n * b0 - z1 * b1) / (n + 10)) * line_no), 2) AS ridge_total
 FROM z JOIN g USING (customer), w, b GROUP BY 1
 """
+
+ORACLE["train_split_sizes_by_grain"] = with_views(f"""
+g AS (SELECT 'row' AS grain, count(*) AS n FROM ledger
+      UNION ALL SELECT 'day_segment', count(*) FROM (SELECT DISTINCT order_date, {", ".join(DIMS)} FROM ledger)
+      UNION ALL SELECT 'row_by_date', count(*) FROM ledger)
+SELECT grain, 'test' AS split, CAST(ceil(n / 4.0) AS BIGINT) AS n_rows FROM g
+UNION ALL
+SELECT grain, 'train' AS split, CAST(n - ceil(n / 4.0) AS BIGINT) AS n_rows FROM g
+""")
+
+# two-digit years are of this century
+ORACLE["stored_factors_monthly"] = with_views(f"""
+x AS (SELECT 1)
+SELECT CAST(CASE WHEN year(month) < 2000 THEN month + INTERVAL 100 YEAR ELSE month END AS DATE) AS month, {rnd([f for f in FACTORS if f != "unemployment"], 4)} FROM factors
+""")
+
+ORACLE["factors_from_batch"] = with_views(f"""{JOINED}
+SELECT DISTINCT month, {rnd(FACTORS, 4)}, '{",".join(FACTORS)}' AS found FROM joined WHERE cci IS NOT NULL
+""")
+
+ORACLE["year_month_dates"] = with_views("""x AS (SELECT 1)
+SELECT CASE WHEN order_id % 17 = 0 OR order_id % 11 = 0 THEN NULL ELSE month END AS month, count(*) AS row_count FROM ledger GROUP BY 1
+""")
+
+ORACLE["numeric_columns"] = with_views("""x AS (SELECT 1)
+SELECT order_id, line_no, CAST(line_no AS DOUBLE) AS units, CASE WHEN order_id % 7 <> 0 THEN CAST(order_id AS DOUBLE) END AS reference,
+       CAST(line_no AS VARCHAR) || CASE WHEN order_id % 32 = 0 THEN 'b' ELSE '' END AS code
+FROM ledger
+""")
+
+ORACLE["dataset_order"] = f"""WITH {_DS}
+SELECT id, user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY uploaded_at DESC, id DESC) AS INTEGER) AS position FROM ds"""
+
+ORACLE["region_order"] = with_views("""x AS (SELECT 1)
+SELECT region, CAST(row_number() OVER (ORDER BY sum(total_revenue) DESC) AS INTEGER) AS position FROM ledger GROUP BY region
+""")
+
+ORACLE["factor_month_order"] = with_views("""x AS (SELECT 1)
+SELECT month, CAST(row_number() OVER (ORDER BY month) AS INTEGER) AS position FROM factors
+""")

@@ -30,24 +30,24 @@ def train(ledger: DataFrame, factors: DataFrame | None = None, name: str = "mode
     matrix -> baseline + ridge per target -> metrics.
 
     ``grain='day'`` (default) fits on daily totals; ``'day_segment'`` on
-    totals of a day and segment, ``'row'`` on ledger rows (D19), both with a
-    hash-fraction split.  Another grain is an error."""
+    totals of a day and segment, ``'row'`` on ledger rows (D19).  The test side
+    has ``ceil(n * test_size)`` rows at every grain.  Another grain is an error."""
     if grain not in ("day", "day_segment", "row"):
         raise ValueError(f"unknown grain {grain!r}")
     if grain == "day":
         data = rollup.daily_rollup(ledger, factors)
         return train_model(data, name=name, test_size=test_size, seed=seed,
-                           split_keys=["order_date"], exact_split=True)
+                           split_keys=["order_date"])
     if grain == "day_segment":
         data = rollup.segment_rollup(ledger, factors)
         keys = ["order_date", *[c for c in DIMS if c in data.columns]]
-        return train_model(data, name=name, test_size=test_size, seed=seed, split_keys=keys, exact_split=False)
+        return train_model(data, name=name, test_size=test_size, seed=seed, split_keys=keys)
     data = score.with_date_features(ledger.where(F.col("order_date").isNotNull()))
     if factors is not None:
         data = joins.attach_factors(data, factors)
     keys = [c for c in ("order_date", "order_id", "line_no", "row_no") if c in data.columns]
     return train_model(data, name=name, test_size=test_size, seed=seed,
-                       split_keys=keys, exact_split=False)
+                       split_keys=keys)
 
 
 def request_date(value) -> _dt.date:
