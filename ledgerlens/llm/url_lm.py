@@ -27,6 +27,8 @@ RULES = [
 ORDER = 4
 #: One ruled URL in so many calibrates and doesn't train.
 FOLDS = 5
+#: Tasks that the rows of one single character, or of a context of at most one, are dealt to.
+SALTS = 64
 #: Symbols assumed by the shortest model.
 ALPHABET = 256
 _BEGIN, _END = "\x02", "\x03"
@@ -69,6 +71,12 @@ def gram_counts(urls: DataFrame) -> DataFrame:
             .groupBy("gram").agg(F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked")))
 
 
+def _dealt(df: DataFrame, text: str, short: int, salt: str) -> DataFrame:
+    """``df`` with a column ``salt``: rows of at most ``short`` characters are there under every salt, others under 0."""
+    salts = F.sequence(F.lit(0), F.when(F.length(text) <= short, SALTS - 1).otherwise(0))
+    return df.withColumn(salt, F.explode(salts))
+
+
 def gram_scores(grams: DataFrame, counts: DataFrame) -> DataFrame:
     """(g, lr): log-ratio of the models for the last character of each g, in
     millionths.  ``grams`` holds distinct g."""
@@ -77,7 +85,11 @@ def gram_scores(grams: DataFrame, counts: DataFrame) -> DataFrame:
         F.sum((F.col("allowed") > 0).cast("int")).alias("ta"), F.sum((F.col("blocked") > 0).cast("int")).alias("tb"))
     parts = grams.select("g", F.explode(F.sequence(F.lit(1), F.length("g"))).alias("k")).select(
         "g", "k", F.expr("right(g, k)").alias("gram"), F.expr("substr(right(g, k), 1, k - 1)").alias("ctx"))
-    parts = parts.join(counts, "gram", "left").join(followers, "ctx", "left").fillna(0)
+    # every g has a last character and the empty context: their few keys are dealt to SALTS tasks each
+    salt = F.pmod(F.xxhash64("g"), F.lit(SALTS)).cast("int")
+    parts = parts.select("*", F.when(F.col("k") == 1, salt).otherwise(0).alias("_g"), F.when(F.col("k") <= 2, salt).otherwise(0).alias("_c"))
+    parts = (parts.join(_dealt(counts, "gram", 1, "_g"), ["gram", "_g"], "left")
+             .join(_dealt(followers, "ctx", 1, "_c"), ["ctx", "_c"], "left").fillna(0))
     orders = parts.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("k", "allowed", "blocked", "na", "nb", "ta", "tb"))).alias("o"))
 
     def model(n: str, total: str, kinds: str) -> Column:
