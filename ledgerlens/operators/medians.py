@@ -6,7 +6,8 @@ range in buckets (plain hash aggregates, combined map-side) and goes on with
 the one or two buckets that hold the middle ranks, until at most ``SMALL``
 values, or a single one, remain; those are ranked.
 
-Global medians take two scans for all columns: a mergeable quantile sketch
+Global medians write the values once (unless they are already) and take two
+scans of them for all columns: a mergeable quantile sketch
 brackets every median, and an exact pass counts the rows below each bracket
 and the values inside it (about ``6 / ACCURACY`` of the rows, ties counted
 together).  The counts are exact, so a bracket that missed is seen, and its
@@ -39,14 +40,15 @@ def _keyed(df: DataFrame, keys: list[str], *cols) -> DataFrame:
     return df.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *cols)
 
 
-def exact_medians(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+def exact_medians(df: DataFrame, keys: list[str], cols: list[str], written: bool = False) -> DataFrame:
     """One row per group of ``keys`` (NULL is a group value) with the exact
     median of each column in ``cols`` (NULLs and NaNs ignored; NULL when a
-    group has no value).  ``keys=[]`` gives global medians in one row."""
+    group has no value).  ``keys=[]`` gives global medians in one row.
+    ``written``: ``df`` is read from files, so reading it again costs no join."""
     values = {c: F.col(c).cast("double") for c in cols}
     base = df.select(*keys, *[F.when(F.isnan(v), None).otherwise(v).alias(c) for c, v in values.items()])
     if not keys:
-        return _global(base, cols)
+        return _global(base if written else materialise(base, "median-values"), cols)
     big = materialise(base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > SMALL), "median-groups")
     if big.isEmpty():
         return base.groupBy(*keys).agg(*[F.median(c).alias(c) for c in cols])

@@ -33,6 +33,7 @@ from ledgerlens.operators.medians import exact_medians
 from ledgerlens.operators.rollup import modes
 from ledgerlens.operators.split import exact_split as _exact_split
 from ledgerlens.schema import COSTS, DATE_FEATURES, DIMS, FACTORS, RIDGE_ALPHAS, TARGETS
+from ledgerlens.shared import materialise
 
 #: More levels than this make the largest categorical a table.
 WIDE_LEVELS = 256
@@ -315,12 +316,12 @@ def _loo_fn(p: int, t: int, xm, invs, coefs, n):
     return run
 
 
-def _split(df: DataFrame, key_cols: list[str], test_size: float, seed: int, exact: bool):
+def _split(df: DataFrame, key_cols: list[str], test_size: float, seed: int, exact: bool, written: bool = False):
     h = F.xxhash64(*[F.col(c) for c in key_cols], F.lit(seed))
     if test_size <= 0:
         return df.withColumn("_test", F.lit(False))
     if exact:
-        return _exact_split(df, key_cols, test_size, seed)
+        return _exact_split(df, key_cols, test_size, seed, written)
     u = F.pmod(h, F.lit(1_000_000)) / 1_000_000.0
     return df.withColumn("_test", u < F.lit(test_size))
 
@@ -347,11 +348,9 @@ def train_model(data: DataFrame, name: str = "model", targets: list[str] | None
     split_keys = split_keys or (["order_date"] if "order_date" in cols else list(data.columns))
 
     base = data.select(*features, *targets, *[c for c in split_keys if c not in features + targets])
-    base = base.persist()
-    try:
-        return _train(_split(base, split_keys, test_size, seed, exact_split), LinearModel(name, targets, numeric, categorical), test_size, alphas, wide_levels)
-    finally:
-        base.unpersist()
+    base = materialise(base, "training-rows")
+    return _train(_split(base, split_keys, test_size, seed, exact_split, True), LinearModel(name, targets, numeric, categorical),
+                  test_size, alphas, wide_levels)
 
 
 def _train(base: DataFrame, m: LinearModel, test_size: float, alphas: list[float], wide_levels: int) -> tuple[LinearModel, DataFrame | None]:
@@ -360,7 +359,7 @@ def _train(base: DataFrame, m: LinearModel, test_size: float, alphas: list[float
 
     # M1 / M2: medians (exact, skew-safe) and modes fitted on the train rows
     if numeric:
-        med = exact_medians(train, [], numeric).first()
+        med = exact_medians(train, [], numeric, written=True).first()
         m.medians = {f: (0.0 if med[f] is None else float(med[f])) for f in numeric}
     if categorical:
         commonest = modes(train.withColumn("_all", F.lit(1)), ["_all"], categorical).first()

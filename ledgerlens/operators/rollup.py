@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.dates import calendar_features, month_key
 from ledgerlens.operators.joins import factor_columns, monthly
 from ledgerlens.schema import COSTS, DIMS, TARGETS
+from ledgerlens.shared import materialise
 
 
 def daily_rollup(ledger: DataFrame, factors: DataFrame | None = None,
@@ -25,30 +26,44 @@ def daily_rollup(ledger: DataFrame, factors: DataFrame | None = None,
     key.  With ``factors`` the monthly factors are attached and gaps filled
     forward then backward in date order.  Rows without a date are left out.
 
-    Sums and value counts are hash aggregates with a map-side combine, so a
-    date holding a third of the rows is combined in every task first."""
+    Sums and value counts come from one pass over the ledger, as hash
+    aggregates with a map-side combine, so a date holding a third of the rows
+    is combined in every task first.  The days (bounded by the calendar) are
+    written once: whatever reads them doesn't read the ledger again."""
     sums = [c for c in COSTS + TARGETS if c in ledger.columns]
     dims = [c for c in DIMS if c in ledger.columns]
     dated = ledger.where(F.col(date_col).isNotNull()).withColumn("order_date", F.col(date_col))
-    daily = dated.groupBy("order_date").agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in sums])
-    if dims:
-        m = modes(dated, ["order_date"], dims).withColumnRenamed("order_date", "_d")
-        daily = daily.join(m, F.col("order_date") == F.col("_d"), "left").drop("_d")
-    daily = daily.withColumns(calendar_features("order_date"))
+    daily = _counts(dated, ["order_date"], dims, sums).groupBy("order_date").agg(
+        *[F.coalesce(F.sum(f"_s_{c}"), F.lit(0.0)).alias(c) for c in sums], *_best(dims))
+    daily = materialise(daily, "days").withColumns(calendar_features("order_date"))
     if factors is not None and factor_columns(factors):
-        daily = attach_filled_factors(daily, factors)
+        daily = _filled(daily, factors, "order_date")
     return daily
 
 
+def _counts(df: DataFrame, keys: list[str], cols: list[str], sums: list[str] = ()) -> DataFrame:
+    """(keys, _c, _v, _n): the row count of each value of each column; with
+    ``sums`` (at the value ``_c`` NULL) also their sums ``_s_*`` over the group."""
+    types = {c: df.schema[c].dataType for c in sums}
+    item = [F.struct(F.lit(c).alias("_c"), F.col(c).cast("string").alias("_v"),
+                     *[F.lit(None).cast(t).alias(f"_s_{s}") for s, t in types.items()]) for c in cols]
+    if sums:
+        item.insert(0, F.struct(F.lit(None).cast("string").alias("_c"), F.lit(None).cast("string").alias("_v"),
+                                *[F.col(s).alias(f"_s_{s}") for s in sums]))
+    return (df.select(*keys, F.explode(F.array(*item)).alias("_x")).groupBy(*keys, "_x._c", "_x._v")
+            .agg(F.count(F.lit(1)).alias("_n"), *[F.sum(f"_x._s_{s}").alias(f"_s_{s}") for s in sums]))
+
+
+def _best(cols: list[str]) -> list:
+    return [F.min_by(F.when(F.col("_c") == c, F.col("_v")), F.when(
+        (F.col("_c") == c) & F.col("_v").isNotNull(), F.struct(-F.col("_n"), F.col("_v")))).alias(c) for c in cols]
+
+
 def modes(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     """A2 / M2: one row per group of ``keys`` with the commonest non-NULL value
     of each column (ties -> smallest; NULL without one).  Counts per (group,
     value) come first, so no buffer holds a group's values."""
-    item = F.explode(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("string").alias("_v")) for c in cols]))
-    counts = df.select(*keys, item.alias("_x")).groupBy(*keys, "_x._c", "_x._v").agg(F.count(F.lit(1)).alias("_n"))
-    best = lambda c: F.min_by(F.when(F.col("_c") == c, F.col("_v")), F.when(
-        (F.col("_c") == c) & F.col("_v").isNotNull(), F.struct(-F.col("_n"), F.col("_v"))))
-    return counts.groupBy(*keys).agg(*[best(c).alias(c) for c in cols])
+    return _counts(df, keys, cols).groupBy(*keys).agg(*_best(cols))
 
 
 def segment_rollup(ledger: DataFrame, factors: DataFrame | None = None, date_col: str = "order_date") -> DataFrame:
@@ -77,7 +92,12 @@ def fill_factor_months(months: DataFrame, factors: DataFrame) -> DataFrame:
 
 def attach_filled_factors(daily: DataFrame, factors: DataFrame,
                           date_col: str = "order_date") -> DataFrame:
-    """Attach month factors to a daily table and fill the gaps."""
+    """Attach month factors to a daily table and fill the gaps.  The table
+    is read twice (its months, its rows), so it is written once."""
+    return _filled(materialise(daily, "days"), factors, date_col)
+
+
+def _filled(daily: DataFrame, factors: DataFrame, date_col: str) -> DataFrame:
     months = daily.select(month_key(date_col).alias("month")).distinct()
     filled = fill_factor_months(months, factors)
     facs = factor_columns(factors)

@@ -14,6 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.shared import materialise
+
 #: Different hashes that the driver may count one by one.
 FEW = 65_536
 #: Rows that one task writes again where more equal rows than one share the last place.
@@ -47,12 +49,15 @@ def nth_smallest(df: DataFrame, value: Column, n: int) -> tuple[int, int, int]:
     raise ValueError(f"fewer than {n} values")
 
 
-def exact_split(df: DataFrame, key_cols: list[str], test_size: float, seed: int) -> DataFrame:
+def exact_split(df: DataFrame, key_cols: list[str], test_size: float, seed: int, written: bool = False) -> DataFrame:
     """``df`` with ``_test``: true for exactly ``ceil(n * test_size)`` rows, the
     same whenever the rows are.  Rows of equal keys at the last place are told
     apart by a hash of all columns; of wholly equal rows there as many as are
     needed go to the test side (they are written again by blocks, so any number
-    of them is dealt to many tasks).  An empty frame stays empty."""
+    of them is dealt to many tasks).  An empty frame stays empty.  The rows are
+    read up to ten times, so they are written once, unless they are already."""
+    if not written:
+        df = materialise(df, "split-rows")
     n_test = math.ceil(df.count() * test_size)
     if n_test < 1:
         return df.withColumn("_test", F.lit(False))

@@ -12,8 +12,9 @@ it reads a few hundred stored rows and no ledger row.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import correlate
@@ -22,11 +23,11 @@ from ledgerlens.shared import materialise
 
 
 def append_row(df: DataFrame, cols: list[str], values: dict[str, float],
-               extra: dict | None = None) -> DataFrame:
+               extra: dict | None = None, written: bool = False) -> DataFrame:
     """``df[cols]`` plus one row: the given value where supplied, else
     the exact column median (A4); a column without values stays without.  ``extra`` adds literal columns to the new
-    row (e.g. its month); they are NULL-typed elsewhere."""
-    med = exact_medians(df, [], cols)
+    row (e.g. its month); they are NULL-typed elsewhere.  ``written``: ``df`` is read from files."""
+    med = exact_medians(df, [], cols, written)
     row = med.select(*[(F.when(F.col(c).isNotNull(), F.lit(float(values[c]))) if values.get(c) is not None else F.col(c))
                        .cast("double").alias(c) for c in cols],
                      *[F.lit(v).alias(k) for k, v in (extra or {}).items()])
@@ -34,23 +35,44 @@ def append_row(df: DataFrame, cols: list[str], values: dict[str, float],
         row, allowMissingColumns=True)
 
 
-def replace_latest(df: DataFrame, order_cols: list[str], values: dict[str, float]) -> DataFrame:
-    """W3 + U4: overwrite ``values`` in the one latest row (D4: by
-    ``order_cols``, then by all other columns; of wholly equal rows one).  The
-    row is one small aggregate; only its exact repeats are numbered."""
+def _literal(value, kind: str) -> Column:
+    if isinstance(value, Row):
+        value = F.struct(*[F.lit(v).alias(k) for k, v in value.asDict().items()])
+        return value.cast(kind)
+    return F.lit(value).cast(kind)
+
+
+def _latest(df: DataFrame, order_cols: list[str]) -> tuple[DataFrame, DataFrame, Row, Column] | None:
+    """(all rows below the greatest value of the first order column, the rows
+    at it, the latest of these, whether one of these equals it); None without
+    rows.  Just the rows at the greatest value (a date's) are written and
+    ordered by all columns, and only they are compared with the latest one."""
     order = [*order_cols, *sorted(c for c in df.columns if c not in order_cols)]
-    last = df.agg(F.max(F.struct(*[F.col(c) for c in order])).alias("k")).first()["k"]
+    types = dict(df.dtypes)
+    top = df.agg(F.max(order[0])).first()[0]
+    at_top = F.col(order[0]).eqNullSafe(_literal(top, types[order[0]]))
+    rows = materialise(df.where(at_top), "latest-rows")
+    last = rows.orderBy(*[F.col(c).desc_nulls_last() for c in order]).first()
     if last is None:
+        return None
+    is_last = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(_literal(last[c], types[c])) for c in order])
+    return df.where(~at_top), rows, last, is_last
+
+
+def replace_latest(df: DataFrame, order_cols: list[str], values: dict[str, float]) -> DataFrame:
+    """W3 + U4: overwrite ``values`` in the one latest row (D4: by
+    ``order_cols``, then by all other columns; of wholly equal rows one: only
+    these are numbered)."""
+    found = _latest(df, order_cols)
+    if found is None:
         return df
+    below, rows, _, is_last = found
     types = dict(df.dtypes)
-    is_last = F.struct(*[F.col(c) for c in order]).eqNullSafe(F.struct(*[F.lit(last[c]).cast(types[c]).alias(c) for c in order]))
     new = {c: v for c, v in values.items() if v is not None and c in df.columns}
-    if df.where(is_last).count() == 1:
-        return df.withColumns({c: F.when(is_last, F.lit(float(v))).otherwise(F.col(c)).cast(types[c]) for c, v in new.items()})
-    repeats = df.where(is_last).withColumn("_nth", F.row_number().over(Window.partitionBy(*order).orderBy(F.lit(1))))
-    changed = repeats.withColumns({c: F.when(F.col("_nth") == 1, F.lit(float(v))).otherwise(F.col(c)).cast(types[c])
-                                   for c, v in new.items()}).drop("_nth")
-    return df.where(~is_last).unionByName(changed)
+    numbered = rows.where(is_last).withColumn("_nth", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.lit(1))))
+    changed = numbered.withColumns({c: F.when(F.col("_nth") == 1, F.lit(float(v))).otherwise(F.col(c)).cast(types[c])
+                                    for c, v in new.items()}).drop("_nth")
+    return below.unionByName(rows.where(~is_last)).unionByName(changed)
 
 
 @dataclass
@@ -65,17 +87,18 @@ class WhatIfState:
 
     @classmethod
     def build(cls, df: DataFrame, cols: list[str], order_cols: list[str]) -> "WhatIfState":
-        """Reads ``df`` twice (its latest row, then its numbers, which are
-        written once and read from there)."""
-        order = [*order_cols, *sorted(c for c in df.columns if c not in order_cols)]
-        types = dict(df.dtypes)
-        last = df.agg(F.max(F.struct(*[F.col(c) for c in order])).alias("k")).first()["k"]
-        is_last = F.lit(False) if last is None else F.struct(*[F.col(c) for c in order]).eqNullSafe(
-            F.struct(*[F.lit(last[c]).cast(types[c]).alias(c) for c in order]))
-        flat = materialise(df.select(*[F.col(c).cast("double").alias(c) for c in cols], is_last.alias("_last")), "whatif-rows")
+        """Reads ``df`` for its latest row, then its numbers, which are written
+        once and read from there."""
+        found = _latest(df, order_cols)
+        flat = lambda rows, is_last: rows.select(*[F.col(c).cast("double").alias(c) for c in cols], is_last.alias("_last"))
+        if found is None:
+            last, flat = None, materialise(flat(df, F.lit(False)), "whatif-rows")
+        else:
+            below, rows, last, is_last = found
+            flat = materialise(flat(below, F.lit(False)).unionByName(flat(rows, is_last)), "whatif-rows")
         pairs = correlate.pairs_of(cols, cols, cols)
         moments = materialise(correlate.merge_parts(correlate.moment_parts(flat.where("not _last"), cols, pairs)), "whatif-moments")
-        med = exact_medians(flat, [], cols).first()
+        med = exact_medians(flat, [], cols, written=True).first()
         latest = {c: None if last is None or last[c] is None else float(last[c]) for c in cols}
         return cls(cols, moments, latest, flat.where("_last").count(), {c: med[c] for c in cols})
 

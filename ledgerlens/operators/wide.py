@@ -13,7 +13,7 @@ from __future__ import annotations
 from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,39 +26,48 @@ if TYPE_CHECKING:
 RANK = 1e-10
 
 
-def _stack(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.float64)
+def _stack(column: pa.ListArray) -> np.ndarray:
+    """A column of equally long arrays of numbers as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), -1)
+
+
+def _n(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("n").to_numpy(zero_copy_only=False)
+
+
+def _cells(total: np.ndarray, names: str) -> pa.RecordBatch:
+    """A row for each cell of ``total``: its indices and its value."""
+    return pa.RecordBatch.from_arrays([*(pa.array(x.ravel().astype(np.int32)) for x in np.indices(total.shape)), pa.array(total.ravel())], [*names, "v"])
 
 
 def _level_sums(alphas: list[float], d: int, t: int):
     """Sums over the levels of z_g [z_g', y_g'] by 1 / (n_g + a) for each a, and by 1 / n_g^2."""
     def run(batches):
         total = np.zeros((len(alphas) + 1, d, d + t))
-        for pdf in batches:
-            if len(pdf):
-                z, zy, n = _stack(pdf["z"]), np.hstack([_stack(pdf["z"]), _stack(pdf["y"])]), pdf["n"].to_numpy(np.float64)
+        for batch in batches:
+            if batch.num_rows:
+                z, n = _stack(batch.column("z")), _n(batch)
+                zy = np.hstack([z, _stack(batch.column("y"))])
                 for k, weight in enumerate([*(1 / (n + a) for a in alphas), 1 / (n * n)]):
                     total[k] += (z * weight[:, None]).T @ zy
-        k, i, j = np.indices(total.shape)
-        yield pd.DataFrame({"k": k.ravel().astype(np.int32), "i": i.ravel().astype(np.int32), "j": j.ravel().astype(np.int32), "v": total.ravel()})
+        yield _cells(total, "kij")
     return run
 
 
 def _row_products(d: int, t: int):
     def run(batches):
-        total = np.zeros((d, d + t))
-        for pdf in batches:
-            if len(pdf):
-                z = _stack(pdf["z"])
-                total += z.T @ np.hstack([z, _stack(pdf["y"])])
-        i, j = np.indices(total.shape)
-        yield pd.DataFrame({"k": np.zeros(total.size, np.int32), "i": i.ravel().astype(np.int32), "j": j.ravel().astype(np.int32), "v": total.ravel()})
+        total = np.zeros((1, d, d + t))
+        for batch in batches:
+            if batch.num_rows:
+                z = _stack(batch.column("z"))
+                total[0] += z.T @ np.hstack([z, _stack(batch.column("y"))])
+        yield _cells(total, "kij")
     return run
 
 
 def _gather(df: DataFrame, make, shape: tuple) -> np.ndarray:
     out = np.zeros(shape)
-    for r in df.mapInPandas(make, "k int, i int, j int, v double").groupBy("k", "i", "j").agg(F.sum("v").alias("v")).collect():
+    for r in df.mapInArrow(make, "k int, i int, j int, v double").groupBy("k", "i", "j").agg(F.sum("v").alias("v")).collect():
         out[r.k, r.i, r.j] = r.v
     return out
 
@@ -88,16 +97,16 @@ def _loo(factors, d: int, t: int):
     def run(batches):
         alphas, inverses, fits = factors.value
         sse = np.zeros((len(alphas), t))
-        for pdf in batches:
-            if len(pdf):
-                z, y, zg, yg, n = (_stack(pdf["z"]), _stack(pdf["y"]), _stack(pdf["zg"]), _stack(pdf["yg"]), pdf["n"].to_numpy(np.float64)[:, None])
+        for batch in batches:
+            if batch.num_rows:
+                z, y, zg, yg = (_stack(batch.column(c)) for c in ("z", "y", "zg", "yg"))
+                n = _n(batch)[:, None]
                 for k, (a, inverse, b) in enumerate(zip(alphas, inverses, fits)):
                     w = z - zg / (n + a)
                     leverage = 1 / (n + a) + ((w @ inverse) * w).sum(axis=1, keepdims=True)
                     error = (y - z @ b - (yg - zg @ b) / (n + a)) / (1 - leverage)
                     sse[k] += (error * error).sum(axis=0)
-        k, j = np.indices(sse.shape)
-        yield pd.DataFrame({"k": k.ravel().astype(np.int32), "j": j.ravel().astype(np.int32), "v": sse.ravel()})
+        yield _cells(sse, "kj")
     return run
 
 
@@ -127,7 +136,7 @@ def fit(train: DataFrame, m: LinearModel, alphas: list[float]) -> None:
     try:
         sse = np.zeros((len(alphas), t))
         own = levels.select("category", "n", F.col("z").alias("zg"), F.col("y").alias("yg"))
-        for r in rows.join(own, "category").drop("category").mapInPandas(_loo(factors, d, t), "k int, j int, v double").groupBy("k", "j").agg(
+        for r in rows.join(own, "category").drop("category").mapInArrow(_loo(factors, d, t), "k int, j int, v double").groupBy("k", "j").agg(
                 F.sum("v").alias("v")).collect():
             sse[r.k, r.j] = r.v
     finally:
@@ -141,15 +150,15 @@ def fit(train: DataFrame, m: LinearModel, alphas: list[float]) -> None:
         for algo in ("baseline", "ridge"):
             b = chosen[f"{algo}__{y}"][1]
             m.coefs[(algo, y)] = (float(b[0]), [float(v) for v in b[1:]])
-    m.wide_table = materialise(levels.mapInPandas(
+    m.wide_table = materialise(levels.mapInArrow(
         _coefficients(targets, chosen), "category string, " + ", ".join(f"`{c}` double" for c in chosen)), "level-coefficients")
 
 
 def _coefficients(targets: list[str], chosen: dict):
     def run(batches):
-        for pdf in batches:
-            if len(pdf):
-                z, y, n = _stack(pdf["z"]), _stack(pdf["y"]), pdf["n"].to_numpy(np.float64)
-                yield pd.DataFrame({"category": pdf["category"]} | {
-                    c: (y[:, targets.index(c.split("__", 1)[1])] - z @ b) / (n + a) for c, (a, b) in chosen.items()})
+        for batch in batches:
+            if batch.num_rows:
+                z, y, n = _stack(batch.column("z")), _stack(batch.column("y")), _n(batch)
+                yield pa.RecordBatch.from_arrays([batch.column("category"), *(
+                    pa.array((y[:, targets.index(c.split("__", 1)[1])] - z @ b) / (n + a)) for c, (a, b) in chosen.items())], ["category", *chosen])
     return run

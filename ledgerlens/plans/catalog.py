@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import joins, summaries
-from ledgerlens.shared import checkpoint_root
+from ledgerlens.shared import checkpoint_root, materialise
 from ledgerlens.sources import testdata as td
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +63,11 @@ def _joined(spark, sf_dir):
     return joins.attach_factors(td.ledger(spark, sf_dir), td.factors(spark, sf_dir))
 
 
+def _written_ledger(spark, sf_dir):
+    """The ledger's joins done once, for queries that read it several times."""
+    return materialise(td.ledger(spark, sf_dir), "ledger")
+
+
 def _r(cols, nd):
     return [F.round(F.col(c), nd).alias(c) for c in cols]
 
@@ -86,11 +91,17 @@ def segment_cost_medians_q(spark, sf_dir):
     return m.select(*SEGMENT, *_r(COSTS, 6))
 
 
+def _segment_costs(spark, sf_dir):
+    """Dates, segments and costs of the ledger, written once: they are read for
+    the last date, the sizes of the segments and the medians."""
+    return materialise(td.ledger(spark, sf_dir).select("order_date", *SEGMENT, *COSTS), "segment-costs")
+
+
 @query("future_rows")
 def future_rows_q(spark, sf_dir):
     """G1-G3 + J6-J8: segments x the six months after the ledger's last
     month, with segment cost medians and month factors (latest-row fallback)."""
-    led = td.ledger(spark, sf_dir)
+    led = _segment_costs(spark, sf_dir)
     last = led.agg(F.max("order_date")).first()[0]
     start = forecast.future_start(last)
     end = start
@@ -212,7 +223,7 @@ def whatif_session_q(spark, sf_dir):
 def latest_row_replaced_q(spark, sf_dir):
     """W3 / U4 (D4): how many rows of the ledger, taken twice, carry the
     value written into its one latest row."""
-    led = td.ledger(spark, sf_dir)
+    led = _written_ledger(spark, sf_dir)
     out = whatif.replace_latest(led.unionByName(led), LEDGER_ORDER, {"freight": -1.0})
     return out.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("freight") == -1.0).alias("n_changed"))
 
@@ -308,7 +319,7 @@ def factors_from_two_dates_q(spark, sf_dir):
 
 def factor_text_files(spark, sf_dir):
     """Six single-factor files (text) in different header / date / value styles."""
-    f = td.factors(spark, sf_dir)
+    f = materialise(td.factors(spark, sf_dir), "factors")  # a row per month, read by every file
     m = F.col("month")
     v = lambda c: F.col(c).cast("string")
     return {
@@ -404,10 +415,9 @@ def trained_model(spark, sf_dir):
     return pipelines.train(td.ledger(spark, sf_dir), td.factors(spark, sf_dir), name="ledger_daily")
 
 
-def one_feature_model(spark, sf_dir):
+def one_feature_model(daily):
     """OLS of each target on daily raw-material cost, fitted on all days
     (no split): the SQL-checkable model (``regr_slope``/``regr_intercept``)."""
-    daily = rollup.daily_rollup(td.ledger(spark, sf_dir))
     m, _ = model_ops.train_model(daily, name="raw_material_ols", features=["raw_material"], test_size=0.0)
     m.best = {t: "baseline" for t in m.targets}
     return m, None
@@ -477,14 +487,14 @@ def model_design_matrix_q(spark, sf_dir):
 @query("ols_one_feature_scores")
 def ols_one_feature_scores_q(spark, sf_dir):
     """M7 + M10: one-feature OLS per target scored on every day."""
-    m, _ = one_feature_model(spark, sf_dir)
     daily = rollup.daily_rollup(td.ledger(spark, sf_dir))
+    m, _ = one_feature_model(daily)
     s = score_ops.score(m, daily)
     return s.select("order_date", *PRED_COL.values(), "predicted_gross_profit")
 
 
-def _future_end(spark, sf_dir):
-    last = td.ledger(spark, sf_dir).agg(F.max("order_date")).first()[0]
+def _future_end(led):
+    last = led.agg(F.max("order_date")).first()[0]
     end = forecast.future_start(last)
     for _ in range(FUTURE_MONTHS - 1):
         end = forecast.next_month(end)
@@ -495,9 +505,9 @@ def _future_end(spark, sf_dir):
 def forecast_batch_checked_q(spark, sf_dir):
     """Q3 with the one-feature model: every ledger row scored with actuals,
     plus segments x six future months (medians + month factors), U1."""
-    m, _ = one_feature_model(spark, sf_dir)
-    rows, _ = pipelines.forecast_batch(m, td.ledger(spark, sf_dir), td.factors(spark, sf_dir),
-                                       forecast_end=_future_end(spark, sf_dir), digits=None)
+    led = _written_ledger(spark, sf_dir)
+    m, _ = one_feature_model(rollup.daily_rollup(led))
+    rows, _ = pipelines.forecast_batch(m, led, td.factors(spark, sf_dir), forecast_end=_future_end(led), digits=None, written=True)
     preds = list(PRED_COL.values()) + ["predicted_gross_profit"]
     return rows.select("order_date", "row_type", *pipelines.OUT_DIMS,
                        *[F.round(c, 6).alias(c) for c in ACTUAL_COL.values()],
@@ -507,17 +517,17 @@ def forecast_batch_checked_q(spark, sf_dir):
 @query("forecast_batch_checked_totals")
 def forecast_batch_checked_totals_q(spark, sf_dir):
     """A7 over the checked batch forecast."""
-    m, _ = one_feature_model(spark, sf_dir)
-    _, tot = pipelines.forecast_batch(m, td.ledger(spark, sf_dir), td.factors(spark, sf_dir),
-                                      forecast_end=_future_end(spark, sf_dir), totals_digits=2)
+    led = _written_ledger(spark, sf_dir)
+    m, _ = one_feature_model(rollup.daily_rollup(led))
+    _, tot = pipelines.forecast_batch(m, led, td.factors(spark, sf_dir), forecast_end=_future_end(led), totals_digits=2, written=True)
     return tot
 
 
 @query("forecast_batch")
 def forecast_batch_q(spark, sf_dir):
     """Q3 with the fixed model: history with actuals + future rows."""
-    rows, _ = pipelines.forecast_batch(fixed_model(), td.ledger(spark, sf_dir), td.factors(spark, sf_dir),
-                                       forecast_end=_future_end(spark, sf_dir), digits=None)
+    led = _written_ledger(spark, sf_dir)
+    rows, _ = pipelines.forecast_batch(fixed_model(), led, td.factors(spark, sf_dir), forecast_end=_future_end(led), digits=None, written=True)
     return rows.select("order_date", "row_type", *pipelines.OUT_DIMS, *[F.round(c, 6).alias(c) for c in ACTUAL_COL.values()],
                        *[F.round(c, 2).alias(c) for c in [*PRED_COL.values(), "predicted_gross_profit"]], *MODEL_USED_COL.values())
 
@@ -526,14 +536,15 @@ def forecast_batch_q(spark, sf_dir):
 def forecast_batch_filtered_q(spark, sf_dir):
     """Q3 with filters: region ' europe ' (case / blanks ignored), a history
     window, an override, future months from the month after the ledger: A7."""
-    _, tot = pipelines.forecast_batch(fixed_model(), td.ledger(spark, sf_dir), td.factors(spark, sf_dir),
+    led = _written_ledger(spark, sf_dir)
+    _, tot = pipelines.forecast_batch(fixed_model(), led, td.factors(spark, sf_dir),
                                       region=" europe ", history_start="1997-01-01", history_end="1999-12-31",
-                                      overrides={"cci": 52.0}, forecast_end=_future_end(spark, sf_dir), totals_digits=2, digits=None)
+                                      overrides={"cci": 52.0}, forecast_end=_future_end(led), totals_digits=2, digits=None, written=True)
     return tot
 
 
 def _range(spark, sf_dir):
-    led = td.ledger(spark, sf_dir)
+    led = _segment_costs(spark, sf_dir)
     snap = forecast.segment_cost_medians(led)
     snap = joins.factors_for_months(snap.withColumn("month", F.lit(None).cast("date")), td.factors(spark, sf_dir)).drop("month")
     start = forecast.future_start(led.agg(F.max("order_date")).first()[0])
@@ -722,8 +733,9 @@ from ledgerlens.operators.split import exact_split  # noqa: E402
 def train_split_sizes_by_grain_q(spark, sf_dir):
     """Train and test sizes of ledger rows by their keys, of days and
     segments, and of rows by date alone (many rows of one key)."""
-    led = td.ledger(spark, sf_dir)
-    segments = rollup.segment_rollup(led)
+    # written once for the three grains: the columns that the splits and the roll-up's totals need
+    led = materialise(td.ledger(spark, sf_dir).select("order_id", "line_no", "order_date", *DIMS, "total_revenue"), "ledger-keys")
+    segments = rollup.segment_rollup(led).select("order_date", *DIMS)
     grains = {"row": (led.select("order_id", "line_no"), ["order_id", "line_no"]),
               "day_segment": (segments, ["order_date", *DIMS]),
               "row_by_date": (led.select("order_date", "region"), ["order_date"])}

@@ -108,10 +108,14 @@ OUT_DIMS = ["region", "geo", "country", "item_type", "customer"]
 def forecast_batch(model: LinearModel, ledger: DataFrame, factors: DataFrame | None,
                    region=None, geo=None, country=None, history_start=None, history_end=None,
                    forecast_start=None, forecast_end=None, overrides: dict | None = None,
-                   totals_digits: int = 4, digits: int | None = 4) -> tuple[DataFrame, DataFrame]:
+                   totals_digits: int = 4, digits: int | None = 4, written: bool = False) -> tuple[DataFrame, DataFrame]:
     """Q3: score the filtered history (with actuals) and, when
     ``forecast_end`` lies past the ledger, every segment x future month;
-    union with ``row_type``; totals (A7).  Returns (rows, summary)."""
+    union with ``row_type``; totals (A7).  Returns (rows, summary).  The ledger
+    is read for its last date, its filters, the medians and the scores, so it
+    is written once, unless it is read from files already (``written``)."""
+    if not written:
+        ledger = materialise(ledger, "batch-ledger")
     last = ledger.agg(F.max("order_date")).first()[0]          # A16, unfiltered
     if last is None:
         raise ValueError("the ledger has no dated row")
@@ -326,7 +330,7 @@ MODEL_ROW = ("id long, dataset_id long, user_id long, model_name string, targets
 def _registry(spark, path: str, schema: str) -> DataFrame:
     """A registry table; empty where none was written yet."""
     try:
-        return spark.read.parquet(path)
+        return spark.read.schema(schema).parquet(path)  # a first writer's folder may hold no file yet
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -373,7 +377,7 @@ def ledger_correlation(ledger: DataFrame, factors: DataFrame | None, kind: str =
     if append:
         # the numbers are read three times (sketch, counts, moments): the join is written once
         j = materialise(j.select(*[F.col(c).cast("double").alias(c) for c in cols]), "whatif-rows")
-        j = whatif.append_row(j, cols, {f: append.get(f) for f in ext})
+        j = whatif.append_row(j, cols, {f: append.get(f) for f in ext}, written=True)
     elif replace_latest:
         order = order_cols or [c for c in ("order_date", "row_no") if c in j.columns]
         j = whatif.replace_latest(j, order, replace_latest)
