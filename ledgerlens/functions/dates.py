@@ -50,13 +50,17 @@ def parse_ledger_date(c) -> Column:
         groups = [F.regexp_extract(s, rx, k) for k in range(1, 5) if k <= rx.replace(r"\(", "").count("(") - rx.count("(?:")]
         return s.rlike(rx), build(*groups)
 
+    def parts(rx: str, ymd: str) -> tuple[Column, Column]:
+        """A shape whose text turns into year-month-day by one replacement."""
+        return s.rlike(rx), F.regexp_replace(s, rx, ymd).try_cast("date")
+
     shapes = [
-        shape(rf"^(\d{{4}})[-/.](\d{{1,2}})[-/.](\d{{1,2}}){_TIME}$", _date),
+        parts(rf"^(\d{{4}})[-/.](\d{{1,2}})[-/.](\d{{1,2}}){_TIME}$", "$1-$2-$3"),
         shape(rf"^(\d{{1,2}})[-/.](\d{{1,2}})[-/.](\d{{4}}|\d{{2}}){_TIME}$", lambda a, b, y: F.when(
             a.cast("int") <= 12, _date(_year(y), a, b)).otherwise(_date(_year(y), b, a))),
-        shape(rf"^(\d{{4}})(\d{{2}})(\d{{2}}){_TIME}$", _date),
-        shape(r"^(\d{4})[-/](\d{1,2})$", lambda y, m: _date(y, m, one)),
-        shape(r"^(\d{1,2})[-/](\d{4})$", lambda m, y: _date(y, m, one)),
+        parts(rf"^(\d{{4}})(\d{{2}})(\d{{2}}){_TIME}$", "$1-$2-$3"),
+        parts(r"^(\d{4})[-/](\d{1,2})$", "$1-$2-1"),
+        parts(r"^(\d{1,2})[-/](\d{4})$", "$2-$1-1"),
         shape(rf"^({_MONTHS})[-./ ]*(\d{{4}})$", lambda m, y: _date(y, _month_number(m), one)),
         shape(rf"^({_MONTHS})-(\d{{2}})$", lambda m, y: _date(_year(y), _month_number(m), one)),
         shape(rf"^({_MONTHS})[-. ]+(\d{{1,2}}){_NTH}[-, ]+(\d{{4}}){_TIME}$", lambda m, d, y: _date(y, _month_number(m), d)),

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.dates import month_key, parse_factor_date
+from ledgerlens.functions.once import select_once
 from ledgerlens.functions.text import to_factor_number
 from ledgerlens.operators.rollup import first_row_per_month
 from ledgerlens.sources.ledger_csv import file_order
@@ -46,8 +47,8 @@ def read_factor_file(df: DataFrame, filename: str = "") -> DataFrame:
     if hit is None:
         raise ValueError(f"cannot detect the factor of {filename!r}; columns {df.columns}")
     factor, dc, vc = hit
-    d = _order_col(df).select(month_key(parse_factor_date(F.col(f"`{dc}`"))).alias("month"),
-                              to_factor_number(F.col(f"`{vc}`")).alias(factor), "_src_row")
+    d = select_once(_order_col(df), [month_key(parse_factor_date(F.col(f"`{dc}`"))).alias("month"),
+                                     to_factor_number(F.col(f"`{vc}`")).alias(factor), F.col("_src_row")])
     d = d.dropna(subset=["month", factor])
     return first_row_per_month(d, ["_src_row"], "month", [factor]).orderBy("month")
 
@@ -88,9 +89,8 @@ def read_stored_factors(df: DataFrame) -> DataFrame:
     if dc is None:
         raise ValueError("no date column in the stored factor table")
     facs = [c for c in df.columns if c in FACTOR_LABELS.values()]
-    d = _order_col(df).select(month_key(parse_factor_date(F.col(f"`{dc}`"))).alias("month"),
-                              *[to_factor_number(F.col(f"`{c}`")).alias(c.lower()) for c in facs],
-                              "_src_row")
+    d = select_once(_order_col(df), [month_key(parse_factor_date(F.col(f"`{dc}`"))).alias("month"),
+                                     *[to_factor_number(F.col(f"`{c}`")).alias(c.lower()) for c in facs], F.col("_src_row")])
     return first_row_per_month(d, ["_src_row"], "month", [c.lower() for c in facs])
 
 
@@ -118,9 +118,8 @@ def extract_factors_from_ledger(df: DataFrame) -> tuple[DataFrame, list[str]]:
     if not found:
         raise ValueError("no factor columns")
     src = _order_col(df)
-    d = src.select(month_key(parse_factor_date(F.col(f"`{dc}`").cast("string"))).alias("month"),
-                   *[to_factor_number(F.col(f"`{c}`")).alias(f) for f, c in found.items()],
-                   "_src_row")
+    d = select_once(src, [month_key(parse_factor_date(F.col(f"`{dc}`").cast("string"))).alias("month"),
+                          *[to_factor_number(F.col(f"`{c}`")).alias(f) for f, c in found.items()], F.col("_src_row")])
     d = d.where(F.col("month").isNotNull()).dropna(how="all", subset=list(found))
     return first_row_per_month(d, ["_src_row"], "month", list(found)), list(found)
 

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.functions.dates import date_from_year_mo, parse_ledger_date
+from ledgerlens.functions.once import select_once
 from ledgerlens.functions.text import clean_category, missing_to_null, to_number
 from ledgerlens.schema import DIMS, TARGETS, clean_name
+from ledgerlens.shared import materialise
 from ledgerlens.sources import quoted_csv
 
 _UNNAMED = "_c"
@@ -34,6 +36,7 @@ def read_ledger_csv(spark: SparkSession, path: str) -> DataFrame:
     ordered = "row_no" not in [clean_name(c) for c in keep]
     df = raw.select(*[missing_to_null(F.col(f"`{c}`")).alias(clean_name(c)) for c in keep],
                     *([(F.col("_at") if "_at" in raw.columns else file_order(raw)).alias("row_no")] if ordered else []))
+    df = materialise(df, "ledger-text")  # read for its empty columns, then for its rows: the files are parsed once
     counts = df.agg(*[F.count(c).alias(c) for c in df.columns]).first()
     full = [c for c in df.columns if counts[c] > 0]
     return df.select(*full).dropna(how="all", subset=[c for c in full if not (ordered and c == "row_no")])
@@ -92,7 +95,7 @@ def clean_ledger(df: DataFrame, for_training: bool = True) -> DataFrame:
                 F.col(c).cast("string").try_cast("double").try_cast("long")
         else:
             cols[c] = _numeric(df, c)
-    out = df.select(*[e.alias(c) for c, e in cols.items()])
+    out = select_once(df, [e.alias(c) for c, e in cols.items()])  # the rows are filtered by parsed values
     if "order_date" not in out.columns and {"year_raw", "mo_raw"} <= set(out.columns):
         out = out.withColumn("order_date", date_from_year_mo("year_raw", "mo_raw"))
     if "order_date" not in out.columns:

@@ -147,7 +147,7 @@ def read_quoted_csv(spark: SparkSession, path) -> DataFrame:
     ones as ``_c<place>``) and the struct ``_at`` (file, start, place) to sort
     by.  Absent fields are null, empty ones "", surplus ones left out."""
     records = read_records(spark, path)
-    first = records.where("block = 0").groupBy("file").agg(F.min_by("record", "line").alias("record"), F.min("line").alias("line"))
+    first = materialise(records.where("block = 0").groupBy("file").agg(F.min_by("record", "line").alias("record"), F.min("line").alias("line")), "csv-headers")
     head = first.orderBy("file").first()
     if head is None:
         return spark.createDataFrame([], "_at struct<file:string,start:long,place:long>")
@@ -158,15 +158,15 @@ def read_quoted_csv(spark: SparkSession, path) -> DataFrame:
 
     @F.pandas_udf("array<string>")
     def parsed(record: pd.Series) -> pd.Series:
-        return record.map(fields_of)
+        return record.map(fields_of, na_action="ignore")
 
     body = records.join(first.select("file", F.col("line").alias("header_line")), "file", "left").where(
         ~((F.col("block") == 0) & (F.col("line") == F.col("header_line"))))
-    # only records with a quote leave the JVM
+    # only records with a quote leave the JVM; one branch, so the files are scanned once for both kinds
     quoted = F.col("record").contains('"')
     at = F.struct("file", F.col("block").alias("start"), F.col("line").alias("place")).alias("_at")
-    both = (body.where(~quoted).select(at, F.split("record", ",", -1).alias("f"))
-            .unionByName(body.where(quoted).select(at, parsed("record").alias("f"))))
+    both = body.select(at, "record", parsed(F.when(quoted, F.col("record"))).alias("q")).select(
+        "_at", F.when(quoted, F.col("q")).otherwise(F.split("record", ",", -1)).alias("f"))
     return both.select(*[F.get("f", F.lit(k)).alias(n) for k, n in enumerate(names)], "_at")
 
 
