@@ -55,6 +55,21 @@ def test_substring_finds_exact_fuzzy_and_copied_passages(spark):
     assert got[4, 3].n_seeds is None and got[4, 3].after == 300
 
 
+def test_substring_links_a_passage_whose_seeds_are_scattered_over_other_documents(spark):
+    words = [f"w{i}" for i in range(60)]
+    piece = lambda i: words[9 * i:9 * i + 14]
+    own = lambda d, n: [f"d{d}x{i}" for i in range(n)]
+    texts = {}
+    for i in range(6):  # every seed has its first holder and the one before the last document among pieces
+        texts[i + 1] = own(i + 1, 30) + piece(i) + own(f"{i + 1}b", 30)
+        texts[200 + i] = own(200 + i, 30) + piece(i) + own(f"{200 + i}b", 30)
+    texts[100] = own(100, 40) + words + own("100b", 40)
+    texts[1000] = own(1000, 25) + words + own("1000b", 25)
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string")
+    got = [(r.doc_id, r.src_doc_id, r.first, r.after, r.src_first, r.src_after) for r in substring_dedup.find_passages(docs).collect()]
+    assert got == [(1000, 100, 25, 85, 40, 100)]
+
+
 def test_substring_query_covers_every_shared_run(spark):
     docs = {r.doc_id: substring_dedup.words_of(r.text.encode()) for r in table(spark, SF, "documents").collect()}
     seen = defaultdict(set)
