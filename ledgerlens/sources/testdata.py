@@ -20,11 +20,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One clean ledger row per lineitem (60,000 rows at sf0.01).
+    """One clean ledger row per lineitem (60,000 rows at sf0.01)."""
+    return clean_ledger(ledger_lines(spark, sf_dir))
+
+
+def ledger_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The joined rows of the ledger with the numbers of the tables, of which
+    ``clean_ledger`` makes its costs and totals.
 
     Orders meet their customers before the line items do, and the names of
     nations and regions come last, by a join of a few rows: line items are
-    shuffled for orders and parts alone, with keys in place of names."""
+    shuffled for orders and parts alone, with keys in place of names.  Orders
+    are the hashed side of their join, so line items are not sorted for it and
+    a large share of them in one task doesn't spill."""
     l = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_discount", "l_tax")
@@ -40,18 +48,25 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
                .select("n_nationkey", F.col("r_name").alias("region"), geo_of.alias("geo"), F.col("n_name").alias("country")))
     oc = (o.join(c, o.o_custkey == c.c_custkey)
           .select("o_orderkey", "o_orderdate", "c_nationkey", F.col("c_mktsegment").alias("customer")))
-    j = (l.join(oc, l.l_orderkey == oc.o_orderkey).drop("o_orderkey")
+    j = (l.join(oc.hint("shuffle_hash"), l.l_orderkey == oc.o_orderkey).drop("o_orderkey")
          .join(p, l.l_partkey == p.p_partkey)
          .join(nations, F.col("c_nationkey") == F.col("n_nationkey")))
+    return j.select(
+        F.to_date("o_orderdate").alias("order_date"), "l_orderkey", "l_linenumber",
+        "region", "geo", "country", F.col("p_type").alias("item_type"), "customer",
+        "l_quantity", "l_extendedprice", "l_discount", "l_tax", "p_size", "p_retailprice")
+
+
+def clean_ledger(lines: DataFrame) -> DataFrame:
+    """The clean ledger schema over ``ledger_lines``: each column from its own
+    row, so rows that were written and read again give the same ledger."""
     qty, price = F.col("l_quantity"), F.col("l_extendedprice")
-    out = j.select(
-        F.to_date("o_orderdate").alias("order_date"),
-        F.trunc(F.to_date("o_orderdate"), "MM").alias("month"),
+    out = lines.select(
+        "order_date",
+        F.trunc("order_date", "MM").alias("month"),
         F.col("l_orderkey").alias("order_id"),
         F.col("l_linenumber").alias("line_no"),
-        "region", "geo", "country",
-        F.col("p_type").alias("item_type"),
-        "customer",
+        "region", "geo", "country", "item_type", "customer",
         (price * (1 - F.col("l_discount"))).alias("total_revenue"),
         (F.col("p_retailprice") * qty * 3 / 10).alias("raw_material"),
         (qty * 25 / 2).alias("direct_labor"),

@@ -8,7 +8,7 @@ from ledgerlens.functions.dates import parse_ledger_date
 from ledgerlens.functions.once import select_once
 from ledgerlens.operators import rollup, split, whatif
 from ledgerlens.operators.medians import exact_medians
-from ledgerlens.sources import ledger_csv
+from ledgerlens.sources import ledger_csv, testdata
 
 
 def plan(df):
@@ -47,3 +47,21 @@ def test_quoted_ledger_text_is_read_from_files(spark, tmp_path):
     (tmp_path / "l.csv").write_text('Order Date,Customer,COGS\n2024-01-01,"a, b",1\n2024-01-02,c,2\n')
     raw = ledger_csv.read_ledger_csv(spark, str(tmp_path / "l.csv"))
     assert "MapInArrow" not in plan(raw) and [r.customer for r in raw.orderBy("row_no").collect()] == ["a, b", "c"]
+
+
+def _tables(spark, root):
+    made = {"lineitem": (40, ["id div 4 as l_orderkey", "id % 6 as l_partkey", "cast(id % 4 as int) as l_linenumber", "cast(id % 7 as double) as l_quantity",
+                              "id * 10.1D as l_extendedprice", "if(id % 9 = 0, null, 0.07D) as l_discount", "0.03D as l_tax"]),
+            "orders": (11, ["id as o_orderkey", "id % 3 as o_custkey", "timestamp_seconds(860000000 + id * 604800) as o_orderdate"]),
+            "customer": (3, ["id as c_custkey", "id % 2 as c_nationkey", "concat('m', id) as c_mktsegment"]),
+            "part": (5, ["id as p_partkey", "concat('t', id % 2) as p_type", "cast(id + 1 as int) as p_size", "id + 0.1D as p_retailprice"]),
+            "nation": (2, ["id as n_nationkey", "concat('n', id) as n_name", "id as n_regionkey"]),
+            "region": (2, ["id as r_regionkey", "if(id = 0, 'ASIA', 'EUROPE') as r_name"])}
+    for name, (n, cols) in made.items():
+        spark.range(n).selectExpr(*cols).write.parquet(f"{root}/{name}.parquet")
+    return str(root)
+
+
+def test_line_items_are_not_sorted_for_orders(spark, tmp_path):
+    made = testdata.ledger(spark, _tables(spark, tmp_path))
+    assert "shuffle_hash" in made._jdf.queryExecution().optimizedPlan().toString()
