@@ -8,6 +8,7 @@ from ledgerlens.functions.dates import parse_ledger_date
 from ledgerlens.functions.once import select_once
 from ledgerlens.operators import rollup, split, whatif
 from ledgerlens.operators.medians import exact_medians
+from ledgerlens.plans import catalog
 from ledgerlens.sources import ledger_csv, testdata
 
 
@@ -62,6 +63,17 @@ def _tables(spark, root):
     return str(root)
 
 
+def test_written_ledger_holds_the_tables_numbers_alone(spark, tmp_path):
+    sf = _tables(spark, tmp_path)
+    rows = lambda df: sorted(map(str, df.collect()))
+    led, made = catalog._written_ledger(spark, sf), testdata.ledger(spark, sf)
+    assert led.dtypes == made.dtypes and rows(led) == rows(made) and len(rows(made)) == 34
+    held = spark.read.parquet(*led.inputFiles()).columns
+    assert "l_extendedprice" in held and not {"cogs", "freight", "total_revenue"} & set(held)
+    costs = catalog._segment_costs(spark, sf)
+    assert rows(costs) == rows(made.select(*costs.columns))
+
+
 def test_line_items_are_not_sorted_for_orders(spark, tmp_path):
     made = testdata.ledger(spark, _tables(spark, tmp_path))
     assert "shuffle_hash" in made._jdf.queryExecution().optimizedPlan().toString()
