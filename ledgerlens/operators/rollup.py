@@ -68,11 +68,13 @@ def modes(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
 
 def segment_rollup(ledger: DataFrame, factors: DataFrame | None = None, date_col: str = "order_date") -> DataFrame:
     """One row per order date and segment (the five dimensions as they
-    are, NULL a value), with the date features and filled factors."""
+    are, NULL a value), with the totals of the costs and targets that the
+    ledger has (it may have none), the date features and filled factors."""
     sums = [c for c in COSTS + TARGETS if c in ledger.columns]
     dims = [c for c in DIMS if c in ledger.columns]
-    out = (ledger.where(F.col(date_col).isNotNull()).groupBy(F.col(date_col).alias("order_date"), *dims)
-           .agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in sums]).withColumns(calendar_features("order_date")))
+    keyed = ledger.where(F.col(date_col).isNotNull()).select(F.col(date_col).alias("order_date"), *dims, *sums)
+    out = keyed.groupBy("order_date", *dims).agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in sums]) if sums else keyed.distinct()
+    out = out.withColumns(calendar_features("order_date"))
     return attach_filled_factors(out, factors) if factors is not None and factor_columns(factors) else out
 
 

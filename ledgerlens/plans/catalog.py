@@ -735,8 +735,8 @@ from ledgerlens.operators.split import exact_split  # noqa: E402
 def train_split_sizes_by_grain_q(spark, sf_dir):
     """Train and test sizes of ledger rows by their keys, of days and
     segments, and of rows by date alone (many rows of one key)."""
-    # written once for the three grains: the columns that the splits and the roll-up's totals need
-    led = materialise(td.ledger(spark, sf_dir).select("order_id", "line_no", "order_date", *DIMS, "total_revenue"), "ledger-keys")
+    # written once for the three grains: the columns that the splits and the roll-up need
+    led = materialise(td.ledger(spark, sf_dir).select("order_id", "line_no", "order_date", *DIMS), "ledger-keys")
     segments = rollup.segment_rollup(led).select("order_date", *DIMS)
     grains = {"row": (led.select("order_id", "line_no"), ["order_id", "line_no"]),
               "day_segment": (segments, ["order_date", *DIMS]),

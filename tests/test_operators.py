@@ -145,6 +145,7 @@ def test_grains(spark):
     d = dt.date
     led = spark.createDataFrame([(d(2021, 1, 5), "X", 1.0), (d(2021, 1, 5), "X", 2.0), (d(2021, 1, 5), None, 4.0)], "order_date date, region string, cogs double")
     assert sorted((r.region or "", r.cogs) for r in rollup.segment_rollup(led).collect()) == [("", 4.0), ("X", 3.0)]
+    assert [r.region for r in rollup.segment_rollup(led.drop("cogs")).orderBy("region").collect()] == [None, "X"]  # no totals to make
     with pytest.raises(ValueError):
         pipelines.request_date("2021-1-5")
 
