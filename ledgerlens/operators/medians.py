@@ -3,8 +3,10 @@
 Groups of at most ``SMALL`` rows take ``F.median``: its buffer is bounded by
 them.  Larger groups are narrowed: each round counts the values of the open
 range in buckets (plain hash aggregates, combined map-side) and goes on with
-the one or two buckets that hold the middle ranks, until at most ``SMALL``
-values, or a single one, remain; those are ranked.
+the one or two buckets that hold the middle ranks, until at most ``LEFT``
+values, or a single one, remain; those are ranked.  The more groups, the fewer
+buckets each has, so that a task's counts stay in memory and are far fewer than
+its rows.
 
 Global medians write the values once (unless they are already) and take two
 scans of them for all columns: a mergeable quantile sketch
@@ -25,9 +27,12 @@ from pyspark.sql import functions as F
 
 from ledgerlens.shared import materialise
 
-#: Rows of a group (values of an open range) that are ranked in one task.
+#: Rows of a group (values of a whole column's open range) that are ranked in one task.
 SMALL = 65_536
-BUCKETS = 1024
+#: Values of a larger group's column that are left for ranking.
+LEFT = 4_096
+#: Buckets of a group's column in a round, at most; fewer (to 16) where all groups together have more than CELLS.
+BUCKETS, CELLS = 1024, 262_144
 #: Of the quantile sketch: its ranks are off by at most a share of 1 / ACCURACY.
 ACCURACY = 10_000
 
@@ -54,7 +59,7 @@ def exact_medians(df: DataFrame, keys: list[str], cols: list[str], written: bool
         return base.groupBy(*keys).agg(*[F.median(c).alias(c) for c in cols])
     hot = _keyed(big, keys)
     small = base.join(hot, _same(base, hot, keys), "left_anti").groupBy(*keys).agg(*[F.median(c).alias(c) for c in cols])
-    return small.unionByName(_narrowed(base.join(hot, _same(base, hot, keys), "left_semi"), keys, cols))
+    return small.unionByName(_narrowed(base, keys, cols, hot))
 
 
 def _global(base: DataFrame, cols: list[str]) -> DataFrame:
@@ -149,23 +154,26 @@ def _ranked(counts: DataFrame, want: dict[int, tuple], names: list[str]) -> dict
     return found
 
 
-def _narrowed(base: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
-    """Medians of the groups of ``base`` by narrowing.  ``state`` holds for
-    each group and column: n values in all, ``below`` the open range [lo, hi]
+def _narrowed(base: DataFrame, keys: list[str], cols: list[str], hot: DataFrame | None = None) -> DataFrame:
+    """Medians of the groups of ``base`` (of those in ``hot`` alone, if given)
+    by narrowing.  ``state`` holds for each group its number ``_g``, its keys
+    and for each column: n values in all, ``below`` the open range [lo, hi]
     and ``inside`` it."""
-    wide = base.groupBy(*keys).agg(*[F.struct(F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in cols])
-    state = materialise(wide.select(*keys, *[
+    rows = base if hot is None else base.join(hot, _same(base, hot, keys), "left_semi")
+    wide = rows.groupBy(*keys).agg(*[F.struct(F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in cols])
+    state = materialise(wide.select(F.monotonically_increasing_id().alias("_g"), *keys, *[
         F.struct(F.col(f"{c}.n").alias("n"), F.lit(0).cast("long").alias("below"), F.col(f"{c}.lo").alias("lo"), F.col(f"{c}.hi").alias("hi"),
                  F.col(f"{c}.n").alias("inside")).alias(c) for c in cols]), "median-state")
-    first = True
+    buckets = min(BUCKETS, max(16, CELLS // max(1, state.count() * len(cols))))
+    limit, first = min(SMALL, LEFT), True
     while True:
         still = F.greatest(*[F.when(F.col(f"{c}.lo") < F.col(f"{c}.hi"), F.col(f"{c}.inside")).otherwise(0) for c in cols], F.lit(0))
-        if (state.agg(F.max(still)).first()[0] or 0) <= SMALL:
+        if (state.agg(F.max(still)).first()[0] or 0) <= limit:
             break
-        state, first = materialise(_round(_open(base, state, keys, cols, first), state, keys, cols), "median-state"), False
-    left = (_open(base, state, keys, cols, False, only_split=True).groupBy(*keys, "_c").agg(F.sort_array(F.collect_list("_v")).alias("_s")))
-    left = _keyed(left.groupBy(*keys).pivot("_c", cols).agg(F.first("_s")), keys, *[F.col(c).alias(f"_s_{c}") for c in cols])
-    joined = state.join(left, _same(state, left, keys), "left")
+        # columns and groups that are narrow enough aren't counted again
+        state, first = materialise(_round(_open(base, state, keys, cols, buckets, first, more_than=limit), state, cols), "median-state"), False
+    left = _open(base, state, keys, cols, buckets, False).groupBy("_g", "_c").agg(F.sort_array(F.collect_list("_v")).alias("_s"))
+    joined = state.join(_by_column(left, "_s", cols), F.col("_g") == F.col("_h"), "left")
 
     def middle(c: str) -> Column:
         at = lambda r: F.when(F.col(f"{c}.lo") < F.col(f"{c}.hi"), F.get(f"_s_{c}", (r - F.col(f"{c}.below")).cast("int"))).otherwise(F.col(f"{c}.lo"))
@@ -177,42 +185,49 @@ def _narrowed(base: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     return joined.select(*keys, *[middle(c) for c in cols])
 
 
-def _open(base: DataFrame, state: DataFrame, keys: list[str], cols: list[str], first: bool, only_split: bool = False) -> DataFrame:
-    """(keys, _c, _v, _b): the values of open ranges with their buckets.  The
-    least value has bucket 0 to itself, so every round narrows; the first
-    round's buckets are logarithmic, for long tails."""
-    s = _keyed(state, keys, *[F.col(c).alias(f"_r_{c}") for c in cols])
-    j = base.join(s, _same(base, s, keys))
-
-    def scale(x: Column) -> Column:
-        return F.signum(x) * F.log1p(F.abs(x)) if first else x
-
-    items = []
-    for c in cols:
-        v, lo, hi = F.col(c), F.col(f"_r_{c}.lo"), F.col(f"_r_{c}.hi")
-        share = (scale(v) - scale(lo)) / F.nullif(scale(hi) - scale(lo), F.lit(0.0))
-        share = F.when(F.isnan(share) | share.isNull(), 0.0).otherwise(share)
-        b = F.when(v == lo, 0).otherwise(1 + F.least(F.lit(BUCKETS - 1), F.floor(share * BUCKETS)).cast("int"))
-        inside = v.between(lo, hi) & ((lo < hi) if only_split else F.lit(True))
-        items.append(F.when(inside, F.struct(F.lit(c).alias("_c"), v.alias("_v"), b.alias("_b"))))
-    return j.select(*keys, F.explode(F.array(*items)).alias("_x")).filter("_x is not null").select(*keys, "_x.*")
-
-
-def _round(opened: DataFrame, state: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
-    hist = opened.groupBy(*keys, "_c", "_b").agg(F.count(F.lit(1)).alias("m"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
-    long = state.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.explode(F.array(*[
-        F.struct(F.lit(c).alias("c"), F.col(f"{c}.n").alias("n"), F.col(f"{c}.below").alias("below")) for c in cols])).alias("_x")).select(
-        *[f"_k_{k}" for k in keys], "_x.*")
-    cond = reduce(lambda a, b: a & b, [hist[k].eqNullSafe(long[f"_k_{k}"]) for k in keys], hist["_c"] == long["c"])
-    # a group has at most BUCKETS + 1 rows here
-    w = Window.partitionBy(*keys, "_c").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    h = hist.join(long, cond).withColumn("end", F.sum("m").over(w) + F.col("below")).withColumn("start", F.col("end") - F.col("m"))
+def _by_column(df: DataFrame, value: str, cols: list[str]) -> DataFrame:
+    """(_h, _s_*): ``value`` of each column of a group, from (_g, _c, value)."""
+    wide = df.groupBy("_g").pivot("_c", list(range(len(cols)))).agg(F.first(value))
+    return wide.select(F.col("_g").alias("_h"), *[F.col(str(k)).alias(f"_s_{c}") for k, c in enumerate(cols)])
+
+
+def _open(base: DataFrame, state: DataFrame, keys: list[str], cols: list[str], buckets: int, first: bool, more_than: int = 0) -> DataFrame:
+    """(_g, _c, _v, _b): the values of open ranges of more than one value (and
+    more than ``more_than`` rows) with their buckets.  The least and the greatest
+    value have buckets of their own, so every round narrows and infinite ends go
+    at once; the first round's buckets are logarithmic, for long tails."""
+    groups = _keyed(state, keys, "_g")
+    ranges = state.select(F.col("_g").alias("_h"), F.explode(F.array(*[
+        F.struct(F.lit(k).alias("c"), *[F.col(f"{c}.{x}").alias(x) for x in ("lo", "hi", "inside")]) for k, c in enumerate(cols)])).alias("_x")
+    ).select("_h", "_x.*").where((F.col("lo") < F.col("hi")) & (F.col("inside") > more_than))
+    # a value a row before the ranges join them, so that its bucket is one short expression
+    values = base.join(groups, _same(base, groups, keys)).select("_g", F.posexplode(F.array(*cols)).alias("_c", "_v"))
+    j = values.join(ranges, (F.col("_g") == F.col("_h")) & (F.col("_c") == F.col("c"))).where(F.col("_v").between(F.col("lo"), F.col("hi")))
+
+    def scale(x: str) -> Column:
+        return F.signum(x) * F.log1p(F.abs(x)) if first else F.col(x)
+
+    share = (scale("_v") - scale("lo")) / F.nullif(scale("hi") - scale("lo"), F.lit(0.0))
+    inner = F.floor(F.when(F.isnan(share) | share.isNull(), 0.0).otherwise(share) * buckets)
+    b = F.when(F.col("_v") == F.col("lo"), 0).when(F.col("_v") == F.col("hi"), buckets + 1).otherwise(1 + F.least(F.lit(buckets - 1), inner).cast("int"))
+    return j.select("_g", "_c", "_v", b.alias("_b"))
+
+
+def _round(opened: DataFrame, state: DataFrame, cols: list[str]) -> DataFrame:
+    hist = opened.groupBy("_g", "_c", "_b").agg(F.count(F.lit(1)).alias("m"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    long = state.select(F.col("_g").alias("_h"), F.explode(F.array(*[
+        F.struct(F.lit(k).alias("c"), F.col(f"{c}.n").alias("n"), F.col(f"{c}.below").alias("below")) for k, c in enumerate(cols)])).alias("_x")).select("_h", "_x.*")
+    # a group's column has at most BUCKETS + 2 rows here
+    w = Window.partitionBy("_g", "_c").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    h = (hist.join(long, (F.col("_g") == F.col("_h")) & (F.col("_c") == F.col("c")))
+         .withColumn("end", F.sum("m").over(w) + F.col("below")).withColumn("start", F.col("end") - F.col("m")))
     holds = lambda r: (F.col("start") <= r) & (r < F.col("end"))
     mid = h.filter(holds(F.floor((F.col("n") - 1) / 2)) | holds(F.ceil((F.col("n") - 1) / 2)))
     # ranks in two buckets are the last value of one and the first of the next: the median is known
     between = F.when(F.count(F.lit(1)) == 2, (F.min_by("hi", "start") + F.max_by("lo", "start")) / 2)
-    new = mid.groupBy(*keys, "_c").agg(F.struct(
+    new = mid.groupBy("_g", "_c").agg(F.struct(
         F.max("n").alias("n"), F.min("start").alias("below"), F.coalesce(between, F.min("lo")).alias("lo"),
         F.coalesce(between, F.max("hi")).alias("hi"), F.sum("m").alias("inside")).alias("s"))
-    got = _keyed(new.groupBy(*keys).pivot("_c", cols).agg(F.first("s")), keys, *[F.col(c).alias(f"_s_{c}") for c in cols])
-    return state.join(got, _same(state, got, keys), "left").select(*keys, *[F.coalesce(F.col(f"_s_{c}"), F.col(c)).alias(c) for c in cols])
+    got = _by_column(new, "s", cols)
+    return state.join(got, F.col("_g") == F.col("_h"), "left").select("_g", *[c for c in state.columns if c not in ("_g", *cols)], *[
+        F.coalesce(F.col(f"_s_{c}"), F.col(c)).alias(c) for c in cols])

@@ -127,6 +127,27 @@ def test_medians_narrow_large_groups(spark, monkeypatch):
     assert np.allclose(np.array(list(exact_medians(spark.createDataFrame(pdf), [], cols[:3]).first())), pdf[cols[:3]].median())
 
 
+def test_many_large_groups_share_the_buckets(spark, monkeypatch):
+    monkeypatch.setattr(medians, "SMALL", 20)
+    monkeypatch.setattr(medians, "CELLS", 64)
+    rng = np.random.default_rng(3)
+    n = 4000
+    pdf = pd.DataFrame({"k": rng.integers(0, 5, n), "x": rng.normal(size=n), "y": np.where(rng.random(n) < 0.2, np.inf, rng.normal(size=n) * 1e6)})
+    pdf.loc[::9, "y"] = -np.inf
+    seen = []
+    real = medians._open
+
+    def opened(*args, **kw):
+        out = real(*args, **kw)
+        seen.append(out.groupBy("_g", "_c", "_b").count().groupBy("_g", "_c").count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(medians, "_open", opened)
+    got = exact_medians(spark.createDataFrame(pdf), ["k"], ["x", "y"]).toPandas().sort_values("k")
+    assert np.array_equal(got[["x", "y"]].to_numpy(), pdf.groupby("k")[["x", "y"]].median().to_numpy())
+    assert 3 < len(seen) < 10 and max(seen[:-1]) <= 18  # 16 buckets and the two ends, not BUCKETS
+
+
 def test_one_latest_row_is_replaced(spark):
     df = spark.createDataFrame([(1, 5.0), (2, 6.0), (2, 6.0), (2, 5.5)], "row_no int, cci double")
     got = sorted(tuple(r) for r in whatif.replace_latest(df, ["row_no"], {"cci": 9.0}).collect())
