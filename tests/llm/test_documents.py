@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from difflib import SequenceMatcher
 
 import numpy as np
 import public_tokenizers
@@ -11,6 +12,7 @@ import pytest
 import sentencepiece
 import xxhash
 from conftest import SCHEMA, prose
+from pyspark.sql import functions as F
 
 from ledgerlens.llm import decontaminate, line_dedup, mixing, quality, queries, simhash, substring_dedup, token_prefixes, toxicity
 from ledgerlens.llm.common import connected_components, table
@@ -125,6 +127,33 @@ def test_substituted_words_leave_passages_found(spark):
     assert got == {(k + 1, k) for k in range(0, len(texts), 2)}
 
 
+def test_blocks_are_those_of_difflib_and_passages_need_enough_common_words():
+    r = np.random.default_rng(4)
+    for n, m, words in [(0, 5, 3), (40, 60, 4), (80, 80, 30), (120, 90, 500), (300, 280, 60)] * 8:
+        x, y = r.integers(0, words, n).tolist(), r.integers(0, words, m).tolist()
+        y[m // 3:m // 3 + 20] = x[n // 2:n // 2 + 20]
+        want = [tuple(b) for b in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks() if b.size]
+        assert substring_dedup._blocks(x, y) == want
+        if substring_dedup._stretches(want):
+            assert substring_dedup._may_fit(x, y) and substring_dedup._may_fit(y, x)
+    assert not substring_dedup.passages(list(range(70)), list(range(35)) + list(range(100, 135)))
+
+
+def test_crowded_seeds_that_follow_each_other_everywhere_meet_as_one_strand(spark, monkeypatch):
+    line, written = prose(90, 45), {}
+    texts = [prose(500 + i, 30) + "\n" + line + "\n" + prose(600 + i, 30) for i in range(12)]
+    keep = substring_dedup.materialise
+    monkeypatch.setattr(substring_dedup, "materialise", lambda df, tag: written.setdefault(tag, keep(df, tag)))
+    substring_dedup.find_passages(docs_of(spark, texts)).collect()
+    opened = written["substring-open"].filter(F.col("extra").isin(substring_dedup.HELD, substring_dedup.ASKS)).collect()
+    assert sorted((r.doc, r.low, r.high) for r in opened) == [(i, 30, 41) for i in range(12)]  # one row of 41 seeds
+    assert {(r.doc, r.holder) for r in written["substring-pairs"].collect()} == {(i, j) for i in range(3, 12) for j in range(i)}
+    late = written["substring-late-chains"].filter("doc = 11 and src = 5").collect()
+    assert [(r.first, r.after, r.src_first, r.src_after, r.n_seeds) for r in late] == [(30, 75, 30, 75, 41)]
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    assert spark.conf.get(name) == "false"
+
+
 # 2: toxicity
 
 def test_toxicity_on_held_out_rows(spark):
