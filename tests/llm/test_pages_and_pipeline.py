@@ -52,6 +52,26 @@ def test_urls_empty_table(spark):
     assert url_lm.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_joins_send_no_table_through_the_driver(spark, monkeypatch):
+    plans = []
+
+    def seen(name):
+        old = getattr(url_lm, name)
+
+        def run(*a):
+            out = old(*a)
+            plans.extend(x._jdf.queryExecution().executedPlan().toString() for x in (*a, out) if hasattr(x, "_jdf"))
+            return out
+        monkeypatch.setattr(url_lm, name, run)
+
+    seen("gram_scores")
+    seen("calibrate")
+    df = url_lm.judge_urls(pages_of(spark, [(f"http://a{i}.net/{'es' if i % 2 else 'de'}/{i}", None) for i in range(40)]))
+    plans.append(df._jdf.queryExecution().executedPlan().toString())
+    assert sum(p.count("SortMergeJoin") for p in plans) >= 4 and not any("Broadcast" in p for p in plans)
+    assert df.count() == 40
+
+
 def test_wrapper_is_inferred_and_texts_extracted(spark):
     def page(k, extra=""):
         items = "".join(f"<li>m{j}" for j in range(2 + k % 3))
