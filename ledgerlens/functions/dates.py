@@ -42,8 +42,18 @@ def parse_ledger_date(c) -> Column:
     ``05-03-2021`` are 2 January and 3 May) unless there is no such month
     (``13/02/2020``); ISO with or without a time; compact ``yyyyMMdd``; year
     first; months by name before or after the day; month and year alone are
-    the first of the month.  Anything else gives NULL; nothing raises."""
+    the first of the month.  Anything else gives NULL; nothing raises.
+
+    A plain ISO date is cast as it is.  The other shapes are a function of an
+    array's element: inlined in the generated code, they make a method too long
+    to be compiled, in which all columns beside the date are slow too."""
     s = F.lower(F.trim(_col(c).cast("string")))
+    iso = (F.length(s) == 10) & (F.substring(s, 5, 1) == "-") & (F.substring(s, 8, 1) == "-")
+    return F.coalesce(F.when(iso, s.try_cast("date")), F.get(F.transform(F.array(s), _shaped_date), F.lit(0)))
+
+
+def _shaped_date(s: Column) -> Column:
+    """The date of a trimmed text in lower case, by its shape."""
     one = F.lit("1")
 
     def shape(rx: str, build) -> tuple[Column, Column]:

@@ -3,6 +3,7 @@
 import csv
 import io
 import random
+import re
 
 import pandas as pd
 import pytest
@@ -70,3 +71,38 @@ def test_states_are_those_of_the_csv_module():
             # a reader that is still inside a field takes the next line, too
             records = list(csv.reader(io.StringIO(text + "\nnext", newline="")))
             assert quoted_csv.state_after(line, inside) == (len(records) == 1 and "next" in records[0][-1]), (line, inside)
+
+
+def test_records_within_a_split_are_parsed_where_they_are_read(spark, tmp_path, monkeypatch):
+    """Only the lines over the ends of splits are written and brought together."""
+    rows = [[str(k), "Two\nlines, " + str(k), "x", ""] for k in range(3000)]
+    written(tmp_path / "a.csv", rows)
+    tables, old = {}, quoted_csv.materialise
+    monkeypatch.setattr(quoted_csv, "materialise", lambda df, tag: tables.setdefault(tag, old(df, tag)))
+    conf = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = quoted_csv.read_quoted_csv(spark, str(tmp_path / "a.csv"))
+        splits = tables["csv-splits"].count()
+        assert splits > 3 and tables["csv-lines"].where("kind <> 0").count() <= 8 * splits
+        assert [list(r)[:4] for r in got.orderBy("_at").collect()] == rows
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", conf[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", conf[1])
+
+
+def test_odd_lines_of_quoted_files(spark, tmp_path):
+    """Carriage returns within lines, blank lines, short and long records."""
+    (tmp_path / "a.csv").write_bytes(b'\n  \r\n"Id",Name,Note\r\n1,a\rb,"c"\r\n2,a\rb,c\n\n  \n3,"x\ry",z,more\n4,"only"\n"",,\n')
+    got = [list(r)[:3] for r in quoted_csv.read_quoted_csv(spark, str(tmp_path / "a.csv")).orderBy("_at").collect()]
+    assert got == [["1", "a", None], ["2", "a\rb", "c"], ["3", "x\ry", "z"], ["4", "only", None], ["", "", ""]]
+
+
+def test_cleaning_generates_methods_short_enough_to_be_compiled(spark):
+    raw = spark.createDataFrame([("2024-01-01", "Acme", "1,200.50", "3", "4")], "`Order Date` string, Customer string, `Total Revenue` string, COGS string, `SG&A` string")
+    clean = ledger_csv.clean_ledger(raw)
+    code = spark._jvm.PythonSQLUtils.explainString(clean._jdf.queryExecution(), "codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert sizes and max(sizes) < 8000
+    assert [tuple(r)[1:] for r in clean.collect()] == [("Acme", 1200.5, 3.0, 4.0)]
